@@ -1,9 +1,9 @@
 """Line dedup by a fixed-depth template tree; DataFrame functions only.
 
 The tree's first level is a line's token count, the next its leading tokens. Below that, tokens with digits are variable
-fields from the start, and one quarter of the rest may be variable as well: a line belongs to the template that is
-constant throughout and to the four in which one quarter is a wildcard. A template that occurs in several documents
-recurs. Its first document keeps its line, the others lose theirs.
+fields from the start, and one half of the rest may be variable as well: a longer line belongs to the two templates that
+keep one half of it, a shorter one to the template of the whole line. A template that occurs in several documents recurs.
+Its first document keeps its line, the others lose theirs.
 """
 
 from __future__ import annotations
@@ -18,40 +18,51 @@ FIELD = "<*>"
 
 
 def _templates(masked: Column, n: Column, depth: int) -> Column:
-    """Hashes of the templates of a line: the constant one, and for lines long enough one for each quarter."""
-    tokens = F.split(masked, " ")
-    body = n - depth
-    key = lambda *parts: F.md5(F.concat_ws(" ", n.cast("string"), *parts).cast("binary"))
-    quarters = []
-    for i in range(4):
-        start, end = F.floor(body * i / 4).cast("int"), F.floor(body * (i + 1) / 4).cast("int")
-        quarters.append(key(F.array_join(F.slice(tokens, 1, F.lit(depth) + start), " "), F.lit(FIELD * (i + 1)), F.array_join(F.slice(tokens, F.lit(depth + 1) + end, n - depth - end), " ")))
-    return F.when(body >= 8, F.array(key(masked), *quarters)).otherwise(F.array(key(masked)))
+    """128-bit hashes of a line's templates."""
+    first = lambda k: F.call_function("substring_index", masked, F.lit(" "), k)  # noqa: E731  the first k tokens, or the last -k
+    half = F.lit(depth) + F.floor((n - depth) / 2).cast("int")
+    begin = F.concat_ws(" ", n, first(half), F.lit(FIELD))
+    end = F.concat_ws(" ", n, first(F.lit(depth)), F.lit(FIELD), first(half - n))
+    key = lambda s: F.struct(F.xxhash64(s).alias("k"), F.xxhash64(F.lit(1), s).alias("j"))
+    return F.when(n - depth >= 8, F.array(key(begin), key(end))).otherwise(F.array(key(F.concat_ws(" ", n, masked))))
+
+
+def _plain(text: Column) -> Column:
+    """The text with single spaces inside lines, none around them, and FIELD for tokens with digits.
+
+    Whole texts are rewritten before they are cut into lines, and only those that need it, so that each expression is
+    evaluated once a text.
+    """
+    odd = F.lit(False)
+    for sign in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(text, F.lit(sign))
+    spaced = F.when(odd, F.regexp_replace(text, SPACE, " ")).otherwise(text)
+    lines = F.trim(F.replace(F.replace(spaced, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(lines, r"(^|[ \n])[^ \n0-9]*+[0-9][^ \n]*+", "$1" + FIELD)).otherwise(lines)
 
 
 def lines_of(docs: DataFrame, depth: int = 3, min_tokens: int = 6) -> DataFrame:
-    """id, copy, line_no, templates: a row for each line with at least min_tokens tokens. copy: md5 of the whole text."""
+    """id, copy, line_no, templates: a row for each line with at least min_tokens tokens. copy tells texts with the same id apart."""
+    counted = F.struct("line", F.size(F.split("line", " ")).alias("n"))
     return (
         docs.where(F.col("text").isNotNull())
-        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.md5(F.col("text").cast("binary")).alias("copy"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .withColumn("norm", F.trim(F.regexp_replace("line", SPACE, " ")))
-        .withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("copy"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
+        .select("id", "copy", "line_no", F.inline(F.array(counted)))  # a generator's output is evaluated once, however often n is used
         .where(F.col("n") >= min_tokens)
-        .withColumn("masked", F.regexp_replace("norm", r"(^| )[^ 0-9]*+[0-9][^ ]*+", "$1" + FIELD))
-        .select("id", "copy", "line_no", _templates(F.col("masked"), F.col("n"), depth).alias("templates"))
+        .select("id", "copy", "line_no", _templates(F.col("line"), F.col("n"), depth).alias("templates"))
     )
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min_tokens: int = 6) -> DataFrame:
     """id, copy, dropped (sorted line numbers): what each document loses. Documents that lose nothing have no row."""
-    keyed = materialized(lines_of(docs, depth, min_tokens), "line-templates").select("id", "copy", "line_no", F.explode("templates").alias("template"))
+    keyed = materialized(lines_of(docs, depth, min_tokens), "line-templates").select("id", "copy", "line_no", F.explode("templates").alias("t")).select("id", "copy", "line_no", "t.*")
     found = (
-        keyed.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
+        keyed.select("k", "j", "id").distinct().groupBy("k", "j").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
         if min_docs > 2
-        else keyed.groupBy("template").agg(F.min("id").alias("first"), F.max("id").alias("last")).withColumn("docs", F.when(F.col("first") < F.col("last"), 2).otherwise(1))
+        else keyed.groupBy("k", "j").agg(F.min("id").alias("first"), F.max("id").alias("last")).withColumn("docs", F.when(F.col("first") < F.col("last"), 2).otherwise(1))
     )
-    recurring = found.where(F.col("docs") >= min_docs).select("template", "first")
-    return keyed.join(recurring, "template").where(F.col("id") > F.col("first")).groupBy("id", "copy").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    recurring = found.where(F.col("docs") >= min_docs).select("k", "j", "first")
+    return keyed.join(recurring, ["k", "j"]).where(F.col("id") > F.col("first")).groupBy("id", "copy").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min_tokens: int = 6) -> DataFrame:
@@ -70,8 +81,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
     out = (
         docs.withColumn("__key", F.coalesce("doc_id", F.lit(NO_ID)))
-        .withColumn("__md5", F.md5(F.col("text").cast("binary")))
-        .join(lost, (F.col("__key") == F.col("__id")) & (F.col("__md5") == F.col("__copy")), "left")
+        .withColumn("__hash", F.xxhash64("text"))
+        .join(lost, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__copy")), "left")
         .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left))
