@@ -129,16 +129,16 @@ def over_quota(spark: SparkSession, d: str) -> DataFrame:
     return A.over_quota(keys, L.list_heads(_entries(spark, d)), quotas)
 
 
-CAPPED = f"WITH {PUBS}, {QUOTAS}, r AS (SELECT p.*, quota, row_number() OVER (PARTITION BY pubkey ORDER BY counter) + 2 AS at FROM p JOIN q USING (pubkey))"
+CAPPED = f"WITH {PUBS}, {QUOTAS}, r AS (SELECT p.*, quota, row_number() OVER (PARTITION BY pubkey ORDER BY counter) + 2 AS nth FROM p JOIN q USING (pubkey))"
 
 
-@query(f"{CAPPED} SELECT np_id, counter FROM r WHERE at <= quota")
+@query(f"{CAPPED} SELECT np_id, counter FROM r WHERE nth <= quota")
 def cap_to_quota(spark: SparkSession, d: str) -> DataFrame:
     keys, quotas = _quotas(spark, d)
     return A.cap_to_quota(X.publications(spark, d), quotas, keys.withColumn("count", F.lit(2)))[0].select("np_id", "counter")
 
 
-@query(f"{CAPPED} SELECT pubkey, CASE WHEN quota < 0 THEN 'skipped' WHEN max(at) > quota THEN 'capped' ELSE 'loaded' END AS status FROM r GROUP BY pubkey, quota")
+@query(f"{CAPPED} SELECT pubkey, CASE WHEN quota < 0 THEN 'skipped' WHEN max(nth) > quota THEN 'capped' ELSE 'loaded' END AS status FROM r GROUP BY pubkey, quota")
 def cap_status(spark: SparkSession, d: str) -> DataFrame:
     keys, quotas = _quotas(spark, d)
     return A.cap_to_quota(X.publications(spark, d), quotas, keys.withColumn("count", F.lit(2)))[1]
@@ -180,7 +180,7 @@ def first_type_of_key(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PUBS} SELECT np_id, CASE WHEN k % 10 = 0 THEN '$' ELSE type END AS type_hash, CASE WHEN full_id LIKE '%/RA%' THEN right(full_id, 45) END AS code, full_id LIKE '%/RA%' AS is_code,
 CASE WHEN k % 4 = 0 THEN CASE WHEN length('https://example.org/agents/with-a-rather-long-identifier/' || event_id) > 55 THEN left('https://example.org/agents/with-a-rather-long-identifier/' || event_id, 50) || '...' END
   ELSE 'orcid:0000-' || event_id END AS agent, left(np_id, 10) AS short, 'https://w3id.org/np/' || 'RA' || substr(np_id, 1, 43) AS uri, coalesce(url_encode(CASE WHEN k % 9 > 0 THEN full_id END), '') AS encoded,
-strftime(created_at, '%Y-%m-%d %H:%M:%S') AS whole, printf('%.8f', k / 64.0) AS ratio_text, CAST(greatest(least(floor(k * k / 1e9 * 1e9 * 37.5), 100000), 1000) AS INTEGER) AS quota FROM p""")
+strftime(created_at, '%Y-%m-%d %H:%M:%S') AS whole, printf('%.8f', k / 64.0) AS ratio_text, CAST(greatest(least(floor(CAST(k * k AS DOUBLE) / 1e9 * CAST(37.5 AS DOUBLE) * 1e9), 100000), 1000) AS INTEGER) AS quota FROM p""")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     p, k = X.publications(spark, d), F.col("k")
     agent = F.when(k % 4 == 0, F.concat(F.lit("https://example.org/agents/with-a-rather-long-identifier/"), "event_id")).otherwise(F.concat(F.lit("https://orcid.org/0000-"), "event_id"))
@@ -448,7 +448,7 @@ SCORES = TRUST + """, fold AS (SELECT agent, pubkey, list_reduce(list({'seen': C
     lambda a, x: {'seen': list_concat(a.seen, x.mid[1:coalesce(list_filter(range(1, len(x.mid) + 1), lambda i: list_contains(a.seen, x.mid[i]) OR list_contains(x.mid[1:i - 1], x.mid[i]))[1] - 1, len(x.mid))]), 'mid': x.mid,
       'n': a.n + CASE WHEN len(list_filter(range(1, len(x.mid) + 1), lambda i: list_contains(a.seen, x.mid[i]) OR list_contains(x.mid[1:i - 1], x.mid[i]))) > 0 THEN 0 ELSE 1 END, 'r': a.r + x.r},
     {'seen': CAST([] AS VARCHAR[]), 'mid': CAST([] AS VARCHAR[]), 'n': 0, 'r': CAST(0.0 AS DOUBLE)}) AS s FROM paths SEMI JOIN (SELECT * FROM acc WHERE status = 'expanded') x USING (agent, pubkey) GROUP BY ALL),
-scores AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN status = 'expanded' THEN 'processed' ELSE status END AS status, depth, s.r AS ratio, s.n AS path_count, CAST(greatest(least(floor(s.r * 1e9), 100000), 1000) AS INTEGER) AS quota FROM acc LEFT JOIN fold USING (agent, pubkey))"""
+scores AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN status = 'expanded' THEN 'processed' ELSE status END AS status, depth, s.r AS ratio, s.n AS path_count, CASE WHEN s.r IS NOT NULL THEN CAST(greatest(least(floor(s.r * 1e9), 100000), 1000) AS INTEGER) END AS quota FROM acc LEFT JOIN fold USING (agent, pubkey))"""
 NAMES = """, names AS (SELECT agent, pubkey, max_by(intro_name, created_at) FILTER (intro_name IS NOT NULL) AS name FROM decl GROUP BY ALL)"""
 STATUS = SCORES + """, st AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN NOT hit THEN status WHEN n > 1 THEN 'contested' WHEN agent IN (SELECT 'a' || c_custkey FROM customer WHERE c_custkey % 3 = 0) THEN 'loaded' ELSE 'toLoad' END AS status, depth, ratio, path_count, quota
   FROM (SELECT *, count(*) OVER (PARTITION BY pubkey) AS n, bool_or(status = 'processed') OVER (PARTITION BY pubkey) AS hit FROM scores))"""
@@ -702,7 +702,7 @@ def stream_admit(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("np_id string, reject_reason string").parquet(f"{at}/out")
 
 
-@query(f"{CAPPED.replace('+ 2 AS at', 'AS at')} SELECT np_id, counter FROM r WHERE at <= quota")
+@query(f"{CAPPED.replace('+ 2 AS nth', 'AS nth')} SELECT np_id, counter FROM r WHERE nth <= quota")
 def stream_quota_gate(spark: SparkSession, d: str) -> DataFrame:
     stream, at = _feed(spark, d)
     feeds.stream_quota_gate(stream, _quotas(spark, d)[1], f"{at}/gate", f"{at}/checkpoint").awaitTermination()

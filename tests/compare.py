@@ -43,7 +43,7 @@ def main(sf_dir: str, names: list[str]) -> None:
 
     import __spark_entry__ as e
 
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, queries = duck(sf_dir), e.oracle_sql(), e.queries()
     for n in names or [n for n in sql]:
