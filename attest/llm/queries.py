@@ -78,4 +78,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+WORDS = r"CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT)"
+
+
+def _position_sql(done: str) -> str:
+    """mixing._position as SQL."""
+    kinds = []
+    for kind, shape in enumerate(mixing.PHASES):
+        knots = [sum(shape[:i]) / sum(shape) for i in range(len(shape) + 1)]
+        step = 1.0 / len(shape)
+        d = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+        arms = " ".join(f"WHEN {done} < {d(knots[i + 1])} THEN {d(i * step)} + ({done} - {d(knots[i])}) * {d(step / (knots[i + 1] - knots[i]))}" for i in range(len(shape)))
+        kinds.append(f"WHEN {kind} THEN CASE {arms} ELSE CAST(1 AS DOUBLE) END")
+    return f"CASE rank % {len(mixing.PHASES)} {' '.join(kinds)} END"
+
+
+MIX = f"""WITH sized AS (SELECT doc_id, source, {WORDS} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY 1),
+w AS (SELECT *, CAST([3, 1, 2][rank % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM src),
+f AS (SELECT *, cap / weight AS full_at, CAST(sum(source_size) OVER () AS BIGINT) * CAST(1.5 AS DOUBLE) AS total FROM w),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+one AS (SELECT full_at AS fa, rank AS r, level AS lv FROM l WHERE level <= full_at ORDER BY full_at, rank LIMIT 1),
+t AS (SELECT source, source_size, rank, CASE WHEN fa IS NULL OR (full_at, rank) < (fa, r) THEN cap ELSE least(weight * lv, cap) END AS target FROM l LEFT JOIN one ON TRUE),
+placed AS (SELECT s.*, source_size, rank, target, CAST(round(target) AS BIGINT) AS goal, CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+reads AS (SELECT *, greatest(0, least(size, goal - start)) AS r0, greatest(0, least(size, goal - start - source_size)) AS r1 FROM placed)
+SELECT doc_id, size, source_size, target, CAST(r0 + r1 AS BIGINT) AS taken, CASE WHEN r0 > 0 THEN {_position_sql("(start / target)")} END AS position, CASE WHEN r1 > 0 THEN {_position_sql("((start + source_size) / target)")} END AS again, source FROM reads"""
+
+LINES = r"""WITH docs AS (SELECT row_number() OVER () AS rn, coalesce(doc_id, 9223372036854775807) AS id, doc_id, text FROM documents),
+plain AS (SELECT rn, id, trim(replace(replace(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10))) AS t FROM docs WHERE text IS NOT NULL),
+masked AS (SELECT rn, id, string_split(regexp_replace(t, '(^|[ \n])[^ \n0-9]*[0-9][^ \n]*', '\1<*>', 'g'), chr(10)) AS ls FROM plain),
+lines AS (SELECT rn, id, generate_subscripts(ls, 1) AS i, string_split(unnest(ls), ' ') AS tok FROM masked),
+keyed AS (SELECT rn, id, i, len(tok) AS n, CAST(3 + floor((len(tok) - 3) / 2.0) AS BIGINT) AS half, tok FROM lines WHERE len(tok) >= 6),
+keys AS (SELECT rn, id, i, unnest(CASE WHEN n - 3 >= 8 THEN [concat_ws(' ', n, array_to_string(tok[1:half], ' '), '<*>'), concat_ws(' ', n, array_to_string(tok[1:3], ' '), '<*>', array_to_string(tok[half + 1:n], ' '))] ELSE [concat_ws(' ', n, array_to_string(tok, ' '))] END) AS key FROM keyed),
+first AS (SELECT key, min(id) AS first FROM keys GROUP BY 1 HAVING min(id) < max(id)),
+lost AS (SELECT DISTINCT rn, i FROM keys JOIN first USING (key) WHERE id > first),
+own AS (SELECT rn, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM docs WHERE text IS NOT NULL),
+kept AS (SELECT rn, count(*) AS n_lines, count(lost.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY own.i) FILTER (lost.i IS NULL), '') AS t FROM own LEFT JOIN lost USING (rn, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(t) AS kept_chars, md5(t) AS kept_md5 FROM docs LEFT JOIN kept USING (rn)"""
+
+SQL: dict[str, str] = {"op2_mixing": MIX, "op5_line_dedup": LINES}
