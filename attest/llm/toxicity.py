@@ -92,11 +92,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000, max_words: int = 2_000, least_docs: int = 4, least_z: float = 4.0, exceptions: Sequence[str] = ()) -> Lexicon:
+def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic link in which no feature lowers the probability: one that would (by chance, or as its sister says it all) is left out."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        beta = np.zeros(x.shape[1])
+        beta[use] = _logistic(x[:, use], y)
+        falls = np.flatnonzero(beta[1:] < 0) + 1
+        if not len(falls):
+            return beta
+        use[falls[beta[falls].argmin()]] = False
+
+
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000, max_words: int = 2_000, least_docs: int = 4, least_z: float = 5.0, exceptions: Sequence[str] = ()) -> Lexicon:
     """Learn a Lexicon from at most max_rows labelled rows (those with the smallest md5 of doc_id, so reruns agree).
 
-    Half of the rows give the lexicon: words in at least least_docs and 1 % of the toxic texts, whose smoothed log-odds stand out by
-    least_z standard errors, at most max_words of them. The other half gives the exception phrases (two words, in at
+    Half of the rows give the lexicon: words in at least least_docs and 1 % of the toxic texts, whose share in toxic texts exceeds that in
+    clean ones by least_z standard errors, weighted by their smoothed log-odds; at most max_words of them. The other half gives the exception phrases (two words, in at
     least least_docs texts, mostly clean ones; ``exceptions`` adds more) and the link. Rows with a null label or id are
     not used; without labelled rows the lexicon is empty and every score is 0.5.
     """
@@ -121,8 +133,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     if not totals or not totals.bad or not totals.good:
         return Lexicon(exceptions=tuple(exceptions))
     odds = F.log((F.col("bad") + 0.5) / (totals.bad + 1.0)) - F.log((F.col("good") + 0.5) / (totals.good + 1.0))
-    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    words = counts.where((F.col("bad") >= max(least_docs, 0.01 * totals.bad)) & (F.length("word") > 2)).withColumn("odds", odds).withColumn("z", odds / error)
+    pooled = (F.col("bad") + F.col("good")) / F.lit(float(totals.bad + totals.good))
+    z = (F.col("bad") / F.lit(float(totals.bad)) - F.col("good") / F.lit(float(totals.good))) / F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1 / totals.bad + 1 / totals.good) + F.lit(1e-12))
+    words = counts.where((F.col("bad") >= max(least_docs, 0.01 * totals.bad)) & (F.length("word") > 2)).withColumn("odds", odds).withColumn("z", z)
     weights = {r.word: r.odds for r in words.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words).collect()}
     part = Lexicon(weights)
 
@@ -144,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     learned = harmless[(harmless["size"] >= least_docs) & (harmless["mean"] < 0.25)].index
     if not len(other):
         return Lexicon(weights, tuple(exceptions))
-    beta = _logistic(features(other["weight"].to_numpy(), other["words"].to_numpy()), other["toxic"].to_numpy().astype(float))
+    beta = _rising(features(other["weight"].to_numpy(), other["words"].to_numpy()), other["toxic"].to_numpy().astype(float))
     return Lexicon(weights, tuple(sorted({*exceptions, *learned})), tuple(float(x) for x in beta))
 
 

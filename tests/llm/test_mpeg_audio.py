@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from attest.llm.mpeg_audio import crc16, header, media_digest, padded, parse, parse_column, restore, store, store_texts
+
+DOCS = "doc_id long, text string, media string, frames int"
+
+
+@pytest.mark.parametrize("n", [64, 128, 937, 938, 960, 64 * 1000, 937 * 64])
+def test_round_trip(n):
+    payload = random.Random(n).randbytes(n)
+    data = store(payload)
+    found = parse(data)
+    assert restore(data, found) == payload
+    assert found.guarded == found.sound == len(found.offsets) == found.table["frames"] == -(-n // 937)
+    assert (found.skipped, found.resyncs, found.hertz, found.samples) == (0, 0, 48000, 1152 * len(found.offsets))
+    assert found.table["bytes"] == len(data) - data.index(b"\xff\xfb")
+    assert found.duration_us == found.samples * 1_000_000 // 48000
+    assert found.seek(0) == found.offsets[0] and found.seek(found.samples) == found.offsets[-1]
+
+
+def test_headers():
+    h = header(b"\xff\xfb\x90\x00")
+    assert (h.layer, h.version, h.kbps, h.hertz, h.length, h.samples, h.guarded, h.mono) == (3, 3, 128, 44100, 417, 1152, False, False)
+    assert header(b"\xff\xf3\x40\xc0").samples == 576 and header(b"\xff\xff\x10\x00").samples == 384
+    assert header(b"\xff\xfd\x90\x00").length == 522
+    assert all(header(x) is None for x in (b"", b"\xff", b"\xff\xfb\xf0\x00", b"\xff\xfb\x00\x00", b"\xff\xeb\x90\x00", b"\xff\xf9\x90\x00", b"\x00\xfb\x90\x00"))
+    assert crc16(b"123456789") == 0xAEE7  # check value of this CRC
+
+
+def test_resynchronisation_and_checksums():
+    payload = random.Random(1).randbytes(937 * 20)
+    data = store(payload)
+    offsets = parse(data).offsets
+    broken = bytearray(data)
+    broken[offsets[5] + 4] ^= 1
+    assert (parse(bytes(broken)).sound, parse(bytes(broken)).guarded) == (19, 20)
+    cut = data[: offsets[7] + 100] + b"noise \xff\xfb junk" * 9 + data[offsets[8] :]
+    found = parse(cut)
+    assert len(found.offsets) == 19 and found.resyncs == 1 and found.skipped > 100
+    assert [len(parse(x).offsets) for x in (b"", b"\xff" * 3000, b"no audio at all", data[: offsets[3] + 10])] == [0, 0, 0, 3]
+
+
+def test_old_tag():
+    tag = b"TAG" + b"A title".ljust(30, b"\0") + b"Someone".ljust(30, b"\0") + bytes(65)
+    found = parse(store(bytes(64)) + tag)
+    assert found.tags["ID3v1:title"] == "A title" and found.skipped == 0
+
+
+def test_texts(spark):
+    texts = {1: "héllo", 2: None, 3: "", 4: "x" * 64, 5: "y" * 200_000, 6: "héllo"}
+    stored = store_texts(spark.createDataFrame([*((k, v, "x", 1) for k, v in texts.items()), (None, "z", "x", 1)], DOCS))
+    out = {r.doc_id: r for r in media_digest(stored).collect()}
+    for k, v in texts.items():
+        raw = (v or "").encode()
+        pay = padded(raw)
+        r = out[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+    assert tuple(out[1])[1:] == tuple(out[6])[1:] and out[2][1:] == out[3][1:] and None in out
+    column = parse_column(stored, keep=("doc_id",)).collect()
+    assert all(r.crc_sound == r.frames == len(r.frame_offsets) for r in column)
+    assert media_digest(store_texts(spark.createDataFrame([], DOCS))).collect() == []
+
+
+def test_column_of_odd_bytes(spark):
+    out = parse_column(spark.createDataFrame([(None,), (bytearray(b""),), (bytearray(b"abc"),)], "media binary")).collect()
+    assert [(r.frames, r.duration_us) for r in out] == [(0, 0)] * 3
