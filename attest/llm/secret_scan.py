@@ -22,7 +22,7 @@ from attest.llm.common import materialized
 from attest.llm.ngram_lm import count_words
 
 SHORTEST = 16
-_RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_.\-]{16,}={0,2}")
 _NAMES = re.compile(r"token|secret|passw|pwd|api|auth|bearer|credential|key", re.I)
 _MOCK = re.compile(r"test|example|sample|mock|fixture|doc|readme", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")

@@ -104,61 +104,72 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         use[falls[beta[falls].argmin()]] = False
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000, max_words: int = 2_000, least_docs: int = 4, least_z: float = 5.0, exceptions: Sequence[str] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000, max_words: int = 2_000, least_docs: int = 3, least_z: float = 5.0, exceptions: Sequence[str] = ()) -> Lexicon:
     """Learn a Lexicon from at most max_rows labelled rows (those with the smallest md5 of doc_id, so reruns agree).
 
-    Half of the rows give the lexicon: words in at least least_docs and 1 % of the toxic texts, whose share in toxic texts exceeds that in
-    clean ones by least_z standard errors, weighted by their smoothed log-odds; at most max_words of them. The other half gives the exception phrases (two words, in at
-    least least_docs texts, mostly clean ones; ``exceptions`` adds more) and the link. Rows with a null label or id are
-    not used; without labelled rows the lexicon is empty and every score is 0.5.
+    The lexicon has the words in at least least_docs and 1 % of the toxic texts, whose share in toxic texts exceeds that
+    in clean ones by least_z standard errors, weighted by their smoothed log-odds; at most max_words of them. The link
+    and the exception phrases (two words, in at least least_docs texts, mostly clean ones; ``exceptions`` adds more) are
+    learned on two halves, each measured with the lexicon of the other half. Rows with a null label or id are not used;
+    without labelled rows of both kinds the lexicon is empty and every score is 0.5.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     if usable is not None:
         known = known.where(usable)
     known = known.withColumn("order", F.md5(F.col("doc_id").cast("string").cast("binary"))).orderBy("order", "toxic").limit(max_rows)
-    rows = F.broadcast(known.withColumn("half", F.substring("order", -1, 1) >= "8").drop("order"))  # at most max_rows rows of a few bytes
+    rows = F.broadcast(known.withColumn("half", F.when(F.substring("order", -1, 1) >= "8", 1).otherwise(0)).drop("order"))  # at most max_rows rows of a few bytes
     sample = docs.select("doc_id", "text").join(rows, "doc_id").select("text", "toxic", "half")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                seen.update((w, toxic) for w in set(folded(text).split()))
-                seen["", toxic] += 1
-        yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "toxic", "n"])
-
-    of = lambda kind: F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0))
-    counts = sample.where(~F.col("half")).mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(of(1).alias("bad"), of(0).alias("good"))
+            for text, toxic, half in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
+                kind = 2 * half + bool(toxic)
+                seen.update((w, kind) for w in set(folded(text.as_py()).split()))
+                seen["", kind] += 1
+        yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "kind", "n"])
+
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(f"n{kind}")
+    counts = sample.mapInArrow(count, "word string, kind int, n long").groupBy("word").agg(*[of(k) for k in range(4)]).cache()
     totals = counts.where("word = ''").first()
-    if not totals or not totals.bad or not totals.good:
+
+    def lexicon(*halves: int) -> dict[str, float]:
+        good, bad = (sum(F.col(f"n{2 * h + k}") for h in halves) for k in (0, 1))
+        all_good, all_bad = (float(sum(totals[f"n{2 * h + k}"] for h in halves)) for k in (0, 1))
+        if not all_good or not all_bad:
+            return {}
+        odds = F.log((bad + 0.5) / (all_bad + 1)) - F.log((good + 0.5) / (all_good + 1))
+        pooled = (bad + good) / F.lit(all_bad + all_good)
+        z = (bad / F.lit(all_bad) - good / F.lit(all_good)) / F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1 / all_bad + 1 / all_good) + F.lit(1e-12))
+        words = counts.where((bad >= max(least_docs, 0.01 * all_bad)) & (F.length("word") > 2)).select("word", odds.alias("odds"), z.alias("z"))
+        return {r.word: r.odds for r in words.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words).collect()}
+
+    if not totals or not totals.n0 + totals.n2 or not totals.n1 + totals.n3:
+        counts.unpersist()
         return Lexicon(exceptions=tuple(exceptions))
-    odds = F.log((F.col("bad") + 0.5) / (totals.bad + 1.0)) - F.log((F.col("good") + 0.5) / (totals.good + 1.0))
-    pooled = (F.col("bad") + F.col("good")) / F.lit(float(totals.bad + totals.good))
-    z = (F.col("bad") / F.lit(float(totals.bad)) - F.col("good") / F.lit(float(totals.good))) / F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1 / totals.bad + 1 / totals.good) + F.lit(1e-12))
-    words = counts.where((F.col("bad") >= max(least_docs, 0.01 * totals.bad)) & (F.length("word") > 2)).withColumn("odds", odds).withColumn("z", z)
-    weights = {r.word: r.odds for r in words.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words).collect()}
-    part = Lexicon(weights)
+    whole = lexicon(0, 1)
+    parts = [Lexicon(lexicon(other) or whole) for other in (1, 0)]  # a half with too few toxic rows for any word is no test
+    counts.unpersist()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, lexicon = part.automaton(), part.weights
+        automata = [p.automaton() for p in parts]
         for b in batches:
             out: dict[str, list] = {"toxic": b.column("toxic").to_pylist(), "weight": [], "words": [], "phrases": []}
-            for text in b.column("text").to_pylist():
-                t = folded(text)
-                weight, n = weight_of(t, automaton)
+            for text, half in zip(b.column("text"), b.column("half").to_pylist(), strict=True):
+                t, known_words = folded(text.as_py()), parts[half].weights
+                weight, n = weight_of(t, automata[half])
                 ws = t.split() if weight else []
                 out["weight"].append(weight)
                 out["words"].append(n)
-                out["phrases"].append(sorted({f"{x} {y}" for x, y in zip(ws, ws[1:], strict=False) if (x in lexicon) != (y in lexicon)}))
+                out["phrases"].append(sorted({f"{x} {y}" for x, y in zip(ws, ws[1:], strict=False) if (x in known_words) != (y in known_words)}))
             yield pa.record_batch([pa.array(out["toxic"], pa.int32()), pa.array(out["weight"], pa.float64()), pa.array(out["words"], pa.int64()), pa.array(out["phrases"], pa.list_(pa.string()))], names=list(out))
 
-    other = sample.where("half").mapInArrow(measure, "toxic int, weight double, words long, phrases array<string>").toPandas()  # max_rows rows at most
-    harmless = other[["toxic", "phrases"]].explode("phrases").dropna().groupby("phrases")["toxic"].agg(["size", "mean"])
+    seen = sample.mapInArrow(measure, "toxic int, weight double, words long, phrases array<string>").toPandas()  # max_rows rows at most
+    seen = seen.sort_values(["toxic", "weight", "words"])  # sums in one order, whatever the partitions
+    harmless = seen[["toxic", "phrases"]].explode("phrases").dropna().groupby("phrases")["toxic"].agg(["size", "mean"])
     learned = harmless[(harmless["size"] >= least_docs) & (harmless["mean"] < 0.25)].index
-    if not len(other):
-        return Lexicon(weights, tuple(exceptions))
-    beta = _rising(features(other["weight"].to_numpy(), other["words"].to_numpy()), other["toxic"].to_numpy().astype(float))
-    return Lexicon(weights, tuple(sorted({*exceptions, *learned})), tuple(float(x) for x in beta))
+    beta = _rising(features(seen["weight"].to_numpy(), seen["words"].to_numpy()), seen["toxic"].to_numpy().astype(float))
+    return Lexicon(whole, tuple(sorted({*exceptions, *learned})), tuple(float(x) for x in beta))
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from attest.llm.secret_scan import FEATURES, SYMBOLS, candidates, coverage, scan, transitions
+
+DOCS = "doc_id long, text string, source string, start string, score int"
+
+
+def brute_coverage(candidate, words):
+    low = candidate.lower()
+    best = [0] * (len(low) + 1)
+    for i in range(1, len(low) + 1):
+        best[i] = max([best[i - 1], *(best[i - len(w)] + len(w) for w in words if low[:i].endswith(w) and len(w) <= i)])
+    return best[-1] / len(low)
+
+
+def test_coverage():
+    rng = random.Random(1)
+    words = {"token", "access", "okenacc", "test", "data"}
+    for _ in range(100):
+        x = "".join(rng.choice(["token", "access", "test", "x", "9", "Data"]) for _ in range(8))
+        assert coverage(x, words) == brute_coverage(x, words)
+
+
+def test_transitions_are_distributions(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", None, "x", 1), (2, None, None, "x", 1), (3, "", None, "x", 1)], DOCS)
+    model = transitions(docs)
+    assert model.shape == (SYMBOLS, SYMBOLS) and np.allclose((2.0**model).sum(axis=1), 1)
+    assert model[ord("t") - 97, ord("h") - 97] > model[ord("t") - 97, ord("z") - 97]
+
+
+def corpus(n=600):
+    rng = random.Random(2)
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "value", "with", "from"]
+    docs, secret = [], {}
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(rng.randint(5, 60))]
+        kind, value = rng.randint(0, 3), "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        if kind == 0:
+            text[2:2] = ["token", "=", f'"{value}"']
+            secret[i] = value
+        elif kind == 1:
+            text[2:2] = ["commit", value]
+        elif kind == 2:
+            text[2:2] = ["card", "".join(rng.choice("0123456789") for _ in range(16)), "alphaBravoCharlieDelta"]
+        docs.append((i, " ".join(text), rng.choice(["src/app.py", "tests/x.md", None]), "x", 1))
+    return docs, secret
+
+
+def test_held_out_findings(spark):
+    docs, secret = corpus()
+    out = scan(spark.createDataFrame(docs, DOCS), usable=F.col("doc_id") % 4 != 2).collect()
+    text = {d[0]: d[1] for d in docs}
+    assert all(text[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate for r in out)
+    held = [r for r in out if r.doc_id % 4 == 2]
+    assert sum(r.is_secret == (secret.get(r.doc_id) == r.candidate) for r in held) >= 0.98 * len(held)
+    assert {r.doc_id for r in held if r.is_secret} and all(0 <= r.score <= 1 for r in out)
+
+
+def test_reviewed_labels_are_used(spark):
+    docs, secret = corpus(300)
+    df = spark.createDataFrame(docs, DOCS)
+    commits = df.where("text LIKE '%commit%'").select("doc_id", F.regexp_extract("text", "commit ([0-9a-f]{40})", 1).alias("candidate"), F.lit(1).alias("label"))
+    others = spark.createDataFrame([(k, v, 0) for k, v in secret.items()], "doc_id long, candidate string, label int")
+    out = scan(df, labelled=commits.unionByName(others)).where("length(candidate) = 40").collect()
+    assert sum(r.is_secret == (secret.get(r.doc_id) != r.candidate) for r in out) >= 0.95 * len(out)
+
+
+def test_odd_rows(spark):
+    key = "A1b2C3d4E5f6G7h8I9j0"
+    docs = [(1, None, None, "x", 1), (2, "", "p", "x", 1), (None, f"key={key}", "p", "x", 1), (3, "w " * 60_000 + key, "p", "x", 1), (3, "w " * 60_000 + key, "p", "x", 1), (4, f"é {key}, {key}", None, "x", 1)]
+    out = scan(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r.doc_id or -1, r.start) for r in out) == [(-1, 4), (3, 120_000), (3, 120_000), (4, 2), (4, 24)]
+    assert all(0 <= r.score <= 1 for r in out)
+    assert {r.score for r in scan(spark.createDataFrame(docs[3:5], DOCS)).collect()} == {0.5}  # labels of one kind only
+    assert scan(spark.createDataFrame([], DOCS)).collect() == []
+    found = candidates(spark.createDataFrame(docs, DOCS).drop("source"), transitions(spark.createDataFrame(docs, DOCS)), set()).first()
+    assert len(found.features) == len(FEATURES)
