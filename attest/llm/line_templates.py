@@ -61,7 +61,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min_toke
         if min_docs > 2
         else keyed.groupBy("k", "j").agg(F.min("id").alias("first"), F.max("id").alias("last")).withColumn("docs", F.when(F.col("first") < F.col("last"), 2).otherwise(1))
     )
-    recurring = found.where(F.col("docs") >= min_docs).select("k", "j", "first")
+    # Written first: Spark splits a template's many lines over tasks only where both sides of the join come from an exchange.
+    recurring = materialized(found.where(F.col("docs") >= min_docs).select("k", "j", "first"), "recurring-templates")
     return keyed.join(recurring, ["k", "j"]).where(F.col("id") > F.col("first")).groupBy("id", "copy").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
