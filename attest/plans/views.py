@@ -75,3 +75,15 @@ def registry_summary(pubs: DataFrame, accounts: DataFrame, agents: DataFrame, co
 
 def status_breakdown(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def endorsements_report(endorsements: DataFrame) -> DataFrame:
+    return endorsements.select("agent", "pubkey", "endorsed_np", "source", "status")
+
+
+def accounts_debug(accounts: DataFrame) -> DataFrame:
+    return accounts.select("agent", "pubkey", "depth", "status")
+
+
+def peer_state(state: DataFrame) -> DataFrame:
+    return state.select("url", "setup_id", "load_counter").orderBy("url")

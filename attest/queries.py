@@ -670,6 +670,21 @@ def status_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return V.status_breakdown(trust_tables(spark, d)["status"])
 
 
+@query(f"WITH {EDGES} SELECT agent, pubkey, endorsed_np, source, 'toRetrieve' AS status FROM ends")
+def endorsements_report(spark: SparkSession, d: str) -> DataFrame:
+    return V.endorsements_report(X.endorsements(spark, d))
+
+
+@query(f"WITH {TRUST} SELECT agent, pubkey, depth, status FROM acc")
+def accounts_debug(spark: SparkSession, d: str) -> DataFrame:
+    return V.accounts_debug(trust_tables(spark, d)["accounts"])
+
+
+@query(f"WITH {PEERS} SELECT url, setup_id, load_counter FROM pe")
+def peer_state(spark: SparkSession, d: str) -> DataFrame:
+    return V.peer_state(G.eligible_peers(_peers(spark, d)))
+
+
 # --- streams over the events, cut into files by ranges of ids
 
 
