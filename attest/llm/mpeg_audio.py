@@ -150,41 +150,52 @@ def _table(frame: bytes, h: Header, found: Audio) -> bool:
 
 
 def parse(data: bytes) -> Audio:
-    """Read a whole stream. After damage it looks for the next header whose successor is a header of the same kind, or the end."""
+    """Read a whole stream. After damage it looks for the next header whose successor is a header of the same kind, or the end.
+
+    Only the first frame can be a table, and the letters TAG begin an ID3v1 tag only where no frame reaches over them:
+    what later frames hold is theirs.
+    """
     found = Audio()
     at, end = _id3v2(data, found), len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        for name, (a, b) in {"title": (3, 33), "artist": (33, 63)}.items():
-            if text := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
-                found.tags[f"ID3v1:{name}"] = text
-    trusted, lost = False, False
-    while at + 4 <= end:
+    tag = end - 128 if data[-128:-125] == b"TAG" else end
+    first, trusted, lost = True, False, False
+    while at + 4 <= (tag if at <= tag else end):
         h = header(data[at : at + 4])
-        if h and not trusted:  # a header by chance is rarely followed by another
-            after = at + h.length
-            n = header(data[after : after + 4]) if after + 4 <= end else None
-            if after > end or (after + 4 <= end and (not n or (n.version, n.layer, n.hertz) != (h.version, h.layer, h.hertz))):
+        if h:
+            after, over = at + h.length, at < tag < at + h.length
+            stop = end if over or at > tag else tag
+            if after <= stop and (over or not trusted):  # a header by chance is rarely followed by another
+                n = header(data[after : after + 4]) if after + 4 <= stop else None
+                if (after != end if over else after + 4 <= stop) and (not n or (n.version, n.layer, n.hertz) != (h.version, h.layer, h.hertz)):
+                    h = None
+            elif after > stop:
                 h = None
-        if not h or at + h.length > end:
-            after = data.find(b"\xff", at + 1, end)
-            after = end if after < 0 else after
+        if not h:
+            stop = tag if at < tag else end
+            after = data.find(b"\xff", at + 1, stop)
+            after = stop if after < 0 else after
             found.skipped += after - at
             found.resyncs += not lost
             at, trusted, lost = after, False, True
             continue
         lost = False
-        if found.offsets or not (h.layer == 3 and _table(data[at : at + h.length], h, found)):
+        if not (first and h.layer == 3 and _table(data[at : at + h.length], h, found)):
             found.offsets.append(at)
             found.lengths.append(h.length)
             found.samples += h.samples
             found.hertz, found.layer, found.version = h.hertz, h.layer, {3: 1, 2: 2, 0: 25}[h.version]
             found.kbps.add(h.kbps)
+        first = False
         if h.guarded and h.layer == 3:
             found.guarded += 1
             found.sound += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6])
         at += h.length
         trusted = header(data[at : at + 4]) is not None
+    if at <= tag < end:
+        end = tag
+        for name, (a, b) in {"title": (3, 33), "artist": (33, 63)}.items():
+            if text := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
+                found.tags[f"ID3v1:{name}"] = text
     found.skipped += max(0, end - at)
     return found
 

@@ -52,6 +52,29 @@ def test_old_tag():
     assert found.tags["ID3v1:title"] == "A title" and found.skipped == 0
 
 
+@pytest.mark.parametrize("start", [b"Info", b"Information on frames", b"Xing", b"x" * 13 + b"VBRI"])
+@pytest.mark.parametrize("n", [64, 937, 937 * 3 + 5])
+def test_payload_like_a_table(start, n):
+    payload = start.ljust(n, b"y")
+    found = parse(store(payload))
+    assert restore(store(payload), found) == payload
+    assert (len(found.offsets), found.table["frames"], found.skipped) == (-(-n // 937), -(-n // 937), 0)
+
+
+@pytest.mark.parametrize("n", [192, 960, 1024])
+def test_payload_like_an_old_tag(n):
+    tag = b"TAG" + b"A title".ljust(30, b"\0") + b"Someone".ljust(30, b"\0") + bytes(65)
+    for at in range(n - 3):
+        payload = (b"z" * at + b"TAG").ljust(n, b"z")
+        data = store(payload)
+        found = parse(data)
+        assert restore(data, found) == payload and found.skipped == 0 and len(found.tags) == 1
+        if at % 50 == 0:
+            found = parse(data + tag)
+            assert restore(data + tag, found) == payload and found.tags["ID3v1:title"] == "A title" and found.skipped == 0
+            assert "ID3v1:title" in parse(data[:-40] + tag).tags  # a last frame that was cut
+
+
 def test_texts(spark):
     texts = {1: "héllo", 2: None, 3: "", 4: "x" * 64, 5: "y" * 200_000, 6: "héllo"}
     stored = store_texts(spark.createDataFrame([*((k, v, "x", 1) for k, v in texts.items()), (None, "z", "x", 1)], DOCS))
