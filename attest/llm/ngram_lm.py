@@ -1,12 +1,13 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with weighted backoff.
 
-Frequent n-grams become states with failure arcs; one left-to-right traversal carries the state and adds up
-log-probabilities. Which n-grams are kept is a matter of their share of all tokens, so at most 1 / share of each order
-exist and the automaton has a bounded size on any corpus. All other words live in the table of unigram counts, which is
-complete: their arcs leave from the root only, and are added by a join.
+All n-grams with at least two occurrences count, so what is learned grows with the corpus. Their counts, probabilities
+and backoff weights are tables, made by aggregations and joins. A score is a sum over the words, bigrams and trigrams of
+a text (see entries()): one traversal looks the frequent ones up in what travels to the tasks, the others are fetched by
+a shuffled join. N-grams are named by 64-bit hashes.
 
 Probabilities: the unigram (c + 1) / (N + V + 1), and above it absolute discounting with backoff weights that make every
-context's distribution over the V + 1 words sum to one.
+context's distribution over the V + 1 words sum to one. build() has the same model as an automaton in one process, of
+the n-grams from a share of all tokens on; score_texts() doesn't use it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from itertools import repeat
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,43 +215,181 @@ def build(texts: DataFrame, counts: DataFrame, head_share: float, share: float,
     return out
 
 
-def score_texts(docs: DataFrame, train: Column, head_share: float = 1e-6, share: float = 1e-5, order: int = 3, discount: float = 0.5) -> DataFrame:
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+START = np.uint64(0x9E3779B97F4A7C15)  # stands for the start of a text
+HELD = 1_000_000  # n-grams that a task holds before it emits their counts
+ENTRY = "key long, n long, known long, base double, value double"
+
+
+def _joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """64-bit key of the n-gram with these parts: two words, or the keys of two bigrams that overlap."""
+    x = (a ^ (a >> np.uint64(31))) * _MIX[0] + np.uint64(order)
+    x = ((x ^ (x >> np.uint64(29))) + b) * _MIX[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def _word_keys(words: list[bytes]) -> np.ndarray:
+    out = np.empty(len(words), object)
+    out[:] = words
+    return pd.util.hash_array(out)
+
+
+def _runs(texts: list[bytes | None], allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Keys of all tokens, the text of each, and for orders 2 and 3: parts a and b of all n-grams and the text of each."""
+    flat: list[bytes] = []
+    sizes = np.empty(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        found = tokens(text)
+        sizes[i] = len(found)
+        flat += found
+    words, of = _word_keys(flat), np.repeat(np.arange(len(texts)), sizes)
+    run = np.empty(len(words) + len(texts), np.uint64)
+    at = np.zeros(len(run), bool)
+    at[np.cumsum(sizes + 1) - sizes - 1] = True
+    run[at], run[~at] = START, words
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    good = np.ones(len(run), bool) if allowed is None else np.isin(run, allowed) | at
+    two = good[:-1] & good[1:] & ~at[1:]
+    pairs = _joined(run[:-1], run[1:], 2)
+    three = two[:-1] & two[1:]
+    return words, of, [(run[:-1][two], run[1:][two], owner[1:][two]), (pairs[:-1][three], pairs[1:][three], owner[2:][three])]
+
+
+def _parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text; a longer text is a slice of its own."""
+    texts, first, held = batch.column("text"), 0, 0
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + (size or 0) > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size or 0
+    if first < len(texts):
+        yield batch.slice(first)
+
+
+def count_ngrams(texts: DataFrame, order: int, allowed=None) -> DataFrame:
+    """o, a, b, n: complete counts of the n-grams of orders 2 to ``order``, named by their parts (see _joined)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {o: [] for o in range(2, order + 1)}
+        total = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for o, parts in held.items():
+                if not parts:
+                    continue
+                a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+                _, first, n = np.unique(_joined(a, b, o), return_index=True, return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(n), o, np.int32)), pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["o", "a", "b", "n"])
+                parts.clear()
+
+        for batch in batches:
+            for part in _parts(batch):
+                grams = _runs(part.column("text").to_pylist(), allowed.value if allowed else None)[2]
+                for o in held:
+                    a, b, _ = grams[o - 2]
+                    if len(a):
+                        held[o].append((a, b))
+                        total += len(a)
+                if total > HELD:
+                    yield from emit()
+                    total = 0
+        yield from emit()
+
+    return texts.mapInArrow(run, "o int, a long, b long, n long").groupBy("o", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _keyed(grams: DataFrame) -> DataFrame:
+    """grams with their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            o, x, y = (b.column(c).to_numpy() for c in ("o", "a", "b"))
+            key = np.where(o == 2, _joined(x.view(np.uint64), y.view(np.uint64), 2), _joined(x.view(np.uint64), y.view(np.uint64), 3))
+            yield pa.record_batch([*b.columns, pa.array(key.view(np.int64))], names=[*b.schema.names, "key"])
+
+    return grams.mapInArrow(run, "o int, a long, b long, n long, key long")
+
+
+def entries(texts: DataFrame, counts: DataFrame, n: int, v: int, head_share: float, share: float, least: int, order: int, discount: float) -> DataFrame:
+    """ENTRY: what each occurrence of a word or n-gram adds to a text's known words, base score and score.
+
+    By backoff a word's log-probability is that of the unigram, plus the weights of its contexts of one and two words
+    (0 if nothing was kept after them), plus for each kept n-gram what it has over that. So a score is a sum over the
+    text's words, bigrams and trigrams, and each of them is looked up for itself.
+    """
+    spark = texts.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(_word_keys(b.column("word").to_pylist()).view(np.int64)), b.column("c")], names=["key", "c"])
+
+    words = counts.mapInArrow(hashed, "key long, c long")
+    allowed = None
+    if head_share > 0:
+        rows = words.where(F.col("c") >= head_share * n).select("key").toPandas()  # at most 1 / head_share rows
+        allowed = spark.sparkContext.broadcast(rows["key"].to_numpy(np.int64).view(np.uint64))
+    start = counts.where(F.col("word") == F.lit(END)).select(F.lit(int(START.astype(np.int64))).alias("key"), "c")  # every text has one end, and so one start
+    seen = materialized(words.unionByName(start), "lm-keys")
+    kept = materialized(_keyed(count_ngrams(texts, order, allowed).where(F.col("n") >= max(least, share * n))), "lm-ngrams")
+    p1 = (F.col("cb") + 1) / F.lit(float(n + v + 1))
+    two = kept.where("o = 2").join(seen.select(F.col("key").alias("a"), F.col("c").alias("ca")), "a").join(seen.select(F.col("key").alias("b"), F.col("c").alias("cb")), "b")
+    two = materialized(two.select("key", "a", "n", ((F.col("n") - discount) / F.col("ca")).alias("p"), p1.alias("lower")), "lm-bigrams")
+    of = lambda c: two.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"))
+    three = kept.where("o = 3").join(of("a"), "a").join(of("b"), "b")
+    three = materialized(three.select("key", "a", "n", ((F.col("n") - discount) / F.col("na")).alias("p"), F.col("pb").alias("lower")), "lm-trigrams")
+    left = lambda c: F.greatest(F.lit(1e-12), F.lit(1.0) - F.sum(c))
+    back = {o: g.groupBy("a").agg(F.log10(left("p") / left("lower")).alias("back")) for o, g in ((2, two), (3, three))}
+    gain = {o: g.join(back[o], "a").select("key", "n", (F.log10("p") - F.log10("lower") - F.col("back")).alias("gain")) for o, g in ((2, two), (3, three))}
+    weight = lambda o: F.coalesce("back", F.lit(0.0))
+    base = F.when(F.col("key") == F.lit(int(START.astype(np.int64))), 0.0).otherwise(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
+    first = seen.join(back[2].withColumnRenamed("a", "key"), "key", "left").select("key", F.col("c").alias("n"), F.when(F.col("key") == F.lit(int(START.astype(np.int64))), 0).otherwise(1).cast("long").alias("known"), base.alias("base"), (base + weight(2)).alias("value"))
+    none = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
+    second = gain[2].join(back[3].withColumnRenamed("a", "key"), "key", "left").select("key", "n", *none, (F.col("gain") + weight(3)).alias("value"))
+    return materialized(first.unionByName(second).unionByName(gain[3].select("key", "n", *none, F.col("gain").alias("value"))), "lm-entries")
+
+
+def score_texts(docs: DataFrame, train: Column, head_share: float = 0.0, share: float = 0.0, order: int = 3, discount: float = 0.5, least: int = 2, near: float = 1e-6) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, learned from the rows where ``train`` holds.
 
-    Whole texts are scored; null and empty ones consist of the end token. head_share and share are the least shares of
-    all training tokens for a word of the automaton and for an n-gram of order 2 and 3; they bound it at 1 / share
-    entries each. base_score and the unigram terms of all other words come from the complete table of counts. Without
-    training rows every word is unknown. Repeated rows are scored (and learned from) each; other columns are ignored.
+    Whole texts are scored; null and empty ones consist of the end token. Every n-gram with at least ``least``
+    occurrences counts, however large the corpus; share and head_share, if given, also ask for a share of all training
+    tokens (of an n-gram, of each word in it). Words and n-grams with a share of ``near`` travel to the tasks (so at most
+    1 / near of each order), all others are fetched by a shuffled join; this changes no result. Without training rows
+    every word is unknown. Repeated rows are scored (and learned from) each; other columns are ignored.
     """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
     learned = docs.where(train).select(text)
     counts = materialized(count_words(learned), "lm-words")
-    model = build(learned, counts, head_share, share, order, discount)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    table = entries(learned, counts, n, v, head_share, share, least, order, discount)
+    head = table.where(F.col("n") >= near * n).orderBy("key").toPandas()
+    shared = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("key", "known", "base", "value")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for b in batches:
-            rows = [automaton.score(t.as_py()) for t in b.column("text")]
-            offsets = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for r in rows for w in r[4]], pa.binary()))
-            times = pa.ListArray.from_arrays(pa.array(offsets), pa.array([n for r in rows for n in r[4].values()], pa.int32()))
-            one = lambda i, t: pa.array([r[i] for r in rows], t)
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), one(0, pa.int64()), one(1, pa.int64()), one(2, pa.float64()), one(3, pa.float64()), words, times], names=["row", "doc_id", "n_tokens", "n_head", "head", "part", "words", "times"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    walked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text).mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_head long, head double, part double, words array<binary>, times array<int>")
-    walked = materialized(walked, "lm-walked")
-    rare = walked.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    unigram = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.n + model.v + 1)))
-    tail = (
-        rare.join(counts.where(F.col("c") < head_share * model.n), "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * unigram).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_tail"))
-    )
-    return walked.drop("words", "times").join(tail, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("head") + F.coalesce("tail", F.lit(0.0))).alias("base_score"), (F.col("part") + F.coalesce("tail", F.lit(0.0))).alias("score"),
-    )
+        keys, *values = shared.value
+        for batch in batches:
+            for part in _parts(batch):
+                size = part.num_rows
+                words, of, grams = _runs(part.column("text").to_pylist(), None)
+                wanted = [(words, of), (np.full(size, START), np.arange(size)), *((_joined(a, b, o), x) for o, (a, b, x) in enumerate(grams, 2) if o <= order)]
+                key, owner = (np.concatenate(x) for x in zip(*wanted, strict=True))
+                key = key.view(np.int64)
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                here = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                known, base, value = (np.bincount(owner[here], x[at[here]], size).astype(float) for x in values)
+                row = part.column("row").to_numpy()
+                own = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.bincount(of, minlength=size).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)], ["doc_id", "n_tokens", "known", "base", "value"])
+                yield pa.record_batch([pa.array(row), pa.array(row), own], names=["row", "key", "own"])
+                yield pa.record_batch([pa.array(row[owner[~here]]), pa.array(key[~here]), pa.nulls(int((~here).sum()), own.type)], names=["row", "key", "own"])
+
+    walked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text).mapInArrow(run, f"row long, key long, own struct<doc_id:{kind},n_tokens:long,known:long,base:double,value:double>")
+    tail = table.where(F.col("n") < near * n).drop("n")
+    plus = lambda c: F.sum(F.when(F.col("own").isNull(), F.coalesce(F.col(c), F.lit(0))).otherwise(F.col(f"own.{c}"))).alias(c)
+    summed = walked.join(tail, "key", "left").groupBy("row").agg(F.max("own.doc_id").alias("doc_id"), F.max("own.n_tokens").alias("n_tokens"), *(plus(c) for c in ("known", "base", "value")))
+    unknown = (F.col("n_tokens") - F.col("known")) * F.lit(log10(1 / (n + v + 1)))
+    return summed.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("value") + unknown).alias("score"))

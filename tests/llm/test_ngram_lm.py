@@ -109,3 +109,23 @@ def test_nothing_to_learn_from(spark):
     assert score_texts(spark.createDataFrame([], DOCS), F.lit(True)).collect() == []
     with pytest.raises(ValueError):
         score_texts(spark.createDataFrame([], DOCS), F.lit(True), order=4)
+
+
+@pytest.mark.parametrize("near", [1e-6, 1e-3, 1.0])
+def test_what_travels_changes_no_score(spark, near):
+    docs = corpus(120, 3)
+    got = score_texts(spark.createDataFrame(docs, DOCS), F.col("doc_id") % 3 != 0, near=near).collect()
+    train = [d[1] for d in docs if d[0] % 3]
+    want = brute(train, [d[1] for d in docs], 0.0, 1.5 / sum(len(tokens(t)) for t in train), 3, 0.5)
+    for r, w in zip(sorted(got, key=lambda r: r.doc_id), want, strict=True):
+        assert [r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score] == pytest.approx(list(w), rel=1e-9)
+
+
+def test_a_phrase_counts_in_a_corpus_of_any_size(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(1000)), "x", 1) for i in range(320)]
+    docs += [(1000, "alpha beta gamma", "x", 1), (1001, "alpha beta gamma", "x", 1), (1002, "w1 alpha beta gamma w2", "x", 1)]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(docs, DOCS), F.col("doc_id") != 1002).collect()}
+    train = [d[1] for d in docs[:-1]]
+    want = brute(train, ["w1 alpha beta gamma w2"], 0.0, 1.5 / (320 * 1001 + 8), 3, 0.5)
+    assert got[1002] == pytest.approx(want[0][-1], rel=1e-9)
