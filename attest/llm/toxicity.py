@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 from dataclasses import dataclass, field
+from math import log as log_of
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,14 @@ LOOK_ALIKES = dict(zip("абвгеһіјкмнорсѕтухԁԛԝαβεικνο
 SIGNS = dict(zip("01345789@$!|", "oieastbgasil", strict=True))
 
 _SIGN = re.compile("[" + re.escape("".join(SIGNS)) + "](?=[" + re.escape("".join(SIGNS)) + "]*[a-z])")
+_LAST = re.compile("([a-z])([" + re.escape("".join(SIGNS)) + "]+)(?![a-z])")
 _OTHER = re.compile("[^a-z]+")
+_MARKS = "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M")
+_MARK = frozenset(_MARKS)
+_PLAIN = re.compile(r"[\W\d_]+")  # as _NO_LETTER, where there are no marks
+_NO_LETTER = re.compile(rf"(?:(?![{_MARKS}])[\W\d_])+")
+#: Letters of scripts that are written without spaces: Thai to Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\U00020000-\U000323af]+")
 
 
 def _letters() -> dict[int, str]:
@@ -37,22 +45,68 @@ def _letters() -> dict[int, str]:
             base = unicodedata.normalize("NFKD", chr(c)).lower()[:1]
             if "a" <= base <= "z":
                 out[c] = base
-    return out | {ord(k): v for k, v in LOOK_ALIKES.items()} | {c: "" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+    return out | {ord(k): v for k, v in LOOK_ALIKES.items()} | {c: "" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))}
 
 
 _FOLD = _letters()
 
 
-def folded(text: str | None) -> str:
-    """Lower-case Latin words with single spaces between and around them."""
+def _signed(text: str | None) -> str:
+    """Lower case, letters folded, signs before a letter as letters."""
     t = (text or "").lower()
     if not t.isascii():
-        t = t.translate(_FOLD)
-    t = _SIGN.sub(lambda m: SIGNS[m[0]], t)
-    t = _OTHER.sub(" ", t).strip()
+        t = unicodedata.normalize("NFKC", t).lower().translate(_FOLD)
+    return _SIGN.sub(lambda m: SIGNS[m[0]], t)
+
+
+def _spaced(t: str) -> str:
+    if t.isascii():
+        t = _OTHER.sub(" ", t).strip()
+    else:
+        t = _UNSPACED.sub(lambda m: f" {' '.join(m[0][i : i + 2] for i in range(max(1, len(m[0]) - 1)))} ", t)
+        t = (_PLAIN if _MARK.isdisjoint(t) else _NO_LETTER).sub(" ", t).strip()
     return f" {t} " if t else " "
 
 
+def _ends(word: str, signs: str, longest: int = 16) -> list[str]:
+    """What a word may be whose last letters are these signs, longest first; the signs after that are punctuation."""
+    return [word + "".join(map(SIGNS.get, signs[:k])) for k in range(min(len(signs), longest), 0, -1)]
+
+
+def _first(t: str, end: int) -> int:
+    """Where the letters begin that end there."""
+    while end and t[end - 1].isalpha():
+        end -= 1
+    return end
+
+
+def folded(text: str | None, known: Container[str] = ()) -> str:
+    """Lower-case words with single spaces between and around them; scripts without spaces as pairs of letters.
+
+    Signs at a word's end are letters if that makes it a word of ``known``, else punctuation.
+    """
+    t = _signed(text)
+    if known:
+        out, at = [], 0
+        for m in _LAST.finditer(t):
+            begin = max(at, _first(t, m.start(2)))
+            word = t[begin : m.start(2)]
+            if word not in known and (found := next((w for w in _ends(word, m[2]) if w in known), None)):
+                out += [t[at:begin], found, " "]
+                at = m.end()
+        t = "".join(out) + t[at:]
+    return _spaced(t)
+
+
+def forms(text: str | None) -> set[str]:
+    """The words of a text, with all forms of those that end in signs."""
+    t = _signed(text)
+    found = set(_spaced(t).split())
+    for m in _LAST.finditer(t):
+        found.update(_ends(t[_first(t, m.start(2)) : m.start(2)], m[2]))
+    return found
+
+
 @dataclass
 class Lexicon:
     """Weights of words, phrases that void them, and the logistic link; small and of bounded size, so it travels whole."""
@@ -104,11 +158,12 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         use[falls[beta[falls].argmin()]] = False
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000, max_words: int = 2_000, least_docs: int = 3, least_z: float = 5.0, exceptions: Sequence[str] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000, max_words: int = 2_000, least_docs: int = 3, false_share: float = 0.01, exceptions: Sequence[str] = ()) -> Lexicon:
     """Learn a Lexicon from at most max_rows labelled rows (those with the smallest md5 of doc_id, so reruns agree).
 
-    The lexicon has the words in at least least_docs and 1 % of the toxic texts, whose share in toxic texts exceeds that
-    in clean ones by least_z standard errors, weighted by their smoothed log-odds; at most max_words of them. The link
+    The lexicon has words in at least least_docs toxic texts, weighted by their smoothed log-odds; at most max_words of
+    them, those that are the least likely by chance. Of all its words at most a share of false_share is expected to be
+    there by chance (Benjamini-Hochberg, on Chernoff's bound of the binomial tail, which holds for small counts as well). The link
     and the exception phrases (two words, in at least least_docs texts, mostly clean ones; ``exceptions`` adds more) are
     learned on two halves, each measured with the lexicon of the other half. Rows with a null label or id are not used;
     without labelled rows of both kinds the lexicon is empty and every score is 0.5.
@@ -125,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         for b in batches:
             for text, toxic, half in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
                 kind = 2 * half + bool(toxic)
-                seen.update((w, kind) for w in set(folded(text.as_py()).split()))
+                seen.update((w, kind) for w in forms(text.as_py()))
                 seen["", kind] += 1
         yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "kind", "n"])
 
@@ -139,10 +194,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         if not all_good or not all_bad:
             return {}
         odds = F.log((bad + 0.5) / (all_bad + 1)) - F.log((good + 0.5) / (all_good + 1))
-        pooled = (bad + good) / F.lit(all_bad + all_good)
-        z = (bad / F.lit(all_bad) - good / F.lit(all_good)) / F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1 / all_bad + 1 / all_good) + F.lit(1e-12))
-        words = counts.where((bad >= max(least_docs, 0.01 * all_bad)) & (F.length("word") > 2)).select("word", odds.alias("odds"), z.alias("z"))
-        return {r.word: r.odds for r in words.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words).collect()}
+        usual, share = all_bad / (all_bad + all_good), bad / (bad + good)
+        log = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+        chance = -(bad + good) * (log(share) - share * log_of(usual) + log(1 - share) - (1 - share) * log_of(1 - usual))  # log of the bound
+        tested = counts.where((bad + good >= least_docs) & ((F.length("word") > 2) | F.col("word").rlike("[^a-z]")))
+        words = tested.where((bad >= least_docs) & (share > usual)).select("word", odds.alias("odds"), chance.alias("chance"))
+        best, of_all = words.orderBy("chance", "word").limit(max_words).collect(), tested.count()
+        last = max((k for k, r in enumerate(best, 1) if r.chance <= log_of(k * false_share / of_all)), default=0)
+        return {r.word: r.odds for r in best[:last]}
 
     if not totals or not totals.n0 + totals.n2 or not totals.n1 + totals.n3:
         counts.unpersist()
@@ -156,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         for b in batches:
             out: dict[str, list] = {"toxic": b.column("toxic").to_pylist(), "weight": [], "words": [], "phrases": []}
             for text, half in zip(b.column("text"), b.column("half").to_pylist(), strict=True):
-                t, known_words = folded(text.as_py()), parts[half].weights
+                known_words = parts[half].weights
+                t = folded(text.as_py(), known_words)
                 weight, n = weight_of(t, automata[half])
                 ws = t.split() if weight else []
                 out["weight"].append(weight)
@@ -182,7 +242,7 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
-            pairs = [weight_of(folded(t.as_py()), automaton) for t in b.column("__text")]
+            pairs = [weight_of(folded(t.as_py(), lexicon.weights), automaton) for t in b.column("__text")]
             x = features(np.array([p[0] for p in pairs], float), np.array([p[1] for p in pairs], float))
             score = 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.link), -30, 30)))
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
@@ -197,8 +257,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.3) -> DataFrame:
-    """docs whose score is below ``most``, with their own columns; learned from the labels outside the held-out fold."""
+    """docs whose score is below ``most``, with their own columns; learned from the labels outside the held-out fold.
+
+    If the labels teach no word, no row is known to be toxic and all stay.
+    """
     lexicon = learn(docs, labels, usable=~held_out(F.col("doc_id")))
+    if not lexicon.weights:
+        return docs
     plain = docs.columns
     scored = toxicity_scores(docs.withColumnsRenamed({"score": "__score"}), lexicon, [c if c != "score" else "__score" for c in plain])
     return scored.where(F.col("score") < most).drop("score").withColumnsRenamed({"__score": "score"}).select(*plain)

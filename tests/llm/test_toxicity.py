@@ -64,3 +64,40 @@ def test_odd_rows(spark):
     assert toxicity_scores(empty, lexicon).collect() == []
     none = learn(empty, spark.createDataFrame([], LABELS))
     assert {r.score for r in toxicity_scores(df, none).collect()} == {0.5}
+
+
+@pytest.mark.parametrize(("text", "word"), [("worthle55", "worthless"), ("worthle$$!", "worthless"), ("an idio7.", "idiot"), ("disgustin9", "disgusting"), ("HAT3", "hate"), ("id1o7!!", "idiot"), ("idiot!", "idiot"), ("morons! m0r0n$$$", "morons")])
+def test_signs_at_the_end_of_a_word(text, word):
+    assert f" {word} " in folded(text, {word: 1.0})
+    assert folded(f"{text} 5 x", {}) == folded(f"{text} 5 x")
+    auto = Lexicon({word: 2.0}).automaton()
+    assert weight_of(folded(text, {word: 2.0}), auto)[0] >= 2.0
+
+
+@pytest.mark.parametrize("words", [["дурак", "тупица", "солнце", "трава", "дом", "жизнь"], ["ηλίθιε", "βλάκα", "ήλιος", "χόρτο", "σπίτι", "ζωή"], ["احمق", "غبي", "شمس", "عشب", "بيت", "حياة"], ["मूर्ख", "बेवकूफ", "सूरज", "घास", "मकान", "जीवन"], ["笨蛋", "白痴", "太阳", "青草", "房子", "生活"], ["바보", "멍청이", "태양", "잔디", "주택", "생명"]])
+def test_other_scripts(spark, words):
+    rng = random.Random(2)
+    glue = "" if words[0] == "笨蛋" else " "
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        docs.append((i, glue.join(rng.choice(words[:2] if toxic and k < 2 else words[2:]) for k in range(rng.randint(6, 30))), "x", "y"))
+        labels.append((i, int(toxic), "z"))
+    df = spark.createDataFrame(docs, DOCS)
+    out = toxicity_scores(df, learn(df, spark.createDataFrame(labels, LABELS))).collect()
+    assert all((r.score >= 0.3) == (r.doc_id % 5 == 0) for r in out)
+
+
+@pytest.mark.parametrize("toxic", [1000, 2000])
+def test_rare_words_count_among_many_toxic_texts(spark, toxic):
+    rng = random.Random(3)
+    say = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(20))
+    docs = [(i, say() + (" vilegit" if i < toxic and i >= 15 else " rotbrain" if i < 15 else ""), "x", "y") for i in range(3 * toxic)]
+    lexicon = learn(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, int(i < toxic), "z") for i in range(3 * toxic)], LABELS))
+    assert set(lexicon.weights) == {"vilegit", "rotbrain"}
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 1, "z") for i in range(300)], [(i, 0, "z") for i in range(300)], [(i, int(i % 2), "z") for i in range(300)]])
+def test_all_rows_stay_if_nothing_was_learned(spark, labels):
+    df = spark.createDataFrame([(i, "some words again", "x", "y") for i in range(300)], DOCS)
+    assert drop_toxic(df, spark.createDataFrame(labels, LABELS)).count() == 300
