@@ -1,8 +1,8 @@
 """Chat formatting of typed content parts.
 
-A visitor walks the parts of a turn in order: text is escaped, images, audio and documents become numbered placeholders
-whose references and expanded token counts are recorded. The template marks turns; control strings inside texts are
-escaped so that the output can be read back exactly.
+A visitor walks the parts of a turn in order: images, audio and documents become numbered placeholders whose references
+and expanded token counts are recorded; texts that follow each other are joined and escaped as one, so that no control
+string can be put together from several parts. The template marks turns, and the output can be read back exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Every control string starts with "<|". A backslash goes between the two, and one more where some are there already.
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\+)\|")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document)_([0-9]+)\|>")
 
 PART = "struct<kind:string,text:string,ref:string,amount:double>"
 ATTACHMENT = "struct<position:int,kind:string,ref:string,tokens:bigint>"
@@ -52,6 +53,7 @@ class PartVisitor:
 
     def __init__(self) -> None:
         self.out: list[str] = []
+        self.texts: list[str] = []  # those since the last placeholder, not escaped yet
         self.attachments: list[dict] = []
 
     def visit(self, part: Mapping) -> None:
@@ -61,7 +63,7 @@ class PartVisitor:
         method(part)
 
     def visit_text(self, part: Mapping) -> None:
-        self.out.append(escape(part["text"] or ""))
+        self.texts.append(part["text"] or "")
 
     def visit_image(self, part: Mapping) -> None:
         self._attach(part, ceil((part["amount"] or self.PIXELS) / self.PIXELS))
@@ -72,7 +74,16 @@ class PartVisitor:
     def visit_document(self, part: Mapping) -> None:
         self._attach(part, ceil(part["amount"] or 1) * self.PER_PAGE)
 
+    def flattened(self) -> str:
+        self._end_text()
+        return "".join(self.out)
+
+    def _end_text(self) -> None:
+        self.out.append(escape("".join(self.texts)))
+        self.texts.clear()
+
     def _attach(self, part: Mapping, tokens: int) -> None:
+        self._end_text()
         self.attachments.append({"position": len(self.attachments), "kind": part["kind"], "ref": part["ref"], "tokens": tokens})
         self.out.append(f"<|{part['kind']}_{len(self.attachments)}|>")
 
@@ -96,7 +107,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 visitor = PartVisitor()
                 for part in (content or []) if whole else [{"kind": "text", "text": content}]:
                     visitor.visit(part)
-                head, body = f"{START}{escape_role(role or '')}\n", "".join(visitor.out)
+                head, body = f"{START}{escape_role(role or '')}\n", visitor.flattened()
                 loss = len(body) if role == "assistant" else 0
                 rows.append((f"{head}{body}{END}\n", len(head), loss, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])), pa.int64())
@@ -114,8 +125,22 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape_role(head), unescape(body)
 
 
+def read_parts(formatted: str) -> list[tuple[str, str]]:
+    """The content of a formatted turn as (kind, text or attachment number); neighbouring texts come back as one.
+
+    A placeholder that a text held came out escaped, so what looks like one here is one.
+    """
+    body = formatted.removeprefix(START).partition("\n")[2]
+    pieces = _PLACEHOLDER.split(body[: body.index(END)])
+    found = [("text", unescape(pieces[0]))]
+    for kind, number, text in zip(pieces[1::3], pieces[2::3], pieces[3::3], strict=True):
+        found += [(kind, number), ("text", unescape(text))]
+    return [p for p in found if p != ("text", "")]
+
+
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, read back from format_turns().
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, attachment_tokens of each
+    conversation, read back from format_turns().
 
     Turns are taken in the order of turn (null first), then of the formatted text. A digest over a conversation can only be taken in
     sequence, so a conversation is streamed through one task: it holds one turn and the running digests, however long
@@ -126,11 +151,11 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         state, begun = None, False
         for b in batches:
             done = []
-            for conv, text, start, loss in zip(b.column("conv_id").to_pylist(), b.column("formatted"), b.column("loss_start").to_pylist(), b.column("loss_chars").to_pylist(), strict=True):
+            for conv, text, start, loss, files, cost in zip(b.column("conv_id").to_pylist(), b.column("formatted"), *(b.column(c).to_pylist() for c in ("loss_start", "loss_chars", "files", "attachment_tokens")), strict=True):
                 if not begun or state["conv_id"] != conv:
                     if begun:
                         done.append(state)
-                    state, begun = {"conv_id": conv, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0}, True
+                    state, begun = {"conv_id": conv, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0, "n_attachments": 0, "attachment_tokens": 0}, True
                 text = text.as_py()
                 role, content = read_turn(text)
                 masked = unescape(text[start : start + loss])
@@ -139,6 +164,8 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 state["loss_chars"] += len(masked)
                 state["loss"].update(masked.encode("utf-8", "surrogatepass"))
                 state["formatted_chars"] += len(text)
+                state["n_attachments"] += files
+                state["attachment_tokens"] += cost
             yield table(done)
         if begun:
             yield table([state])
@@ -147,9 +174,9 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         one = lambda k, t: pa.array([r[k] for r in rows], t)
         text, num = pa.string(), pa.int64()
         return pa.record_batch(
-            [one("conv_id", num), one("n_turns", num), pa.array([r["turns"].hexdigest() for r in rows], text), one("loss_chars", num), pa.array([r["loss"].hexdigest() for r in rows], text), one("formatted_chars", num)],
-            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            [one("conv_id", num), one("n_turns", num), pa.array([r["turns"].hexdigest() for r in rows], text), one("loss_chars", num), pa.array([r["loss"].hexdigest() for r in rows], text), one("formatted_chars", num), one("n_attachments", num), one("attachment_tokens", num)],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"],
         )
 
-    ordered = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_chars").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_chars", F.size("attachments").alias("files"), "attachment_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attest.sources.shared import checkpointed, materialized, shared_dir
 
-__all__ = ["NO_ID", "WORD", "checkpointed", "fold_of", "materialized", "shared_dir", "table", "word_count"]
+__all__ = ["NO_ID", "WORD", "checkpointed", "fold_of", "materialized", "shared_dir", "spare", "table", "word_count"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,3 +26,11 @@ def word_count(text: Column) -> Column:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; -1 for a null id, which so belongs to no held-out fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

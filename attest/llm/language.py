@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attest.llm.common import spare
+
 PART = 200_000  # code points that are cut into n-grams at once
 
 
@@ -119,11 +121,13 @@ def predict_language(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...]
     whole; other columns, such as an own lang, are not looked at.
     """
 
+    whole = spare(docs, "text_")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [profiles.predict(t.as_py()) for t in b.column("__text")]
+            found = [profiles.predict(t.as_py()) for t in b.column(whole)]
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    cols = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "__text"), "lang_pred string, score double"])
+    cols = docs.select(*keep, F.col("text").alias(whole))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != whole), "lang_pred string, score double"])
     return cols.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import fold_of
+from attest.llm.common import fold_of, spare
 
 # Letters of other scripts that look like Latin ones, and signs that are put in the place of letters.
 LOOK_ALIKES = dict(zip("абвгеһіјкмнорсѕтухԁԛԝαβεικνορτυχγѵоɑɡɩʟոս", "abbreh" "ijkmhopcstyxdqwabeiknoptuxyvoagilnu", strict=True))
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     there by chance (Benjamini-Hochberg, on Chernoff's bound of the binomial tail, which holds for small counts as well). The link
     and the exception phrases (two words, in at least least_docs texts, mostly clean ones; ``exceptions`` adds more) are
     learned on two halves, each measured with the lexicon of the other half. Rows with a null label or id are not used;
-    without labelled rows of both kinds the lexicon is empty and every score is 0.5.
+    without labelled rows of both kinds the lexicon is empty and every score is 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     if usable is not None:
@@ -235,20 +235,22 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The kept columns and score (0 to 1) of every row; only the text is looked at. Null and empty texts score as clean.
 
-    A kept column named score is replaced. Work is per row: ties and repeated rows score alike.
+    A kept column named score is replaced. An empty lexicon knows nothing as toxic: all score 0. Work is per row: ties and
+    repeated rows score alike.
     """
     keep = [c for c in keep if c != "score"]
+    whole = spare(docs, "text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
-            pairs = [weight_of(folded(t.as_py(), lexicon.weights), automaton) for t in b.column("__text")]
+            pairs = [weight_of(folded(t.as_py(), lexicon.weights), automaton) for t in b.column(whole)]
             x = features(np.array([p[0] for p in pairs], float), np.array([p[1] for p in pairs], float))
-            score = 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.link), -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.link), -30, 30))) if lexicon.weights else np.zeros(len(pairs))
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
-    cols = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "__text"), "score double"])
+    cols = docs.select(*keep, F.col("text").alias(whole))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != whole), "score double"])
     return cols.mapInArrow(run, schema)
 
 
@@ -265,5 +267,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.3) -> DataFra
     if not lexicon.weights:
         return docs
     plain = docs.columns
-    scored = toxicity_scores(docs.withColumnsRenamed({"score": "__score"}), lexicon, [c if c != "score" else "__score" for c in plain])
-    return scored.where(F.col("score") < most).drop("score").withColumnsRenamed({"__score": "score"}).select(*plain)
+    own = spare(docs, "score_")
+    scored = toxicity_scores(docs.withColumnsRenamed({"score": own}), lexicon, [c if c != "score" else own for c in plain])
+    return scored.where(F.col("score") < most).drop("score").withColumnsRenamed({own: "score"}).select(*plain)

@@ -63,7 +63,7 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert toxicity_scores(empty, lexicon).collect() == []
     none = learn(empty, spark.createDataFrame([], LABELS))
-    assert {r.score for r in toxicity_scores(df, none).collect()} == {0.5}
+    assert {r.score for r in toxicity_scores(df, none).collect()} == {0.0}
 
 
 @pytest.mark.parametrize(("text", "word"), [("worthle55", "worthless"), ("worthle$$!", "worthless"), ("an idio7.", "idiot"), ("disgustin9", "disgusting"), ("HAT3", "hate"), ("id1o7!!", "idiot"), ("idiot!", "idiot"), ("morons! m0r0n$$$", "morons")])
@@ -101,3 +101,16 @@ def test_rare_words_count_among_many_toxic_texts(spark, toxic):
 def test_all_rows_stay_if_nothing_was_learned(spark, labels):
     df = spark.createDataFrame([(i, "some words again", "x", "y") for i in range(300)], DOCS)
     assert drop_toxic(df, spark.createDataFrame(labels, LABELS)).count() == 300
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, "z"), (2, 0, "z"), (3, 0, "z")], [(1, 1, "z"), (2, 1, "z")], [(None, 1, "z"), (1, None, "z")]])
+def test_without_labels_of_both_kinds_nothing_is_toxic(spark, labels):
+    df, lab = spark.createDataFrame(corpus(60)[0], DOCS), spark.createDataFrame(labels, LABELS)
+    assert {r.score for r in toxicity_scores(df, learn(df, lab)).collect()} == {0.0}
+    assert drop_toxic(df, lab).count() == 60
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "s", "t", "u")], "doc_id long, text string, score string, text_ string, score_ string")
+    lexicon = Lexicon({"trash": 2.0}, (), (-3.0, 1.0, 1.0))
+    assert toxicity_scores(df, lexicon, ["doc_id", "text_", "score_"]).first().asDict() == {"doc_id": 1, "text_": "t", "score_": "u", "score": pytest.approx(0.047, abs=1e-3)}
