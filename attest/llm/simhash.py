@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import NO_ID, checkpointed, materialized
+from attest.llm.common import NO_ID, materialized, spare
 from attest.llm.components import components
 
 #: (first bit, bits, radius) of each segment. Radii + 1 sum to 5: two fingerprints that differ in at most 4 bits cannot
-#: be beyond the radius in every segment.
+#: be beyond the radius in every segment, so either choice finds the same links. The first has 24 keys a fingerprint and
+#: buckets that grow by 11 rows for each 2 million fingerprints, the second 150 keys and buckets 2000 times smaller.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+BROAD_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+BROAD_FROM = 200_000_000  # fingerprints
 SEED = 42
 
 
@@ -53,18 +56,19 @@ def with_fingerprint(docs: DataFrame, words: int = 4) -> DataFrame:
 def _keys(fp: Column, segments=SEGMENTS) -> Column:
     """The table keys of a fingerprint: each segment as it is, and the rest of its Hamming ball.
 
-    Two segments at distance 1 differ in a bit that one has and the other has not, so it is enough to clear set bits.
+    Where two segments differ, one has a bit that the other has not. If each clears those, both arrive at the bits they
+    share, so it is enough to clear up to ``radius`` set bits.
     """
-    keys = []
-    for i, (start, bits, radius) in enumerate(segments):
+    def ball(tag: int, start: int, bits: int, radius: int) -> Column:
+        if not 0 <= radius <= 2:
+            raise ValueError("radius is 0, 1 or 2")
         own = F.shiftrightunsigned(fp, start).bitwiseAND((1 << bits) - 1)
-        tag = lambda x, i=i: F.lit(i << 32).bitwiseOR(x)
-        keys.append(tag(own))
-        if radius == 1:
-            keys += [F.when(own.bitwiseAND(1 << k) != 0, tag(own.bitwiseAND(~(1 << k)))) for k in range(bits)]
-        elif radius:
-            raise ValueError("radius is 0 or 1")
-    return F.array_compact(F.array(*keys))
+        ones = F.filter(F.array(*[F.lit(1 << k) for k in range(bits)]).cast("array<long>"), lambda bit: own.bitwiseAND(bit) != 0)
+        one_less = F.transform(ones, lambda bit: own.bitwiseXOR(bit))
+        two_less = F.flatten(F.transform(ones, lambda x: F.transform(F.filter(ones, lambda y: y < x), lambda y: own.bitwiseXOR(x).bitwiseXOR(y))))
+        return F.transform(F.concat(*[F.array(own), one_less, two_less][: radius + 1]), lambda key: key.bitwiseOR(F.lit(tag << 40)))
+
+    return F.concat(*[ball(i, *segment) for i, segment in enumerate(segments)])
 
 
 def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -111,14 +115,18 @@ def _matches(keyed: DataFrame, words: list[str], most: int) -> DataFrame:
     names = [f"{side}_{w}" for side in "ab" for w in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((0, 1 + len(words)), np.int64)  # the last bucket may go on in the next batch
+        open_: list[np.ndarray] = []  # the last bucket may go on in the next batches
         for b in batches:
-            rows = np.concatenate([kept, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *words)], axis=1)])
-            if len(rows):
-                last = np.searchsorted(rows[:, 0], rows[-1, 0])
-                yield from linked(rows[:last])
-                kept = rows[last:]
-        yield from linked(kept)
+            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *words)], axis=1)
+            if not len(rows):
+                continue
+            last = np.searchsorted(rows[:, 0], rows[-1, 0])
+            if last or open_ and open_[-1][-1, 0] != rows[0, 0]:
+                yield from linked(np.concatenate([*open_, rows[:last]]))
+                open_ = []
+            open_.append(rows[last:])
+        if open_:
+            yield from linked(np.concatenate(open_))
 
     def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
@@ -150,17 +158,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     doc_id take part; their component_id is null only if no linked row has an id. Ties and repeated rows fall together;
     an empty table gives no rows; other columns are ignored.
 
-    Scale: with the default segments a table bucket holds about 12 rows for each 2 million distinct fingerprints.
+    Scale: the segments follow from the number of distinct fingerprints (see BROAD_SEGMENTS); they change no result.
     """
     marked = materialized(with_fingerprint(docs, words), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    roots = components(links(nodes.select("fp"), most)).withColumnRenamed("node", "fp")
-    of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = of.join(least, "root").select("fp", "root", "component_id")
+    nodes = materialized(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")), "simhash-nodes")
+    segments = SEGMENTS if nodes.count() < BROAD_FROM else BROAD_SEGMENTS
+    found = components(links(nodes.select("fp"), most, segments))
+    whole = _with_least(nodes, found, ["fp"]).select("fp", "root", F.col("least").alias("component_id"))
     return marked.join(whole, "fp").select("doc_id", "copy", "fp", "root", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
+def _with_least(nodes: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """nodes (key, least) with root and the least of their component; found: (node, root) of the linked ones.
+
+    A component's least is made from the linked nodes only, with partial sums before the shuffle, and comes back over
+    the component's nodes by a join that Spark may split; nodes without links meet nobody.
+    """
+    node = key[0]
+    linked = materialized(nodes.join(found, F.col(node) == F.col("node")).select(*nodes.columns, "root"), "linked-nodes")
+    least = linked.groupBy("root").agg(F.min("least").alias("least"))
+    alone = nodes.join(found.select("node"), F.col(node) == F.col("node"), "left_anti").withColumn("root", F.col(node))
+    return linked.drop("least").join(least, "root").select(*key, "root", "least").unionByName(alone.select(*key, "root", "least"))
+
+
 #: Segments of each half of a 128-bit fingerprint. Two texts of similarity 0.8 differ in about 15 % of the bits, so that
 #: at least one of the eight segments is within one bit for 93 % of such pairs, and for 99.6 % at similarity 0.9.
 WIDE = tuple((16 * i, 16, 1) for i in range(4))
@@ -178,9 +198,8 @@ def shingle_hashes(text: bytes, words: int = 5) -> bytes:
     return b"".join([xxhash.xxh3_128_digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:], strict=True)])
 
 
-def wide_fingerprint(text: bytes, words: int = 5) -> tuple[int, int]:
-    """A SimHash of 128 bits, as two signed words; no words: (0, 0)."""
-    hashes = np.frombuffer(shingle_hashes(text, words), np.uint8).reshape(-1, 16)
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """A SimHash of 128 bits of shingle hashes (a row of 16 bytes each), as two signed words; none: (0, 0)."""
     total = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 65536):
         total += np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
@@ -188,47 +207,122 @@ def wide_fingerprint(text: bytes, words: int = 5) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def near_copies(docs: DataFrame, words: int = 5, most: int = 28, least: float = 0.8) -> DataFrame:
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted."""
+    return np.unique(np.frombuffer(shingle_hashes(text, words), np.int64)[::2])
+
+
+def similar_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that connect what pairs of a similarity of at least ``least`` connect, one for each set reached.
+
+    side: 0 or 1 for each set; where both occur only pairs across count, else all. Every set is held against all of the
+    other side that no link has reached yet, by the number of its elements they hold.
+    """
+    sizes = np.array([len(x) for x in sets])
+    element, where = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_inverse=True)
+    owner, cuts = np.repeat(np.arange(len(sets)), sizes), np.r_[0, np.cumsum(sizes)]
+    across = side.min(initial=1) != side.max(initial=0)
+    holders = {}  # for each side: the sets that hold an element, and where an element's sets begin
+    for s in (0, 1):
+        mine = side[owner] == s if across else np.ones(len(owner), bool)
+        order = np.argsort(where[mine], kind="stable")
+        holders[s] = owner[mine][order], np.r_[0, np.cumsum(np.bincount(where[mine], minlength=len(element)))]
+        if not across:
+            holders[1] = holders[0]
+            break
+    out, unreached, front = [], np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not unreached[first]:
+            continue
+        unreached[first] = False
+        front.append(first)
+        while front:
+            here = front.pop()
+            rows, begins = holders[1 - side[here] if across else 0]
+            mine = where[cuts[here] : cuts[here + 1]]
+            counts = begins[mine + 1] - begins[mine]
+            ends = np.cumsum(counts)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[mine] - (ends - counts), counts)
+            common = np.bincount(rows[at], minlength=len(sets))
+            near = np.flatnonzero(unreached & (common >= least * (sizes + sizes[here] - common)) & (common > 0))
+            unreached[near] = False
+            front += near.tolist()
+            out += [(here, int(x)) for x in near]
+    return out
+
+
+NODES, ELEMENTS = 2048, 1 << 21  # a block of a candidate group holds about so many texts and shingles at most
+
+
+def _verified(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between the nodes of the same group (columns group, node, shingles) of a similarity of at least ``least``.
+
+    A group is dealt into blocks and each two blocks are held against each other in a task of their own, so neither a
+    group of any size nor very long texts meet in one task; a task emits one link for each text it reaches.
+    """
+    size = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / NODES), F.ceil(F.sum(F.size("shingles")) / ELEMENTS)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    dealt = sets.join(size, "group").withColumn("block", block).select("group", "node", "shingles", "block", F.explode(pair).alias("p"))
+    dealt = dealt.select("group", "p.i", "p.j", (F.col("block") != F.col("p.i")).cast("int").alias("side"), "node", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            shingles = b.column("shingles")
+            for n, (group, i, j, side, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("group", "i", "j", "side", "node")), strict=True)):
+                if (group, i, j) != at:
+                    yield from linked(rows)
+                    at, rows = (group, i, j), []
+                rows.append((node, side, shingles[n].values.to_numpy()))
+        yield from linked(rows)
+
+    def linked(rows: list) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            found = similar_links([r[2] for r in rows], np.array([r[1] for r in rows]), least)
+            yield pa.record_batch([pa.array([rows[x][0] for x, _ in found], pa.string()), pa.array([rows[y][0] for _, y in found], pa.string())], names=["a", "b"])
+
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a string, b string")
+
+
+def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float = 0.8) -> DataFrame:
     """doc_id, copy, root, component_id: groups of texts whose word-shingle sets have a Jaccard similarity of at least ``least``.
 
-    128-bit fingerprints find the candidates: multi-index hashing with Hamming balls of radius 1 in eight segments, then
-    the complete distance (``most`` bits). Each candidate link is then verified on the shingle sets of the two whole
-    texts. Rows with equal fingerprints are one node. Null, empty and blank texts are one group. Rows without doc_id
-    take part. Ties and repeated rows fall together; an empty table gives no rows; other columns are ignored.
+    Texts with equal shingle sets are one node. 128-bit fingerprints find the candidates: multi-index hashing with Hamming
+    balls of radius 1 in eight segments, then the complete distance (``most`` bits). What such links connect is a
+    candidate group, in which every two texts are compared by their whole shingle sets; only links so verified join
+    texts. Null, empty and blank texts are one node. Rows without doc_id take part. Ties and repeated rows fall together;
+    an empty table gives no rows; other columns are ignored, whatever their names.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([wide_fingerprint(t.as_py() or b"", words) for t in b.column("text")], np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column("id"), b.column("copy"), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], names=["id", "copy", "x", "y"])
+            nodes, fps = [], []
+            for t in b.column("text"):
+                hashes = np.frombuffer(shingle_hashes(t.as_py() or b"", words), np.uint8).reshape(-1, 16)
+                fps.append(wide_fingerprint(hashes))
+                nodes.append(xxhash.xxh3_128_hexdigest(np.unique(hashes.view(np.int64)[:, 0]).tobytes()))
+            x, y = np.array(fps, np.int64).reshape(-1, 2).T.copy()
+            yield pa.record_batch([b.column("id"), b.column("copy"), pa.array(nodes, pa.string()), pa.array(x), pa.array(y)], names=["id", "copy", "node", "x", "y"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.frombuffer(shingle_hashes(t.as_py() or b"", words), np.int64)[::2]) for t in b.column("text")]
-            yield pa.record_batch([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.record_batch([b.column("group"), b.column("node"), pa.array([shingle_set(t.as_py() or b"", words) for t in b.column("text")], pa.list_(pa.int64()))], names=["group", "node", "shingles"])
 
     text = F.col("text").cast("binary")
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.md5(text), F.lit("")).alias("copy"), text.alias("text"))
-    marked = materialized(plain.mapInArrow(mark, "id long, copy string, x long, y long"), "wide-simhash")
-    node = lambda side="": F.concat(F.hex(F.col(f"{side}x")), F.lit("-"), F.hex(F.col(f"{side}y")))
-    nodes = marked.groupBy("x", "y").agg(F.min(F.struct("id", "copy")).alias("first"))
-    keys = F.concat(_keys(F.col("x"), WIDE), F.transform(_keys(F.col("y"), WIDE), lambda k: k.bitwiseOR(F.lit(1 << 40))))
-    found = checkpointed(_matches(nodes.select("x", "y", F.explode(keys).alias("key")), ["x", "y"], most).select(node("a_").alias("a"), node("b_").alias("b")))
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    of = ends.join(nodes.select(node().alias("node"), "first.*"), "node")
-    sets = plain.join(of, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("node", "text").mapInArrow(cut, "node string, shingles array<long>")
-    sets = materialized(sets, "shingle-sets")
-    common = F.size(F.array_intersect("s", "t"))
-    similar = (
-        found.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-        .where(common >= F.lit(float(least)) * (F.size("s") + F.size("t") - common))
-    )
-    roots = components(similar.select("a", "b"))
-    named = nodes.select(node().alias("node"), "x", "y", F.col("first.id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = named.join(smallest, "root").select("x", "y", "root", "component_id")
-    joined = marked.join(whole, ["x", "y"])
+    marked = materialized(plain.mapInArrow(mark, "id long, copy string, node string, x long, y long"), "wide-simhash")
+    nodes = materialized(marked.groupBy("node", "x", "y").agg(F.min(F.struct("id", "copy")).alias("first")).select("node", "x", "y", F.col("first.id").alias("least"), F.col("first.copy").alias("copy")), "text-nodes")
+    fps = nodes.groupBy("x", "y").agg(F.count("*").alias("n"))
+    keys = F.concat(_keys(F.col("x"), WIDE), F.transform(_keys(F.col("y"), WIDE), lambda k: k.bitwiseOR(F.lit(1 << 48))))
+    name = lambda side="": F.concat(F.hex(F.col(f"{side}x")), F.lit("-"), F.hex(F.col(f"{side}y")))
+    near = components(_matches(fps.select("x", "y", F.explode(keys).alias("key")), ["x", "y"], most).select(name("a_").alias("a"), name("b_").alias("b")))
+    groups = near.select("node", F.col("root").alias("group")).unionByName(fps.where("n > 1").select(name().alias("node"), name().alias("group")).join(near, "node", "left_anti"))
+    members = nodes.join(groups.withColumnRenamed("node", "fp"), name() == F.col("fp")).select("group", "node", F.col("least").alias("id"), "copy")
+    sets = plain.join(members, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("group", "node", "text").mapInArrow(cut, "group string, node string, shingles array<long>")
+    found = components(_verified(materialized(sets, "shingle-sets"), least))
+    whole = _with_least(nodes.select("node", "least").withColumnRenamed("node", "text_node"), found, ["text_node"]).withColumnsRenamed({"text_node": "node", "least": "component_id"})
+    joined = marked.join(whole, "node")
     shown = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return joined.select(shown("id").alias("doc_id"), "copy", "root", shown("component_id").alias("component_id"))
 
@@ -247,12 +341,13 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one document of each group (root): the one with the smallest doc_id.
 
     Rows that repeat this document's id stay only once (the smallest text hash; equal rows are interchangeable). In a
-    group without any id one row stays. Columns are those of docs.
+    group without any id one row stays. Columns are those of docs, whatever their names.
     """
+    key, md5 = spare(docs, "key_"), spare(docs, "md5_")
     best = (
         found.groupBy("root")
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("copy", F.lit("")).alias("copy"))).alias("best"))
-        .select(F.col("best.id").alias("__key"), F.col("best.copy").alias("__md5"))
+        .select(F.col("best.id").alias(key), F.col("best.copy").alias(md5))
     )
-    key = docs.withColumn("__key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__md5", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
-    return key.join(best, ["__key", "__md5"]).dropDuplicates(["__key", "__md5"]).select(*docs.columns)
+    marked = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(md5, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    return marked.join(best, [key, md5]).dropDuplicates([key, md5]).select(*docs.columns)

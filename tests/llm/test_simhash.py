@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
-from attest.llm.simhash import SEGMENTS, _keys, drop_near_copies, drop_near_duplicates, fingerprint, links, near_copies, near_duplicates
+from attest.llm import simhash
+from attest.llm.simhash import BROAD_SEGMENTS, SEGMENTS, _keys, shingle_set, similar_links, drop_near_copies, drop_near_duplicates, fingerprint, links, near_copies, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -46,7 +48,8 @@ def test_hash_is_the_one_of_spark(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d")).alias("h")).first().h == np.array([xxhash.xxh64_intdigest(b"a b c d", 42)], np.uint64).view(np.int64)[0]
 
 
-def test_keys_find_all_pairs_within_four_bits(spark):
+@pytest.mark.parametrize("segments", [SEGMENTS, BROAD_SEGMENTS])
+def test_keys_find_all_pairs_within_four_bits(spark, segments):
     rng = random.Random(2)
     pairs = []
     for _ in range(300):
@@ -55,11 +58,12 @@ def test_keys_find_all_pairs_within_four_bits(spark):
         for bit in rng.sample(range(64), rng.randint(0, 4)):
             b ^= 1 << bit
         pairs.append((a - (a >> 63 << 64), b - (b >> 63 << 64)))
-    df = spark.createDataFrame(pairs, "a long, b long").select(F.arrays_overlap(_keys(F.col("a"), SEGMENTS), _keys(F.col("b"), SEGMENTS)).alias("met"))
+    df = spark.createDataFrame(pairs, "a long, b long").select(F.arrays_overlap(_keys(F.col("a"), segments), _keys(F.col("b"), segments)).alias("met"))
     assert df.where("NOT met").count() == 0
 
 
-def test_links_connect_as_all_pairs_do(spark):
+@pytest.mark.parametrize("segments", [SEGMENTS, BROAD_SEGMENTS])
+def test_links_connect_as_all_pairs_do(spark, segments):
     rng = random.Random(3)
     fps = {0}
     for _ in range(12):  # clusters, one of them dense
@@ -71,9 +75,9 @@ def test_links_connect_as_all_pairs_do(spark):
             fps.add(x)
     fps = sorted(fps | {rng.getrandbits(64) for _ in range(50)})
     df = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
-    found = links(df).collect()
+    found = links(df, segments=segments).collect()
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 10 for r in found)  # of one bucket's component
-    root = {r.node: r.root for r in components(links(df)).collect()}
+    root = {r.node: r.root for r in components(links(df, segments=segments)).collect()}
     mine = [root.get(f - (f >> 63 << 64), f - (f >> 63 << 64)) for f in fps]
     theirs = brute_components(list(range(len(fps))), fps)
     assert len(set(zip(mine, theirs, strict=True))) == len(set(mine)) == len(set(theirs))
@@ -143,3 +147,70 @@ def test_near_copies_of_odd_rows(spark):
     assert got == [(-1, -1), (-1, -1), (-1, 3), (3, 3), (4, 3), (5, 5), (5, 5), (6, 5), (7, 7)]
     assert sorted(r.doc_id or -1 for r in drop_near_copies(df).collect()) == [-1, 3, 5, 7]
     assert near_copies(df.where("false")).collect() == [] and drop_near_copies(df.where("false")).collect() == []
+
+
+def dense_clusters(rng, clusters, size, least=100, most=250):
+    """Texts around a common original whose similarities lie about the threshold."""
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for _ in range(clusters):
+        base = [rng.choice(words) for _ in range(rng.randint(least, most))]
+        for _ in range(size):
+            text = list(base)
+            for _ in range(rng.randint(0, len(text) // 20)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def brute_groups(rows, least=0.8):
+    """The component of each row by all pairs."""
+    sets = [set(shingle_set(t.encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    pairs = []
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and common >= least * (len(sets[i]) + len(sets[j]) - common):
+                pairs.append((i, j))
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(rows))], pairs
+
+
+@pytest.mark.parametrize("nodes", [2048, 30])
+def test_dense_clusters_near_the_threshold(spark, monkeypatch, nodes):
+    """Groups as all pairs make them, also where a candidate group is cut into blocks."""
+    monkeypatch.setattr(simhash, "NODES", nodes)
+    rows = dense_clusters(random.Random(6), 12, 80)
+    want, pairs = brute_groups(rows)
+    found = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame([(*r, "x", 7) for r in rows], SCHEMA)).collect()}
+    assert len(pairs) > 1000 and len({(found[i], want[i]) for i in range(len(rows))}) == len(set(want)) == len(set(found.values()))
+
+
+def test_similar_links_connect_as_all_pairs_do():
+    rng = random.Random(7)
+    for sides in (1, 2):
+        rows = dense_clusters(rng, 3, 30, 20, 60) + [(0, ""), (0, "one"), (0, "one")]
+        sets, side = [shingle_set(t.encode()) for _, t in rows], np.array([rng.randrange(sides) for _ in rows])
+        _, pairs = brute_groups(rows)
+        across = [(i, j) for i, j in pairs if sides == 1 or side[i] != side[j]]
+        got = similar_links(sets, side, 0.8)
+        assert set(map(frozenset, got)) <= set(map(frozenset, across)) and len(got) < len(rows)
+        label = lambda links: brute_label(len(rows), links)
+        assert label(got) == label(across)
+
+
+def brute_label(n, links):
+    root = list(range(n))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return [find(i) for i in range(n)]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, "k", "m"), (2, "a b c", 2, "k", "m")], "doc_id long, text string, node int, key_ string, md5_ string")
+    for kept in (drop_near_copies(df), drop_near_duplicates(df)):
+        assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 1, "k", "m")]
