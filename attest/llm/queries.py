@@ -105,13 +105,16 @@ reads AS (SELECT *, greatest(0, least(size, goal - start)) AS r0, greatest(0, le
 SELECT doc_id, size, source_size, target, CAST(r0 + r1 AS BIGINT) AS taken, CASE WHEN r0 > 0 THEN {_position_sql("(start / target)")} END AS position, CASE WHEN r1 > 0 THEN {_position_sql("((start + source_size) / target)")} END AS again, source FROM reads"""
 
 LINES = r"""WITH docs AS (SELECT row_number() OVER () AS rn, coalesce(doc_id, 9223372036854775807) AS id, doc_id, text FROM documents),
-plain AS (SELECT rn, id, trim(replace(replace(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10))) AS t FROM docs WHERE text IS NOT NULL),
-masked AS (SELECT rn, id, string_split(regexp_replace(t, '(^|[ \n])[^ \n0-9]*[0-9][^ \n]*', '\1<*>', 'g'), chr(10)) AS ls FROM plain),
-lines AS (SELECT rn, id, generate_subscripts(ls, 1) AS i, string_split(unnest(ls), ' ') AS tok FROM masked),
-keyed AS (SELECT rn, id, i, len(tok) AS n, CAST(3 + floor((len(tok) - 3) / 2.0) AS BIGINT) AS half, tok FROM lines WHERE len(tok) >= 6),
-keys AS (SELECT rn, id, i, unnest(CASE WHEN n - 3 >= 8 THEN [concat_ws(' ', n, array_to_string(tok[1:half], ' '), '<*>'), concat_ws(' ', n, array_to_string(tok[1:3], ' '), '<*>', array_to_string(tok[half + 1:n], ' '))] ELSE [concat_ws(' ', n, array_to_string(tok, ' '))] END) AS key FROM keyed),
-first AS (SELECT key, min(id) AS first FROM keys GROUP BY 1 HAVING min(id) < max(id)),
-lost AS (SELECT DISTINCT rn, i FROM keys JOIN first USING (key) WHERE id > first),
+plain AS (SELECT rn, id, string_split(trim(replace(replace(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10))), chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
+lines AS (SELECT rn, id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM plain),
+masked AS (SELECT *, regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS m, len(string_split(line, ' ')) AS n FROM lines),
+shaped AS (SELECT *, CASE WHEN n < 6 OR (length(m) - length(replace(m, '<*>', ''))) / 3 * 2 > n THEN 'own' WHEN n - 3 >= 8 THEN 'quarters' ELSE 'whole' END AS shape, string_split(m, ' ') AS tok FROM masked WHERE n >= 3),
+fits AS (SELECT rn, id, i, n, 0 AS variant, CASE shape WHEN 'own' THEN line ELSE m END AS head, '' AS tail FROM shaped WHERE shape <> 'quarters' UNION ALL
+  SELECT rn, id, i, n, q + 1, array_to_string(tok[1:3 + (n - 3) * q // 4], ' '), array_to_string(tok[4 + (n - 3) * (q + 1) // 4:n], ' ') FROM shaped, (SELECT unnest([0, 1, 2, 3]) AS q) WHERE shape = 'quarters'),
+met AS (SELECT n, variant, head, tail, count(*) AS lines FROM fits GROUP BY ALL HAVING min(id) < max(id)),
+chosen AS (SELECT * FROM fits JOIN met USING (n, variant, head, tail) QUALIFY row_number() OVER (PARTITION BY rn, i ORDER BY lines DESC, variant) = 1),
+first AS (SELECT n, variant, head, tail, min(id) AS first FROM chosen GROUP BY ALL HAVING count(DISTINCT id) >= CASE WHEN n < 6 THEN 10 ELSE 2 END),
+lost AS (SELECT DISTINCT rn, i FROM chosen JOIN first USING (n, variant, head, tail) WHERE id > first),
 own AS (SELECT rn, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM docs WHERE text IS NOT NULL),
 kept AS (SELECT rn, count(*) AS n_lines, count(lost.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY own.i) FILTER (lost.i IS NULL), '') AS t FROM own LEFT JOIN lost USING (rn, i) GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(t) AS kept_chars, md5(t) AS kept_md5 FROM docs LEFT JOIN kept USING (rn)"""
