@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages; their TF-IDF matrix (document frequencies from all documents) gets a distributed
-randomised SVD, and the passages and all windows of all documents are compared by cosine in that latent space. Windows
-near a passage are then held against it word by word: by their longest common subsequence, and for paraphrases by the
-answer as well.
+Benchmark items are cut into passages, and these go in blocks. A block's TF-IDF matrix (document frequencies from all
+documents) gets a distributed randomised SVD, and its passages and all windows of all documents are compared by cosine in
+that latent space; it has a dimension for each passage of the block, so none is lost in it. Windows near a passage are
+then held against it word by word: by their longest common subsequence, and for paraphrases by the answer as well.
 """
 
 from __future__ import annotations
@@ -98,99 +98,137 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
     return basis[:, :k][:, scale[:k] > 1e-9 * scale[0]]
 
 
-class Index:
-    """Passages in latent space; built on the driver from one block of the benchmark, sent to every task."""
+class Block:
+    """Some passages in their latent space. Words are named by their places in the vocabulary of the whole Index."""
 
-    def __init__(self, spark: SparkSession, passages: list[Passage], docs: DataFrame, rank: int, max_share: float):
-        n_docs, df = document_frequencies(docs, frozenset(w for p in passages for w in p.words))
+    def __init__(self, spark: SparkSession, passages: list[Passage], place: dict[bytes, int], idf: np.ndarray, share: np.ndarray, rank: int | None, max_share: float, held: float):
         self.passages = passages
-        self.idf = {w: float(np.log((1 + n_docs) / (1 + df.get(w, 0)))) for p in passages for w in p.words}
+        ids = [[place[w] for w in p.words] for p in passages]
         # Words of more than max_share of all documents say nothing about a passage, unless it has no others.
-        rare = {w for p in passages for w in ({w for w in p.words if df.get(w, 0) <= max_share * n_docs} or p.words)}
-        self.place = {w: i for i, w in enumerate(sorted(rare))}
-        rows = []
-        for p in passages:
-            tf = Counter(w for w in p.words if w in self.place)
-            rows.append(([self.place[w] for w in tf], [c * self.idf[w] for w, c in tf.items()]))
-        basis = randomised_svd(spark, rows, len(self.place), rank)
-        self.weight = np.array([self.idf[w] for w in self.place])
-        self.vectors = (basis * self.weight[:, None]).astype(np.float32)  # what a word adds to a window
+        rare = sorted({w for p in ids for w in ([w for w in p if share[w] <= max_share] or p)})
+        self.row = np.full(len(place), -1, np.int32)
+        self.row[rare] = np.arange(len(rare))
+        rows, most = [], np.zeros(len(rare))
+        for p in ids:
+            tf = Counter(self.row[w] for w in p if self.row[w] >= 0)
+            rows.append(([int(w) for w in tf], [c * float(idf[rare[w]]) for w, c in tf.items()]))
+            most[rows[-1][0]] = np.maximum(most[rows[-1][0]], list(tf.values()))
+        basis = randomised_svd(spark, rows, len(rare), rank or len(rows))
+        self.vectors = (basis * idf[rare][:, None]).astype(np.float32)  # what a word adds to a window
         latent = np.array([np.array(v) @ basis[c] for c, v in rows])
-        self.lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-12).astype(np.float32)
-        self.queries = latent.astype(np.float32) / self.lengths[:, None]
-        lengths = np.array([len(p.words) for p in passages])
+        lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
+        self.queries = (latent / lengths[:, None]).astype(np.float32)
+        #: So much of a passage's own length must be there; a word brings as much to no passage's product as ``gain`` says.
+        self.least = (held * lengths).astype(np.float32)
+        self.gain = np.zeros(len(place))
+        self.gain[rare] = most * idf[rare] ** 2
+        exact = basis.shape[1] >= min(len(rows), len(rare))  # a truncated space has no such bound
+        sizes = np.array([len(p.words) for p in passages])
         low = 0
         self.classes = []
-        for most, blocks in CLASSES:
-            self.classes.append((blocks, np.flatnonzero((lengths > low) & (lengths <= most))))
-            low = most
-        self.rarest = [sorted(set(p.words), key=lambda w: (-self.idf[w], w))[:4] for p in passages]
-
-    def candidates(self, words: list[bytes], least: float) -> Iterator[tuple[int, int, int, float]]:
-        """(passage, first word, last word, cosine) of the windows of one text near a passage."""
-        ids = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        for longest, blocks in CLASSES:
+            which = np.flatnonzero((sizes > low) & (sizes <= longest))
+            self.classes.append((blocks, which, float((held * lengths[which] ** 2).min(initial=np.inf)) * (1 - 1e-6) if exact else 0.0))
+            low = longest
+        self.rarest = [sorted(set(p.words), key=lambda w: (-idf[place[w]], w))[:4] for p in passages]
+
+    def candidates(self, ids: np.ndarray, n_words: int, least: float) -> Iterator[tuple[int, int, int, float]]:
+        """(passage, first word, last word, cosine) of the windows of one text near a passage. ids: its words' places, -1 if unknown."""
         known = np.flatnonzero(ids >= 0)
+        known = known[self.row[ids[known]] >= 0]
         if not len(known):
             return
-        n = -(-len(words) // BLOCK)
+        n = -(-n_words // BLOCK)
         for first in range(0, n, 4096):  # very long texts go in parts; each part's windows reach into the next
             last = min(n, first + 4096 + CLASSES[-1][1])
             at = known[np.searchsorted(known, first * BLOCK) : np.searchsorted(known, last * BLOCK)]
             if not len(at):
                 continue
             block = at // BLOCK - first
+            mass = np.r_[np.bincount(block, self.gain[ids[at]], last - first), np.zeros(CLASSES[-1][1])]
+            begins, use = [], np.zeros(len(mass), bool)
+            for blocks, which, bound in self.classes:  # the windows that hold enough of the passages' words to be near one
+                width = min(4096, last - first) if last < n else last - first
+                sums = sum((mass[k : k + width] for k in range(1, blocks)), mass[:width])
+                begins.append(np.flatnonzero((sums >= bound) & (sums > 0)) if len(which) else np.empty(0, np.int64))
+                for k in range(blocks):
+                    use[begins[-1] + k] = True
+            if not use.any():
+                continue
+            at, block = at[use[block]], block[use[block]]
+            z = np.zeros((len(mass), self.vectors.shape[1]), np.float32)
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            z = np.zeros((last - first, self.vectors.shape[1]), np.float32)
-            z[block[starts]] = np.add.reduceat(self.vectors[ids[at]], starts, axis=0)
-            for blocks, which in self.classes:
-                if not len(which):
+            z[block[starts]] = np.add.reduceat(self.vectors[self.row[ids[at]]], starts, axis=0)
+            for (blocks, which, _), begin in zip(self.classes, begins, strict=True):
+                if not len(begin):
                     continue
-                begin = np.arange(min(4096, last - first) if last < n else last - first)
-                padded = np.pad(z, ((0, blocks), (0, 0)))
-                x = sum((padded[k : k + len(begin)] for k in range(1, blocks)), padded[: len(begin)])
+                x = sum((z[begin + k] for k in range(1, blocks)), z[begin])
                 cos = x @ self.queries[which].T
-                held = cos >= 0.35 * self.lengths[which]  # so much of the passage's own length must be there
+                held = cos >= self.least[which]
                 cos /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 for i, j in zip(*np.nonzero(held & (cos >= least)), strict=True):
-                    start = (first + int(i)) * BLOCK
-                    yield int(which[j]), start, min(len(words), start + blocks * BLOCK), float(cos[i, j])
+                    start = (first + int(begin[i])) * BLOCK
+                    yield int(which[j]), start, min(n_words, start + blocks * BLOCK), float(cos[i, j])
 
-    def leaks(self, text: str | None, least: float, sure: float, paraphrase: float) -> dict[int, tuple[float, float]]:
+
+class Index:
+    """Some blocks of the benchmark with one vocabulary; built on the driver, sent to every task."""
+
+    def __init__(self, spark: SparkSession, passages: list[Passage], docs: DataFrame, rank: int | None, max_share: float, block: int, held: float):
+        n_docs, df = document_frequencies(docs, frozenset(w for p in passages for w in p.words))
+        words = sorted({w for p in passages for w in p.words})
+        self.place = {w: i for i, w in enumerate(words)}
+        counts = np.array([df.get(w, 0) for w in words], float)
+        idf = 1 + np.log((1 + n_docs) / (1 + counts))
+        self.blocks = [Block(spark, passages[i : i + block], self.place, idf, counts / max(1, n_docs), rank, max_share, held) for i in range(0, len(passages), block)]
+
+    def leaks(self, text: str | None, least: float, sure: float, paraphrase: float) -> dict[int | None, tuple[float, float]]:
         """item -> (share of the passage's words in common order, cosine), for the items that the text holds."""
         words, out = words_of(text), {}
-        for k, a, b, cos in self.candidates(words, least):
-            p, window = self.passages[k], words[a:b]
-            share = common_subsequence(p.words, window) / len(p.words)
-            if share < sure:
-                if share < paraphrase or len(p.words) < 8:
-                    continue
-                have = set(window)
-                if p.answer and common_subsequence(p.answer, window) < len(p.answer) or not p.answer and sum(w in have for w in self.rarest[k]) < min(3, len(self.rarest[k])):
-                    continue
-            out[p.item] = max(out.get(p.item, (0.0, 0.0)), (share, cos))
+        ids = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        for block in self.blocks:
+            for k, a, b, cos in block.candidates(ids, len(words), least):
+                p, window = block.passages[k], words[a:b]
+                share = common_subsequence(p.words, window) / len(p.words)
+                if share < sure:
+                    if share < paraphrase or len(p.words) < 8:
+                        continue
+                    if p.answer:  # it may stand before or after the question
+                        if common_subsequence(p.answer, words[max(0, a - (b - a)) : b + (b - a)]) < len(p.answer):
+                            continue
+                    elif len(set(window).intersection(block.rarest[k])) < min(3, len(block.rarest[k])):
+                        continue
+                out[p.item] = max(out.get(p.item, (0.0, 0.0)), (share, cos))
         return out
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, rank: int, max_share: float, block: int) -> Iterator[Index]:
-    """One Index for each ``block`` passages, so that what is sent to the tasks is bounded however long the benchmark is."""
+def indexes(docs: DataFrame, benchmark: DataFrame, rank: int | None, max_share: float, block: int, together: int, held: float = 0.35) -> Iterator[Index]:
+    """One Index for each ``together`` blocks of passages, so that what is sent to the tasks is bounded however long the benchmark is."""
     columns = [F.col("item_id"), F.col("text"), F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string").alias("answer")]
-    items = benchmark.where("item_id is not null").select(*columns).orderBy("item_id", "text").toLocalIterator()
+    items = benchmark.select(*columns).orderBy("item_id", "text").toLocalIterator()
     passages = (p for r in items for p in passages_of(r.item_id, r.text, r.answer))
-    while part := list(islice(passages, block)):
-        yield Index(docs.sparkSession, part, docs, rank, max_share)
+    while part := list(islice(passages, block * together)):
+        yield Index(docs.sparkSession, part, docs, rank, max_share, block, held)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.3, sure: float = 0.8, paraphrase: float = 0.6, rank: int = 128, max_share: float = 0.1, block: int = 512) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.3, sure: float = 0.8, paraphrase: float = 0.6, rank: int | None = None, max_share: float = 0.1, block: int = 256, together: int = 32) -> DataFrame:
     """doc_id, item_id, lcs_share, cosine: a row for each document and benchmark item whose passage it holds.
 
     A window is a candidate if its latent vector's cosine with the passage's is at least least_cosine and it covers at
-    least 0.35 of the passage's vector. It counts if the longest common subsequence covers ``sure`` of the passage's words; from ``paraphrase`` on it
-    counts if the item's answer stands in it (column answer; without one, three of the passage's four rarest words).
+    least 0.35 of the passage's vector. It counts if the longest common subsequence covers ``sure`` of the passage's words;
+    from ``paraphrase`` on it counts if the item's answer stands in it or beside it (column answer; without one, three of
+    the passage's four rarest words). Passages of fewer than eight words have no paraphrases.
+
+    Documents are read twice, for document frequencies and for the search, whatever the benchmark's length up to
+    block * together passages, and twice more for each further so many. rank truncates the latent space; by default it
+    is whole, and only then the search leaves out windows that hold too few of the passages' words.
+
     Null and empty texts hold nothing, items without words are never found, very long texts are searched whole, part by
-    part. Repeated rows and items give one row; without items or documents there are none. Other columns are ignored.
+    part. Items without id are one item, null. Repeated rows and items give one row; without items or documents there are
+    none. Other columns are ignored.
     """
     found = None
-    for index in indexes(docs, benchmark, rank, max_share, block):
+    for index in indexes(docs, benchmark, rank, max_share, block, together):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -205,9 +243,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.3,
     return found.groupBy("doc_id", "item_id").agg(F.max("lcs_share").alias("lcs_share"), F.max("cosine").alias("cosine"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.3, sure: float = 0.8, paraphrase: float = 0.6, rank: int = 128, max_share: float = 0.1, block: int = 512) -> DataFrame:
-    """docs without the documents that find_leaks finds; decided row by row, so nothing is shuffled."""
-    for index in indexes(docs, benchmark, rank, max_share, block):
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.3, sure: float = 0.8, paraphrase: float = 0.6, rank: int | None = None, max_share: float = 0.1, block: int = 256, together: int = 32) -> DataFrame:
+    """docs without the documents that find_leaks finds; decided row by row, so nothing is shuffled.
+
+    Columns are those of docs, whatever their names; repeated rows go or stay alike. Without items every row stays.
+    """
+    for index in indexes(docs, benchmark, rank, max_share, block, together):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

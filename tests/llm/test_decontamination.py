@@ -68,6 +68,7 @@ def test_blocks_of_the_benchmark_change_nothing(spark):
     docs, items, planted = corpus(5)
     df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     assert {(r.doc_id, r.item_id) for r in find_leaks(df, bench, block=25).collect()} == planted
+    assert {(r.doc_id, r.item_id) for r in find_leaks(df, bench, block=25, together=2).collect()} == planted
 
 
 def test_long_texts_and_items(spark):
@@ -94,6 +95,39 @@ def test_odd_rows(spark):
     odd = [(1, None, "x", 1), (2, "", "x", 1), (None, items[1][1], "x", 1), (3, items[0][1], "x", 1), (3, items[0][1], "x", 1)]
     found = find_leaks(spark.createDataFrame([*odd, *[(d[0] + 10, *d[1:]) for d in docs[1:4]]], DOCS), bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(None, 1), (3, 0)} and len(found) == 2
+    whole = spark.createDataFrame([(5, items[9][1], "x", 1)], DOCS)
+    assert [(r.doc_id, r.item_id) for r in find_leaks(whole, bench).collect()] == [(5, None)] and drop_leaks(whole, bench).count() == 0
     assert find_leaks(spark.createDataFrame([], DOCS), bench).collect() == []
     assert find_leaks(spark.createDataFrame(docs[:3], DOCS), spark.createDataFrame([], ITEMS)).collect() == []
     assert drop_leaks(spark.createDataFrame(docs[:3], DOCS), spark.createDataFrame([], ITEMS)).count() == 3
+
+
+def test_recall_on_paraphrases_of_a_diverse_benchmark(spark):
+    """Against all windows of all texts by brute force; words are changed, left out and put in."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(6000)]
+    say = lambda n: [rng.choice(words[:60] if rng.random() < 0.4 else words) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randint(20, 60))), None) for i in range(520)]
+    docs, planted = [], []
+    for d in range(260):
+        leak = [w for w in items[2 * d][1].split() if rng.random() > 0.1]
+        leak = [rng.choice(words) if rng.random() < rng.choice([0.0, 0.1, 0.2, 0.25]) else w for w in leak]
+        text = say(rng.randint(60, 300))
+        at = rng.randint(0, len(text))
+        text[at:at] = leak
+        docs.append((d, " ".join(text), "x", 1))
+        planted.append((d, 2 * d, at, len(leak)))
+    df = spark.createDataFrame(docs, DOCS)
+    frequency = {}
+    for _, t, _, _ in docs:
+        for w in set(t.split()):
+            frequency[w] = frequency.get(w, 0) + 1
+    want = set()
+    for d, i, at, n in planted:
+        p, window = items[i][1].split(), docs[d][1].split()[max(0, at - 8) : at + n + 8]
+        share, rarest = common_subsequence(p, window) / len(p), sorted(set(p), key=lambda w: (frequency.get(w, 0), w.encode()))[:4]
+        if share >= 0.8 or share >= 0.6 and sum(w in window for w in rarest) >= 3:
+            want.add((d, i))
+    found = {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(items, ITEMS)).collect()}
+    assert len(want) > 150 and len(want & found) >= 0.97 * len(want)
+    assert len(found - {(d, i) for d, i, _, _ in planted}) <= 2
