@@ -1,7 +1,8 @@
 """Secret scan: candidates from whole texts, and a random forest that removes false findings.
 
-The forest looks at a candidate's length, character transitions and dictionary coverage, at the document's path and at
-the neighbouring words, and is trained from labelled findings.
+Candidates are values that something with a telling name is set to, passwords inside addresses, private key blocks, and
+long runs of key characters wherever they stand. The forest looks at a candidate's length, character transitions and
+dictionary coverage, at the document's path and at the neighbouring words, and is trained from labelled findings.
 """
 
 from __future__ import annotations
@@ -21,12 +22,22 @@ from pyspark.sql import functions as F
 from attest.llm.common import materialized
 from attest.llm.ngram_lm import count_words
 
-SHORTEST = 16
 _RUN = re.compile(r"[A-Za-z0-9+/_.\-]{16,}={0,2}")
+ONE_CASE = 20  # a run of letters of one case is long from here on
+_ASSIGNED = re.compile(r"""(?:token|secret|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|auth|credential)[\w.\-]{0,40}["']?[ \t]*(?:=>|:=|=|:)[ \t]*["'`]?([^\s"'`]{4,})""", re.I)
+_ADDRESS = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s:/@]{1,200}:([^\s@/]{3,})@", re.I)
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----", re.S)
 _NAMES = re.compile(r"token|secret|passw|pwd|api|auth|bearer|credential|key", re.I)
 _MOCK = re.compile(r"test|example|sample|mock|fixture|doc|readme", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 
+# The formats of known kinds of keys, and of digests, which may be keys or not.
+KEYS = (
+    "A(KI|SI)A[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{36,}", "xox[abprs]-[A-Za-z0-9-]{10,}", "AIza[A-Za-z0-9_-]{35}", "sk_(live|test)_[A-Za-z0-9]{16,}",
+    "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]*", "-----BEGIN [A-Z ]*PRIVATE KEY-----.*",
+)
+DIGESTS = ("[0-9a-fA-F]{32}", "[0-9a-fA-F]{40}", "[0-9a-fA-F]{64}")
+
 FEATURES = (
     "length", "entropy", "digits", "upper", "distinct", "hex", "transition", "switches", "coverage", "quoted", "assigned",
     "name_before", "name_near", "before_known", "after_known", "path_depth", "path_mock", "path_length",
@@ -77,25 +88,47 @@ def coverage(candidate: str, dictionary: set[str], longest: int = 24) -> float:
     return best[-1] / len(candidate)
 
 
-def describe(candidate: str, before: list[str], word: str, after: str, path: str, model: np.ndarray, dictionary: set[str]) -> list[float]:
-    """FEATURES of a candidate that stands in ``word`` after the words ``before``."""
+def describe(candidate: str, before: str, after: str, path: str, model: np.ndarray, dictionary: set[str]) -> list[float]:
+    """FEATURES of a candidate between the texts before and after it."""
     n = len(candidate)
     counts = [candidate.count(c) for c in set(candidate)]
     s = _symbols(candidate)
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in candidate]
-    at = word.find(candidate)
-    prefix, known = word[:at], lambda w: float(any(x.lower() in dictionary for x in _WORDS.findall(w)))
+    words, joined = before.split(), before[-1:] not in ("", " ", "\t", "\n", "\r")
+    prefix, words = (words[-1], words[:-1][-4:]) if joined and words else ("", words[-4:])
+    following, known = after.split()[:1], lambda w: float(any(x.lower() in dictionary for x in _WORDS.findall(w)))
     return [
         float(n), -sum(c / n * log2(c / n) for c in counts), kind.count("d") / n, kind.count("u") / n, len(counts) / n,
         sum(c in "0123456789abcdefABCDEF" for c in candidate) / n, float(model[s[:-1], s[1:]].mean()), sum(a != b for a, b in pairwise(kind)) / n, coverage(candidate, dictionary),
-        float(prefix[-1:] in ("'", '"', "`")), float(bool(re.search("[=:]", prefix) or before and before[-1][-1:] in ("=", ":"))),
-        float(bool(_NAMES.search(prefix) or any(_NAMES.search(w) for w in before[-2:]))), float(any(_NAMES.search(w) for w in before)), known(before[-1]) if before else 0.0, known(after),
+        float(prefix[-1:] in ("'", '"', "`")), float(bool(re.search("[=:]", prefix) or words and words[-1][-1:] in ("=", ":"))),
+        float(bool(_NAMES.search(prefix) or any(_NAMES.search(w) for w in words[-2:]))), float(any(_NAMES.search(w) for w in words)), known(words[-1]) if words else 0.0, known(following[0]) if following else 0.0,
         float(path.count("/")), float(bool(_MOCK.search(path))), float(len(path)),
     ]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where candidates stand in a text, in order and without overlaps: of those that overlap the first, and of these the longest."""
+    found = []
+    if "-----BEGIN" in text:
+        found += [m.span() for m in _BLOCK.finditer(text)]
+    if "://" in text:
+        found += [m.span(1) for m in _ADDRESS.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [m.span(1) for m in _ASSIGNED.finditer(text)]
+    for m in _RUN.finditer(text):
+        x = m[0]
+        mixed = x[1:].upper() != x[1:] and x[1:].lower() != x[1:]
+        if mixed or len(x) >= ONE_CASE or any(map(str.isdigit, x)):
+            found.append(m.span())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def candidates(docs: DataFrame, model: np.ndarray, dictionary: set[str], path: str = "source") -> DataFrame:
-    """doc_id, start, candidate, features: every run of at least 16 key characters with a digit or mixed case, in whole texts."""
+    """doc_id, start, candidate, features of the candidates in whole texts (see spans)."""
     shared = docs.sparkSession.sparkContext.broadcast((model, dictionary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +136,10 @@ def candidates(docs: DataFrame, model: np.ndarray, dictionary: set[str], path: s
         for b in batches:
             rows = []
             for doc, text, where in zip(b.column("doc_id"), b.column("text"), b.column("path"), strict=True):
-                words = (text := text.as_py() or "").split()
-                at = 0
-                for i in [i for i, w in enumerate(words) if len(w) >= SHORTEST]:
-                    word = words[i]
-                    start = text.index(word, at)  # long words come in order, and no shorter one holds one
-                    at = start + len(word)
-                    for m in _RUN.finditer(word):
-                        x = m[0]
-                        if any(map(str.isdigit, x)) or (x[1:].upper() != x[1:] and x[1:].lower() != x[1:]):
-                            rows.append((doc.as_py(), start + m.start(), x, describe(x, words[max(0, i - 4) : i], word, words[i + 1] if i + 1 < len(words) else "", where.as_py() or "", table, known)))
+                text = text.as_py() or ""
+                for start, end in spans(text):
+                    x = text[start:end]
+                    rows.append((doc.as_py(), start, x, describe(x, text[max(0, start - 200) : start], text[end : end + 100], where.as_py() or "", table, known)))
             yield pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["doc_id", "start", "candidate", "features"])
 
     kind = pa.int64()
@@ -121,20 +148,33 @@ def candidates(docs: DataFrame, model: np.ndarray, dictionary: set[str], path: s
 
 
 def weak_labels(found: DataFrame) -> Column:
-    """A stand-in for reviewed findings where there are none: a value of high entropy, of hexadecimal or mixed characters,
-    that is assigned to something with a telling name, is a secret."""
-    f = lambda name: F.element_at("features", FEATURES.index(name) + 1)
-    return ((f("entropy") >= 3.0) & (f("coverage") < 0.5) & (f("digits") < 0.9) & (f("assigned") > 0) & (f("name_before") > 0)).cast("double")
+    """A stand-in for reviewed findings where there are none.
+
+    What has the format of a known kind of key (KEYS) is one. What has that of a digest (DIGESTS) is one if it is set to
+    something with a telling name, else none. Anything else that is set to nothing of such a name is none. All other
+    findings are left for the forest to judge (null); no feature says the format.
+    """
+    is_like = lambda shapes: F.col("candidate").rlike(f"^(?s)({'|'.join(shapes)})$")
+    feature = lambda name: F.element_at("features", FEATURES.index(name) + 1) > 0
+    named = feature("name_before") & feature("assigned")
+    return F.when(is_like(KEYS), 1.0).when(is_like(DIGESTS), named.cast("double")).when(~feature("name_before"), 0.0)
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 11):
-    """A forest from at most max_rows labelled findings (features, label), those with the smallest hash; None without both labels."""
-    rows = labelled.where(F.col("label").isNotNull()).select(array_to_vector("features").alias("x"), "label", F.md5(F.concat_ws(",", "label", F.col("features").cast("array<string>"))).alias("order"))
-    sample = rows.orderBy("order").limit(max_rows).cache()
+    """A forest from at most max_rows distinct labelled findings (features, label), half of either label; None without both.
+
+    Of each label those with the smallest hash are taken. Copies of a finding are one row, which weighs by the logarithm
+    of their number, so that a finding of very many copies doesn't crowd the others out.
+    """
+    order = F.md5(F.concat_ws(",", F.col("features").cast("array<string>")))
+    rows = labelled.where(F.col("label").isNotNull()).groupBy("features", "label").agg(F.log2(F.count("*") + 1.0).alias("weight"))
+    rows = rows.select(array_to_vector("features").alias("x"), "label", "weight", order.alias("order"))
+    half = lambda hit: rows.where(F.col("label") > 0.5 if hit else F.col("label") <= 0.5).orderBy("order").limit(max_rows // 2)
+    sample = half(True).unionByName(half(False)).cache()
     try:
         if sample.select("label").distinct().count() < 2:
             return None
-        return RandomForestClassifier(featuresCol="x", labelCol="label", predictionCol="guess", rawPredictionCol="raw", probabilityCol="p", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(sample.repartition(1))
+        return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="guess", rawPredictionCol="raw", probabilityCol="p", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(sample.repartition(1).sortWithinPartitions("order"))
     finally:
         sample.unpersist()
 
@@ -143,7 +183,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, usable: Column | No
     """doc_id, start, candidate, score, is_secret: every candidate of every whole text with the forest's probability.
 
     labelled: reviewed findings (doc_id, candidate, label 0/1); without them weak_labels() labels the candidates of the
-    ``usable`` rows. Null and empty texts have no candidates; very long ones are read whole; rows with a null doc_id are
+    ``usable`` rows. Private key blocks longer than 20 000 characters are found as their lines. Null and empty texts have no candidates; very long ones are read whole; rows with a null doc_id are
     scanned too; repeated rows repeat their findings. Where labels of both kinds are missing every score is 0.5. A
     document table without the path column has empty paths; other columns are ignored.
     """

@@ -97,11 +97,15 @@ def test_language(spark, docs):
     assert learn_languages(spark.read.parquet(f"{SF}/documents.parquet")).languages == sorted(set(lang.values()))
 
 
-def test_secrets(spark, docs):
-    got = QUERIES["op1_secret_scan"](spark, SF).collect()
-    text = {d: t for d, t, _, _ in docs}
+def test_secrets(spark):
+    """The planted tokens of a larger folder are called secrets and nothing else is, whether the forest saw them or not."""
+    at = SF.replace("0.001", "0.01")
+    text = dict(duckdb.sql(f"SELECT doc_id, text FROM '{at}/documents.parquet'").fetchall())
+    planted = {(d, m.start(1)) for d, t in text.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    got = QUERIES["op1_secret_scan"](spark, at).collect()
     for r in got:
         assert hashlib.sha256(text[r.doc_id][r.start : r.start + r.n_chars].encode()).hexdigest() == r.candidate_sha256
+    assert len(planted) > 5 and {(r.doc_id, r.start) for r in got if r.is_secret} == planted < {(r.doc_id, r.start) for r in got}
 
 
 def test_pipeline(spark, docs):
