@@ -91,23 +91,32 @@ def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(keys: np.ndarray, fps: np.ndarray, most: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of links within the buckets of sorted keys: all pairs of small buckets, spanning links of the others."""
+    """Row numbers of links within the buckets of sorted keys: from the first row of each bucket's component to the others in it.
+
+    Small buckets are compared all at once, pair by pair; the others one by one, by spanning links.
+    """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    few, a, b = sizes <= small, [], []
+    few, near = sizes <= small, [(np.empty(0, np.int64), np.empty(0, np.int64))]
     inside = np.repeat(np.where(few, sizes, 0), sizes)
     place = np.arange(len(keys)) - np.repeat(starts, sizes)
     for k in range(1, small):  # pairs k apart within small buckets, for all buckets at once
         i = np.flatnonzero(place + k < inside)
         i = i[np.bitwise_count(fps[i] ^ fps[i + k]).sum(axis=1) <= most]
-        a.append(i)
-        b.append(i + k)
+        near.append((i, i + k))
     for s, n in zip(starts[~few], sizes[~few], strict=True):
         if found := spanning(fps[s : s + n], most):
-            x = np.array(found) + s
-            a.append(x[:, 0])
-            b.append(x[:, 1])
-    return np.concatenate(a), np.concatenate(b)
+            near.append(tuple(np.array(found).T + s))
+    a, b = (np.concatenate(x) for x in zip(*near, strict=True))
+    first, before = np.arange(len(keys)), None
+    while before is None or (first != before).any():
+        before = first.copy()
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, a, least)
+        np.minimum.at(first, b, least)
+        first = first[first]
+    linked = np.flatnonzero(first != np.arange(len(keys)))
+    return first[linked], linked
 
 
 def _matches(keyed: DataFrame, words: list[str], most: int) -> DataFrame:
@@ -130,6 +139,7 @@ def _matches(keyed: DataFrame, words: list[str], most: int) -> DataFrame:
 
     def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
+            rows = rows[np.lexsort(rows.T[::-1])]  # so that the first of a component is the same one in as many buckets as can be
             fps = np.ascontiguousarray(rows[:, 1:])
             a, b = _bucket_links(rows[:, 0], fps.view(np.uint64), most)
             different = (fps[a] != fps[b]).any(axis=1)
@@ -139,12 +149,22 @@ def _matches(keyed: DataFrame, words: list[str], most: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
 
 
+def _gathered(found: DataFrame) -> DataFrame:
+    """The links (a, b) with each b linked to its smallest a, and its other ones (at most one for each of its keys) to that.
+
+    The members of a large group meet in many buckets, whose links so fall together.
+    """
+    near = found.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("near"))
+    both = F.transform("near", lambda x, i: F.struct(F.get("near", 0).alias("a"), F.when(i == 0, F.col("b")).otherwise(x).alias("b")))
+    return near.select(F.inline(both)).distinct()
+
+
 def links(fps: DataFrame, most: int = 4, segments=SEGMENTS) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints in ``fps`` exactly as all pairs within ``most`` bits do."""
     if sum(r + 1 for _, _, r in segments) <= most or sum(n for _, n, _ in segments) != 64:
         raise ValueError("these segments do not find every pair")
     keyed = fps.select("fp", F.explode(_keys(F.col("fp"), segments)).alias("key"))
-    return _matches(keyed, ["fp"], most).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    return _gathered(_matches(keyed, ["fp"], most).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
@@ -251,7 +271,7 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> lis
     return out
 
 
-NODES, ELEMENTS = 2048, 1 << 21  # a block of a candidate group holds about so many texts and shingles at most
+NODES, ELEMENTS = 1024, 1 << 21  # a block of a candidate group holds about so many texts and shingles at most
 
 
 def _verified(sets: DataFrame, least: float) -> DataFrame:
@@ -316,7 +336,7 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float =
     fps = nodes.groupBy("x", "y").agg(F.count("*").alias("n"))
     keys = F.concat(_keys(F.col("x"), WIDE), F.transform(_keys(F.col("y"), WIDE), lambda k: k.bitwiseOR(F.lit(1 << 48))))
     name = lambda side="": F.concat(F.hex(F.col(f"{side}x")), F.lit("-"), F.hex(F.col(f"{side}y")))
-    near = components(_matches(fps.select("x", "y", F.explode(keys).alias("key")), ["x", "y"], most).select(name("a_").alias("a"), name("b_").alias("b")))
+    near = components(_gathered(_matches(fps.select("x", "y", F.explode(keys).alias("key")), ["x", "y"], most).select(name("a_").alias("a"), name("b_").alias("b"))))
     groups = near.select("node", F.col("root").alias("group")).unionByName(fps.where("n > 1").select(name().alias("node"), name().alias("group")).join(near, "node", "left_anti"))
     members = nodes.join(groups.withColumnRenamed("node", "fp"), name() == F.col("fp")).select("group", "node", F.col("least").alias("id"), "copy")
     sets = plain.join(members, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("group", "node", "text").mapInArrow(cut, "group string, node string, shingles array<long>")

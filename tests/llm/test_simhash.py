@@ -178,7 +178,7 @@ def brute_groups(rows, least=0.8):
     return [find(i) for i in range(len(rows))], pairs
 
 
-@pytest.mark.parametrize("nodes", [2048, 30])
+@pytest.mark.parametrize("nodes", [1024, 30])
 def test_dense_clusters_near_the_threshold(spark, monkeypatch, nodes):
     """Groups as all pairs make them, also where a candidate group is cut into blocks."""
     monkeypatch.setattr(simhash, "NODES", nodes)
