@@ -17,14 +17,13 @@ def admission_reason(df: DataFrame, now: Column, max_triples: int = 1200, max_by
 
     A missing creation time passes. Every limit may be reached but not exceeded.
     """
-    base = F.regexp_replace("full_id", "#.*$", "")
     reason = (
         F.when(F.col("sig_pubkey").isNull(), "no valid key")
         .when(F.col("triple_count") > max_triples, "too many triples")
         .when(F.col("byte_count") > max_bytes, "too large")
         .when(F.col("is_protected") & F.lit(not local), "protected")
         .when(F.col("created_at") > now + F.expr(f"INTERVAL {skew_s} SECONDS"), "in the future")
-        .when(F.exists("graph_uris", lambda g: ~g.startswith(base)), "foreign graph")
+        .when(F.exists("graph_uris", lambda g: ~g.startswith(F.col("full_id"))), "foreign graph")
         .when(F.col("sig_pubkey") != F.col("pubkey"), "unexpected key")
         .when(artifact_code(F.col("full_id")).isNull(), "no artifact code")
     )
@@ -107,19 +106,21 @@ def over_quota(pubkeys: DataFrame, heads: DataFrame, quotas: DataFrame, enforce:
     return joined.select("pubkey", (F.lit(enforce) & ((quota < 0) | (F.coalesce("size", F.lit(0)) >= quota))).alias("over"))
 
 
-def cap_to_quota(pubs: DataFrame, quotas: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cap_to_quota(pubs: DataFrame, quotas: DataFrame, existing: DataFrame, chunk: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """The publications that fit each key's quota in load order, and (pubkey, status): capped, skipped or loaded.
 
-    existing: (pubkey, count) of what is there already.
+    existing: (pubkey, count) of what is there already. A key's publications are numbered within ranges of the counter
+    and the ranges' sizes added afterwards, so that a key of any size never meets in one task.
     """
     joined = pubs.join(quotas, "pubkey", "left").join(existing.withColumnRenamed("count", "have"), "pubkey", "left")
     joined = joined.withColumn("quota", F.coalesce("quota", F.lit(-1))).withColumn("have", F.coalesce("have", F.lit(0)))
-    ranked = joined.withColumn("at", F.row_number().over(W.partitionBy("pubkey").orderBy("counter", "np_id")) + F.col("have"))
-    status = (
-        ranked.groupBy("pubkey")
-        .agg(F.max("quota").alias("quota"), F.max("at").alias("reached"))
-        .select("pubkey", F.when(F.col("quota") < 0, "skipped").when(F.col("reached") > F.col("quota"), "capped").otherwise("loaded").alias("status"))
-    )
+    joined = joined.withColumn("chunk", F.floor(F.col("counter") / chunk))
+    sizes = joined.groupBy("pubkey", "chunk").agg(F.count("*").alias("n"), F.max("quota").alias("most"), F.max("have").alias("had"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("pubkey").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    open_ = sizes.select("pubkey", "chunk", "most", (before + F.col("had")).alias("before")).where(F.col("before") < F.col("most")).select("pubkey", "chunk", "before")
+    ranked = joined.join(open_, ["pubkey", "chunk"]).withColumn("at", F.row_number().over(W.partitionBy("pubkey", "chunk").orderBy("counter", "np_id")) + F.col("before"))
+    total = sizes.groupBy("pubkey").agg(F.max("most").alias("quota"), (F.sum("n") + F.max("had")).alias("reached"))
+    status = total.select("pubkey", F.when(F.col("quota") < 0, "skipped").when(F.col("reached") > F.col("quota"), "capped").otherwise("loaded").alias("status"))
     return ranked.where(F.col("at") <= F.col("quota")).select(*pubs.columns), status
 
 

@@ -43,6 +43,13 @@ def list_heads(entries: DataFrame) -> DataFrame:
     return entries.groupBy(*LIST).agg(F.max("position").alias("max_position"), (F.max("position") + 1).alias("count"), F.max_by("checksum", "position").alias("checksum"))
 
 
+def heads_of_members(members: DataFrame) -> DataFrame:
+    """list_heads() of the lists that members (pubkey, type, np, counter) make, without building them: XOR has no order."""
+    words = [f"w{i}" for i in range(8)]
+    found = members.select(*LIST, *[w.alias(n) for n, w in zip(words, xor_words(F.col("np")), strict=True)]).groupBy(*LIST).agg(F.count("*").alias("count"), *[F.bit_xor(w).alias(w) for w in words])
+    return found.select(*LIST, (F.col("count") - 1).alias("max_position"), "count", words_hex([F.col(w) for w in words]).alias("checksum"))
+
+
 def append_to_lists(heads: DataFrame, entries: DataFrame, new: DataFrame) -> DataFrame:
     """The entries that new members (pubkey, type, np, counter) add; members already listed add nothing."""
     return list_entries(new.join(entries.select(*LIST, "np"), [*LIST, "np"], "left_anti"), heads)

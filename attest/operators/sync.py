@@ -54,12 +54,25 @@ def eligible_peers(peers: DataFrame) -> DataFrame:
 
 
 def peer_sync_plan(peers: DataFrame, state: DataFrame) -> DataFrame:
-    """(url, action, after, setup_id, load_counter). A new peer, and one that was set up anew, is only discovered: it starts from 0 next time."""
+    """(url, action, after, setup_id, load_counter). A new peer, and one that was set up anew, is only discovered: it starts from 0 next time.
+
+    Incremental peers are discovered as well; those to be skipped have nothing new.
+    """
     seen = state.select("url", F.col("setup_id").alias("old_setup"), F.col("load_counter").alias("old_counter"))
     action = F.when(F.col("old_setup").isNull(), "discover").when(F.col("old_setup") != F.col("setup_id"), "reset").when(F.col("old_counter") == F.col("load_counter"), "skip").otherwise("incremental")
     return peers.join(seen, "url", "left").withColumn("action", action).select("url", "action", F.when(F.col("action").isin("skip", "incremental"), F.col("old_counter")).otherwise(0).alias("after"), "setup_id", "load_counter")
 
 
+def next_peer_state(plan: DataFrame, received: DataFrame) -> DataFrame:
+    """(url, setup_id, load_counter) to store after a sync: the counter of the last publication received, else the one before.
+
+    received: (url, last_received) of incremental fetches; -1, null or no row where nothing came.
+    """
+    last = received.groupBy("url").agg(F.max("last_received").alias("last"))
+    counter = F.when((F.col("action") == "incremental") & (F.col("last") > 0), F.col("last")).otherwise(F.col("after"))
+    return plan.join(last, "url", "left").select("url", "setup_id", counter.cast("long").alias("load_counter"))
+
+
 def load_plan(accounts: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(agent, pubkey, type): accounts to load, for each covered type or for all. types is a setting's few words."""
     due = accounts.where("status = 'toLoad'").select("agent", "pubkey")

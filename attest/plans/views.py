@@ -60,17 +60,23 @@ def publications_by_id(pubs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def snapshot_index(snapshots: DataFrame) -> DataFrame:
-    return snapshots.select("hash", "counter", "created_at").orderBy(F.desc("counter"))
+    """(hash, counter, created_at) of each snapshot, the last one first."""
+    return snapshots.select("hash", "counter", "created_at").distinct().orderBy(F.desc("counter"))
 
 
-def snapshot(snapshots: DataFrame, hash_: str) -> DataFrame:
+def snapshot(snapshots: DataFrame, hash_: Column | str) -> DataFrame:
+    """The accounts and edges of one published state; nested() makes a document of them."""
     return snapshots.where(F.col("hash") == hash_)
 
 
-def registry_summary(pubs: DataFrame, accounts: DataFrame, agents: DataFrame, coverage: str = "all") -> DataFrame:
-    """One row with the registry's sizes."""
-    one = pubs.agg(F.count("*").alias("publications"), F.max("counter").alias("load_counter"))
-    return one.crossJoin(accounts.agg(F.count("*").alias("accounts"))).crossJoin(agents.agg(F.count("*").alias("agents"))).withColumn("coverage", F.lit(coverage))
+def registry_summary(pubs: DataFrame, accounts: DataFrame, agents: DataFrame, trust: DataFrame, coverage_types: str = "all", coverage_agents: str = "viaSetting", settings: tuple[str | None, str | None] = (None, None), status: str | None = None) -> DataFrame:
+    """One row: sizes, the last load counter, the trust state (trust: one row trust_hash, trust_counter), coverage, the
+    current and the original setting, and the server's status."""
+    sizes = pubs.agg(F.count("*").alias("publications"), F.max("counter").alias("load_counter"))
+    for one in (accounts.agg(F.count("*").alias("accounts")), agents.agg(F.count("*").alias("agents")), trust.select("trust_hash", "trust_counter")):
+        sizes = sizes.crossJoin(F.broadcast(one))  # one row each
+    texts = {"coverage_types": coverage_types, "coverage_agents": coverage_agents, "current_setting": settings[0], "original_setting": settings[1], "status": status}
+    return sizes.withColumns({k: F.lit(v).cast("string") for k, v in texts.items()})
 
 
 def status_breakdown(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from attest.functions import scalars as S
 from attest.operators import admission as A
@@ -95,9 +97,11 @@ def covered_list_sizes(spark: SparkSession, d: str) -> DataFrame:
     return A.filter_covered_types(members, "click view").groupBy("pubkey", "type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT sha256(t) AS type FROM (VALUES ('click'), ('view'), ('http://purl.org/nanopub/x/declaredBy'), ('http://purl.org/nanopub/x/approvesOf')) v(t), (SELECT count(*) AS n FROM events) WHERE n > 0")
+@query("SELECT DISTINCT sha256(t) AS type FROM (SELECT event_type AS t FROM events WHERE event_type < 'm' UNION ALL VALUES ('http://purl.org/nanopub/x/declaredBy'), ('http://purl.org/nanopub/x/approvesOf'))")
 def covered_type_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return A.covered_type_hashes(spark, "click view").where(F.lit(not X.table(spark, d, "events").isEmpty()))
+    """Of a setting that lists the event types before the letter m."""
+    named = X.table(spark, d, "events").where("event_type < 'm'").agg(F.array_join(F.array_sort(F.collect_set("event_type")), " ")).first()[0]  # a few words
+    return A.covered_type_hashes(spark, named)
 
 
 def _quotas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +130,7 @@ def allowed_publications(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PUBS}, {QUOTAS}, n AS (SELECT pubkey, count(*) AS n FROM p GROUP BY 1) SELECT pubkey, quota < 0 OR n >= quota AS over FROM q JOIN n USING (pubkey)")
 def over_quota(spark: SparkSession, d: str) -> DataFrame:
     keys, quotas = _quotas(spark, d)
-    return A.over_quota(keys, L.list_heads(_entries(spark, d)), quotas)
+    return A.over_quota(keys, L.heads_of_members(L.list_memberships(X.publications(spark, d))), quotas)
 
 
 CAPPED = f"WITH {PUBS}, {QUOTAS}, r AS (SELECT p.*, quota, row_number() OVER (PARTITION BY pubkey ORDER BY counter) + 2 AS nth FROM p JOIN q USING (pubkey))"
@@ -234,22 +238,48 @@ INTROS = """c0 AS (SELECT c_custkey AS i, c_name FROM customer), dk AS (SELECT i
 decl AS (SELECT dk.*, CASE WHEN i % 7 <> 3 THEN c_name END AS intro_name, TIMESTAMP '2020-01-01' + CAST(i % 1000 AS INTEGER) * INTERVAL 1 DAY AS created_at FROM dk JOIN c0 USING (i))"""
 
 
-@query(f"WITH {INTROS} SELECT agent, pubkey, 'RA' || substr(sha256(CAST(i AS VARCHAR)), 1, 43) AS endorsed_np, intro_np AS source, 'toRetrieve' AS status FROM decl WHERE main AND (i % 3 <> 0 OR i = 0)")
+CODES = """n AS (SELECT count(*) AS n FROM customer), ci AS (SELECT c_custkey AS c, 'RA' || substr(sha256('i' || c_custkey), 1, 43) AS np, 'a' || c_custkey AS agent, sha256('K' || c_custkey) AS pubkey, 'B ' || c_name AS name, TIMESTAMP '2020-01-01' + CAST(c_custkey % 1000 AS INTEGER) * INTERVAL 1 DAY AS created_at FROM customer),
+eo AS (SELECT DISTINCT o_orderkey AS k, 'RA' || substr(sha256('o' || o_orderkey), 1, 43) AS source, 'a' || o_custkey AS agent, sha256('K' || o_custkey) AS pubkey, 'RA' || substr(sha256('i' || ((o_orderkey * 31 + o_custkey * 7) % n)), 1, 43) AS endorsed_np FROM orders, n WHERE o_orderkey % 4 = 0)"""
+
+
+@query(f"WITH {CODES} SELECT eo.agent, eo.pubkey, endorsed_np, source, 'toRetrieve' AS status FROM eo JOIN ci USING (agent, pubkey) WHERE k % 40 <> 0")
 def extract_endorsements(spark: SparkSession, d: str) -> DataFrame:
-    decl = X.declarations(spark, d).where(~F.col("pubkey").endswith("b"))
-    pubs = decl.select(F.col("intro_np").alias("np_id"), "pubkey")
-    return Q.extract_endorsements(X.quads(spark, d), pubs, decl)
+    quads, pubs = X.statement_quads(spark, d), X.statement_publications(spark, d)
+    return Q.extract_endorsements(quads, pubs, Q.key_declarations(quads, pubs))
 
 
-@query("SELECT 'i' || c_custkey AS intro_np, 'a' || c_custkey AS agent, sha256('K' || c_custkey) AS pubkey FROM customer")
+@query(f"WITH {CODES} SELECT np AS intro_np, agent, pubkey, created_at FROM ci")
 def key_declarations(spark: SparkSession, d: str) -> DataFrame:
-    return Q.key_declarations(X.quads(spark, d))
+    return Q.key_declarations(X.statement_quads(spark, d), X.statement_publications(spark, d))
 
 
-@query("SELECT 'i' || c_custkey AS np_id, 'B ' || c_name AS name FROM customer")
+@query(f"WITH {CODES} SELECT np AS np_id, name FROM ci")
 def intro_names(spark: SparkSession, d: str) -> DataFrame:
-    found = Q.key_declarations(X.quads(spark, d)).select(F.col("intro_np").alias("np_id"), "agent")
-    return Q.intro_name(X.quads(spark, d), found)
+    quads = X.statement_quads(spark, d)
+    found = Q.key_declarations(quads, X.statement_publications(spark, d)).select(F.col("intro_np").alias("np_id"), "agent")
+    return Q.intro_name(quads, found)
+
+
+@query(f"WITH {CODES} SELECT np AS intro_np, agent, pubkey, name AS intro_name, created_at FROM ci")
+def introductions(spark: SparkSession, d: str) -> DataFrame:
+    return Q.introductions(X.statement_quads(spark, d), X.statement_publications(spark, d))
+
+
+def _stated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """From statements to edges: introductions, endorsements and invalidations all come from the quads."""
+    quads, pubs = materialized(X.statement_quads(spark, d), "quads"), X.statement_publications(spark, d)
+    decl = materialized(Q.introductions(quads, pubs), "introductions")
+    full = pubs.withColumn("full_id", S.nanopub_uri(F.lit(None).cast("string"), F.col("np_id")))
+    return T.build_trust_edges(Q.extract_endorsements(quads, pubs, decl), decl, Q.extract_invalidations(quads, full))
+
+
+STATED = CODES + """, good AS (SELECT eo.* FROM eo JOIN ci USING (agent, pubkey) WHERE k % 40 <> 0), inv AS (SELECT DISTINCT o.source AS np, eo.pubkey FROM eo JOIN eo o ON o.k = eo.k - 4 WHERE eo.k % 12 = 0),
+stated AS (SELECT DISTINCT g.agent AS from_agent, g.pubkey AS from_pubkey, ci.agent AS to_agent, ci.pubkey AS to_pubkey, source, EXISTS (SELECT 1 FROM inv WHERE inv.np = source AND inv.pubkey = g.pubkey) AS invalidated FROM good g JOIN ci ON endorsed_np = np)"""
+
+
+@query(f"WITH {STATED} SELECT * FROM stated")
+def statement_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _stated_edges(spark, d)
 
 
 @query(f"WITH {QUADS} SELECT 'RA' || substr(np_id, 1, 43) AS np_id, subj, 'https://w3id.org/np/' || target AS obj, TRUE AS obj_is_iri FROM said WHERE event_id % 109 <> 0")
@@ -270,7 +300,7 @@ def list_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {HEADS} SELECT * FROM h")
 def list_heads(spark: SparkSession, d: str) -> DataFrame:
-    return L.list_heads(_entries(spark, d))
+    return L.heads_of_members(L.list_memberships(X.publications(spark, d)))
 
 
 @query(f"WITH {ENTRIES} SELECT * FROM e WHERE counter > (SELECT max(counter) // 2 FROM p)")
@@ -308,8 +338,8 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PUBS} SELECT np_id, pubkey, '$' AS type FROM p WHERE user_id % 3 = 0 UNION ALL SELECT np_id, pubkey, type FROM p WHERE user_id % 3 = 0
 UNION ALL SELECT np_id, pubkey, unnest([sha256('click'), sha256('view')]) FROM p WHERE user_id % 3 = 1 UNION ALL SELECT np_id, pubkey, NULL FROM p WHERE user_id % 3 = 2""")
 def route_publications(spark: SparkSession, d: str) -> DataFrame:
-    hashes = [r[0] for r in spark.range(1).select(F.explode(F.array(F.sha2(F.lit("click"), 256), F.sha2(F.lit("view"), 256)))).collect()]
-    return L.route_publications(X.publications(spark, d), _states(spark, d), tuple(hashes))
+    hashes = tuple(hashlib.sha256(t).hexdigest() for t in (b"click", b"view"))
+    return L.route_publications(X.publications(spark, d), _states(spark, d), hashes)
 
 
 @query(f"WITH {MEMBERS} SELECT * FROM m WHERE pubkey IN (SELECT sha256(CAST(user_id AS VARCHAR)) FROM events WHERE user_id % 3 = 0) AND type <> '$'")
@@ -388,14 +418,25 @@ def eligible_peers(spark: SparkSession, d: str) -> DataFrame:
     return G.eligible_peers(_peers(spark, d)).select("url", "setup_id", "load_counter")
 
 
-@query(f"""WITH {PEERS}, s AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'discover' WHEN setup_id <> (k // 2) % 5 THEN 'reset' WHEN k % 2 = 0 THEN 'skip' ELSE 'incremental' END AS action FROM pe)
-SELECT url, action, CASE action WHEN 'skip' THEN k * 10 WHEN 'incremental' THEN k * 10 - 5 ELSE 0 END AS after, setup_id, load_counter FROM s""")
+SYNC = f"""WITH {PEERS}, s AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'discover' WHEN setup_id <> (k // 2) % 5 THEN 'reset' WHEN k % 2 = 0 THEN 'skip' ELSE 'incremental' END AS action FROM pe),
+plan AS (SELECT k, url, action, CASE action WHEN 'skip' THEN k * 10 WHEN 'incremental' THEN k * 10 - 5 ELSE 0 END AS after, setup_id, load_counter FROM s)"""
+
+
+@query(f"{SYNC} SELECT url, action, after, setup_id, load_counter FROM plan")
 def peer_sync_plan(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     state = X.table(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.concat(F.lit("http://peer/"), k).alias("url"), (F.floor(k / 2) % 5).alias("setup_id"), (k * 10 - F.when(k % 2 == 0, 0).otherwise(5)).alias("load_counter"))
     return G.peer_sync_plan(G.eligible_peers(_peers(spark, d)), state)
 
 
+@query(f"{SYNC} SELECT url, setup_id, CAST(CASE WHEN action = 'incremental' AND k % 5 > 1 THEN k * 10 - 2 ELSE after END AS BIGINT) AS load_counter FROM plan")
+def next_peer_state(spark: SparkSession, d: str) -> DataFrame:
+    """Of each five peers one gives nothing and one can't be read."""
+    k = F.col("s_suppkey")
+    received = X.table(spark, d, "supplier").where("s_suppkey % 5 > 0").select(F.concat(F.lit("http://peer/"), k).alias("url"), F.when(k % 5 == 1, -1).otherwise(k * 10 - 2).alias("last_received"))
+    return G.next_peer_state(peer_sync_plan(spark, d), received)
+
+
 @query(f"WITH {INTROS}, t AS (SELECT unnest([sha256('click'), sha256('view'), sha256('http://purl.org/nanopub/x/declaredBy'), sha256('http://purl.org/nanopub/x/approvesOf')]) AS type) SELECT agent, pubkey, type FROM decl, t WHERE i % 2 = 0")
 def load_plan(spark: SparkSession, d: str) -> DataFrame:
     accounts = X.declarations(spark, d).withColumn("status", F.when(F.substring("agent", 2, 20).cast("long") % 2 == 0, "toLoad").otherwise("loaded"))
@@ -453,28 +494,48 @@ NAMES = """, names AS (SELECT agent, pubkey, max_by(intro_name, created_at) FILT
 STATUS = SCORES + """, st AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN NOT hit THEN status WHEN n > 1 THEN 'contested' WHEN agent IN (SELECT 'a' || c_custkey FROM customer WHERE c_custkey % 3 = 0) THEN 'loaded' ELSE 'toLoad' END AS status, depth, ratio, path_count, quota
   FROM (SELECT *, count(*) OVER (PARTITION BY pubkey) AS n, bool_or(status = 'processed') OVER (PARTITION BY pubkey) AS hit FROM scores))"""
 
-_TRUST: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_TRUST: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _as_read(spark: SparkSession, d: str) -> tuple:
+    """Names the session and the state of the tables that the trust cycle reads."""
+    files = [X.table(spark, d, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in ("customer", "orders")]
+    all_of = F.sum(F.xxhash64("file_path", "file_size", "file_modification_time") % (1 << 40))
+    return (spark.sparkContext.applicationId, d, *(f.agg(all_of).first()[0] for f in files))
 
 
 def trust_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """edges, paths, accounts (with scores), status of the cycle over the test tables; built once a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """edges, paths, accounts (with scores), status of the cycle over the test tables; built once for each state of these in a session."""
+    key = _as_read(spark, d)
     if key not in _TRUST:
-        edges = materialized(T.build_trust_edges(X.endorsements(spark, d), X.declarations(spark, d), X.source_invalidations(spark, d)), "edges")
-        path, account, _ = T.seed_trust(spark, X.declarations(spark, d).select(F.col("intro_np").alias("endorsed_np")), X.SETTING)
+        intros = X.table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("i"), "c_custkey").alias("endorsed_np"))
+        path, account, root = T.seed_trust(spark, intros, X.SETTING)
+        edges = materialized(T.build_trust_edges(X.endorsements(spark, d).unionByName(root), X.declarations(spark, d), X.source_invalidations(spark, d)), "edges")
         trust = T.trust_paths(path, account, edges, X.SETTING, bootstrap=(X.SETTING,))
         trust.paths, trust.accounts = materialized(trust.paths, "paths"), materialized(trust.accounts, "accounts")
         scores = materialized(T.account_scores(trust), "scores")
         third = F.substring("agent", 2, 20).cast("long") % 3 == 0
         live = X.declarations(spark, d).where(third).select("agent", "pubkey", F.lit("loaded").alias("status"))
         status = materialized(T.determine_updates(T.assign_pubkeys(scores), live), "status")
+        _TRUST.clear()
         _TRUST[key] = {"edges": edges, "paths": trust.paths, "accounts": trust.accounts, "scores": scores, "status": status}
     return _TRUST[key]
 
 
+def _endorsements(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the orders and those of the root."""
+    intros = X.table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("i"), "c_custkey").alias("endorsed_np"))
+    return X.endorsements(spark, d).unionByName(T.seed_trust(spark, intros, X.SETTING)[2])
+
+
+@query("SELECT '$' AS agent, '$' AS pubkey, 'i' || c_custkey AS endorsed_np, 'S' AS source, 'toRetrieve' AS status FROM customer WHERE c_custkey % 100 = 0")
+def seed_trust(spark: SparkSession, d: str) -> DataFrame:
+    return _endorsements(spark, d).where("agent = '$'")
+
+
 @query(f"WITH {EDGES} SELECT * FROM edges")
 def trust_edges(spark: SparkSession, d: str) -> DataFrame:
-    return T.build_trust_edges(X.endorsements(spark, d), X.declarations(spark, d), X.source_invalidations(spark, d))
+    return T.build_trust_edges(_endorsements(spark, d), X.declarations(spark, d), X.source_invalidations(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT * FROM followed")
@@ -490,7 +551,7 @@ def edge_fanout(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGES} SELECT agent, pubkey, endorsed_np, source, CASE WHEN CAST(substr(endorsed_np, 2) AS BIGINT) % 6 = 0 THEN 'discarded' ELSE 'retrieved' END AS status FROM ends")
 def endorsement_status(spark: SparkSession, d: str) -> DataFrame:
     intros = X.declarations(spark, d).where(F.substring("intro_np", 2, 20).cast("long") % 6 != 0)
-    return T.endorsement_status(X.endorsements(spark, d), intros).select("agent", "pubkey", "endorsed_np", "source", "status")
+    return T.endorsement_status(_endorsements(spark, d), intros).select("agent", "pubkey", "endorsed_np", "source", "status")
 
 
 @query(f"WITH {INTROS} SELECT agent, pubkey, max_by(intro_name, created_at) FILTER (intro_name IS NOT NULL) AS name, max(created_at) FILTER (intro_name IS NOT NULL) AS name_created_at, min(intro_np) AS intro_np FROM decl GROUP BY ALL")
@@ -570,22 +631,86 @@ def trust_paths_text(spark: SparkSession, d: str) -> DataFrame:
     return P.trust_paths_text(trust_tables(spark, d)["paths"])
 
 
-@query(f"WITH {STATUS} SELECT agent, pubkey, CASE WHEN a.pubkey LIKE '%b' THEN 'added' ELSE 'changed' END AS change FROM scores a JOIN st b USING (agent, pubkey) WHERE a.pubkey LIKE '%b' OR a.status <> b.status")
-def diff_trust_states(spark: SparkSession, d: str) -> DataFrame:
+SHOWN = """, pub AS (SELECT * FROM st LEFT JOIN names USING (agent, pubkey) LEFT JOIN (SELECT agent, pubkey, max(created_at) FILTER (intro_name IS NOT NULL) AS name_created_at, coalesce(arg_max(intro_np, created_at) FILTER (intro_name IS NOT NULL), min(intro_np)) AS intro_np FROM decl GROUP BY ALL) USING (agent, pubkey) WHERE pubkey <> '$' AND status <> 'toLoad'),
+via AS (SELECT from_agent, from_pubkey, to_agent, to_pubkey, CASE WHEN CAST(substr(source, 2) AS BIGINT) % 8 = 0 THEN 'http://full/' ELSE 'https://w3id.org/np/' END || source AS via_np FROM edges SEMI JOIN pub a ON from_agent = a.agent AND from_pubkey = a.pubkey SEMI JOIN pub b ON to_agent = b.agent AND to_pubkey = b.pubkey WHERE NOT invalidated)"""
+TRUST_HASH = "(SELECT sha256(coalesce(string_agg(id || ' (' || type || ')' || chr(10), '' ORDER BY id), '')) FROM paths ANTI JOIN (SELECT * FROM st WHERE status = 'toLoad') x USING (agent, pubkey))"
+FIELDS = ("pubkey", "agent", "name", "name_created_at", "intro_np", "status", "depth", "path_count", "ratio", "quota")
+
+
+def _snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The state of the trust tables, published under counter 7."""
     t = trust_tables(spark, d)
-    return P.diff_trust_states(t["scores"].where(~F.col("pubkey").endswith("b")), t["status"])
+    header = P.trust_state_hash(t["paths"], t["status"]).select(F.col("trust_hash").alias("hash"), F.lit(7).cast("long").alias("counter"), F.lit(NOW).cast("timestamp").alias("created_at"))
+    return P.build_snapshot(header, P.snapshot_accounts(_named(spark, d, "status")), snapshot_edges(spark, d))
 
 
-SNAPS = "snap AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS hash, event_id AS counter, ts AS created_at FROM events)"
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Some 120 earlier states of parts of it, made from the days of the events; the one with counter 3 has the hash of the state itself."""
+    now = _snapshot(spark, d)
+    n = F.col("event_id")
+    older = X.table(spark, d, "events").where("event_id < 120").select(F.sha2(n.cast("string"), 256).alias("h"), (n - 113).alias("c"), F.col("ts").alias("t"))
+    part = now.where(F.col("account.pubkey").endswith("5")).crossJoin(F.broadcast(older))  # at most 120 rows
+    return part.select(F.when(F.col("c") == 3, F.col("hash")).otherwise(F.col("h")).alias("hash"), F.col("c").alias("counter"), F.col("t").alias("created_at"), "account", "edge")
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("hash", "counter", *[F.col(f"account.{c}").alias(c) for c in FIELDS], *[F.col(f"edge.{c}").alias(c) for c in P.EDGE])
+
+
+_NO_EDGE, _NO_ACCOUNT = ", ".join(f"NULL AS {c}" for c in P.EDGE), ", ".join(f"NULL AS {c}" for c in FIELDS)
+ENVELOPE = f"SELECT {TRUST_HASH} AS hash, CAST(7 AS BIGINT) AS counter, {', '.join(FIELDS)}, {_NO_EDGE} FROM pub UNION ALL SELECT {TRUST_HASH}, 7, {_NO_ACCOUNT}, {', '.join(P.EDGE)} FROM via"
+
+
+@query(f"WITH {STATUS} {NAMES} {SHOWN} {ENVELOPE}")
+def snapshot_by_hash(spark: SparkSession, d: str) -> DataFrame:
+    """All accounts and edges of the state with the trust tables' hash, from the stored states after it was published."""
+    stored = materialized(P.store_snapshot(_stored(spark, d), _snapshot(spark, d)), "snapshots")
+    t = trust_tables(spark, d)
+    return _flat(V.snapshot(stored, P.trust_state_hash(t["paths"], t["status"]).first().trust_hash))
+
+
+PUBLISHED = f"old AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS hash, event_id - 113 AS counter, ts AS created_at FROM events WHERE event_id < 120 AND event_id - 113 NOT IN (3)), snap AS (SELECT old.*, n FROM old, (SELECT count(*) AS n FROM pub WHERE pubkey LIKE '%5') WHERE n > 0 UNION ALL SELECT {TRUST_HASH}, 7, TIMESTAMP '{NOW}', (SELECT count(*) FROM pub) + (SELECT count(*) FROM via))"
+
+
+@query(f"WITH {STATUS} {NAMES} {SHOWN}, {PUBLISHED} SELECT hash, counter, sum(n)::BIGINT AS n FROM snap WHERE counter IN (SELECT DISTINCT counter FROM snap ORDER BY counter DESC LIMIT 100) GROUP BY ALL")
+def store_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of the stored states after one was published: an earlier one of the same hash is replaced, the last 100 counters stay."""
+    return P.store_snapshot(_stored(spark, d), _snapshot(spark, d)).groupBy("hash", "counter").agg(F.count("*").alias("n"))
 
 
-def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), F.col("event_id").alias("counter"), F.col("ts").alias("created_at"))
+@query(f"WITH {STATUS} {NAMES} {SHOWN}, {PUBLISHED} SELECT DISTINCT hash, counter, created_at FROM snap WHERE n > 0")
+def snapshot_index(spark: SparkSession, d: str) -> DataFrame:
+    return V.snapshot_index(P.store_snapshot(_stored(spark, d), _snapshot(spark, d), keep=1000))
+
+
+SNAPS = "snap AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS hash, event_id AS counter, ts AS created_at FROM events)"
 
 
 @query(f"WITH {SNAPS} SELECT * FROM snap ORDER BY counter DESC LIMIT 100")
 def prune_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return P.prune_snapshots(_snapshots(spark, d))
+    events = X.table(spark, d, "events")
+    return P.prune_snapshots(events.select(F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), F.col("event_id").alias("counter"), F.col("ts").alias("created_at")))
+
+
+@query(f"""WITH {STATUS}, ps AS (SELECT event_id, 'h' || (event_id % 7) AS new_hash, CASE WHEN event_id % 5 > 0 THEN 'h' || (event_id % 3) END AS previous_hash, CASE WHEN event_id % 4 > 0 THEN 'h' || (event_id % 6) END AS stored_hash, event_id AS counter FROM events),
+act AS (SELECT *, CASE WHEN stored_hash IS NULL AND (SELECT count(*) FROM st WHERE status = 'toLoad') > 0 THEN 'hold' WHEN new_hash = previous_hash THEN 'keep' ELSE 'publish' END AS action FROM ps)
+SELECT event_id, action, counter + CASE WHEN action = 'publish' AND new_hash IS DISTINCT FROM stored_hash THEN 1 ELSE 0 END AS next_counter, CASE WHEN action = 'publish' THEN new_hash ELSE stored_hash END AS next_hash FROM act""")
+def publish_decision(spark: SparkSession, d: str) -> DataFrame:
+    """One decision for each event, with hashes made of its id."""
+    n, h = F.col("event_id"), lambda k: F.concat(F.lit("h"), F.col("event_id") % k)
+    states = X.table(spark, d, "events").select("event_id", h(7).alias("new_hash"), F.when(n % 5 > 0, h(3)).alias("previous_hash"), F.when(n % 4 > 0, h(6)).alias("stored_hash"), n.alias("counter"))
+    return P.publish_decision(states, trust_tables(spark, d)["status"]).select("event_id", "action", "next_counter", "next_hash")
+
+
+@query(f"""WITH {STATUS} {NAMES} {SHOWN} SELECT agent, pubkey, NULL AS to_agent, NULL AS to_pubkey, NULL AS via_np, CASE WHEN a.pubkey LIKE '%b' THEN 'added' ELSE 'changed' END AS change FROM scores a JOIN st b USING (agent, pubkey) WHERE a.pubkey LIKE '%b' OR a.status <> b.status
+UNION ALL SELECT DISTINCT from_agent, from_pubkey, to_agent, to_pubkey, via_np, CASE WHEN to_pubkey LIKE '%b' THEN 'added' ELSE 'removed' END FROM via WHERE to_pubkey LIKE '%b' OR to_pubkey LIKE '%7'""")
+def diff_trust_states(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts and edges; the earlier state lacks keys that end in b, the later one edges to keys that end in 7."""
+    t, edges = trust_tables(spark, d), snapshot_edges(spark, d)
+    ends = lambda x: F.col("to_pubkey").endswith(x)
+    accounts = P.diff_trust_states(t["scores"].where(~F.col("pubkey").endswith("b")), t["status"])
+    changed = P.diff_edges(edges.where(~ends("b")), edges.where(~ends("7"))).withColumnsRenamed({"from_agent": "agent", "from_pubkey": "pubkey"})
+    return accounts.unionByName(changed, allowMissingColumns=True)
 
 
 # --- reports
@@ -650,19 +775,11 @@ def publications_by_id(spark: SparkSession, d: str) -> DataFrame:
     return V.publications_by_id(X.publications(spark, d), ids).select("np_id", "counter")
 
 
-@query(f"WITH {SNAPS} SELECT * FROM snap")
-def snapshot_index(spark: SparkSession, d: str) -> DataFrame:
-    return V.snapshot_index(_snapshots(spark, d))
-
-
-@query(f"WITH {SNAPS} SELECT * FROM snap WHERE hash = sha256('5')")
-def snapshot_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    return V.snapshot(_snapshots(spark, d), "ef2d127de37b942baad06145e54b0c619a1f22327b2ebbcfbec78f5564afe39d")
-
-
-@query(f"WITH {AGENTS} SELECT (SELECT count(*) FROM events) AS publications, (SELECT max(event_id) + 1 FROM events) AS load_counter, (SELECT count(*) FROM acc) AS accounts, (SELECT count(*) FROM ag) AS agents, 'all' AS coverage")
+@query(f"WITH {STATUS}, ag AS (SELECT DISTINCT agent FROM scores WHERE status = 'processed') SELECT (SELECT count(*) FROM events) AS publications, (SELECT max(event_id) + 1 FROM events) AS load_counter, (SELECT count(*) FROM acc) AS accounts, (SELECT count(*) FROM ag) AS agents, {TRUST_HASH} AS trust_hash, CAST(7 AS BIGINT) AS trust_counter, 'click view' AS coverage_types, 'viaSetting' AS coverage_agents, 'S' AS current_setting, 'S0' AS original_setting, 'ready' AS status")
 def registry_summary(spark: SparkSession, d: str) -> DataFrame:
-    return V.registry_summary(X.publications(spark, d), trust_tables(spark, d)["accounts"], agents(spark, d))
+    t = trust_tables(spark, d)
+    trust = P.trust_state_hash(t["paths"], t["status"]).withColumn("trust_counter", F.lit(7).cast("long"))
+    return V.registry_summary(X.publications(spark, d), t["accounts"], agents(spark, d), trust, "click view", settings=(X.SETTING, "S0"), status="ready")
 
 
 @query(f"WITH {STATUS} SELECT status, count(*) AS n FROM st GROUP BY 1")
@@ -672,7 +789,7 @@ def status_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EDGES} SELECT agent, pubkey, endorsed_np, source, 'toRetrieve' AS status FROM ends")
 def endorsements_report(spark: SparkSession, d: str) -> DataFrame:
-    return V.endorsements_report(X.endorsements(spark, d))
+    return V.endorsements_report(_endorsements(spark, d))
 
 
 @query(f"WITH {TRUST} SELECT agent, pubkey, depth, status FROM acc")
@@ -685,48 +802,115 @@ def peer_state(spark: SparkSession, d: str) -> DataFrame:
     return V.peer_state(G.eligible_peers(_peers(spark, d)))
 
 
-# --- streams over the events, cut into files by ranges of ids
+# --- streams over the events, which land in ranges of ids
 
 
 STREAMED = ["np_id", "full_id", "counter", "pubkey", "types", "created_at", "triple_count", "byte_count", "is_protected", "graph_uris", "sig_pubkey"]
 
 
-def _feed(spark: SparkSession, d: str, overlap: bool = False, files: int = 4) -> tuple[DataFrame, str]:
-    """A stream over files in counter order, and a folder for its results. overlap: every file repeats the start of the next."""
+def _fed(spark: SparkSession, d: str, start: Callable[[DataFrame, str], StreamingQuery], overlap: bool = False, times: int = 4) -> str:
+    """Lets publications land in counter order, so many times, and a stream take each time what is new; gives the folder of its results.
+
+    overlap: each time some of the next publications come as well, and so come twice.
+    """
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     pubs = X.publications(spark, d).select(*STREAMED)
     top = pubs.agg(F.max("counter")).first()[0] or 0
-    for i in range(files):
-        low, high = top * i // files, top * (i + 1) // files + (top // 20 if overlap else 0)
-        pubs.where((F.col("counter") > low) & (F.col("counter") <= high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    return feeds.stream_publications(spark, f"{at}/in"), at
+    for i in range(times):
+        low, high = top * i // times, top * (i + 1) // times + (top // 20 if overlap else 0)
+        pubs.where((F.col("counter") > low) & (F.col("counter") <= high)).write.mode("append").parquet(f"{at}/in")
+        start(feeds.stream_publications(spark, f"{at}/in"), at).awaitTermination()
+    return at
 
 
 @query(f"WITH {ENTRIES} SELECT * FROM e")
 def stream_append_lists(spark: SparkSession, d: str) -> DataFrame:
-    stream, at = _feed(spark, d, overlap=True)
-    feeds.stream_append_lists(feeds.stream_dedupe(stream), f"{at}/lists", f"{at}/checkpoint").awaitTermination()
+    at = _fed(spark, d, lambda stream, at: feeds.stream_append_lists(stream, f"{at}/lists", f"{at}/checkpoint"), overlap=True)
     return spark.read.parquet(f"{at}/lists/entries").select("pubkey", "type", "np", "counter", "position", "checksum")
 
 
+@query(f"WITH {PUBS} SELECT np_id FROM p")
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    def start(stream: DataFrame, at: str) -> StreamingQuery:
+        return feeds.stream_dedupe(stream).select("np_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+
+    return spark.read.schema("np_id string").parquet(f"{_fed(spark, d, start, overlap=True, times=2)}/out")
+
+
 @query(f"WITH {PUBS} SELECT np_id, {REASON} AS reject_reason FROM p WHERE event_type IN ('click', 'view')")
 def stream_admit(spark: SparkSession, d: str) -> DataFrame:
-    stream, at = _feed(spark, d)
-    out = feeds.stream_admit(stream, F.lit(NOW).cast("timestamp"), "click view").select("np_id", "reject_reason")
-    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("np_id string, reject_reason string").parquet(f"{at}/out")
+    def start(stream: DataFrame, at: str) -> StreamingQuery:
+        out = feeds.stream_admit(stream, F.lit(NOW).cast("timestamp"), "click view").select("np_id", "reject_reason")
+        return out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+
+    return spark.read.schema("np_id string, reject_reason string").parquet(f"{_fed(spark, d, start)}/out")
 
 
 @query(f"{CAPPED.replace('+ 2 AS nth', 'AS nth')} SELECT np_id, counter FROM r WHERE nth <= quota")
 def stream_quota_gate(spark: SparkSession, d: str) -> DataFrame:
-    stream, at = _feed(spark, d)
-    feeds.stream_quota_gate(stream, _quotas(spark, d)[1], f"{at}/gate", f"{at}/checkpoint").awaitTermination()
+    quotas = _quotas(spark, d)[1]
+    at = _fed(spark, d, lambda stream, at: feeds.stream_quota_gate(stream, quotas, f"{at}/gate", f"{at}/checkpoint"))
     return spark.read.parquet(f"{at}/gate/passed").select("np_id", "counter")
 
 
 @query(f"WITH {PUBS} SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n, CAST(sum(byte_count) AS BIGINT) AS bytes FROM p GROUP BY 1")
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
-    stream, at = _feed(spark, d)
-    name = f"metrics_{uuid.uuid4().hex}"
-    feeds.stream_metrics(stream, late="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    at = _fed(spark, d, lambda stream, at: feeds.write_metrics(feeds.stream_metrics(stream, late="3650 days"), f"{at}/metrics", f"{at}/checkpoint"))
+    return tables.read_table(spark, f"{at}/metrics")
+
+
+@query(f"WITH {EDGES} SELECT from_agent, from_pubkey, to_agent, to_pubkey, source, invalidated FROM edges")
+def recompute_trust(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, rebuilt each time publications come in; readers find the last complete version."""
+    at = _fed(spark, d, lambda stream, at: feeds.recompute_trust(stream, lambda s: {"edges": trust_edges(s, d)}, f"{at}/trust", f"{at}/checkpoint", every=None), times=2)
+    return tables.read_table(spark, f"{at}/trust/edges")
+
+
+# --- sources and sinks, by way of files in the shared folder
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {PUBS} SELECT np_id, counter, byte_count, len(graph) AS graphs FROM p, (SELECT [1, 2] AS graph) WHERE counter % 2 = 0")
+def read_publications(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "publications")
+    X.publications(spark, d).select(*STREAMED).write.parquet(at)
+    return tables.read_publications(spark, at).where("counter % 2 = 0").select("np_id", "counter", "byte_count", F.size("graph_uris").cast("long").alias("graphs"))
+
+
+@query(f"WITH {PUBS} SELECT DISTINCT pubkey AS np_id FROM p WHERE pubkey NOT IN (SELECT sha256(CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_custkey % 2 = 0)")
+def read_id_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A feed with the key of each event on a line between blank ones, against keys that are known."""
+    at = _folder(spark, "feed")
+    X.publications(spark, d).select(F.explode(F.array(F.lit("  "), F.concat(F.lit(" "), "pubkey", F.lit(" ")))).alias("value")).write.text(at)
+    known = X.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("np_id"))
+    return tables.read_id_feed(spark, at, known)
+
+
+@query("SELECT DISTINCT sha256(CAST(user_id AS VARCHAR)) AS pubkey FROM events")
+def read_peer_pubkeys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that peers give as JSON arrays, one peer for each event type."""
+    at = _folder(spark, "peers")
+    keys = X.publications(spark, d).groupBy("event_type").agg(F.collect_set("pubkey").alias("keys"))
+    keys.select("event_type", F.to_json("keys").alias("value")).write.partitionBy("event_type").text(at)
+    return tables.read_peer_pubkeys(spark, f"{at}/*")
+
+
+@query(f"WITH {HEADS} SELECT * FROM h")
+def write_table(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of a table, of which readers find the second."""
+    at, heads = _folder(spark, "heads"), list_heads(spark, d)
+    tables.write_table(heads.where("type = '$'"), at)
+    tables.write_table(heads, at, ("type",))
+    return tables.read_table(spark, at)
+
+
+@query(f"WITH {HEADS} SELECT pubkey, type, count, checksum FROM h")
+def write_json_export(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with their lists, as nested JSON that is read again."""
+    at = _folder(spark, "json")
+    tables.write_json_export(list_heads(spark, d).groupBy("pubkey").agg(F.collect_list(F.struct("type", "count", "checksum")).alias("lists")), at)
+    read = spark.read.schema("pubkey string, lists array<struct<type:string,count:bigint,checksum:string>>").json(at)
+    return read.select("pubkey", F.inline("lists"))

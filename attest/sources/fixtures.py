@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.functions.scalars import ROOT, hash_of
-from attest.operators.quads import APPROVES, DECLARED_BY, HAS_KEY, INVALIDATES, NAME, RETRACTS, SUPERSEDES
+from attest.functions.scalars import NANOPUB, ROOT, hash_of
+from attest.operators.quads import APPROVES, DECLARED_BY, HAS_ASSERTION, HAS_KEY, INVALIDATES, NAME, RETRACTS, SUPERSEDES
 
 SETTING = "S"
 
@@ -49,14 +49,13 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endorsements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth order is an endorsement by its customer's first key; the root endorses every hundredth customer."""
+    """Every fourth order is an endorsement by its customer's first key."""
     o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
     c = F.col("o_custkey")
     key = F.concat(F.lit("k"), F.when((c % 17 == 0) & (c > 0), c - 1).otherwise(c))
     target = F.concat(F.lit("i"), (F.col("o_orderkey") * 31 + c * 7) % F.col("n"))
     by = o.where("o_orderkey % 4 = 0").crossJoin(F.broadcast(n))  # one row
-    root = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.lit(ROOT).alias("agent"), F.lit(ROOT).alias("pubkey"), F.concat(F.lit("i"), "c_custkey").alias("endorsed_np"), F.lit(SETTING).alias("source"))
-    return by.select(F.concat(F.lit("a"), c).alias("agent"), key.alias("pubkey"), target.alias("endorsed_np"), F.concat(F.lit("o"), "o_orderkey").alias("source")).unionByName(root).withColumn("status", F.lit("toRetrieve"))
+    return by.select(F.concat(F.lit("a"), c).alias("agent"), key.alias("pubkey"), target.alias("endorsed_np"), F.concat(F.lit("o"), "o_orderkey").alias("source"), F.lit("toRetrieve").alias("status"))
 
 
 def source_invalidations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +67,52 @@ def source_invalidations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements: events with k % 4 < 3 retract, invalidate or supersede the publication before; customers declare keys, names and approvals."""
+    """Statements of the events: those with k % 4 < 3 retract, invalidate or supersede the publication before."""
     p = publications(spark, sf_dir)
     g, i = F.concat("full_id", F.lit("/assertion")), F.col("event_id")
     target = F.concat(F.lit("https://w3id.org/np/RA"), F.substring(hash_of((i - 1).cast("string")), 1, 43))
     pred = F.element_at(F.array(F.lit(RETRACTS), F.lit(INVALIDATES), F.lit(SUPERSEDES), F.lit("http://example.org/cites")), F.col("k") % 4 + 1)
-    said = p.where("event_id > 0").select("np_id", g.alias("graph"), F.when(F.col("k") % 3 == 0, F.lit("http://example.org/thing")).otherwise(F.col("full_id")).alias("subj"), pred.alias("pred"), target.alias("obj"), F.lit(True).alias("obj_is_iri"))
-    d = table(spark, sf_dir, "customer").withColumn("np", F.concat(F.lit("i"), "c_custkey")).withColumn("who", F.concat(F.lit("a"), "c_custkey"))
-    row = lambda subj, p, o, iri: F.struct(subj.alias("subj"), F.lit(p).alias("pred"), o.alias("obj"), F.lit(iri).alias("obj_is_iri"))
-    node, key = F.concat("np", F.lit("#d")), F.concat(F.lit("K"), "c_custkey")
-    target = F.concat(F.lit("https://w3id.org/np/RA"), F.substring(hash_of(F.col("c_custkey").cast("string")), 1, 43))
-    of = F.array(row(node, DECLARED_BY, F.col("who"), True), row(node, HAS_KEY, key, False), row(F.col("who"), NAME, F.col("c_name"), False), row(F.col("who"), NAME, F.concat(F.lit("B "), "c_name"), False), row(F.when(F.col("c_custkey") % 3 == 0, F.lit("a0")).otherwise(F.col("who")), APPROVES, target, True))
-    intro = d.select(F.col("np").alias("np_id"), F.concat("np", F.lit("/g")).alias("graph"), F.explode(of).alias("q")).select("np_id", "graph", "q.*")
-    return said.unionByName(intro)
+    return p.where("event_id > 0").select("np_id", g.alias("graph"), F.when(F.col("k") % 3 == 0, F.lit("http://example.org/thing")).otherwise(F.col("full_id")).alias("subj"), pred.alias("pred"), target.alias("obj"), F.lit(True).alias("obj_is_iri"))
+
+
+def code_of(name: Column) -> Column:
+    """An artifact code made of a name."""
+    return F.concat(F.lit("RA"), F.substring(hash_of(name), 1, 43))
+
+
+def _published(statements: DataFrame) -> DataFrame:
+    """Quads of publications (np_id, graph: assertion or pubinfo, subj, pred, obj, obj_is_iri), with heads that name the assertions."""
+    uri = F.concat(F.lit(NANOPUB), "np_id")
+    head = statements.select("np_id").distinct().select("np_id", F.concat(uri, F.lit("/head")).alias("graph"), uri.alias("subj"), F.lit(HAS_ASSERTION).alias("pred"), F.concat(uri, F.lit("/assertion")).alias("obj"), F.lit(True).alias("obj_is_iri"))
+    return head.unionByName(statements.withColumn("graph", F.concat(uri, F.lit("/"), F.col("graph"))))
+
+
+def _said(graph: str, subj: Column, pred: str, obj: Column, iri: bool) -> Column:
+    return F.struct(F.lit(graph).alias("graph"), subj.alias("subj"), F.lit(pred).alias("pred"), obj.alias("obj"), F.lit(iri).alias("obj_is_iri"))
+
+
+def statement_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Introductions i<c> and endorsements o<k> as publications: np_id, pubkey, types, created_at. Every tenth endorsement has another type."""
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    created = F.expr("timestamp'2020-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 1000 as int))")
+    intros = table(spark, sf_dir, "customer").select(code_of(F.concat(F.lit("i"), c)).alias("np_id"), hash_of(F.concat(F.lit("K"), c)).alias("pubkey"), F.array(hash_of(F.lit(DECLARED_BY))).alias("types"), created.alias("created_at"))
+    ends = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(code_of(F.concat(F.lit("o"), k)).alias("np_id"), hash_of(F.concat(F.lit("K"), "o_custkey")).alias("pubkey"), F.array(hash_of(F.when(k % 40 == 0, F.lit("other")).otherwise(F.lit(APPROVES)))).alias("types"), F.lit(None).cast("timestamp").alias("created_at"))
+    return intros.unionByName(ends)
+
+
+def statement_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What these publications state, and what must not count: names, keys and approvals in the pubinfo graph, approvals for others."""
+    c, k = table(spark, sf_dir, "customer"), F.col("o_orderkey")
+    i, who = F.col("c_custkey"), F.concat(F.lit("a"), "c_custkey")
+    key = lambda x: F.concat(F.lit("K"), x)
+    node, name = F.concat(F.lit("#d"), i), F.col("c_name")
+    rows = [
+        _said("assertion", node, DECLARED_BY, who, True), _said("assertion", node, HAS_KEY, key(i), False), _said("pubinfo", node, HAS_KEY, key(F.concat(F.lit("x"), i)), False),
+        _said("pubinfo", who, NAME, F.concat(F.lit("A "), name), False), _said("assertion", who, NAME, F.concat(F.lit("B "), name), False), _said("assertion", F.lit("other"), NAME, F.concat(F.lit("A "), name), False),
+    ]
+    intros = c.select(code_of(F.concat(F.lit("i"), i)).alias("np_id"), F.explode(F.array(*rows)).alias("q")).select("np_id", "q.*")
+    agent, target = F.concat(F.lit("a"), "o_custkey"), F.concat(F.lit(NANOPUB), code_of(F.concat(F.lit("i"), (k * 31 + F.col("o_custkey") * 7) % F.col("n"))))
+    said = F.array(_said("assertion", agent, APPROVES, target, True), _said("pubinfo", agent, APPROVES, F.concat(F.lit(NANOPUB), code_of(F.lit("i1"))), True), _said("assertion", F.lit("a0x"), APPROVES, target, True), _said("assertion", agent, APPROVES, F.lit("no code"), False))
+    others = F.filter(F.array(F.when(k % 12 == 0, _said("assertion", F.col("uri"), RETRACTS, F.concat(F.lit(NANOPUB), code_of(F.concat(F.lit("o"), k - 4))), True))), lambda x: x.isNotNull())
+    ends = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).withColumn("np_id", code_of(F.concat(F.lit("o"), k))).withColumn("uri", F.concat(F.lit(NANOPUB), "np_id"))  # one row
+    return _published(intros.unionByName(ends.select("np_id", F.explode(F.concat(said, others)).alias("q")).select("np_id", "q.*")))

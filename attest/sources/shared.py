@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is configured (tests)."""
+    """spark.checkpoint.dir; where none is configured, a temporary folder in local mode (tests) and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         found = tempfile.mkdtemp(prefix="attest-")
         spark.sparkContext.setCheckpointDir(found)
     return found

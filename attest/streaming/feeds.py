@@ -13,10 +13,13 @@ from attest.operators.admission import admission_reason, cap_to_quota, filter_co
 from attest.operators.lists import LIST, list_entries, list_heads, list_memberships
 from attest.sources.tables import write_table
 
+MEMBERS = "pubkey string, type string, np string, counter bigint"
+ENTRIES = f"{MEMBERS}, position bigint, checksum string"
 HEADS = "pubkey string, type string, max_position bigint, count bigint, checksum string"
+WHOLE = 50  # every so many batches the whole state is written, so that no batch reads more than so many
 
 
-def stream_publications(spark: SparkSession, path: str, files_per_trigger: int = 1, schema: str = schemas.PUBLICATIONS) -> DataFrame:
+def stream_publications(spark: SparkSession, path: str, files_per_trigger: int = 1000, schema: str = schemas.PUBLICATIONS) -> DataFrame:
     """New publication files in order of arrival; the stream's checkpoint remembers how far it came."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -31,23 +34,41 @@ def stream_dedupe(df: DataFrame, watermark: str | None = None) -> DataFrame:
     return df.dropDuplicates(["np_id"]) if watermark is None else df.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["np_id"])
 
 
-def _earlier(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/batch={batch - 1}") if batch else spark.createDataFrame([], schema)
+def _state(spark: SparkSession, path: str, batch: int, schema: str, keys: list[str]) -> DataFrame:
+    """The state before a batch: the last row of each key among the batches since the whole state was written."""
+    if not batch:
+        return spark.createDataFrame([], schema)
+    since = range((batch - 1) // WHOLE * WHOLE, batch)
+    rows = spark.read.schema(f"{schema}, batch int").option("basePath", path).parquet(*[f"{path}/batch={b}" for b in since])
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
+def _put_state(changed: DataFrame, before: DataFrame, path: str, batch: int, keys: list[str]) -> None:
+    """Write what a batch changed; every WHOLE batches everything."""
+    whole = changed if batch % WHOLE else before.join(changed, keys, "left_anti").select(*changed.columns).unionByName(changed)
+    whole.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def append_batch(table: str, coverage: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends a micro-batch to the lists.
+    """A foreachBatch function that appends a micro-batch to the lists; members already listed add nothing.
 
-    Each batch writes its entries and the heads after it under its own number, and starts from the heads of the batch
-    before; done again after a crash it overwrites the same folders with the same rows.
+    Each batch writes its entries and the heads that it changed under its own number, and goes on from the heads before
+    it; done again after a crash it overwrites the same folders with the same rows. Earlier entries are only looked
+    through for the batch's own members.
     """
 
     def run(df: DataFrame, batch: int) -> None:
-        heads = _earlier(df.sparkSession, f"{table}/heads", batch, HEADS)
-        list_entries(list_memberships(df, coverage), heads).write.mode("overwrite").parquet(f"{table}/entries/batch={batch}")
-        added = list_heads(df.sparkSession.read.parquet(f"{table}/entries/batch={batch}"))
-        after = heads.join(added.select(*LIST), LIST, "left_anti").unionByName(added)
-        after.write.mode("overwrite").parquet(f"{table}/heads/batch={batch}")
+        spark = df.sparkSession
+        members = list_memberships(df, coverage)
+        heads = _state(spark, f"{table}/heads", batch, HEADS, LIST)
+        if batch:
+            known = spark.read.schema(f"{MEMBERS}, batch int").option("basePath", f"{table}/entries").parquet(*[f"{table}/entries/batch={b}" for b in range(batch)])
+            members = members.join(known.join(members.select(*LIST, "np"), [*LIST, "np"], "left_semi").select(*LIST, "np"), [*LIST, "np"], "left_anti")
+        list_entries(members, heads).write.mode("overwrite").parquet(f"{table}/entries/batch={batch}")
+        added = list_heads(spark.read.schema(ENTRIES).parquet(f"{table}/entries/batch={batch}"))
+        _put_state(added, heads, f"{table}/heads", batch, LIST)
 
     return run
 
@@ -60,11 +81,12 @@ def quota_batch(table: str, quotas: DataFrame) -> Callable[[DataFrame, int], Non
     """A foreachBatch function that lets publications through up to each key's quota, counting on from batch to batch."""
 
     def run(df: DataFrame, batch: int) -> None:
-        have = _earlier(df.sparkSession, f"{table}/counts", batch, "pubkey string, count bigint")
+        have = _state(df.sparkSession, f"{table}/counts", batch, "pubkey string, count bigint", ["pubkey"])
         passed, _ = cap_to_quota(df, quotas, have)
         passed.write.mode("overwrite").parquet(f"{table}/passed/batch={batch}")
-        now = df.sparkSession.read.schema(df.schema).parquet(f"{table}/passed/batch={batch}").groupBy("pubkey").count()
-        have.unionByName(now).groupBy("pubkey").agg(F.sum("count").alias("count")).write.mode("overwrite").parquet(f"{table}/counts/batch={batch}")
+        now = df.sparkSession.read.schema(df.schema).parquet(f"{table}/passed/batch={batch}").groupBy("pubkey").agg(F.count("*").alias("n"))
+        changed = now.join(have, "pubkey", "left").select("pubkey", (F.col("n") + F.coalesce("count", F.lit(0))).alias("count"))
+        _put_state(changed, have, f"{table}/counts", batch, ["pubkey"])
 
     return run
 
@@ -79,11 +101,21 @@ def stream_metrics(df: DataFrame, every: str = "1 hour", late: str = "1 day", ti
     return rows.groupBy(F.window(time, every).alias("w")).agg(F.count("*").alias("n"), F.sum("byte_count").alias("bytes")).select(F.col("w.start").alias("start"), "n", "bytes")
 
 
-def recompute_trust(df: DataFrame, compute: Callable[[SparkSession], dict[str, DataFrame]], table: str, checkpoint: str, every: str = "10 minutes") -> StreamingQuery:
-    """Rebuild the trust tables from scratch as publications come in, and switch to each new version when it is complete."""
+def write_metrics(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """The windows as they stand after each micro-batch: a new version of the table, read by read_table()."""
+    put = lambda rows, batch: write_table(rows, table) and None
+    return df.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def recompute_trust(df: DataFrame, compute: Callable[[SparkSession], dict[str, DataFrame]], table: str, checkpoint: str, every: str | None = "10 minutes") -> StreamingQuery:
+    """Rebuild the trust tables from scratch as publications come in, and switch to each new version when it is complete.
+
+    every: the shortest time between rebuilds; None for one over all that is there.
+    """
 
     def run(batch_df: DataFrame, batch: int) -> None:
         for name, rows in compute(batch_df.sparkSession).items():
             write_table(rows, f"{table}/{name}")
 
-    return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    writer = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

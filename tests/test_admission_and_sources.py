@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from attest import schemas
 from attest.functions.scalars import agent_label, artifact_code, checked_status
 from attest.operators import admission as A
+from attest.operators import quads as Q
 from attest.operators import sequencing as N
+from attest.operators import sync as G
 from attest.sources import tables
 
 CODE = "RA" + "x" * 43
@@ -33,6 +36,7 @@ def publication(**kw):
         ({"is_protected": True}, "protected"),
         ({"created_at": datetime(2024, 1, 1, 0, 1, 1)}, "in the future"),
         ({"graph_uris": [NP, "http://x"]}, "foreign graph"),
+        ({"full_id": NP + "#a", "graph_uris": [NP + "/g"]}, "foreign graph"),
         ({"sig_pubkey": "j"}, "unexpected key"),
         ({"full_id": "http://x", "graph_uris": ["http://x/a"]}, "no artifact code"),
     ],
@@ -97,6 +101,34 @@ def test_nquads_and_feeds(spark, tmp_path):
     assert sorted(r.pubkey for r in tables.read_peer_pubkeys(spark, str(tmp_path / "keys.json")).collect()) == ["k1", "k2"]
 
 
+def test_escapes_in_literals(spark):
+    written = [r"a\tb\\n\n\"", r"\u00e9\U0001F600\\u00e9", r"\'q\\\\", "plain"]
+    lines = spark.createDataFrame([(f'<{NP}> <http://p> "{w}" <{NP}/g> .',) for w in written], "value string")
+    assert [r.obj for r in tables.parse_nquads(lines).collect()] == ['a\tb\\n\n"', "é😀\\u00e9", "'q\\\\", "plain"]
+
+
+def test_only_assertions_count(spark):
+    head = lambda n: (n, f"{n}/h", n, Q.HAS_ASSERTION, f"{n}/a", True)
+    target = "https://w3id.org/np/" + CODE
+    rows = [
+        head("i"), ("i", "i/a", "#d", Q.DECLARED_BY, "A", True), ("i", "i/a", "#d", Q.HAS_KEY, "K", False), ("i", "i/p", "#d", Q.HAS_KEY, "L", False),
+        ("i", "i/a", "A", Q.NAME, "Zoe", False), ("i", "i/p", "A", Q.NAME, "Ann", False), ("i", "i/a", "A", Q.NAME, "Yan", False), ("i", "i/a", "B", Q.NAME, "Abe", False), ("i", "i/a", "A", Q.NAME, "http://x", True),
+        head("e"), ("e", "e/a", "A", Q.APPROVES, target, True), ("e", "e/p", "A", Q.APPROVES, target[:-1] + "y", True), head("f"), ("f", "f/a", "A", Q.APPROVES, target[:-1] + "z", True),
+    ]
+    quads = spark.createDataFrame(rows, schemas.QUADS)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    pubs = spark.createDataFrame([("i", sha("K"), [], datetime(2020, 1, 1)), ("e", sha("K"), [sha(Q.APPROVES)], None), ("f", sha("K"), [sha("other")], None)], "np_id string, pubkey string, types array<string>, created_at timestamp")
+    assert [tuple(r) for r in Q.introductions(quads, pubs).collect()] == [("i", "A", sha("K"), "Yan", datetime(2020, 1, 1))]
+    found = Q.extract_endorsements(quads, pubs, Q.key_declarations(quads, pubs)).collect()
+    assert [(r.agent, r.endorsed_np, r.source) for r in found] == [("A", CODE, "e")]
+
+
+def test_next_counters_of_peers(spark):
+    plan = spark.createDataFrame([("a", "incremental", 5, 1, 9), ("b", "incremental", 5, 1, 9), ("c", "skip", 9, 1, 9), ("d", "discover", 0, 1, 9)], "url string, action string, after long, setup_id long, load_counter long")
+    got = G.next_peer_state(plan, spark.createDataFrame([("a", 7), ("b", -1), ("d", 8)], "url string, last_received long"))
+    assert {r.url: r.load_counter for r in got.collect()} == {"a": 7, "b": 5, "c": 9, "d": 0}
+
+
 def test_tables_are_switched_when_complete(spark, tmp_path):
     at = str(tmp_path / "t")
     for n in (3, 5):

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attest import schemas
-from attest.operators.lists import list_entries, list_memberships
+from attest.operators.lists import heads_of_members, list_entries, list_memberships
 from attest.sources import tables
 from attest.streaming import feeds
 
@@ -30,6 +30,18 @@ def test_batches_done_again_change_nothing(spark, tmp_path):
     assert rows(spark.read.parquet(f"{at}/entries")) == rows(list_entries(list_memberships(pubs)))
 
 
+def test_members_listed_before_are_not_listed_again(spark, tmp_path, monkeypatch):
+    """Publications that come again in later batches add nothing; heads are those of all batches, however seldom written whole."""
+    monkeypatch.setattr(feeds, "WHOLE", 2)
+    pubs, at = publications(spark, 60), str(tmp_path / "lists")
+    step = feeds.append_batch(at)
+    for batch, (low, high) in enumerate([(0, 20), (10, 30), (0, 30), (30, 45), (5, 60), (0, 60)]):
+        step(pubs.where((F.col("counter") > low) & (F.col("counter") <= high)), batch)
+    assert rows(spark.read.parquet(f"{at}/entries")) == rows(list_entries(list_memberships(pubs)))
+    heads = feeds._state(spark, f"{at}/heads", 6, feeds.HEADS, ["pubkey", "type"])
+    assert sorted(map(tuple, heads.select("pubkey", "type", "count", "checksum").collect())) == sorted(map(tuple, heads_of_members(list_memberships(pubs)).select("pubkey", "type", "count", "checksum").collect()))
+
+
 def test_quota_gate_counts_on(spark, tmp_path):
     quotas = spark.createDataFrame([("k0", 5), ("k1", 100), ("k2", -1)], "pubkey string, quota int")
     step = feeds.quota_batch(str(tmp_path), quotas)

@@ -90,10 +90,44 @@ def test_hash_leaves_out_accounts_to_load(spark):
     assert P.trust_state_hash(p, to_load).first()[0] == hashlib.sha256(b"$ (primary)\n").hexdigest()
     assert P.trust_state_hash(p, to_load.where("false")).first()[0] == hashlib.sha256(b"$ (primary)\n$ A|1 (extended)\n").hexdigest()
     assert P.fingerprint(p, to_load).first()[0] != P.fingerprint(p, to_load.where("false")).first()[0]
-    assert P.publish_decision("x", None, to_load, 3) == ("hold", 3)
-    assert P.publish_decision("x", "x", to_load, 3) == ("keep", 3)
-    assert P.publish_decision("y", "x", to_load, 3) == ("publish", 4)
-    assert P.publish_decision("y", None, to_load.where("false"), 0) == ("publish", 1)
+    assert P.trust_state_hash(p.where("false"), to_load).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("new", "previous", "stored", "waits", "want"),
+    [
+        ("x", None, None, True, ("hold", 3, None)),
+        ("x", None, None, False, ("publish", 4, "x")),
+        ("x", "x", "x", True, ("keep", 3, "x")),
+        ("y", "x", "x", True, ("publish", 4, "y")),
+        ("y", "x", "y", True, ("publish", 3, "y")),  # an interrupted run has stored it: the counter does not move again
+        ("x", "x", None, True, ("hold", 3, None)),
+    ],
+)
+def test_publishing(spark, new, previous, stored, waits, want):
+    states = spark.createDataFrame([(new, previous, stored, 3)], "new_hash string, previous_hash string, stored_hash string, counter long")
+    accounts = spark.createDataFrame([("A", "1", "toLoad" if waits else "loaded")], "agent string, pubkey string, status string")
+    r = P.publish_decision(states, accounts).first()
+    assert (r.action, r.next_counter, r.next_hash) == want
+    assert P.publish_decision(states, accounts, full_load=False).first().action != "hold"
+    assert P.publish_decision(states, accounts.where("false")).first().action != "hold"
+
+
+def test_snapshots(spark):
+    accounts = spark.createDataFrame([("A", "1", "loaded", 1, 0.5, 1, 1000, "Ann", None, "i1"), ("$", "$", "processed", 0, 0.1, 0, 1, None, None, None), ("B", "2", "toLoad", 1, 0.1, 1, 1000, None, None, "i2"), ("C", "3", "contested", 2, None, None, None, None, None, "i3")], schemas.ACCOUNTS)
+    shown = P.snapshot_accounts(accounts)
+    rows = edges(spark, [("A", "1", "C", "3"), ("A", "1", "B", "2"), ("C", "3", "A", "1", "RAx", False), ("C", "3", "A", "1", "RAy", True)])
+    via = P.snapshot_edges(rows, shown, spark.createDataFrame([("S", "http://full/S")], "np_id string, full_id string"))
+    assert {(r.from_agent, r.to_agent, r.via_np) for r in via.collect()} == {("A", "C", "http://full/S"), ("C", "A", "https://w3id.org/np/RAx")}
+    header = lambda h, c: spark.createDataFrame([(h, c)], "hash string, counter long").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    one = P.build_snapshot(header("h1", 1), shown, via)
+    doc = P.nested(one).first()
+    assert [(a.pubkey, a.agent, a.name, a.quota) for a in doc.accounts] == [("1", "A", "Ann", 1000), ("3", "C", None, None)] and len(doc.edges) == 2
+    again = P.store_snapshot(one, P.build_snapshot(header("h1", 2), shown.where("agent = 'A'"), via.where("false")))
+    assert [(r.hash, r.counter, r.account.agent, r.edge) for r in again.collect()] == [("h1", 2, "A", None)]
+    two = P.store_snapshot(again, P.build_snapshot(header("h2", 3), shown, via), keep=1)
+    assert {r.hash for r in two.collect()} == {"h2"} and two.count() == 4
+    assert {(r.from_agent, r.change) for r in P.diff_edges(via, via.where("from_agent = 'A'")).collect()} == {("C", "removed")}
 
 
 def test_path_text(spark):
