@@ -68,8 +68,9 @@ class Profiles:
             return "und", 0.0
         mine = top(keys, counts, self.size)
         at = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
-        known = self.keys[at] == mine
-        away = np.where(known, np.abs(self.ranks[:, at] - np.arange(len(mine))), self.size).sum(axis=1)
+        ranks = self.ranks[:, at]  # size where a language doesn't have the n-gram, which then is out of place as far as can be
+        held = (self.keys[at] == mine) & (ranks < self.size)
+        away = np.where(held, np.abs(ranks - np.arange(len(mine))), self.size).sum(axis=1)
         near = np.exp((away.min() - away) * (30.0 / (len(mine) * self.size)))
         best = int(away.argmin())
         return self.languages[best], float(near[best] / near.sum())

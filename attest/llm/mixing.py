@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.llm.common import materialized, word_count
+from attest.llm.common import materialized, spare, word_count
 
 #: Relative demand of a source in each phase of training, by the source's rank; every row has mean 1.
 PHASES = ((1.5, 1.25, 0.75, 0.5), (0.5, 0.75, 1.25, 1.5), (1.0, 1.0, 1.0, 1.0))
@@ -64,22 +64,27 @@ def _position(done: Column, rank: Column, phases: Sequence[Sequence[float]] = PH
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, bucket_digits: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position, again, source: one row per document, sorted by position.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, bucket_digits: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position, again, source and the columns ``keep``: one row per document, sorted by position.
 
     size counts the words of the whole text (null: 0). A source is read in the order of md5(doc_id), from the start
     again after its end, until its target is met; taken counts the words so read (the last document may be cut). position
     is the training time of the first reading and again that of the second; both are null where there is none. Documents
     without words take nothing. Null sources form one source. Rows with the same doc_id are told apart by size and else
-    interchangeable. An empty table gives no rows. Other columns are ignored.
+    interchangeable. An empty table gives no rows. Other columns are ignored; those kept go through two shuffles, and
+    names of the result's own columns can't be kept. See readings() for a row each time a document is read.
 
     Running sums are taken in 16**bucket_digits hash buckets a source, with the buckets' sums added before them, so that
     a source with a third of all rows never meets in one task.
     """
-    sized = materialized(
-        docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order_key")).withColumn("bucket", F.substring("order_key", 1, bucket_digits)),
-        "mix-sizes",
-    )
+    own = ("doc_id", "size", "source_size", "target", "taken", "position", "again", "source")
+    if most > 2 or set(keep) & set(own):
+        raise ValueError("a document is read twice at most" if most > 2 else f"not to be kept: {sorted(set(keep) & set(own))}")
+    order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    kept = [spare(docs, f"{c}_kept") for c in keep]
+    sized = docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size"), order_key.alias("order_key"), F.substring(order_key, 1, bucket_digits).alias("bucket"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    if not keep:  # else the texts are read again, which is cheaper than to write them
+        sized = materialized(sized, "mix-sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     offsets = (
@@ -106,5 +111,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
     return placed.select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), time_of(0).alias("position"),
-        (time_of(1) if most > 1 else F.lit(None).cast("double")).alias("again"), "source",
+        (time_of(1) if most > 1 else F.lit(None).cast("double")).alias("again"), "source", *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)],
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def readings(mixed: DataFrame) -> DataFrame:
+    """The training order: a row of mix_sources() for each time a document is read, with reading (0 or 1), words and at (its position), sorted by that.
+
+    Documents that are not read have no row.
+    """
+    first = F.least("size", "taken")
+    times = [F.struct(F.lit(n).alias("reading"), words.cast("long").alias("words"), F.col(at).alias("at")) for n, words, at in ((0, first, "position"), (1, F.col("taken") - first, "again"))]
+    rows = mixed.select(*[c for c in mixed.columns if c not in ("position", "again")], F.inline(F.array(*times)))
+    return rows.where("words > 0").orderBy("at", "doc_id", "reading")

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from attest.llm.mixing import mix_sources, source_targets
+from attest.llm.mixing import mix_sources, readings, source_targets
 
 SCHEMA = "doc_id long, text string, source string, size string, target int"
 
@@ -59,3 +59,23 @@ def test_reruns_agree_and_come_sorted(spark):
 
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_kept_columns_and_readings(spark):
+    rows = [(i, " ".join(["w"] * (i % 7)), f"s{i % 3}", f"n{i}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string, order_key int")
+    plain, kept = mix_sources(df), mix_sources(df, keep=["text", "note", "order_key"])
+    assert kept.columns == [*plain.columns, "text", "note", "order_key"]
+    assert [tuple(r) for r in kept.drop("text", "note", "order_key").collect()] == [tuple(r) for r in plain.collect()]
+    assert all((r.text, r.note, r.order_key) == (rows[r.doc_id][1], rows[r.doc_id][3], r.doc_id) for r in kept.collect())
+    read = readings(kept).collect()
+    assert [r["at"] for r in read] == sorted(r["at"] for r in read)
+    words = defaultdict(int)
+    for r in read:
+        words[r.doc_id] += r.words
+        assert 0 < r.words <= r.size and r.text == rows[r.doc_id][1]
+    assert {r.doc_id: r.taken for r in plain.collect() if r.taken} == dict(words)
+    assert any(r.reading == 1 for r in read)
+    for wrong in ({"most": 3.0}, {"keep": ["taken"]}):
+        with pytest.raises(ValueError):
+            mix_sources(df, **wrong)

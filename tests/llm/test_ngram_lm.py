@@ -27,7 +27,7 @@ def corpus(n=300, seed=1):
 
 
 def tokens(text):
-    return [w.encode() for w in (text or "").lower().split()] + [b""]
+    return [*(text or "").encode().lower().split(), b""]
 
 
 def brute(train, texts, head_share, share, order, discount):
@@ -41,7 +41,7 @@ def brute(train, texts, head_share, share, order, discount):
         every = Counter(tuple(r[i : i + k]) for r in ([None, *r] for r in runs) for i in range(len(r) - k + 1))
         grams[k] = {g: x for g, x in every.items() if x >= share * n and all(w is None or w in frequent for w in g) and (k == 2 or (g[:-1] in grams[k - 1] and g[1:] in grams[k - 1]))}
     seen = lambda h: len(runs) if h == (None,) else c[h[0]] if len(h) == 1 else grams[len(h)][h]
-    below = {}
+    below, back = {}, {}
     for k in grams:
         for g in grams[k]:
             below.setdefault(g[:-1], []).append(g[-1])
@@ -53,8 +53,10 @@ def brute(train, texts, head_share, share, order, discount):
             return (grams[len(h) + 1][*h, w] - discount) / seen(h)
         if h not in below:
             return p(w, h[1:])
-        left = 1 - sum((grams[len(h) + 1][*h, x] - discount) / seen(h) for x in below[h])
-        return left / (1 - sum(p(x, h[1:]) for x in below[h])) * p(w, h[1:])
+        if h not in back:
+            left = 1 - sum((grams[len(h) + 1][*h, x] - discount) / seen(h) for x in below[h])
+            back[h] = left / (1 - sum(p(x, h[1:]) for x in below[h]))
+        return back[h] * p(w, h[1:])
 
     out = []
     for text in texts:
