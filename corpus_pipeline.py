@@ -37,7 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs).where(F.col("taken") > 0)
+    """The texts in training order, with what the mix takes of each."""
+    return mix_sources(docs, keep=[c for c in docs.columns if c not in ("doc_id", "source")]).where(F.col("taken") > 0)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
