@@ -6,12 +6,14 @@ most ten rounds of one join each. The edges' shares do not change between rounds
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.functions.scalars import ROOT, path_intermediates, path_sorthash, quota_from_ratio
+from attest.functions.scalars import ROOT, path_sorthash, quota_from_ratio
 from attest.operators.admission import followed_edges
 from attest.sources.shared import checkpointed, materialized
 
@@ -119,7 +121,7 @@ def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame,
     known, frontier, level = checkpointed(root_account.select(*KEY)), root_account.select(*KEY), root_path
     gates, rounds = [], 0
     for depth in range(1, max_depth + 1):
-        best = checkpointed(best_paths(level, frontier, depth - 1))
+        best = best_paths(level, frontier, depth - 1)  # of small tables that are written: cheaper to take again than to write
         done.append(best)
         level = checkpointed(expand_paths(best, fanout, setting, depth))
         setting_paths.append(level)
@@ -128,11 +130,11 @@ def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame,
         gate = checkpointed(core_gate(seen, level, min_ratio).withColumn("depth", F.lit(depth)))
         gates.append(gate)
         rounds = depth
-        if gate.where("counted").isEmpty():
+        if not gate.agg(F.bool_or("counted")).first()[0]:
             break
         known, frontier = known.unionByName(gate.select(*KEY)), gate.where("status = 'visited'").select(*KEY)
     union = lambda frames: [f := frames[0], [f := f.unionByName(x) for x in frames[1:]]] and f
-    primary = union(done)
+    primary = checkpointed(union(done))
     paths = retain_parent(union(setting_paths), primary)
     expanded = primary.select(*KEY).withColumn("hit", F.lit(True))
     states = union([root_account.select(*KEY, "status", "depth"), *[g.select(*KEY, "status", "depth") for g in gates]])
@@ -140,30 +142,46 @@ def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame,
     return Trust(paths, accounts, rounds)
 
 
-def independent_path_count(ordered: Column) -> Column:
-    """Of an account's ordered paths (array of struct with id), those none of whose intermediate accounts was met before.
+def independent_path_count(paths: DataFrame) -> DataFrame:
+    """(agent, pubkey, ratio, path_count) of each account: the sum over its paths, and the number of independent ones.
 
-    A path's intermediates are remembered up to the first one that was.
+    Paths are taken by depth, then ratio, then sorthash. One is independent if none of its intermediate accounts was met
+    before, in an earlier path or its own; intermediates are remembered up to the first that was. As this can only be told
+    in sequence, an account's paths are streamed in order (sorted with spilling); a task holds the accounts met, not the
+    paths, and takes a step for each.
     """
-    def step(state: Column, row: Column) -> Column:
-        mid = path_intermediates(row["id"])
-        met = F.transform(mid, lambda m: F.array_contains(state["seen"], m))
-        # an account that a path passes twice was met by itself
-        twice = F.transform(mid, lambda m, i: F.array_contains(F.slice(mid, F.lit(1), i), m))
-        stop = F.array_position(F.zip_with(met, twice, lambda a, b: a | b), F.lit(True))
-        new = F.when(stop > 0, F.slice(mid, F.lit(1), (stop - 1).cast("int"))).otherwise(mid)
-        return F.struct(F.array_union(state["seen"], new).alias("seen"), (state["n"] + F.when(stop > 0, 0).otherwise(1)).alias("n"))
 
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
-    return F.aggregate(ordered, start, step, lambda s: s["n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, met, total, n = None, set(), 0.0, 0
+        for b in batches:
+            done = []
+            for *key, minus, path in zip(*(b.column(c).to_pylist() for c in (*KEY, "minus", "id")), strict=True):
+                if key != account:
+                    if account:
+                        done.append((*account, total, n))
+                    account, met, total, n = key, set(), 0.0, 0
+                total -= minus
+                for step in path.split(" ")[1:-1]:
+                    if step in met:
+                        break
+                    met.add(step)
+                else:
+                    n += 1
+            yield batch(done)
+        yield batch([(*account, total, n)] if account else [])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"agent": pa.string(), "pubkey": pa.string(), "ratio": pa.float64(), "path_count": pa.int32()}
+        return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    ordered = paths.select(*KEY, "depth", (-F.col("ratio")).alias("minus"), "sorthash", "id").repartition(*KEY).sortWithinPartitions(*KEY, "depth", "minus", "sorthash")
+    return ordered.mapInArrow(run, "agent string, pubkey string, ratio double, path_count int")
 
 
 def account_scores(trust: Trust) -> DataFrame:
     """(agent, pubkey, status, depth, ratio, path_count, quota): expanded accounts are processed; the others have no score."""
     mine = trust.paths.join(trust.accounts.where("status = 'expanded'").select(*KEY), KEY, "left_semi")
-    ordered = mine.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("depth", (-F.col("ratio")).alias("minus"), "sorthash", "id"))).alias("p"))
-    scored = ordered.select(*KEY, F.aggregate("p", F.lit(0.0), lambda s, x: s - x["minus"]).alias("ratio"), independent_path_count(F.col("p")).alias("path_count"))
-    joined = trust.accounts.join(scored, KEY, "left")
+    joined = trust.accounts.join(independent_path_count(mine), KEY, "left")
     return joined.select(*KEY, F.when(F.col("status") == "expanded", "processed").otherwise(F.col("status")).alias("status"), "depth", "ratio", "path_count", F.when(F.col("ratio").isNotNull(), quota_from_ratio(F.col("ratio"))).alias("quota"))
 
 

@@ -64,6 +64,16 @@ def test_independent_paths(spark, paths, ratio, count):
     assert (r.ratio, r.path_count, r.status) == (pytest.approx(ratio), count, "processed")
 
 
+def test_many_paths_to_one_account(spark):
+    """In linear time, and account by account whatever the order of rows."""
+    n = 30_000
+    i = F.col("id")
+    paths = spark.range(n).select(F.concat(F.lit("$ X|"), i % (n // 2), F.lit(" A|P")).alias("id"), F.sha2(i.cast("string"), 256).alias("sorthash"), F.lit("A").alias("agent"), F.concat(F.lit("P"), i % 2).alias("pubkey"), F.lit(2).alias("depth"), F.lit(0.25).alias("ratio"), F.lit("extended").alias("type"))
+    got = {r.pubkey: (r.ratio, r.path_count) for r in T.independent_path_count(paths.orderBy(F.rand(1))).collect()}
+    assert got == {"P0": (n / 8, n // 4), "P1": (n / 8, n // 4)}
+    assert T.independent_path_count(paths.where("false")).collect() == []
+
+
 def test_quotas(spark):
     got = spark.createDataFrame([(2.0**-15,), (1e-9,), (0.5,)], "r double").select(quota_from_ratio(F.col("r")).alias("q")).collect()
     assert [r.q for r in got] == [30517, 1000, 100000]
