@@ -75,8 +75,10 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
     """The first k right singular vectors (n x k) of a sparse matrix given by rows of (columns, values).
 
     Range finder with power iterations: each task sums A'A times the current basis over its rows, the small sums meet on
-    the driver (n and k are bounded by the block of passages) and are made orthonormal there.
+    the driver (n and k are bounded by the block of passages; a task sends the columns that its rows have) and are made
+    orthonormal there. With k for all rows the first product already spans them, and no iteration is needed.
     """
+    power = power if k < min(len(rows), n) else 0
     k = min(k, len(rows), n)
     basis = np.random.default_rng(seed).standard_normal((n, min(n, k + 10)))
     matrix = spark.createDataFrame([(c, v) for c, v in rows], "cols array<int>, vals array<double>").repartition(4)
@@ -89,10 +91,12 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
                 for c, v in zip(b.column("cols").to_pylist(), b.column("vals").to_pylist(), strict=True):
                     x = np.array(v)
                     total[c] += np.outer(x, x @ omega[c])
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            used = np.flatnonzero(total.any(axis=1))
+            yield pa.record_batch([pa.array([used.tobytes()], pa.binary()), pa.array([total[used].tobytes()], pa.binary())], names=["used", "part"])
 
-        parts = matrix.mapInArrow(multiply, "part binary").collect()
-        total = sum(np.frombuffer(p.part).reshape(basis.shape) for p in parts)
+        total = np.zeros(basis.shape)
+        for p in matrix.mapInArrow(multiply, "used binary, part binary").toLocalIterator():
+            total[np.frombuffer(p.used, np.int64)] += np.frombuffer(p.part).reshape(-1, basis.shape[1])
         basis, scale, _ = np.linalg.svd(total, full_matrices=False)
         shared.unpersist()
     return basis[:, :k][:, scale[:k] > 1e-9 * scale[0]]
