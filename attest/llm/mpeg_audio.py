@@ -11,13 +11,15 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.llm.common import spare
+
 # Fixed values of the format: bit rates (kbit/s, by index from 1) of MPEG-1 layers I-III and MPEG-2 layers I and II/III,
 # sample rates by version and index.
 KBPS = {
@@ -66,20 +68,34 @@ def header(four: bytes) -> Header | None:
     return Header(version, layer, not four[1] & 1, kbps, hz, four[3] >> 6 == 3, length, samples)
 
 
+@cache
+def _remainders() -> list[int]:
+    """What the CRC of a byte is after its eight bits."""
+    out = []
+    for byte in range(256):
+        crc = byte << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        out.append(crc)
+    return out
+
+
 @lru_cache(4096)
 def crc16(data: bytes) -> int:
     """CRC-16 of the format: polynomial 0x8005, start 0xFFFF, most significant bit first."""
-    crc = 0xFFFF
+    crc, after = 0xFFFF, _remainders()
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        crc = (crc << 8 & 0xFFFF) ^ after[crc >> 8 ^ byte]
     return crc
 
 
 @dataclass
 class Audio:
-    """What a stream holds. duration is samples / hertz, exactly; offsets are those of the audio frames."""
+    """What a stream holds. offsets are those of the audio frames; duration is exactly (samples - trimmed) / hertz.
+
+    trimmed: the samples at both ends that the encoder says it added. seek_points: bytes from the table's frame to even
+    parts of the audio, as the table lists them.
+    """
 
     hertz: int = 0
     samples: int = 0
@@ -92,12 +108,14 @@ class Audio:
     resyncs: int = 0
     tags: dict[str, str] = field(default_factory=dict)
     table: dict[str, int] = field(default_factory=dict)
+    seek_points: list[int] = field(default_factory=list)
+    trimmed: int = 0
     layer: int = 0
     version: int = 0
 
     @property
     def duration_us(self) -> int:
-        return self.samples * 1_000_000 // self.hertz if self.hertz else 0
+        return max(0, self.samples - self.trimmed) * 1_000_000 // self.hertz if self.hertz else 0
 
     def seek(self, sample: int) -> int:
         """Offset of the frame that holds a sample."""
@@ -141,10 +159,18 @@ def _table(frame: bytes, h: Header, found: Audio) -> bool:
                 found.table[name] = int.from_bytes(frame[at : at + 4])
                 at += 4
         if flags & 4:
-            found.table["seek_points"] = 100
+            found.seek_points = [x * found.table.get("bytes", 0) // 256 for x in frame[at : at + 100]]
+            at += 100
+        at += 4 * bool(flags & 8)
+        if frame[at : at + 4] in (b"LAME", b"Lavf", b"Lavc") and len(frame) >= at + 24:  # the encoder's own part
+            both = int.from_bytes(frame[at + 21 : at + 24])
+            found.trimmed = (both >> 12) + (both & 0xFFF)
         return True
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        found.table |= {"bytes": int.from_bytes(frame[46:50]), "frames": int.from_bytes(frame[50:54]), "seek_points": int.from_bytes(frame[54:56])}
+        size, frames, entries, scale, width = (int.from_bytes(frame[a:b]) for a, b in ((46, 50), (50, 54), (54, 56), (56, 58), (58, 60)))
+        found.table |= {"bytes": size, "frames": frames}
+        parts = [scale * int.from_bytes(frame[i : i + width]) for i in range(62, 62 + entries * width, max(1, width)) if i + width <= len(frame)]
+        found.seek_points = [sum(parts[:i]) for i in range(len(parts))]
         return True
     return False
 
@@ -239,30 +265,38 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
     return raw.ljust(max(unit, -(-len(raw) // unit) * unit), b"\0")
 
 
-MEDIA = "media binary, layer int, hertz int, frames long, samples long, duration_us long, crc_frames long, crc_sound long, skipped long, tags map<string,string>, frame_offsets array<long>, feature string"
+MEDIA = "media binary, layer int, hertz int, frames long, samples long, duration_us long, crc_frames long, crc_sound long, skipped long, trimmed long, tags map<string,string>, frame_offsets array<long>, seek_points array<long>, feature string"
 
 
 def parse_column(df: DataFrame, column: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep plus MEDIA: what parse() finds in a binary column. Null or empty bytes, or bytes without a frame, have no frames and zero duration."""
+    """keep plus MEDIA: what parse() finds in a binary column.
+
+    Null or empty bytes, or bytes without a frame, have no frames and zero duration. Work is per row: repeated rows agree;
+    other columns are ignored, and names of MEDIA can't be kept.
+    """
+    bytes_ = spare(df, "media_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [x.as_py() or b"" for x in b.column("__media")]
+            data = [x.as_py() or b"" for x in b.column(bytes_)]
             found = [parse(x) for x in data]
             cols = [
                 pa.array(data, pa.binary()), pa.array([f.layer for f in found], pa.int32()), pa.array([f.hertz for f in found], pa.int32()),
-                *(pa.array(x, pa.int64()) for x in zip(*((len(f.offsets), f.samples, f.duration_us, f.guarded, f.sound, f.skipped) for f in found), strict=True)),
-                pa.array([list(f.tags.items()) for f in found], pa.map_(pa.string(), pa.string())), pa.array([f.offsets for f in found], pa.list_(pa.int64())), pa.array([f.feature() for f in found], pa.string()),
-            ] if found else [pa.array([], t) for t in (pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.string())]
+                *(pa.array(x, pa.int64()) for x in zip(*((len(f.offsets), f.samples, f.duration_us, f.guarded, f.sound, f.skipped, f.trimmed) for f in found), strict=True)),
+                pa.array([list(f.tags.items()) for f in found], pa.map_(pa.string(), pa.string())), pa.array([f.offsets for f in found], pa.list_(pa.int64())), pa.array([f.seek_points for f in found], pa.list_(pa.int64())), pa.array([f.feature() for f in found], pa.string()),
+            ] if found else [pa.array([], t) for t in (pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 7, pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())]
             yield pa.record_batch([*(b.column(c) for c in keep), *cols], names=[*keep, *(p.split()[0] for p in MEDIA.split(", "))])
 
-    cols = df.select(*keep, F.col(column).alias("__media"))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "__media"]
+    cols = df.select(*keep, F.col(column).alias(bytes_))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != bytes_]
     return cols.mapInArrow(run, ", ".join([*own, MEDIA]))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text as UTF-8, padded with zero bytes to a positive multiple of 64, in an MPEG stream (null text: as empty)."""
+    """doc_id, n_bytes, media: each text as UTF-8, padded with zero bytes to a positive multiple of 64, in an MPEG stream (null text: as empty).
+
+    Rows are stored one by one, so repeated ones agree; very long texts are one stream; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,7 +308,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def media_digest(stored: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what is read back from the stored streams: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, frames, duration_us. Equal texts give equal values; work is per row."""
+    media_sha256, feature, frames, duration_us. Equal texts give equal values; work is per row, also for repeated rows;
+    other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

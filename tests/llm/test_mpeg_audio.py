@@ -93,3 +93,26 @@ def test_texts(spark):
 def test_column_of_odd_bytes(spark):
     out = parse_column(spark.createDataFrame([(None,), (bytearray(b""),), (bytearray(b"abc"),)], "media binary")).collect()
     assert [(r.frames, r.duration_us) for r in out] == [(0, 0)] * 3
+
+
+def test_what_tables_say():
+    """Seek tables of both kinds, and the samples that an encoder added."""
+    data = store(random.Random(3).randbytes(937 * 40))
+    found = parse(data)
+    begin = data.index(b"\xff\xfb")
+    assert len(found.seek_points) == 100 and found.trimmed == 0
+    assert all(abs(begin + 192 + p - found.offsets[40 * i // 100]) <= 2 * 960 for i, p in enumerate(found.seek_points))
+    at = begin + 21 + 8 + 8 + 100
+    told = data[:at] + b"LAME3.100" + bytes(12) + (576 << 12 | 1105).to_bytes(3) + data[at + 24 :]
+    trimmed = parse(told)
+    assert (trimmed.trimmed, trimmed.samples, trimmed.skipped) == (1681, 40 * 1152, 0)
+    assert trimmed.duration_us == (40 * 1152 - 1681) * 1_000_000 // 48000
+    vbri = b"VBRI" + (1).to_bytes(2) + bytes(4) + (40 * 960).to_bytes(4) + (40).to_bytes(4) + (4).to_bytes(2) + (2).to_bytes(2) + (2).to_bytes(2) + (10).to_bytes(2) + b"".join((4800).to_bytes(2) for _ in range(4))
+    frame = data[begin : begin + 4] + vbri.rjust(32 + len(vbri), b"\0").ljust(188, b"\0")
+    listed = parse(frame + data[begin + 192 :])
+    assert (listed.table, listed.seek_points, len(listed.offsets)) == ({"bytes": 38400, "frames": 40}, [0, 9600, 19200, 28800], 40)
+
+
+def test_kept_columns(spark):
+    df = spark.createDataFrame([(1, bytearray(store(bytes(64))), "x")], "doc_id long, media binary, media_ string")
+    assert parse_column(df, keep=("doc_id", "media_")).first()["media_"] == "x"
