@@ -164,8 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     The lexicon has words in at least least_docs toxic texts, weighted by their smoothed log-odds; at most max_words of
     them, those that are the least likely by chance. Of all its words at most a share of false_share is expected to be
     there by chance (Benjamini-Hochberg, on Chernoff's bound of the binomial tail, which holds for small counts as well). The link
-    and the exception phrases (two words, in at least least_docs texts, mostly clean ones; ``exceptions`` adds more) are
-    learned on two halves, each measured with the lexicon of the other half. Rows with a null label or id are not used;
+    and the exception phrases (two words, in at least least_docs texts, mostly clean ones; the max_words most frequent;
+    ``exceptions`` adds more) are learned on two halves, each measured with the lexicon of the other half. Rows with a null label or id are not used;
     without labelled rows of both kinds the lexicon is empty and every score is 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -224,10 +224,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
                 out["phrases"].append(sorted({f"{x} {y}" for x, y in zip(ws, ws[1:], strict=False) if (x in known_words) != (y in known_words)}))
             yield pa.record_batch([pa.array(out["toxic"], pa.int32()), pa.array(out["weight"], pa.float64()), pa.array(out["words"], pa.int64()), pa.array(out["phrases"], pa.list_(pa.string()))], names=list(out))
 
-    seen = sample.mapInArrow(measure, "toxic int, weight double, words long, phrases array<string>").toPandas()  # max_rows rows at most
+    measured = sample.mapInArrow(measure, "toxic int, weight double, words long, phrases array<string>").cache()
+    seen = measured.select("toxic", "weight", "words").toPandas()  # max_rows rows at most, of three numbers
     seen = seen.sort_values(["toxic", "weight", "words"])  # sums in one order, whatever the partitions
-    harmless = seen[["toxic", "phrases"]].explode("phrases").dropna().groupby("phrases")["toxic"].agg(["size", "mean"])
-    learned = harmless[(harmless["size"] >= least_docs) & (harmless["mean"] < 0.25)].index
+    harmless = measured.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.avg("toxic").alias("share"))
+    best = harmless.where((F.col("n") >= least_docs) & (F.col("share") < 0.25)).orderBy(F.desc("n"), "phrase").limit(max_words)
+    learned = [r.phrase for r in best.select("phrase").collect()]
+    measured.unpersist()
     beta = _rising(features(seen["weight"].to_numpy(), seen["words"].to_numpy()), seen["toxic"].to_numpy().astype(float))
     return Lexicon(whole, tuple(sorted({*exceptions, *learned})), tuple(float(x) for x in beta))
 
