@@ -21,11 +21,14 @@ def next_counter(existing: DataFrame) -> DataFrame:
     return existing.agg((F.coalesce(F.max("counter"), F.lit(0)) + 1).alias("next_counter"))
 
 
-def assign_counters(new: DataFrame, order: list[str], start: int = 0, parts: int = 200) -> DataFrame:
+def assign_counters(new: DataFrame, order: list[str], start: int = 0, parts: int | None = None) -> DataFrame:
     """new with counter = start, start + 1, ... in the given order, without an unpartitioned window.
 
+    parts: the number of ranges; by default as many as the session's shuffle partitions, which go with the cluster and data.
+
     Rows are dealt into ranges and written, so that both uses see the same ranges; the ranges' counts give the offsets.
     """
+    parts = parts or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = checkpointed(new.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + start).alias("__before"))
