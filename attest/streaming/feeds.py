@@ -64,7 +64,7 @@ def append_batch(table: str, coverage: str | None = None) -> Callable[[DataFrame
         members = list_memberships(df, coverage)
         heads = _state(spark, f"{table}/heads", batch, HEADS, LIST)
         if batch:
-            known = spark.read.schema(f"{MEMBERS}, batch int").option("basePath", f"{table}/entries").parquet(*[f"{table}/entries/batch={b}" for b in range(batch)])
+            known = spark.read.schema(f"{MEMBERS}, batch int").parquet(f"{table}/entries").where(F.col("batch") < batch)
             members = members.join(known.join(members.select(*LIST, "np"), [*LIST, "np"], "left_semi").select(*LIST, "np"), [*LIST, "np"], "left_anti")
         list_entries(members, heads).write.mode("overwrite").parquet(f"{table}/entries/batch={batch}")
         added = list_heads(spark.read.schema(ENTRIES).parquet(f"{table}/entries/batch={batch}"))
