@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import NO_ID, materialized, spare
+from attest.llm.common import NO_ID, checkpointed, materialized, spare
 from attest.llm.components import components
 
 #: (first bit, bits, radius) of each segment. Radii + 1 sum to 5: two fingerprints that differ in at most 4 bits cannot
@@ -149,14 +149,17 @@ def _matches(keyed: DataFrame, words: list[str], most: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
 
 
-def _gathered(found: DataFrame) -> DataFrame:
-    """The links (a, b) with each b linked to its smallest a, and its other ones (at most one for each of its keys) to that.
+def _gathered(found: DataFrame, times: int = 2) -> DataFrame:
+    """The links (a, b), a before b, made fewer: each b is linked to its smallest a, and that to its other ones.
 
-    The members of a large group meet in many buckets, whose links so fall together.
+    The members of a large group meet in many buckets, whose links so fall together to little more than one for each.
     """
-    near = found.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("near"))
-    both = F.transform("near", lambda x, i: F.struct(F.get("near", 0).alias("a"), F.when(i == 0, F.col("b")).otherwise(x).alias("b")))
-    return near.select(F.inline(both)).distinct()
+    for _ in range(times):
+        found = checkpointed(found)
+        near = found.groupBy("b").agg(F.min("a").alias("near"))
+        further = found.join(near, "b").where("a <> near").select(F.col("near").alias("a"), F.col("a").alias("b"))
+        found = near.select(F.col("near").alias("a"), "b").unionByName(further).distinct()
+    return found
 
 
 def links(fps: DataFrame, most: int = 4, segments=SEGMENTS) -> DataFrame:
@@ -336,7 +339,9 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float =
     fps = nodes.groupBy("x", "y").agg(F.count("*").alias("n"))
     keys = F.concat(_keys(F.col("x"), WIDE), F.transform(_keys(F.col("y"), WIDE), lambda k: k.bitwiseOR(F.lit(1 << 48))))
     name = lambda side="": F.concat(F.hex(F.col(f"{side}x")), F.lit("-"), F.hex(F.col(f"{side}y")))
-    near = components(_gathered(_matches(fps.select("x", "y", F.explode(keys).alias("key")), ["x", "y"], most).select(name("a_").alias("a"), name("b_").alias("b"))))
+    ends = [F.struct(F.col(f"{side}_x").alias("x"), F.col(f"{side}_y").alias("y")).alias(side) for side in "ab"]
+    matched = _gathered(_matches(fps.select("x", "y", F.explode(keys).alias("key")), ["x", "y"], most).select(*ends))
+    near = components(matched.select(name("a.").alias("a"), name("b.").alias("b")))
     groups = near.select("node", F.col("root").alias("group")).unionByName(fps.where("n > 1").select(name().alias("node"), name().alias("group")).join(near, "node", "left_anti"))
     members = nodes.join(groups.withColumnRenamed("node", "fp"), name() == F.col("fp")).select("group", "node", F.col("least").alias("id"), "copy")
     sets = plain.join(members, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("group", "node", "text").mapInArrow(cut, "group string, node string, shingles array<long>")
