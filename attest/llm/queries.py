@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, decontamination, language, line_templates, mixing, mpeg_audio, ngram_lm, secret_scan, simhash, toxicity
+from attest.llm import chat, decontamination, language, line_templates, merkle, mixing, mpeg_audio, ngram_lm, secret_scan, simhash, toxicity
 from attest.llm.common import fold_of, table
 
 
@@ -65,6 +65,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 != 0
+    cut = merkle.leaf_digest([F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else docs[c] for c in merkle.FIELDS])
+    manifest = merkle.build_manifest(docs, other=F.when(~odd & F.contains("text", F.lit("\n")), cut))
+    return merkle.verify(manifest).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op12_merkle": op12_merkle,
 }
 
 WORDS = r"CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT)"
@@ -119,4 +128,45 @@ own AS (SELECT rn, generate_subscripts(string_split(text, chr(10)), 1) AS i, unn
 kept AS (SELECT rn, count(*) AS n_lines, count(lost.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY own.i) FILTER (lost.i IS NULL), '') AS t FROM own LEFT JOIN lost USING (rn, i) GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(t) AS kept_chars, md5(t) AS kept_md5 FROM docs LEFT JOIN kept USING (rn)"""
 
-SQL: dict[str, str] = {"op2_mixing": MIX, "op5_line_dedup": LINES}
+CRC = """crct AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc_t FROM (SELECT i, list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, by the table crc_t."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda p: CAST(ascii(substr({text}, p, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """name0 ... of (tree, i, d, cnt), where a tree of one node is done, and the runs of each level."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS cnt FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} AS MATERIALIZED (SELECT tree, i // 3 AS j, list(d ORDER BY i) AS run, any_value(cnt) AS cnt FROM {name}{k} GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, j AS i, CASE WHEN cnt = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d, (cnt + 2) // 3 AS cnt FROM {name}r{k})")
+    return ", ".join(out)
+
+
+def _walk_sql(name: str, tree: str, start: str, levels: int, to: str) -> str:
+    """Goes up from rows (tree, i, fold, proof, ...) of start; what the rows end with is called to."""
+    out, at = [], start
+    for k in range(levels):
+        own = "CAST(i % 3 AS INTEGER)"
+        sides = f"array_to_string(run[1:{own}], '') AS x, array_to_string(run[{own} + 2:], '') AS y"
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT * EXCLUDE (i, fold, proof, x, y, cnt), i // 3 AS i, CASE WHEN cnt = 1 THEN fold ELSE sha256(x || fold || y) END AS fold, CASE WHEN cnt = 1 THEN proof ELSE proof || x || y END AS proof FROM (SELECT s.*, cnt, {sides} FROM {at} s JOIN {tree}r{k} r ON s.tree IS NOT DISTINCT FROM r.tree AND j = i // 3))")
+        at = f"{name}{k}"
+    return ", ".join([*out, f"{to} AS (SELECT * FROM {at})"])
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(part(text if c == 'text' else c) for c in merkle.FIELDS)})"
+
+
+MERKLE = f"""WITH {CRC}, l AS MATERIALIZED (SELECT doc_id, source AS tree, {_leaf_sql("text")} AS d, CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS fold FROM documents, crct),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM l),
+{_tree_sql("t", "leaves", 14)}, subs AS MATERIALIZED (SELECT tree AS name, d FROM t14), tops AS MATERIALIZED (SELECT 1 AS tree, name, d, row_number() OVER (ORDER BY name NULLS FIRST) - 1 AS i FROM subs), {_tree_sql("u", "tops", 8)},
+{_walk_sql("w", "t", "(SELECT tree, doc_id, d AS leaf, i, fold, '' AS proof FROM leaves)", 14, "low")},
+mid AS MATERIALIZED (SELECT 1 AS tree, doc_id, leaf, o.d AS subroot, o.i, fold, proof FROM low JOIN tops o ON low.tree IS NOT DISTINCT FROM o.name), {_walk_sql("v", "u", "mid", 8, "high")}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM high, u8"""
+
+SQL: dict[str, str] = {"op12_merkle": MERKLE, "op2_mixing": MIX, "op5_line_dedup": LINES}
