@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, decontamination, language, line_templates, merkle, mixing, mpeg_audio, ngram_lm, secret_scan, simhash, toxicity
+from attest.llm import chat, decontamination, inner_product, language, line_templates, merkle, mixing, mpeg_audio, ngram_lm, prefix_trie, secret_scan, simhash, toxicity
 from attest.llm.common import fold_of, table
 
 
@@ -65,6 +65,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 != 0
@@ -73,6 +77,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(manifest).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(sequences, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -84,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_topk": op11_topk,
     "op12_merkle": op12_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORDS = r"CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT)"
@@ -169,4 +180,22 @@ leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY
 mid AS MATERIALIZED (SELECT 1 AS tree, doc_id, leaf, o.d AS subroot, o.i, fold, proof FROM low JOIN tops o ON low.tree IS NOT DISTINCT FROM o.name), {_walk_sql("v", "u", "mid", 8, "high")}
 SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM high, u8"""
 
-SQL: dict[str, str] = {"op12_merkle": MERKLE, "op2_mixing": MIX, "op5_line_dedup": LINES}
+TOPK = """WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.rn <> c.rn WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST)"""
+
+TRIE = f"""WITH {CRC}, t AS MATERIALIZED (SELECT conv_id, octet_length(encode(coalesce(text, ''))) AS b, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) - 1 AS pos FROM t),
+c AS MATERIALIZED (SELECT conv_id, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS head FROM (SELECT DISTINCT conv_id FROM o), crct),
+r AS (SELECT c.conv_id, pos, h, b FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND pos < head UNION ALL SELECT c.conv_id, pos, h, b FROM c JOIN o USING (conv_id) WHERE pos >= head),
+n AS MATERIALIZED (SELECT conv_id, row_number() OVER w AS depth, string_agg(h, '') OVER w AS key, b FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+v AS MATERIALIZED (SELECT key, any_value(depth) AS depth, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n_convs FROM n GROUP BY key),
+kids AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+full_ AS MATERIALIZED (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN kids USING (key)),
+sums AS (SELECT left(key, 64 * e) AS key, sum((n_convs - 1) * b) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM full_) GROUP BY 1),
+last AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM n WHERE (conv_id, depth) IN (SELECT conv_id, max(depth) FROM n GROUP BY 1) GROUP BY key)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_ f JOIN sums USING (key) LEFT JOIN last USING (key) LEFT JOIN v p ON f.depth > 0 AND p.key = left(f.key, 64 * (f.depth - 1))"""
+
+SQL: dict[str, str] = {"op11_topk": TOPK, "op12_merkle": MERKLE, "op13_prefix_trie": TRIE, "op2_mixing": MIX, "op5_line_dedup": LINES}

@@ -33,11 +33,11 @@ def docs():
 
 def test_each_operator_has_one_query_and_the_pipeline_is_there():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op5_line_dedup", "op11_topk", "op12_merkle", "op13_prefix_trie"])
 def test_sql(spark, name):
     assert difference(spark, duck(SF), QUERIES[name], entry.oracle_sql()[name], SF) == ""
 
