@@ -107,9 +107,10 @@ def over_quota(pubkeys: DataFrame, heads: DataFrame, quotas: DataFrame, enforce:
 
 
 def cap_to_quota(pubs: DataFrame, quotas: DataFrame, existing: DataFrame, chunk: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """The publications that fit each key's quota in load order, and (pubkey, status): capped, skipped or loaded.
+    """The publications that fit each key's quota in load order, and (pubkey, status) of every key here or in existing.
 
-    existing: (pubkey, count) of what is there already. A key's publications are numbered within ranges of the counter
+    existing: (pubkey, count) of what is there already, one row a key. A key is skipped without a quota, capped if it has
+    reached its quota (also with nothing new), else loaded. A key's publications are numbered within ranges of the counter
     and the ranges' sizes added afterwards, so that a key of any size never meets in one task.
     """
     joined = pubs.join(quotas, "pubkey", "left").join(existing.withColumnRenamed("count", "have"), "pubkey", "left")
@@ -119,8 +120,10 @@ def cap_to_quota(pubs: DataFrame, quotas: DataFrame, existing: DataFrame, chunk:
     before = F.coalesce(F.sum("n").over(W.partitionBy("pubkey").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     open_ = sizes.select("pubkey", "chunk", "most", (before + F.col("had")).alias("before")).where(F.col("before") < F.col("most")).select("pubkey", "chunk", "before")
     ranked = joined.join(open_, ["pubkey", "chunk"]).withColumn("at", F.row_number().over(W.partitionBy("pubkey", "chunk").orderBy("counter", "np_id")) + F.col("before"))
-    total = sizes.groupBy("pubkey").agg(F.max("most").alias("quota"), (F.sum("n") + F.max("had")).alias("reached"))
-    status = total.select("pubkey", F.when(F.col("quota") < 0, "skipped").when(F.col("reached") > F.col("quota"), "capped").otherwise("loaded").alias("status"))
+    new = sizes.groupBy("pubkey").agg(F.sum("n").alias("n"))
+    total = new.join(existing.select("pubkey", F.col("count").alias("have")), "pubkey", "full").join(quotas.select("pubkey", "quota"), "pubkey", "left")
+    reached, quota = F.coalesce("n", F.lit(0)) + F.coalesce("have", F.lit(0)), F.coalesce("quota", F.lit(-1))
+    status = total.select("pubkey", F.when(quota < 0, "skipped").when(reached >= quota, "capped").otherwise("loaded").alias("status"))
     return ranked.where(F.col("at") <= F.col("quota")).select(*pubs.columns), status
 
 

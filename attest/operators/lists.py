@@ -12,11 +12,16 @@ from attest.operators.admission import CORE_TYPES, filter_covered_types
 LIST = ["pubkey", "type"]
 
 
-def list_memberships(pubs: DataFrame, config: str | None = None) -> DataFrame:
-    """(pubkey, type, np, counter), distinct: each publication is in its key's list of all types and in one for each covered type."""
+def memberships(pubs: DataFrame, config: str | None = None) -> DataFrame:
+    """(pubkey, type, np, counter) of each publication row: its key's list of all types, and one for each covered type. Also on a stream."""
     kinds = F.array_union(F.array(F.lit(ROOT)), F.coalesce("types", F.array().cast("array<string>")))
     rows = pubs.select("pubkey", F.explode(kinds).alias("type"), F.col("np_id").alias("np"), "counter")
-    return filter_covered_types(rows, config).groupBy("pubkey", "type", "np").agg(F.min("counter").alias("counter"))
+    return filter_covered_types(rows, config)
+
+
+def list_memberships(pubs: DataFrame, config: str | None = None) -> DataFrame:
+    """memberships(), distinct: a publication that comes again keeps its first counter."""
+    return memberships(pubs, config).groupBy("pubkey", "type", "np").agg(F.min("counter").alias("counter"))
 
 
 def list_entries(members: DataFrame, heads: DataFrame | None = None, chunk: int = 1 << 20) -> DataFrame:

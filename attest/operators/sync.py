@@ -82,13 +82,25 @@ def load_plan(accounts: DataFrame, types: DataFrame | None = None) -> DataFrame:
     return due.withColumn("type", F.explode(F.array(*[F.lit(n) for n in sorted(names)])))
 
 
-def optional_load_batch(lists: DataFrame, sizes: DataFrame, intro_type: str, budget: int = 100, chunk_bits: int = 12) -> DataFrame:
-    """Encountered lists to load now: intro lists first, then lists of all types, by key, until the budget was spent before.
+def optional_load_batch(lists: DataFrame, sizes: DataFrame, intro_type: str, endorse_type: str, budget: int = 100, stored: DataFrame | None = None, chunk_bits: int = 12) -> DataFrame:
+    """(pubkey, type, phase, n, spent): lists to load now, by phase and key, until the budget was spent before.
+
+    Phase 0 takes encountered intro lists, and with each its key's endorsement list: n is the size of both. Phase 1 takes
+    encountered lists of all types, and those of keys that phase 0 has core-loaded and that had no such list; as it only
+    begins when phase 0 has come to its end, these are all its keys. There n is the list's size and what is stored of the
+    key already (stored: pubkey, n), since it is gone through again.
 
     Sizes are summed over ranges of keys first; only ranges up to the one where the budget ends are gone through.
     """
-    due = lists.where((F.col("status") == "encountered") & F.col("type").isin(intro_type, ROOT)).join(sizes.select(*LIST, "n"), LIST, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    due = due.withColumn("phase", F.when(F.col("type") == intro_type, 0).otherwise(1)).withColumn("part", F.substring("pubkey", 1, chunk_bits // 4))
+    size = lambda kind, name: sizes.where(F.col("type") == kind).groupBy("pubkey").agg(F.sum("n").alias(name))
+    intro = lists.where((F.col("status") == "encountered") & (F.col("type") == intro_type)).select("pubkey").distinct()
+    core = intro.join(size(intro_type, "x"), "pubkey", "left").join(size(endorse_type, "y"), "pubkey", "left")
+    core = core.select("pubkey", F.lit(intro_type).alias("type"), F.lit(0).alias("phase"), (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("n"))
+    whole = lists.where(F.col("type") == ROOT)
+    due = whole.where("status = 'encountered'").select("pubkey").distinct().unionByName(intro.join(whole.select("pubkey"), "pubkey", "left_anti"))
+    again = sizes.limit(0).select("pubkey", F.col("n").alias("z")) if stored is None else stored.groupBy("pubkey").agg(F.sum("n").alias("z"))
+    full = due.join(size(ROOT, "x"), "pubkey", "left").join(again, "pubkey", "left").select("pubkey", F.lit(ROOT).alias("type"), F.lit(1).alias("phase"), (F.coalesce("x", F.lit(0)) + F.coalesce("z", F.lit(0))).alias("n"))
+    due = core.unionByName(full).withColumn("part", F.substring("pubkey", 1, chunk_bits // 4))
     parts = due.groupBy("phase", "part").agg(F.sum("n").alias("total"))
     offset = parts.select("phase", "part", F.coalesce(F.sum("total").over(W.orderBy("phase", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")).where(F.col("before") < budget)
     within = F.coalesce(F.sum("n").over(W.partitionBy("phase", "part").orderBy("pubkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

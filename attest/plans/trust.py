@@ -77,9 +77,14 @@ def best_paths(paths: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.min(F.struct((-F.col("ratio")).alias("order"), "sorthash", "id")).alias("b")).select(*KEY, F.col("b.id").alias("id"), (-F.col("b.order")).alias("ratio"))
 
 
-def expand_paths(best: DataFrame, fanout: DataFrame, setting: str, depth: int) -> DataFrame:
-    """The paths that go on from the best paths over all followed edges; nine tenths of the ratio go to agents evenly, then to their keys."""
+def expand_paths(best: DataFrame, fanout: DataFrame, setting: str, depth: int, simple: bool = False) -> DataFrame:
+    """The paths that go on from the best paths over all followed edges; nine tenths of the ratio go to agents evenly, then to their keys.
+
+    simple: not to accounts that the path has been to. What such an edge would have got goes to nobody.
+    """
     to = best.select(F.col("agent").alias("from_agent"), F.col("pubkey").alias("from_pubkey"), "id", "ratio").join(fanout, EDGE[:2])
+    if simple:
+        to = to.where(~F.array_contains(F.split("id", " "), F.concat("to_agent", F.lit("|"), "to_pubkey")))
     child = F.concat("id", F.lit(" "), "to_agent", F.lit("|"), "to_pubkey")
     return to.select(
         child.alias("id"), path_sorthash(F.lit(setting), child).alias("sorthash"), F.col("to_agent").alias("agent"), F.col("to_pubkey").alias("pubkey"), F.lit(depth).alias("depth"),
@@ -108,8 +113,8 @@ class Trust:
     rounds: int
 
 
-def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame, setting: str, bootstrap: tuple[str, ...] = (), max_depth: int = 10, min_ratio: float = 1e-10) -> Trust:
-    """All paths and accounts of a cycle.
+def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame, setting: str, bootstrap: tuple[str, ...] = (), max_depth: int = 10, min_ratio: float = 1e-10, simple_paths: bool = False) -> Trust:
+    """All paths and accounts of a cycle. simple_paths: without paths that come to an account twice.
 
     edges holds every edge there may be; those of an account only matter once it is expanded. Accounts are seen over any
     edge, followed or not, of an account visited in the round before. State between rounds is kept in small checkpointed
@@ -123,7 +128,7 @@ def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame,
     for depth in range(1, max_depth + 1):
         best = best_paths(level, frontier, depth - 1)  # of small tables that are written: cheaper to take again than to write
         done.append(best)
-        level = checkpointed(expand_paths(best, fanout, setting, depth))
+        level = checkpointed(expand_paths(best, fanout, setting, depth, simple_paths))
         setting_paths.append(level)
         targets = reach.join(frontier.select(F.col("agent").alias("from_agent"), F.col("pubkey").alias("from_pubkey")), EDGE[:2], "left_semi")
         seen = targets.select(F.col("to_agent").alias("agent"), F.col("to_pubkey").alias("pubkey")).distinct().join(known, KEY, "left_anti")

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attest import schemas
 from attest.functions import scalars as S
 from attest.operators import admission as A
+from attest.operators import hash_ranges as H
 from attest.operators import lists as L
 from attest.operators import quads as Q
 from attest.operators import sequencing as N
@@ -22,7 +24,7 @@ from attest.plans import views as V
 from attest.sources import fixtures as X
 from attest.sources import tables
 from attest.sources.shared import materialized, shared_dir
-from attest.streaming import feeds
+from attest.streaming import counter_source, cycle, feeds, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +62,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     return L.list_entries(L.list_memberships(X.publications(spark, d)))
 
@@ -142,10 +148,16 @@ def cap_to_quota(spark: SparkSession, d: str) -> DataFrame:
     return A.cap_to_quota(X.publications(spark, d), quotas, keys.withColumn("count", F.lit(2)))[0].select("np_id", "counter")
 
 
-@query(f"{CAPPED} SELECT pubkey, CASE WHEN quota < 0 THEN 'skipped' WHEN max(nth) > quota THEN 'capped' ELSE 'loaded' END AS status FROM r GROUP BY pubkey, quota")
+@query(f"""WITH {PUBS}, {QUOTAS}, n AS (SELECT user_id, pubkey, CAST(count(*) FILTER (user_id % 10 <> 4) AS BIGINT) AS n FROM p GROUP BY ALL),
+have AS (SELECT pubkey, n, quota, CASE WHEN user_id % 10 = 4 THEN user_id * 3 WHEN user_id % 6 = 0 THEN greatest(quota - n, 0) ELSE 2 END AS have FROM n JOIN q USING (pubkey))
+SELECT pubkey, CASE WHEN quota < 0 THEN 'skipped' WHEN n + have >= quota THEN 'capped' ELSE 'loaded' END AS status FROM have""")
 def cap_status(spark: SparkSession, d: str) -> DataFrame:
-    keys, quotas = _quotas(spark, d)
-    return A.cap_to_quota(X.publications(spark, d), quotas, keys.withColumn("count", F.lit(2)))[1]
+    """Keys of users whose id ends in 4 are full and have nothing new; those of users with an id % 6 = 0 meet their quota exactly."""
+    pubs, u = X.publications(spark, d), F.col("user_id")
+    new = F.count(F.when(u % 10 != 4, 1))
+    have = F.when(u % 10 == 4, u * 3).when(u % 6 == 0, F.greatest(u * 3 - F.col("n"), F.lit(0))).otherwise(2)
+    existing = pubs.groupBy("pubkey", "user_id").agg(new.alias("n")).select("pubkey", have.alias("count"))
+    return A.cap_to_quota(pubs.where(u % 10 != 4), _quotas(spark, d)[1], existing)[1]
 
 
 _NAMES = ", ".join(f"'{s}'" for s in S.STATUSES)
@@ -398,6 +410,15 @@ def list_diff(spark: SparkSession, d: str) -> DataFrame:
     return G.list_diff(*_two(spark, d))
 
 
+@query(f"WITH {TWO} SELECT pubkey, type, np, 'b' AS missing_in FROM a ANTI JOIN b USING (pubkey, type, np) UNION ALL SELECT pubkey, type, np, 'a' FROM b ANTI JOIN a USING (pubkey, type, np)")
+def list_diff_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """list_diff() of two stored registries, by trees of hash ranges."""
+    paths = [_folder(spark, name) for name in ("tree-a", "tree-b")]
+    for members, path in zip(_two(spark, d), paths, strict=True):
+        H.write_hash_tree(members, path, leaf=16)
+    return H.list_diff_by_ranges(spark, *paths)
+
+
 @query("SELECT DISTINCT sha256(CAST(c_custkey AS VARCHAR)) AS pubkey, CASE WHEN u.user_id % 3 = 0 THEN 'loaded' ELSE 'encountered' END AS status, coalesce(u.user_id % 3 <> 1, FALSE) AS known FROM customer LEFT JOIN (SELECT DISTINCT user_id FROM events) u ON u.user_id = c_custkey")
 def discover_pubkeys(spark: SparkSession, d: str) -> DataFrame:
     keys = X.table(spark, d, "customer").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("pubkey"))
@@ -443,25 +464,33 @@ def load_plan(spark: SparkSession, d: str) -> DataFrame:
     return G.load_plan(accounts, A.covered_type_hashes(spark, "click view"))
 
 
-@query(f"""WITH {PUBS}, n AS (SELECT pubkey, count(*) AS n FROM p GROUP BY 1), due AS (SELECT DISTINCT pubkey, CASE WHEN user_id % 2 = 0 THEN 'intro' ELSE '$' END AS type, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS phase FROM p),
-r AS (SELECT pubkey, type, phase, n, coalesce(sum(n) OVER (ORDER BY phase, pubkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM due JOIN n USING (pubkey)) SELECT pubkey, type, CAST(phase AS INTEGER) AS phase, n, CAST(spent AS BIGINT) AS spent FROM r WHERE spent < 300""")
+@query(f"""WITH {PUBS}, n AS (SELECT user_id, pubkey, count(*) AS n, count(*) FILTER (event_type = 'click') AS intros, count(*) FILTER (event_type = 'view') AS ends FROM p GROUP BY ALL),
+due AS (SELECT pubkey, 'intro' AS type, 0 AS phase, intros + ends AS n FROM n WHERE user_id % 2 = 0 UNION ALL SELECT pubkey, '$', 1, n + CASE WHEN user_id % 3 = 0 THEN n ELSE 0 END FROM n WHERE user_id % 2 = 1 OR user_id % 4 = 0),
+r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY phase, pubkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM due) SELECT pubkey, type, CAST(phase AS INTEGER) AS phase, n, CAST(spent AS BIGINT) AS spent FROM r WHERE spent < 3000""")
 def optional_load_batch(spark: SparkSession, d: str) -> DataFrame:
-    pubs = X.publications(spark, d)
-    due = pubs.select("pubkey", F.when(F.col("user_id") % 2 == 0, "intro").otherwise("$").alias("type"), F.lit("encountered").alias("status")).distinct()
-    return G.optional_load_batch(due, pubs.groupBy("pubkey").agg(F.count("*").alias("n")).join(due.select("pubkey", "type"), "pubkey"), "intro", budget=300)
+    """Intro lists of even users, half of whom have no list of all types yet; such lists of the others. Each third user's are stored already."""
+    pubs, u = X.publications(spark, d), F.col("user_id")
+    users = pubs.select("pubkey", "user_id").distinct()
+    kind = lambda rows, name, status: rows.select("pubkey", F.lit(name).alias("type"), F.lit(status).alias("status"))
+    lists = kind(users.where(u % 2 == 0), "intro", "encountered").unionByName(kind(users.where(u % 2 == 1), "$", "encountered")).unionByName(kind(users.where(u % 4 == 2), "$", "loaded"))
+    named = F.when(F.col("event_type") == "click", "intro").when(F.col("event_type") == "view", "endorse").otherwise("other")
+    sizes = pubs.select("pubkey", F.explode(F.array(named, F.lit("$"))).alias("type")).groupBy("pubkey", "type").agg(F.count("*").alias("n"))
+    stored = pubs.where(u % 3 == 0).groupBy("pubkey").agg(F.count("*").alias("n"))
+    return G.optional_load_batch(lists, sizes, "intro", "endorse", budget=3000, stored=stored)
 
 
 # --- trust
 
 
-def _rounds(depth: int = 10) -> str:
+def _rounds(depth: int = 10, simple: bool = False) -> str:
+    new = " WHERE NOT list_contains(string_split(id, ' '), to_agent || '|' || to_pubkey)" if simple else ""
     out = ["""l0 AS (SELECT '$' AS id, sha256('S $') AS sorthash, '$' AS agent, '$' AS pubkey, 0 AS depth, CAST(1.0 AS DOUBLE) AS ratio)""", "f0 AS (SELECT '$' AS agent, '$' AS pubkey)"]
     for i in range(1, depth + 1):
         known = " UNION ALL ".join(["SELECT '$' AS agent, '$' AS pubkey", *[f"SELECT agent, pubkey FROM g{j}" for j in range(1, i)]])
         out.append(f"b{i} AS MATERIALIZED (SELECT agent, pubkey, id, ratio FROM l{i - 1} SEMI JOIN f{i - 1} USING (agent, pubkey) QUALIFY row_number() OVER (PARTITION BY agent, pubkey ORDER BY ratio DESC, sorthash) = 1)")
         out.append(
             f"l{i} AS MATERIALIZED (SELECT id || ' ' || to_agent || '|' || to_pubkey AS id, sha256('S ' || id || ' ' || to_agent || '|' || to_pubkey) AS sorthash, to_agent AS agent, to_pubkey AS pubkey, {i} AS depth, "
-            f"ratio * CAST(0.9 AS DOUBLE) / n_agents / n_keys AS ratio FROM b{i} JOIN fan ON from_agent = agent AND from_pubkey = pubkey)"
+            f"ratio * CAST(0.9 AS DOUBLE) / n_agents / n_keys AS ratio FROM b{i} JOIN fan ON from_agent = agent AND from_pubkey = pubkey{new})"
         )
         out.append(
             f"g{i} AS MATERIALIZED (SELECT s.agent, s.pubkey, CASE WHEN top >= 1e-10 THEN 'visited' ELSE 'skipped' END AS status, {i} AS depth FROM (SELECT DISTINCT to_agent AS agent, to_pubkey AS pubkey FROM reach SEMI JOIN f{i - 1} f ON from_agent = f.agent AND from_pubkey = f.pubkey) s "
@@ -479,17 +508,19 @@ def _rounds(depth: int = 10) -> str:
 
 EDGES = INTROS + """, ends AS (SELECT 'a' || o_custkey AS agent, 'k' || (CASE WHEN o_custkey % 17 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END) AS pubkey, 'i' || ((o_orderkey * 31 + o_custkey * 7) % n) AS endorsed_np, 'o' || o_orderkey AS source, o_orderstatus = 'P' AS invalidated
   FROM orders, (SELECT count(*) AS n FROM customer) WHERE o_orderkey % 4 = 0 UNION ALL SELECT '$', '$', 'i' || c_custkey, 'S', TRUE FROM customer WHERE c_custkey % 100 = 0),
-edges AS MATERIALIZED (SELECT DISTINCT e.agent AS from_agent, e.pubkey AS from_pubkey, d.agent AS to_agent, d.pubkey AS to_pubkey, source, invalidated FROM ends e JOIN decl d ON endorsed_np = intro_np),
-followed AS (SELECT * FROM edges WHERE NOT invalidated OR source = 'S'),
+edges AS MATERIALIZED (SELECT DISTINCT e.agent AS from_agent, e.pubkey AS from_pubkey, d.agent AS to_agent, d.pubkey AS to_pubkey, source, invalidated FROM ends e JOIN decl d ON endorsed_np = intro_np), """
+FOLLOW = """followed AS (SELECT * FROM edges WHERE NOT invalidated OR source = 'S'),
 pairs AS (SELECT DISTINCT from_agent, from_pubkey, to_agent, to_pubkey FROM followed),
 fan AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY from_agent, from_pubkey, to_agent) AS n_keys, (SELECT count(DISTINCT to_agent) FROM pairs q WHERE q.from_agent = pairs.from_agent AND q.from_pubkey = pairs.from_pubkey) AS n_agents FROM pairs),
 reach AS MATERIALIZED (SELECT DISTINCT from_agent, from_pubkey, to_agent, to_pubkey FROM edges)"""
+EDGES += FOLLOW
 TRUST = EDGES + ", " + _rounds()
-SCORES = TRUST + """, fold AS (SELECT agent, pubkey, list_reduce(list({'seen': CAST([] AS VARCHAR[]), 'mid': string_split(id, ' ')[2:-2], 'n': 0, 'r': ratio} ORDER BY depth, ratio DESC, sorthash),
+FOLD = """, fold AS (SELECT agent, pubkey, list_reduce(list({'seen': CAST([] AS VARCHAR[]), 'mid': string_split(id, ' ')[2:-2], 'n': 0, 'r': ratio} ORDER BY depth, ratio DESC, sorthash),
     lambda a, x: {'seen': list_concat(a.seen, x.mid[1:coalesce(list_filter(range(1, len(x.mid) + 1), lambda i: list_contains(a.seen, x.mid[i]) OR list_contains(x.mid[1:i - 1], x.mid[i]))[1] - 1, len(x.mid))]), 'mid': x.mid,
       'n': a.n + CASE WHEN len(list_filter(range(1, len(x.mid) + 1), lambda i: list_contains(a.seen, x.mid[i]) OR list_contains(x.mid[1:i - 1], x.mid[i]))) > 0 THEN 0 ELSE 1 END, 'r': a.r + x.r},
     {'seen': CAST([] AS VARCHAR[]), 'mid': CAST([] AS VARCHAR[]), 'n': 0, 'r': CAST(0.0 AS DOUBLE)}) AS s FROM paths SEMI JOIN (SELECT * FROM acc WHERE status = 'expanded') x USING (agent, pubkey) GROUP BY ALL),
 scores AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN status = 'expanded' THEN 'processed' ELSE status END AS status, depth, s.r AS ratio, s.n AS path_count, CASE WHEN s.r IS NOT NULL THEN CAST(greatest(least(floor(s.r * 1e9), 100000), 1000) AS INTEGER) END AS quota FROM acc LEFT JOIN fold USING (agent, pubkey))"""
+SCORES = TRUST + FOLD
 NAMES = """, names AS (SELECT agent, pubkey, max_by(intro_name, created_at) FILTER (intro_name IS NOT NULL) AS name FROM decl GROUP BY ALL)"""
 STATUS = SCORES + """, st AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN NOT hit THEN status WHEN n > 1 THEN 'contested' WHEN agent IN (SELECT 'a' || c_custkey FROM customer WHERE c_custkey % 3 = 0) THEN 'loaded' ELSE 'toLoad' END AS status, depth, ratio, path_count, quota
   FROM (SELECT *, count(*) OVER (PARTITION BY pubkey) AS n, bool_or(status = 'processed') OVER (PARTITION BY pubkey) AS hit FROM scores))"""
@@ -569,6 +600,14 @@ def trust_paths(spark: SparkSession, d: str) -> DataFrame:
     return trust_tables(spark, d)["paths"]
 
 
+@query(f"WITH {EDGES}, {_rounds(simple=True)} SELECT * FROM paths")
+def simple_trust_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that come to no account twice."""
+    intros = X.table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("i"), "c_custkey").alias("endorsed_np"))
+    path, account, _ = T.seed_trust(spark, intros, X.SETTING)
+    return T.trust_paths(path, account, materialized(trust_edges(spark, d), "edges"), X.SETTING, bootstrap=(X.SETTING,), simple_paths=True).paths
+
+
 @query(f"WITH {TRUST} SELECT * FROM acc")
 def trust_accounts(spark: SparkSession, d: str) -> DataFrame:
     return trust_tables(spark, d)["accounts"]
@@ -802,31 +841,69 @@ def peer_state(spark: SparkSession, d: str) -> DataFrame:
     return V.peer_state(G.eligible_peers(_peers(spark, d)))
 
 
-# --- streams over the events, which land in ranges of ids
+# --- streams over the events, which land in parts
 
 
 STREAMED = ["np_id", "full_id", "counter", "pubkey", "types", "created_at", "triple_count", "byte_count", "is_protected", "graph_uris", "sig_pubkey"]
 
 
-def _fed(spark: SparkSession, d: str, start: Callable[[DataFrame, str], StreamingQuery], overlap: bool = False, times: int = 4) -> str:
-    """Lets publications land in counter order, so many times, and a stream take each time what is new; gives the folder of its results.
+def _fed(spark: SparkSession, pubs: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], overlap: bool = False, times: int = 4, mixed: bool = False) -> str:
+    """Lets publications land so many times, and a stream take each time what is new; gives the folder of its results.
 
-    overlap: each time some of the next publications come as well, and so come twice.
+    They land in counter order, or (mixed) by counter modulo times. overlap: some of the next publications come as well,
+    and so come twice.
     """
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    pubs = X.publications(spark, d).select(*STREAMED)
+    at, c = _folder(spark, "stream"), F.col("counter")
     top = pubs.agg(F.max("counter")).first()[0] or 0
     for i in range(times):
         low, high = top * i // times, top * (i + 1) // times + (top // 20 if overlap else 0)
-        pubs.where((F.col("counter") > low) & (F.col("counter") <= high)).write.mode("append").parquet(f"{at}/in")
-        start(feeds.stream_publications(spark, f"{at}/in"), at).awaitTermination()
+        pubs.where(c % times == i if mixed else (c > low) & (c <= high)).write.mode("append").parquet(f"{at}/in")
+        start(feeds.stream_publications(spark, f"{at}/in", schema=", ".join([schemas.PUBLICATIONS, *[f"{f.name} {f.dataType.simpleString()}" for f in pubs.schema if f.name not in STREAMED]])), at).awaitTermination()
     return at
 
 
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    return X.publications(spark, d).select(*STREAMED)
+
+
 @query(f"WITH {ENTRIES} SELECT * FROM e")
 def stream_append_lists(spark: SparkSession, d: str) -> DataFrame:
-    at = _fed(spark, d, lambda stream, at: feeds.stream_append_lists(stream, f"{at}/lists", f"{at}/checkpoint"), overlap=True)
-    return spark.read.parquet(f"{at}/lists/entries").select("pubkey", "type", "np", "counter", "position", "checksum")
+    at = _fed(spark, _streamed(spark, d), lambda stream, at: listing.stream_append_lists(stream, f"{at}/lists", f"{at}/checkpoint"), overlap=True)
+    return listing.list_table(spark, f"{at}/lists")
+
+
+@query(f"WITH {ENTRIES} SELECT * FROM e")
+def stream_continued_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams one after the other, each with a checkpoint of its own: the second goes on from the lists of the first."""
+    turn = iter("aabb")
+    at = _fed(spark, _streamed(spark, d), lambda stream, at: listing.stream_append_lists(stream, f"{at}/lists", f"{at}/checkpoint-{next(turn)}"), overlap=True)
+    return listing.list_table(spark, f"{at}/lists")
+
+
+INHERITED = "inh AS (SELECT DISTINCT a.pubkey, a.type, b.np_id AS np, b.counter FROM m a JOIN inv ON a.np = invalidated_np AND a.pubkey = invalidating_pubkey JOIN p b ON b.np_id = invalidating_np WHERE NOT (a.type = '$' OR a.type = b.type))"
+
+
+@query(f"WITH {INVALID}, m AS (SELECT pubkey, '$' AS type, np_id AS np, counter FROM p UNION ALL SELECT pubkey, type, np_id, counter FROM p), {INHERITED}, both_ AS (SELECT * FROM m UNION ALL SELECT * FROM inh) SELECT *, EXISTS (SELECT 1 FROM inv WHERE invalidated_np = np AND invalidating_pubkey = pubkey) AS invalidated FROM both_")
+def stream_invalidations(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the lists, inherited ones as well, and which of them are invalidated. Invalidations land before and after what they invalidate."""
+    told = X.invalidations(spark, d).groupBy(F.col("invalidating_np").alias("np_id")).agg(F.collect_set("invalidated_np").alias("invalidates"))  # at most 41 each
+    pubs = _streamed(spark, d).join(told, "np_id", "left")
+    at = _fed(spark, pubs, lambda stream, at: listing.stream_invalidations(stream, f"{at}/lists", f"{at}/checkpoint"), mixed=True)
+    members = L.list_memberships(pubs).unionByName(listing.inherited_members(spark, f"{at}/lists"))
+    marks = listing.invalidation_marks(spark, f"{at}/lists").withColumn("hit", F.lit(True))
+    return members.join(marks, ["pubkey", "np"], "left").select("pubkey", "type", "np", "counter", F.col("hit").isNotNull().alias("invalidated"))
+
+
+@query(f"WITH {PUBS} SELECT np_id, counter, byte_count FROM p WHERE counter > 100")
+def stream_by_counter(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds behind counter 100; half of it comes after the stream has run once."""
+    at, pubs = _folder(spark, "counted"), _streamed(spark, d)
+    top = pubs.agg(F.max("counter")).first()[0] or 0
+    for part in (pubs.where(F.col("counter") <= top // 2), pubs.where(F.col("counter") > top // 2)):
+        counter_source.write_spans(part, f"{at}/in", span=1000)
+        stream = counter_source.stream_by_counter(spark, f"{at}/in", after=100, span=1000)
+        stream.select("np_id", "counter", "byte_count").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("np_id string, counter bigint, byte_count bigint").parquet(f"{at}/out")
 
 
 @query(f"WITH {PUBS} SELECT np_id FROM p")
@@ -834,43 +911,64 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     def start(stream: DataFrame, at: str) -> StreamingQuery:
         return feeds.stream_dedupe(stream).select("np_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
 
-    return spark.read.schema("np_id string").parquet(f"{_fed(spark, d, start, overlap=True, times=2)}/out")
+    return spark.read.schema("np_id string").parquet(f"{_fed(spark, _streamed(spark, d), start, overlap=True, times=2)}/out")
 
 
-@query(f"WITH {PUBS} SELECT np_id, {REASON} AS reject_reason FROM p WHERE event_type IN ('click', 'view')")
+@query(f"WITH {PUBS} SELECT np_id, {REASON} AS reject_reason, CASE WHEN {REASON} IS NULL THEN 'admitted' ELSE 'rejected' END AS found_in FROM p WHERE event_type IN ('click', 'view')")
 def stream_admit(spark: SparkSession, d: str) -> DataFrame:
-    def start(stream: DataFrame, at: str) -> StreamingQuery:
-        out = feeds.stream_admit(stream, F.lit(NOW).cast("timestamp"), "click view").select("np_id", "reject_reason")
-        return out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    """The two tables that admission makes in one pass."""
+    at = _fed(spark, _streamed(spark, d), lambda stream, at: feeds.stream_admit(stream, F.lit(NOW).cast("timestamp"), f"{at}/sorted", f"{at}/checkpoint", "click view"))
+    of = lambda name: feeds.outcome_of(spark, f"{at}/sorted", name).select("np_id", "reject_reason", F.lit(name).alias("found_in"))
+    return of("admitted").unionByName(of("rejected"))
 
-    return spark.read.schema("np_id string, reject_reason string").parquet(f"{_fed(spark, d, start)}/out")
 
-
-@query(f"{CAPPED.replace('+ 2 AS nth', 'AS nth')} SELECT np_id, counter FROM r WHERE nth <= quota")
+@query(f"{CAPPED} SELECT np_id, counter FROM r WHERE nth <= quota")
 def stream_quota_gate(spark: SparkSession, d: str) -> DataFrame:
-    quotas = _quotas(spark, d)[1]
-    at = _fed(spark, d, lambda stream, at: feeds.stream_quota_gate(stream, quotas, f"{at}/gate", f"{at}/checkpoint"))
-    return spark.read.parquet(f"{at}/gate/passed").select("np_id", "counter")
+    """Each key has two publications when the stream begins."""
+    keys, quotas = _quotas(spark, d)
+    pubs = _streamed(spark, d)
+    at = _fed(spark, pubs, lambda stream, at: listing.stream_quota_gate(stream, quotas, f"{at}/gate", f"{at}/checkpoint", keys.withColumn("count", F.lit(2))))
+    return listing.passed_publications(spark, f"{at}/gate", schemas.PUBLICATIONS).select("np_id", "counter")
 
 
-@query(f"WITH {PUBS} SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n, CAST(sum(byte_count) AS BIGINT) AS bytes FROM p GROUP BY 1")
+@query(f"WITH {PUBS} SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n, CAST(sum(byte_count) AS BIGINT) AS bytes FROM p GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, max(created_at)) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM p) - INTERVAL 2 HOUR")
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
-    at = _fed(spark, d, lambda stream, at: feeds.write_metrics(feeds.stream_metrics(stream, late="3650 days"), f"{at}/metrics", f"{at}/checkpoint"))
-    return tables.read_table(spark, f"{at}/metrics")
+    """The hours that are over by more than two hours when the last publication has come."""
+    at = _fed(spark, _streamed(spark, d), lambda stream, at: feeds.stream_metrics(stream, f"{at}/metrics", f"{at}/checkpoint", late="2 hours"))
+    return feeds.metric_table(spark, f"{at}/metrics")
 
 
-@query(f"WITH {EDGES} SELECT from_agent, from_pubkey, to_agent, to_pubkey, source, invalidated FROM edges")
-def recompute_trust(spark: SparkSession, d: str) -> DataFrame:
-    """The edges, rebuilt each time publications come in; readers find the last complete version."""
-    at = _fed(spark, d, lambda stream, at: feeds.recompute_trust(stream, lambda s: {"edges": trust_edges(s, d)}, f"{at}/trust", f"{at}/checkpoint", every=None), times=2)
-    return tables.read_table(spark, f"{at}/trust/edges")
+@query(f"""WITH {PUBS}, w AS (SELECT time_bucket(INTERVAL 10 MINUTE, created_at) AS start, count(*) AS n FROM p GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(start) FROM w), (SELECT max(start) FROM w), INTERVAL 10 MINUTE)) AS start), f AS (SELECT start, coalesce(n, 0) AS n FROM g LEFT JOIN w USING (start))
+SELECT start, n, CAST(sum(n) OVER (ORDER BY start) AS BIGINT) AS total, n / CAST(600 AS DOUBLE) AS per_second, n - lag(n) OVER (ORDER BY start) AS change FROM f""")
+def metric_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Each ten minutes, also those without publications, gone through in ranges of a day or so."""
+    return feeds.metric_rates(feeds.metrics(X.publications(spark, d), "10 minutes"), every_seconds=600, per_range=150)
 
 
-# --- sources and sinks, by way of files in the shared folder
+RELEASED = f"""WITH {STATED}, edges AS MATERIALIZED (SELECT * FROM stated UNION ALL SELECT '$', '$', agent, pubkey, 'S', FALSE FROM ci WHERE c % 100 = 0), {FOLLOW}, {_rounds()} {FOLD},
+st AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN status <> 'processed' THEN status WHEN c % 3 <> 0 THEN 'loaded' ELSE 'toLoad' END AS status, depth, ratio, path_count, quota, name, created_at, np FROM scores LEFT JOIN ci USING (agent, pubkey)),
+pub AS (SELECT * FROM st WHERE pubkey <> '$' AND status <> 'toLoad'), v AS (SELECT from_agent, from_pubkey, to_agent, to_pubkey, 'https://w3id.org/np/' || source AS via_np FROM edges SEMI JOIN pub a ON from_agent = a.agent AND from_pubkey = a.pubkey SEMI JOIN pub b ON to_agent = b.agent AND to_pubkey = b.pubkey WHERE NOT invalidated)"""
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@query(f"""{RELEASED} SELECT {TRUST_HASH} AS hash, CAST(2 AS BIGINT) AS counter, pubkey, agent, name, created_at AS name_created_at, np AS intro_np, status, depth, path_count, ratio, quota, {_NO_EDGE} FROM pub
+UNION ALL SELECT {TRUST_HASH}, 2, {_NO_ACCOUNT}, {', '.join(P.EDGE)} FROM v""")
+def recompute_trust(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot that the second of two cycles publishes, from statements that land in two parts. Two thirds of the agents are loaded."""
+    at, pubs, quads = _folder(spark, "cycle"), X.statement_publications(spark, d), X.statement_quads(spark, d)
+    said = quads.groupBy("np_id").agg(F.collect_list(F.struct("graph", "subj", "pred", "obj", "obj_is_iri")).alias("statements"))  # a handful each
+    landed = pubs.join(said, "np_id").select("np_id", F.lit(None).cast("string").alias("full_id"), "pubkey", "types", "created_at", "statements")
+    c = X.table(spark, d, "customer")
+    elements = c.where("c_custkey % 100 = 0").select(X.code_of(F.concat(F.lit("i"), "c_custkey")).alias("endorsed_np"))
+    live = c.where("c_custkey % 3 <> 0").select(F.concat(F.lit("a"), "c_custkey").alias("agent"), S.hash_of(F.concat(F.lit("K"), "c_custkey")).alias("pubkey"), F.lit("loaded").alias("status"))
+    for part in ("substring(np_id, 3, 1) < 'a'", "substring(np_id, 3, 1) >= 'a'"):
+        landed.where(part).write.mode("append").parquet(f"{at}/in")
+        cycle.recompute_trust(cycle.stream_landed(spark, f"{at}/in"), X.SETTING, elements, live, f"{at}/trust", f"{at}/checkpoint", full_load=False, now=NOW).awaitTermination()
+    found = cycle.released(spark, f"{at}/trust")
+    return _flat(V.snapshot(found["snapshots"], found["state"].first().stored_hash))
+
+
+# --- sources and sinks, by way of files in the shared folder
 
 
 @query(f"WITH {PUBS} SELECT np_id, counter, byte_count, len(graph) AS graphs FROM p, (SELECT [1, 2] AS graph) WHERE counter % 2 = 0")

@@ -1,22 +1,20 @@
-"""Publications as a stream: admission, de-duplication, list building, quotas and metrics."""
+"""Publications as a stream: reading, admission, de-duplication and metrics."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attest import schemas
-from attest.operators.admission import admission_reason, cap_to_quota, filter_covered
-from attest.operators.lists import LIST, list_entries, list_heads, list_memberships
-from attest.sources.tables import write_table
+from attest.operators.admission import admission_reason, filter_covered
+from attest.streaming.runs import read_runs, write_batch
 
-MEMBERS = "pubkey string, type string, np string, counter bigint"
-ENTRIES = f"{MEMBERS}, position bigint, checksum string"
-HEADS = "pubkey string, type string, max_position bigint, count bigint, checksum string"
-WHOLE = 50  # every so many batches the whole state is written, so that no batch reads more than so many
+METRICS = "start timestamp, n bigint, bytes bigint"
 
 
 def stream_publications(spark: SparkSession, path: str, files_per_trigger: int = 1000, schema: str = schemas.PUBLICATIONS) -> DataFrame:
@@ -24,98 +22,81 @@ def stream_publications(spark: SparkSession, path: str, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def stream_admit(df: DataFrame, now: Column, coverage: str | None = None, **limits) -> DataFrame:
-    """Covered publications with reject_reason; filter on it for the admitted and the rejected."""
+def admission(df: DataFrame, now: Column, coverage: str | None = None, **limits) -> DataFrame:
+    """Covered publications with reject_reason, null where they are admitted."""
     return admission_reason(filter_covered(df, coverage), now, **limits)
 
 
-def stream_dedupe(df: DataFrame, watermark: str | None = None) -> DataFrame:
-    """One row for each np_id: forever, or, with bounded state, as far back as the watermark on created_at."""
-    return df.dropDuplicates(["np_id"]) if watermark is None else df.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["np_id"])
-
-
-def _state(spark: SparkSession, path: str, batch: int, schema: str, keys: list[str]) -> DataFrame:
-    """The state before a batch: the last row of each key among the batches since the whole state was written."""
-    if not batch:
-        return spark.createDataFrame([], schema)
-    since = range((batch - 1) // WHOLE * WHOLE, batch)
-    rows = spark.read.schema(f"{schema}, batch int").option("basePath", path).parquet(*[f"{path}/batch={b}" for b in since])
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
-    return last.select(*keys, "last.*")
+def stream_admit(df: DataFrame, now: Column, table: str, checkpoint: str, coverage: str | None = None, **limits) -> StreamingQuery:
+    """Sort covered publications into two tables in one pass: read by outcome_of().
 
-
-def _put_state(changed: DataFrame, before: DataFrame, path: str, batch: int, keys: list[str]) -> None:
-    """Write what a batch changed; every WHOLE batches everything."""
-    whole = changed if batch % WHOLE else before.join(changed, keys, "left_anti").select(*changed.columns).unionByName(changed)
-    whole.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def append_batch(table: str, coverage: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends a micro-batch to the lists; members already listed add nothing.
-
-    Each batch writes its entries and the heads that it changed under its own number, and goes on from the heads before
-    it; done again after a crash it overwrites the same folders with the same rows. Earlier entries are only looked
-    through for the batch's own members.
+    A micro-batch is one write, dealt out by outcome into a folder of its own, so a batch done again changes nothing and
+    neither table can have a batch that the other lacks.
     """
+    sorted_ = admission(df, now, coverage, **limits).withColumn("outcome", F.when(F.col("reject_reason").isNull(), "admitted").otherwise("rejected"))
+    put = lambda rows, batch: write_batch(rows, table, checkpoint, batch, ("outcome",))
+    return sorted_.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def run(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        members = list_memberships(df, coverage)
-        heads = _state(spark, f"{table}/heads", batch, HEADS, LIST)
-        if batch:
-            known = spark.read.schema(f"{MEMBERS}, batch int").parquet(f"{table}/entries").where(F.col("batch") < batch)
-            members = members.join(known.join(members.select(*LIST, "np"), [*LIST, "np"], "left_semi").select(*LIST, "np"), [*LIST, "np"], "left_anti")
-        list_entries(members, heads).write.mode("overwrite").parquet(f"{table}/entries/batch={batch}")
-        added = list_heads(spark.read.schema(ENTRIES).parquet(f"{table}/entries/batch={batch}"))
-        _put_state(added, heads, f"{table}/heads", batch, LIST)
-
-    return run
 
+def outcome_of(spark: SparkSession, table: str, outcome: str, schema: str = f"{schemas.PUBLICATIONS}, reject_reason string") -> DataFrame:
+    """The publications that stream_admit() has admitted or rejected; only their folders are read."""
+    return read_runs(spark, table, f"{schema}, outcome string").where(F.col("outcome") == outcome).drop("outcome")
 
-def stream_append_lists(df: DataFrame, table: str, checkpoint: str, coverage: str | None = None) -> StreamingQuery:
-    return df.writeStream.foreachBatch(append_batch(table, coverage)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def quota_batch(table: str, quotas: DataFrame) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that lets publications through up to each key's quota, counting on from batch to batch."""
-
-    def run(df: DataFrame, batch: int) -> None:
-        have = _state(df.sparkSession, f"{table}/counts", batch, "pubkey string, count bigint", ["pubkey"])
-        passed, _ = cap_to_quota(df, quotas, have)
-        passed.write.mode("overwrite").parquet(f"{table}/passed/batch={batch}")
-        now = df.sparkSession.read.schema(df.schema).parquet(f"{table}/passed/batch={batch}").groupBy("pubkey").agg(F.count("*").alias("n"))
-        changed = now.join(have, "pubkey", "left").select("pubkey", (F.col("n") + F.coalesce("count", F.lit(0))).alias("count"))
-        _put_state(changed, have, f"{table}/counts", batch, ["pubkey"])
-
-    return run
-
-
-def stream_quota_gate(df: DataFrame, quotas: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    return df.writeStream.foreachBatch(quota_batch(table, quotas)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_dedupe(df: DataFrame, watermark: str | None = None) -> DataFrame:
+    """One row for each np_id: forever, or, with bounded state, as far back as the watermark on created_at."""
+    return df.dropDuplicates(["np_id"]) if watermark is None else df.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["np_id"])
 
 
-def stream_metrics(df: DataFrame, every: str = "1 hour", late: str = "1 day", time: str = "created_at") -> DataFrame:
+def metrics(df: DataFrame, every: str = "1 hour", late: str = "1 day", time: str = "created_at") -> DataFrame:
     """(start, n, bytes) per tumbling window; on a stream late rows are waited for as long as the watermark says."""
     rows = df.withWatermark(time, late) if df.isStreaming else df
     return rows.groupBy(F.window(time, every).alias("w")).agg(F.count("*").alias("n"), F.sum("byte_count").alias("bytes")).select(F.col("w.start").alias("start"), "n", "bytes")
 
 
-def write_metrics(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """The windows as they stand after each micro-batch: a new version of the table, read by read_table()."""
-    put = lambda rows, batch: write_table(rows, table) and None
-    return df.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_metrics(df: DataFrame, table: str, checkpoint: str, every: str = "1 hour", late: str = "1 day") -> StreamingQuery:
+    """Store each window once, when the watermark has passed it; from then on the stream's state no longer holds it."""
+    put = lambda rows, batch: write_batch(rows, table, checkpoint, batch)
+    return metrics(df, every, late).writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def recompute_trust(df: DataFrame, compute: Callable[[SparkSession], dict[str, DataFrame]], table: str, checkpoint: str, every: str | None = "10 minutes") -> StreamingQuery:
-    """Rebuild the trust tables from scratch as publications come in, and switch to each new version when it is complete.
+def metric_table(spark: SparkSession, table: str) -> DataFrame:
+    """The finished windows. One that several checkpoints have counted a part of is their sum."""
+    return read_runs(spark, table, METRICS).groupBy("start").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
-    every: the shortest time between rebuilds; None for one over all that is there.
-    """
 
-    def run(batch_df: DataFrame, batch: int) -> None:
-        for name, rows in compute(batch_df.sparkSession).items():
-            write_table(rows, f"{table}/{name}")
+def metric_rates(windows: DataFrame, every_seconds: int = 3600, per_range: int = 4096) -> DataFrame:
+    """(start, n, total, per_second, change) of each interval from the first window to the last, also where nothing came.
 
-    writer = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    total: all up to and with the interval. change: n less that of the interval before, null for the first. Intervals are
+    gone through in ranges of so many: each range gets the last interval of the one before it as a row of its own, and
+    the sums of the ranges before it; so no task goes through all.
+    """
+    spark, at = windows.sparkSession, F.unix_timestamp("start")
+    first, last = windows.agg(F.min(at), F.max(at)).first()  # two numbers
+    if first is None:
+        return windows.select("start", "n", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("per_second"), F.lit(0).cast("long").alias("change"))
+    count = (last - first) // every_seconds + 1
+    grid = spark.range(count).withColumnRenamed("id", "i")
+    counted = grid.join(windows.select(((at - first) / every_seconds).cast("long").alias("i"), "n"), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
+    part = F.expr(f"i div {per_range}")
+    sums = counted.groupBy(part.alias("part")).agg(F.sum("n").alias("here"))
+    before = sums.select("part", F.coalesce(F.sum("here").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    edge = (F.col("i") % per_range == per_range - 1) & (F.col("i") + 1 < count)
+    dealt = counted.select("i", "n", part.alias("own"), F.explode(F.when(edge, F.array(part, part + 1)).otherwise(F.array(part))).alias("part"))
+    order = W.partitionBy("part").orderBy("i")
+    within = F.sum(F.when(F.col("own") == F.col("part"), F.col("n")).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = dealt.withColumn("change", F.col("n") - F.lag("n").over(order)).withColumn("within", within).where("own = part").join(before, "part")
+    start = F.timestamp_seconds(F.lit(first) + F.col("i") * every_seconds)
+    return rows.select(start.alias("start"), "n", (F.col("before") + F.col("within")).alias("total"), (F.col("n") / F.lit(float(every_seconds))).alias("per_second"), "change")
+
+
+def repeat(step: Callable[[], None], pause_seconds: float, until: Callable[[], bool]) -> int:
+    """Do a step again and again, each so long after the end of the one before, until ``until`` says so; gives the number of steps."""
+    done = 0
+    while not until():
+        if done:
+            time.sleep(pause_seconds)
+        step()
+        done += 1
+    return done

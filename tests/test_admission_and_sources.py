@@ -80,6 +80,15 @@ def test_quotas(spark):
     assert {r.pubkey: r.status for r in status.collect()} == {"a": "capped", "b": "capped", "d": "skipped"}
 
 
+def test_status_at_the_quota_and_without_new_publications(spark):
+    quotas = spark.createDataFrame([("met", 2), ("under", 3), ("full", 5), ("idle", 5), ("zero", 0), ("no", -1)], "pubkey string, quota int")
+    pubs = spark.createDataFrame([(f"n{i}{k}", i, k) for k in ("met", "under", "zero", "no") for i in range(2)], "np_id string, counter long, pubkey string")
+    existing = spark.createDataFrame([("full", 5), ("idle", 4), ("unknown", 1)], "pubkey string, count long")
+    passed, status = A.cap_to_quota(pubs, quotas, existing)
+    assert {r.pubkey: r.status for r in status.collect()} == {"met": "capped", "under": "loaded", "full": "capped", "idle": "loaded", "zero": "capped", "no": "skipped", "unknown": "skipped"}
+    assert {r.pubkey for r in passed.collect()} == {"met", "under"}
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(NP, "https://orcid.org/0000-1"), ("x", "a" * 55), (NP + "/sub", "a" * 56), (None, " ")], "u string, a string")
     got = df.select(artifact_code(F.col("u")).alias("c"), agent_label(F.col("a")).alias("l")).collect()

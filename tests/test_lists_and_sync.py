@@ -88,7 +88,11 @@ def test_peers(spark):
 
 
 def test_budget_is_checked_before_each_list(spark):
-    lists = spark.createDataFrame([(k, t, s) for k, t, s in [("b", "i", "encountered"), ("a", "$", "encountered"), ("c", "i", "loaded"), ("d", "$", "encountered"), ("e", "$", "encountered")]], "pubkey string, type string, status string")
-    sizes = spark.createDataFrame([("b", "i", 60), ("a", "$", 39), ("d", "$", 500), ("e", "$", 1)], "pubkey string, type string, n long")
-    got = G.optional_load_batch(lists, sizes, "i", budget=100).collect()
-    assert sorted((r.pubkey, r.spent) for r in got) == [("a", 60), ("b", 0), ("d", 99)]
+    lists = spark.createDataFrame([(k, t, s) for k, t, s in [("b", "i", "encountered"), ("f", "i", "encountered"), ("f", "$", "loaded"), ("a", "$", "encountered"), ("c", "i", "loaded"), ("d", "$", "encountered"), ("e", "$", "encountered")]], "pubkey string, type string, status string")
+    sizes = spark.createDataFrame([("b", "i", 20), ("b", "x", 30), ("f", "x", 10), ("a", "$", 30), ("b", "$", 5), ("d", "$", 500), ("e", "$", 1)], "pubkey string, type string, n long")
+    stored = spark.createDataFrame([("a", 4), ("z", 9)], "pubkey string, n long")
+    got = G.optional_load_batch(lists, sizes, "i", "x", budget=100, stored=stored).collect()
+    # b and f with their endorsement lists; then a, b (core-loaded just now, so its list of all types is new), d; f's is loaded
+    assert sorted((r.phase, r.pubkey, r.n, r.spent) for r in got) == [(0, "b", 50, 0), (0, "f", 10, 50), (1, "a", 34, 60), (1, "b", 5, 94), (1, "d", 500, 99)]
+    none = G.optional_load_batch(lists, sizes, "i", "x", budget=50).collect()
+    assert [(r.phase, r.pubkey) for r in none] == [(0, "b")]
