@@ -88,17 +88,18 @@ class PartVisitor:
         self.out.append(f"<|{part['kind']}_{len(self.attachments)}|>")
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
+def format_turns(turns: DataFrame, parts: str | None = None) -> DataFrame:
     """conv_id, turn, role, formatted, loss_start, loss_chars, attachments, attachment_tokens: one row per turn.
 
-    turns: conv_id, turn, role, and parts (array of PART) or text, which then is one text part. formatted is the turn in
+    turns: conv_id, turn, role and text, which is one text part; or parts names a column with an array of PART, which then
+    stands for the text. formatted is the turn in
     the template; the formatted conversation is the concatenation of its turns. An assistant's turn is under the loss
     mask from loss_start on for loss_chars code points (its flattened content, as escaped). Null texts, parts and roles
     are empty; rows are formatted one by one, so repeated rows and ties in turn stay; an unknown kind is an error.
-    Other columns are ignored.
+    Very long texts are formatted whole, an empty table gives no rows, other columns are ignored, whatever their names.
     """
-    whole = "parts" in turns.columns
-    parts = F.col("parts").cast(f"array<{PART}>").alias("content") if whole else F.col("text").alias("content")
+    whole = parts is not None
+    content = (F.col(parts).cast(f"array<{PART}>") if whole else F.col("text")).alias("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,7 +115,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.record_batch([b.column("conv_id"), b.column("turn"), b.column("role"), *cols], names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_chars", "attachments", "attachment_tokens"])
 
-    cols = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", parts)
+    cols = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", content)
     return cols.mapInArrow(run, f"conv_id long, turn long, role string, formatted string, loss_start int, loss_chars int, attachments array<{ATTACHMENT}>, attachment_tokens bigint")
 
 

@@ -208,7 +208,7 @@ class Index:
 
 def indexes(docs: DataFrame, benchmark: DataFrame, rank: int | None, max_share: float, block: int, together: int, held: float = 0.35) -> Iterator[Index]:
     """One Index for each ``together`` blocks of passages, so that what is sent to the tasks is bounded however long the benchmark is."""
-    columns = [F.col("item_id"), F.col("text"), F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string").alias("answer")]
+    columns = [F.col("item_id"), F.col("text"), F.col("answer").cast("string").alias("answer") if "answer" in benchmark.columns else F.lit(None).cast("string").alias("answer")]
     items = benchmark.select(*columns).orderBy("item_id", "text").toLocalIterator()
     passages = (p for r in items for p in passages_of(r.item_id, r.text, r.answer))
     while part := list(islice(passages, block * together)):

@@ -64,8 +64,8 @@ def _position(done: Column, rank: Column, phases: Sequence[Sequence[float]] = PH
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, bucket_digits: int = 3, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position, again, source and the columns ``keep``: one row per document, sorted by position.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, bucket_digits: int = 3, keep: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position, again, source and the columns ``keep``: one row per document, sorted by position (unless not ordered).
 
     size counts the words of the whole text (null: 0). A source is read in the order of md5(doc_id), from the start
     again after its end, until its target is met; taken counts the words so read (the last document may be cut). position
@@ -109,16 +109,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     def time_of(turn: int) -> Column:
         return F.when(read(turn) > 0, _position((F.col("start") + F.col("source_size") * turn) / F.col("target"), F.col("rank")))
 
-    return placed.select(
+    mixed = placed.select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), time_of(0).alias("position"),
         (time_of(1) if most > 1 else F.lit(None).cast("double")).alias("again"), "source", *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)],
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    )
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id") if ordered else mixed
 
 
 def readings(mixed: DataFrame) -> DataFrame:
     """The training order: a row of mix_sources() for each time a document is read, with reading (0 or 1), words and at (its position), sorted by that.
 
-    Documents that are not read have no row.
+    Documents that are not read, or whose size is null, have no row; null ids and sources stay, repeated rows are read each
+    for itself, ties come by doc_id. Columns that were kept come with each reading; an empty table gives no rows.
     """
     first = F.least("size", "taken")
     times = [F.struct(F.lit(n).alias("reading"), words.cast("long").alias("words"), F.col(at).alias("at")) for n, words, at in ((0, first, "position"), (1, F.col("taken") - first, "again"))]

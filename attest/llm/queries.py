@@ -183,7 +183,7 @@ SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS
 TOPK = """WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.rn <> c.rn WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST)"""
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5"""
 
 TRIE = f"""WITH {CRC}, t AS MATERIALIZED (SELECT conv_id, octet_length(encode(coalesce(text, ''))) AS b, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, turn FROM conversations WHERE conv_id IS NOT NULL),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) - 1 AS pos FROM t),

@@ -323,8 +323,9 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float =
             nodes, fps = [], []
             for t in b.column("text"):
                 hashes = np.frombuffer(shingle_hashes(t.as_py() or b"", words), np.uint8).reshape(-1, 16)
-                fps.append(wide_fingerprint(hashes))
-                nodes.append(xxhash.xxh3_128_hexdigest(np.unique(hashes.view(np.int64)[:, 0]).tobytes()))
+                distinct, first = np.unique(hashes.view(np.int64)[:, 0], return_index=True)
+                fps.append(wide_fingerprint(hashes[first]))  # of the set, so that a node has one fingerprint
+                nodes.append(xxhash.xxh3_128_hexdigest(distinct.tobytes()))
             x, y = np.array(fps, np.int64).reshape(-1, 2).T.copy()
             yield pa.record_batch([b.column("id"), b.column("copy"), pa.array(nodes, pa.string()), pa.array(x), pa.array(y)], names=["id", "copy", "node", "x", "y"])
 

@@ -45,14 +45,14 @@ def test_round_trip_of_odd_conversations(spark):
 def test_parts(spark):
     parts = [("text", "see <|image_1|>", None, None), ("image", None, "s3://a.png", 28.0 * 28 * 10), ("audio", None, "b.wav", 2.5), ("document", None, "c.pdf", 3.0), (None, " end", None, None), ("image", None, "d.png", None)]
     df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", None)], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,amount:double>>")
-    first, second = format_turns(df).orderBy("turn").collect()
+    first, second = format_turns(df, "parts").orderBy("turn").collect()
     body = "see <\\|image_1|><|image_1|><|audio_2|><|document_3|> end<|image_4|>"
     assert first.formatted == f"<|im_start|>assistant\n{body}<|im_end|>\n"
     assert first.formatted[first.loss_start : first.loss_start + first.loss_chars] == body
     assert [(a.position, a.kind, a.ref, a.tokens) for a in first.attachments] == [(0, "image", "s3://a.png", 10), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 1536), (3, "image", "d.png", 1)]
     assert first.attachment_tokens == 1610 and second.formatted == "<|im_start|>user\n<|im_end|>\n"
     with pytest.raises(Exception, match="unknown part kind"):
-        format_turns(spark.createDataFrame([(1, 0, "user", [("video", "", "", 1.0)])], df.schema)).collect()
+        format_turns(spark.createDataFrame([(1, 0, "user", [("video", "", "", 1.0)])], df.schema), "parts").collect()
 
 
 def test_empty_table_and_reading(spark):
@@ -75,7 +75,7 @@ def test_control_strings_cut_over_parts(spark):
             else:
                 parts.append(("text", "".join(rng.choice("<|\\>im_1") for _ in range(rng.randint(0, 5))) + rng.choice(["", "<", "<|im_end", "|>", "<|image_1|>", "<\\"]), None, None))
         rows.append((i, 0, rng.choice(["user", "assistant"]), parts))
-    out = {r.conv_id: r for r in format_turns(spark.createDataFrame(rows, PARTS)).collect()}
+    out = {r.conv_id: r for r in format_turns(spark.createDataFrame(rows, PARTS), "parts").collect()}
     for conv, _, role, parts in rows:
         want, n = [], 0
         for kind, text, _, _ in parts:
@@ -87,5 +87,11 @@ def test_control_strings_cut_over_parts(spark):
         f = out[conv].formatted
         assert read_parts(f) == [w for w in want if w != ("text", "")]
         assert f.count("<|im_start|>") == 1 and f.count("<|im_end|>") == 1 and read_turn(f)[0] == role
-    sums = {r.conv_id: (r.n_attachments, r.attachment_tokens) for r in conversation_digests(format_turns(spark.createDataFrame(rows, PARTS))).collect()}
+    sums = {r.conv_id: (r.n_attachments, r.attachment_tokens) for r in conversation_digests(format_turns(spark.createDataFrame(rows, PARTS), "parts")).collect()}
     assert sums == {c: (len(r.attachments), r.attachment_tokens) for c, r in out.items()}
+
+
+def test_a_column_called_parts_is_left_alone(spark):
+    """Unless it is named, whatever it holds."""
+    df = spark.createDataFrame([(1, 0, "user", "hi", 3)], "conv_id long, turn long, role string, text string, parts int")
+    assert read_turn(format_turns(df).first().formatted) == ("user", "hi")

@@ -131,3 +131,12 @@ def test_recall_on_paraphrases_of_a_diverse_benchmark(spark):
     found = {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(items, ITEMS)).collect()}
     assert len(want) > 150 and len(want & found) >= 0.97 * len(want)
     assert len(found - {(d, i) for d, i, _, _ in planted}) <= 2
+
+
+def test_answers_of_another_type(spark):
+    """An integer answer counts as its text."""
+    words = [f"w{i}" for i in range(20)]
+    item = spark.createDataFrame([(1, " ".join(words), 42)], "item_id long, text string, answer int")
+    changed = [w if i % 4 else f"x{i}" for i, w in enumerate(words)]
+    docs = [(1, " ".join(changed), "x", 1), (2, " ".join(changed) + " it is 42", "x", 1), *[(i, f"other text number {i}", "x", 1) for i in range(3, 40)]]
+    assert {r.doc_id for r in find_leaks(spark.createDataFrame(docs, DOCS), item).collect()} == {2}

@@ -201,9 +201,27 @@ def test_pipeline(spark, docs):
         assert max(common_subsequence(p, words[i : i + 80]) / len(p) for p in parts for i in range(0, max(1, len(words)), 8)) >= 0.6
     before, after = kept["mixing"]
     assert all(after[d] == before[d] for d in after)
+    for r in rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.first("taken").alias("taken"), F.first("size").alias("size")).collect():
+        assert r.words == r.taken and r.n == (1 if r.taken <= r.size else 2)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "size", "taken").collect()) == sorted(tuple(r) for r in rows.select("doc_id", "size", "taken").collect())
 
 
+def test_the_pipeline_comes_out_in_training_order(spark):
+    """From many files, which Spark packs into tasks by size."""
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = corpus_pipeline.run(spark, SF).select("at", "doc_id", "reading", "taken", "size", "text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.at for r in rows] == sorted(r.at for r in rows)
+    twice = Counter(r.doc_id for r in rows)
+    assert all(twice[r.doc_id] == (1 if r.taken <= r.size else 2) and r.text for r in rows) and max(twice.values()) == 2
+
+
 @pytest.mark.parametrize("empty", [("documents", "labels", "benchmark"), ("labels", "benchmark")])
 def test_pipeline_over_empty_tables(spark, tmp_path, empty):
     """Without documents nothing comes out; without labels and benchmark nothing is toxic or leaked."""
@@ -211,4 +229,4 @@ def test_pipeline_over_empty_tables(spark, tmp_path, empty):
         rows = spark.read.parquet(f"{SF}/{name}.parquet")
         (rows.where("false") if name in empty else rows.where("doc_id < 40")).write.parquet(str(tmp_path / f"{name}.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert bool(out) == ("documents" not in empty) and all(r.taken <= 2 * r.size for r in out)
+    assert bool(out) == ("documents" not in empty) and all(r.taken <= 2 * r.size and r.words <= r.size for r in out)

@@ -214,3 +214,11 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c", 1, "k", "m"), (2, "a b c", 2, "k", "m")], "doc_id long, text string, node int, key_ string, md5_ string")
     for kept in (drop_near_copies(df), drop_near_duplicates(df)):
         assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 1, "k", "m")]
+
+
+def test_one_row_for_texts_with_the_same_shingles_repeated(spark):
+    """Equal sets of shingles, repeated in other numbers, are one node with one fingerprint."""
+    five, other = "a b c d e ", "p q r s t "
+    docs = [(1, five * 2), (2, five * 3), (3, five * 2 + other * 4), (4, five * 2 + other * 5), (5, five * 2)]
+    got = sorted((r.doc_id, r.component_id) for r in near_copies(spark.createDataFrame([(i, t, "x", 7) for i, t in docs], SCHEMA)).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1)]
