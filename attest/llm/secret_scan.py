@@ -24,9 +24,11 @@ from attest.llm.ngram_lm import count_words
 
 _RUN = re.compile(r"[A-Za-z0-9+/_.\-]{16,}={0,2}")
 ONE_CASE = 20  # a run of letters of one case is long from here on
-_ASSIGNED = re.compile(r"""(?:token|secret|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|auth|credential)[\w.\-]{0,40}["']?[ \t]*(?:=>|:=|=|:)[ \t]*["'`]?([^\s"'`]{4,})""", re.I)
-_ADDRESS = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s:/@]{1,200}:([^\s@/]{3,})@", re.I)
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----", re.S)
+# Runs are taken as a whole (possessively), so that each is gone through once however long it is.
+_SET = re.compile(r"""(?<![\w.\-])([\w.\-]++)["']?[ \t]*+(?:=>|:=|=|:)[ \t]*+["'`]?(?=([^\s"'`]{4,}))""")
+_TELLING = re.compile(r"token|secret|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|auth|credential", re.I)
+_ADDRESS = re.compile(r"(?<=[a-z0-9+.\-])://[^\s:/@]++:([^\s@/]{3,}+)@", re.I)
+_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 _NAMES = re.compile(r"token|secret|passw|pwd|api|auth|bearer|credential|key", re.I)
 _MOCK = re.compile(r"test|example|sample|mock|fixture|doc|readme", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -38,6 +40,13 @@ KEYS = (
 )
 DIGESTS = ("[0-9a-fA-F]{32}", "[0-9a-fA-F]{40}", "[0-9a-fA-F]{64}")
 
+# What stands for a secret, and what is none by its form: numbers and dates; names of hosts, files and versions.
+STAND_INS = ("<.*>", r"[$%]?\{.*\}", "%.*%", "[xX*.]{4,}", "(?i:changeme|password|passwd|secret|none|null|true|false|undefined|example.*|your.*)")
+PLAIN = (r"[0-9.,:/_+\-]+", r"([A-Za-z0-9_\-]{1,15}[./])+[A-Za-z0-9_\-]{1,15}[.,;:]?")
+PUBLIC_FROM = 3  # different surroundings
+LEAST_COUNT = 3  # occurrences that make a word one of the dictionary
+SHORTEST, LONGEST = 4, 24  # letters of a dictionary word, by definition
+
 FEATURES = (
     "length", "entropy", "digits", "upper", "distinct", "hex", "transition", "switches", "coverage", "quoted", "assigned",
     "name_before", "name_near", "before_known", "after_known", "path_depth", "path_mock", "path_length",
@@ -76,27 +85,44 @@ def transitions(docs: DataFrame) -> np.ndarray:
     return np.log2(counts / counts.sum(axis=1, keepdims=True))
 
 
-def coverage(candidate: str, dictionary: set[str], longest: int = 24) -> float:
-    """The largest share of characters that dictionary words of four letters or more can cover without overlap."""
+def coverage(candidate: str, dictionary: set[str]) -> float:
+    """The largest share of characters that dictionary words can cover without overlap."""
     low, best = candidate.lower(), [0] * (len(candidate) + 1)
     for i in range(1, len(low) + 1):
         best[i] = best[i - 1]
         if low[i - 1].isalpha():
-            for n in range(4, min(i, longest) + 1):
+            for n in range(SHORTEST, min(i, LONGEST) + 1):
                 if best[i - n] + n > best[i] and low[i - n : i] in dictionary:
                     best[i] = best[i - n] + n
     return best[-1] / len(candidate)
 
 
+def neighbours(before: str, after: str) -> tuple[str, list[str], list[str]]:
+    """What is joined to a candidate, the up to four words before that, and the word after it."""
+    words, joined = before.split(), before[-1:] not in ("", " ", "\t", "\n", "\r")
+    prefix, words = (words[-1], words[:-1][-4:]) if joined and words else ("", words[-4:])
+    return prefix, words, after.split()[:1]
+
+
+def looked_up(candidate: str, before: str, after: str) -> list[str]:
+    """The words that coverage() and describe() ask the dictionary for."""
+    found = set()
+    for run in _WORDS.findall(candidate.lower()):
+        found.update(run[i : i + n] for n in range(SHORTEST, min(len(run), LONGEST) + 1) for i in range(len(run) - n + 1))
+    _, words, following = neighbours(before, after)
+    for w in [*words[-1:], *following]:
+        found.update(x for x in _WORDS.findall(w.lower()) if SHORTEST <= len(x) <= LONGEST)
+    return sorted(found)
+
+
 def describe(candidate: str, before: str, after: str, path: str, model: np.ndarray, dictionary: set[str]) -> list[float]:
     """FEATURES of a candidate between the texts before and after it."""
     n = len(candidate)
     counts = [candidate.count(c) for c in set(candidate)]
     s = _symbols(candidate)
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in candidate]
-    words, joined = before.split(), before[-1:] not in ("", " ", "\t", "\n", "\r")
-    prefix, words = (words[-1], words[:-1][-4:]) if joined and words else ("", words[-4:])
-    following, known = after.split()[:1], lambda w: float(any(x.lower() in dictionary for x in _WORDS.findall(w)))
+    prefix, words, following = neighbours(before, after)
+    known = lambda w: float(any(x in dictionary for x in _WORDS.findall(w.lower())))
     return [
         float(n), -sum(c / n * log2(c / n) for c in counts), kind.count("d") / n, kind.count("u") / n, len(counts) / n,
         sum(c in "0123456789abcdefABCDEF" for c in candidate) / n, float(model[s[:-1], s[1:]].mean()), sum(a != b for a, b in pairwise(kind)) / n, coverage(candidate, dictionary),
@@ -106,58 +132,95 @@ def describe(candidate: str, before: str, after: str, path: str, model: np.ndarr
     ]
 
 
-def spans(text: str) -> list[tuple[int, int]]:
-    """Where candidates stand in a text, in order and without overlaps: of those that overlap the first, and of these the longest."""
-    found = []
+def marked_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the candidates of a text, in order and without overlaps: of those that overlap the first, and of these the longest.
+
+    kind: block, address, assigned or run.
+    """
+    found, opened = [], None
     if "-----BEGIN" in text:
-        found += [m.span() for m in _BLOCK.finditer(text)]
+        for m in _MARK.finditer(text):
+            if m[1] == "BEGIN":
+                opened = m.start() if opened is None else opened
+            elif opened is not None:
+                found.append((opened, m.end(), "block"))
+                opened = None
     if "://" in text:
-        found += [m.span(1) for m in _ADDRESS.finditer(text)]
+        found += [(*m.span(1), "address") for m in _ADDRESS.finditer(text)]
     if "=" in text or ":" in text:
-        found += [m.span(1) for m in _ASSIGNED.finditer(text)]
+        found += [(*m.span(2), "assigned") for m in _SET.finditer(text) if _TELLING.search(m[1])]
     for m in _RUN.finditer(text):
         x = m[0]
         mixed = x[1:].upper() != x[1:] and x[1:].lower() != x[1:]
         if mixed or len(x) >= ONE_CASE or any(map(str.isdigit, x)):
-            found.append(m.span())
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+            found.append((*m.span(), "run"))
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(found, key=lambda s: (s[0], -s[1])):
         if not out or a >= out[-1][1]:
-            out.append((a, b))
+            out.append((a, b, kind))
     return out
 
 
-def candidates(docs: DataFrame, model: np.ndarray, dictionary: set[str], path: str = "source") -> DataFrame:
-    """doc_id, start, candidate, features of the candidates in whole texts (see spans)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, dictionary))
+def spans(text: str) -> list[tuple[int, int]]:
+    return [(a, b) for a, b, _ in marked_spans(text)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value
+
+def dictionary_words(docs: DataFrame) -> DataFrame:
+    """word: what occurs at least LEAST_COUNT times in all texts, without the punctuation around it, if it then is SHORTEST to LONGEST letters."""
+    words = count_words(docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
+    plain = F.lower(F.regexp_replace(F.decode("word", "UTF-8"), r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", ""))
+    return words.where(F.col("c") >= LEAST_COUNT).select(plain.alias("word")).where(F.col("word").rlike(rf"^\p{{L}}{{{SHORTEST},{LONGEST}}}$")).distinct()
+
+
+def candidates(docs: DataFrame, model: np.ndarray, dictionary: DataFrame, path: str = "source") -> DataFrame:
+    """doc_id, start, candidate, kind, context, features of the candidates in whole texts (see marked_spans).
+
+    dictionary: a table of words. The few words that a candidate asks for are looked up by a join, so the dictionary may
+    be of any size. context tells apart what stands before a candidate.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text, where in zip(b.column("doc_id"), b.column("text"), b.column("path"), strict=True):
+            for doc, text, where in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("path").to_pylist(), strict=True):
                 text = text.as_py() or ""
-                for start, end in spans(text):
-                    x = text[start:end]
-                    rows.append((doc.as_py(), start, x, describe(x, text[max(0, start - 200) : start], text[end : end + 100], where.as_py() or "", table, known)))
-            yield pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["doc_id", "start", "candidate", "features"])
+                for start, end, kind in marked_spans(text):
+                    x, before, after = text[start:end], text[max(0, start - 200) : start], text[end : end + 100]
+                    rows.append((doc, start, x, kind, before, after, where or "", looked_up(x, before, after)))
+            kinds = (pa.int64(), pa.int64(), *[pa.string()] * 5, pa.list_(pa.string()))
+            names = ["doc_id", "start", "candidate", "kind", "before", "after", "path", "words"]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("candidate", "before", "after", "path", "known")]
+            rows = [describe(x, before, after, where, model, set(known or ())) for x, before, after, where, known in zip(*columns, strict=True)]
+            yield pa.record_batch([*[b.column(c) for c in ("doc_id", "start", "candidate", "kind", "context")], pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "start", "candidate", "kind", "context", "features"])
 
-    kind = pa.int64()
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("long"), "text", where.alias("path")).mapInArrow(run, "doc_id long, start long, candidate string, features array<double>")
+    found = docs.select(F.col("doc_id").cast("long"), "text", where.alias("path")).mapInArrow(cut, "doc_id long, start long, candidate string, kind string, before string, after string, path string, words array<string>")
+    found = materialized(found.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+    known = found.select("row", F.explode("words").alias("word")).join(dictionary.select("word"), "word", "left_semi").groupBy("row").agg(F.collect_set("word").alias("known"))  # of a candidate's own words
+    rows = found.drop("words").join(known, "row", "left").withColumn("context", F.xxhash64("before"))
+    return rows.select("doc_id", "start", "candidate", "kind", "context", "before", "after", "path", "known").mapInArrow(described, "doc_id long, start long, candidate string, kind string, context long, features array<double>")
 
 
-def weak_labels(found: DataFrame) -> Column:
-    """A stand-in for reviewed findings where there are none.
+def weak_labels(found: DataFrame) -> DataFrame:
+    """found with label, a stand-in for reviewed findings where there are none; null where nothing tells.
 
-    What has the format of a known kind of key (KEYS) is one. What has that of a digest (DIGESTS) is one if it is set to
-    something with a telling name, else none. Anything else that is set to nothing of such a name is none. All other
-    findings are left for the forest to judge (null); no feature says the format.
+    1: the format of a known kind of key (KEYS), and a password in an address. 0: a stand-in for one (STAND_INS); numbers
+    and names by their form (PLAIN), unless they are set to a telling name; what stands in PUBLIC_FROM different
+    surroundings or more, as no secret does (copies of a document are one surrounding). What has the format of a digest
+    (DIGESTS) is 1 if it is set to something with a telling name, else 0. All else is for the forest to judge; of what the
+    rules go by, only the name is a feature.
     """
     is_like = lambda shapes: F.col("candidate").rlike(f"^(?s)({'|'.join(shapes)})$")
     feature = lambda name: F.element_at("features", FEATURES.index(name) + 1) > 0
     named = feature("name_before") & feature("assigned")
-    return F.when(is_like(KEYS), 1.0).when(is_like(DIGESTS), named.cast("double")).when(~feature("name_before"), 0.0)
+    places = found.select("candidate", "context").distinct().groupBy("candidate").agg(F.count("*").alias("places")).where(F.col("places") >= PUBLIC_FROM)
+    joined = found.join(places, "candidate", "left")
+    label = F.when(is_like(KEYS), 1.0).when(is_like(STAND_INS), 0.0).when(F.col("kind") == "address", 1.0).when(is_like(DIGESTS), named.cast("double")).when(F.col("places").isNotNull() | (is_like(PLAIN) & ~named), 0.0)
+    return joined.select(*found.columns, label.alias("label"))
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 11):
@@ -183,18 +246,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, usable: Column | No
     """doc_id, start, candidate, score, is_secret: every candidate of every whole text with the forest's probability.
 
     labelled: reviewed findings (doc_id, candidate, label 0/1); without them weak_labels() labels the candidates of the
-    ``usable`` rows. Private key blocks longer than 20 000 characters are found as their lines. Null and empty texts have no candidates; very long ones are read whole; rows with a null doc_id are
-    scanned too; repeated rows repeat their findings. Where labels of both kinds are missing every score is 0.5. A
-    document table without the path column has empty paths; other columns are ignored.
+    ``usable`` rows. Null and empty texts have no candidates; very long ones are read whole; rows with a null doc_id are
+    scanned too; repeated rows repeat their findings; an empty table has none. Where labels of both kinds are missing
+    every score is 0.5. A document table without the path column has empty paths; other columns are ignored.
     """
-    words = count_words(docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
-    words = materialized(words, "secret-words")
-    total = words.agg(F.sum("c")).first()[0] or 0
-    # at most a million words have a share of a millionth
-    dictionary = {w for r in words.where((F.col("c") >= 1e-6 * total) & (F.col("c") >= 3)).select("word").toLocalIterator() for w in [bytes(r.word).decode("utf-8", "ignore").strip(".,;:!?\"'()")] if len(w) >= 4 and w.isalpha()}
+    dictionary = materialized(dictionary_words(docs), "secret-words")
     found = materialized(candidates(docs, transitions(docs), dictionary, path), "secret-candidates")
     if labelled is None:
-        known = found.where(usable if usable is not None else F.lit(True)).withColumn("label", weak_labels(found))
+        known = weak_labels(found.where(usable if usable is not None else F.lit(True)))
     else:
         known = found.join(labelled.select("doc_id", "candidate", F.col("label").cast("double")), ["doc_id", "candidate"])
     forest = train(known)

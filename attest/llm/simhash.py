@@ -274,7 +274,7 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> lis
     return out
 
 
-NODES, ELEMENTS = 1024, 1 << 21  # a block of a candidate group holds about so many texts and shingles at most
+NODES, ELEMENTS = 1024, 1 << 20  # a block of a candidate group holds about so many texts and shingles at most
 
 
 def _verified(sets: DataFrame, least: float) -> DataFrame:
@@ -323,9 +323,8 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float =
             nodes, fps = [], []
             for t in b.column("text"):
                 hashes = np.frombuffer(shingle_hashes(t.as_py() or b"", words), np.uint8).reshape(-1, 16)
-                distinct, first = np.unique(hashes.view(np.int64)[:, 0], return_index=True)
-                fps.append(wide_fingerprint(hashes[first]))  # of the set, so that a node has one fingerprint
-                nodes.append(xxhash.xxh3_128_hexdigest(distinct.tobytes()))
+                fps.append(wide_fingerprint(hashes))
+                nodes.append(xxhash.xxh3_128_hexdigest(np.unique(hashes.view(np.int64)[:, 0]).tobytes()))
             x, y = np.array(fps, np.int64).reshape(-1, 2).T.copy()
             yield pa.record_batch([b.column("id"), b.column("copy"), pa.array(nodes, pa.string()), pa.array(x), pa.array(y)], names=["id", "copy", "node", "x", "y"])
 
@@ -336,7 +335,9 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float =
     text = F.col("text").cast("binary")
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.md5(text), F.lit("")).alias("copy"), text.alias("text"))
     marked = materialized(plain.mapInArrow(mark, "id long, copy string, node string, x long, y long"), "wide-simhash")
-    nodes = materialized(marked.groupBy("node", "x", "y").agg(F.min(F.struct("id", "copy")).alias("first")).select("node", "x", "y", F.col("first.id").alias("least"), F.col("first.copy").alias("copy")), "text-nodes")
+    # texts of one node may repeat their shingles in other numbers, and so have other fingerprints: that of the first counts
+    first = marked.groupBy("node").agg(F.min(F.struct("id", "copy", "x", "y")).alias("first"))
+    nodes = materialized(first.select("node", "first.x", "first.y", F.col("first.id").alias("least"), "first.copy"), "text-nodes")
     fps = nodes.groupBy("x", "y").agg(F.count("*").alias("n"))
     keys = F.concat(_keys(F.col("x"), WIDE), F.transform(_keys(F.col("y"), WIDE), lambda k: k.bitwiseOR(F.lit(1 << 48))))
     name = lambda side="": F.concat(F.hex(F.col(f"{side}x")), F.lit("-"), F.hex(F.col(f"{side}y")))
