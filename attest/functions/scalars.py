@@ -77,6 +77,15 @@ def quota_from_ratio(ratio: Column, total: float = 1e9, low: int = 1_000, high:
     return F.greatest(F.least(F.floor(ratio * F.lit(float(total))), F.lit(high)), F.lit(low)).cast("int")
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of doubles between -1 and 1 or so in whatever order, as an aggregate: their parts down to 2**-62 and 2**-124 are summed as integers."""
+    scale = F.lit(float(1 << 62))
+    high = F.floor(c * scale)
+    low = F.floor((c * scale - high) * scale)
+    part = lambda x: F.sum(x.cast("decimal(38,0)")).cast("double")
+    return part(high) / scale + part(low) / scale / scale
+
+
 def nanopub_uri(full_id: Column, code: Column) -> Column:
     return F.coalesce(full_id, F.concat(F.lit(NANOPUB), code))
 

@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.functions.scalars import ROOT, path_sorthash, quota_from_ratio
+from attest.functions.scalars import ROOT, exact_sum, path_intermediates, path_sorthash, quota_from_ratio
 from attest.operators.admission import followed_edges
 from attest.sources.shared import checkpointed, materialized
 
@@ -147,25 +148,37 @@ def trust_paths(root_path: DataFrame, root_account: DataFrame, edges: DataFrame,
     return Trust(paths, accounts, rounds)
 
 
-def independent_path_count(paths: DataFrame) -> DataFrame:
+MANY = 4096  # paths of an account from which on several tasks count
+
+
+def independent_path_count(paths: DataFrame, many: int = MANY) -> DataFrame:
     """(agent, pubkey, ratio, path_count) of each account: the sum over its paths, and the number of independent ones.
 
     Paths are taken by depth, then ratio, then sorthash. One is independent if none of its intermediate accounts was met
-    before, in an earlier path or its own; intermediates are remembered up to the first that was. As this can only be told
-    in sequence, an account's paths are streamed in order (sorted with spilling); a task holds the accounts met, not the
-    paths, and takes a step for each.
+    before, in an earlier path or its own; intermediates are remembered up to the first that was. The paths of an account
+    with up to ``many`` are gone through in order in one task; those of larger ones are decided in rounds over all tasks.
     """
+    sums = checkpointed(paths.groupBy(*KEY).agg(exact_sum(F.col("ratio")).alias("ratio"), F.count("*").alias("n")))
+    large = sums.where(F.col("n") > many)
+    counted = _counted_in_order(paths.join(large.select(*KEY), KEY, "left_anti"))
+    if not large.isEmpty():
+        lost = paths_not_independent(paths.join(large.select(*KEY), KEY, "left_semi")).groupBy(*KEY).agg(F.count("*").alias("lost"))
+        counted = counted.unionByName(large.join(lost, KEY, "left").select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).cast("int").alias("path_count")))
+    return sums.join(counted, KEY).select(*KEY, "ratio", "path_count")
+
+
+def _counted_in_order(paths: DataFrame) -> DataFrame:
+    """(agent, pubkey, path_count), an account in one task: its paths are streamed in order, and the accounts met are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        account, met, total, n = None, set(), 0.0, 0
+        account, met, n = None, set(), 0
         for b in batches:
             done = []
-            for *key, minus, path in zip(*(b.column(c).to_pylist() for c in (*KEY, "minus", "id")), strict=True):
+            for *key, path in zip(*(b.column(c).to_pylist() for c in (*KEY, "id")), strict=True):
                 if key != account:
                     if account:
-                        done.append((*account, total, n))
-                    account, met, total, n = key, set(), 0.0, 0
-                total -= minus
+                        done.append((*account, n))
+                    account, met, n = key, set(), 0
                 for step in path.split(" ")[1:-1]:
                     if step in met:
                         break
@@ -173,14 +186,48 @@ def independent_path_count(paths: DataFrame) -> DataFrame:
                 else:
                     n += 1
             yield batch(done)
-        yield batch([(*account, total, n)] if account else [])
+        yield batch([(*account, n)] if account else [])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"agent": pa.string(), "pubkey": pa.string(), "ratio": pa.float64(), "path_count": pa.int32()}
+        kinds = {"agent": pa.string(), "pubkey": pa.string(), "path_count": pa.int32()}
         return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
     ordered = paths.select(*KEY, "depth", (-F.col("ratio")).alias("minus"), "sorthash", "id").repartition(*KEY).sortWithinPartitions(*KEY, "depth", "minus", "sorthash")
-    return ordered.mapInArrow(run, "agent string, pubkey string, ratio double, path_count int")
+    return ordered.select(*KEY, "id").mapInArrow(run, "agent string, pubkey string, path_count int")
+
+
+def paths_not_independent(paths: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(agent, pubkey, sorthash) of the paths that are not independent, decided in rounds.
+
+    A path claims its intermediates one after the other, up to the first that an earlier path (or itself) has claimed. In
+    a round each intermediate goes to the earliest path that may still claim it, if that one has all before it; then every
+    other path at that intermediate fails there, and what it had after it is free. The earliest undecided path is always
+    decided, and as a rule all but a few are after some rounds. Only (account, intermediate) and single paths are keys.
+    """
+    path = [*KEY, "sorthash"]
+    mid = path_intermediates(F.col("id"))
+    own = F.array_min(F.filter(F.transform(mid, lambda x, i: F.when(F.array_position(mid, x) <= i, i)), lambda i: i.isNotNull()))
+    plain = paths.select(*KEY, F.struct("depth", (-F.col("ratio")).alias("minus"), "sorthash").alias("rank"), "sorthash", F.coalesce(own, F.size(mid)).alias("upto"), own.isNotNull().alias("repeats"), mid.alias("mid"))
+    plain = checkpointed(plain)
+    failed = [plain.where("repeats").select(*path)]
+    rows = checkpointed(plain.select(*KEY, "rank", "sorthash", F.posexplode(F.slice("mid", F.lit(1), F.col("upto"))).alias("pos", "node")))
+    before = W.partitionBy(*path).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    for _ in range(max_rounds):
+        first = rows.groupBy(*KEY, "node").agg(F.min("rank").alias("first"))
+        marked = checkpointed(rows.join(first, [*KEY, "node"]).withColumn("claims", F.min(F.col("rank") == F.col("first")).over(before)).drop("first"))
+        taken = marked.where("claims").select(*KEY, "node").withColumn("taken", F.lit(True))
+        rest = marked.where("NOT claims").join(taken, [*KEY, "node"], "left")
+        decided = checkpointed(rest.withColumn("fails", F.max(F.coalesce("taken", F.lit(False))).over(before)).select(*KEY, "rank", "sorthash", "pos", "node", "fails"))
+        failed.append(decided.where("fails").select(*path))
+        rows = decided.where("NOT fails").drop("fails")
+        if rows.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"paths not decided after {max_rounds} rounds")
+    out = failed[0]
+    for f in failed[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def account_scores(trust: Trust) -> DataFrame:
@@ -193,9 +240,8 @@ def account_scores(trust: Trust) -> DataFrame:
 def aggregate_agents(accounts: DataFrame) -> DataFrame:
     """Agents of the processed accounts (with name): their sums, and the name of the most trusted named key, ties by name."""
     best = F.min(F.when(F.col("name").isNotNull(), F.struct((-F.col("ratio")).alias("minus"), "name")))
-    ordered = F.array_sort(F.collect_list(F.struct("pubkey", "ratio")))  # an agent's keys are few; a fixed order makes the sum repeatable
-    rows = accounts.where("status = 'processed'").groupBy("agent").agg(F.count("*").cast("int").alias("account_count"), F.sum("path_count").alias("paths"), ordered.alias("p"), best.alias("best"))
-    return rows.select("agent", "account_count", (F.col("paths") / F.col("account_count")).alias("avg_path_count"), F.aggregate("p", F.lit(0.0), lambda s, x: s + x["ratio"]).alias("total_ratio"), F.col("best.name").alias("name"))
+    rows = accounts.where("status = 'processed'").groupBy("agent").agg(F.count("*").cast("int").alias("account_count"), F.sum("path_count").alias("paths"), exact_sum(F.col("ratio")).alias("total_ratio"), best.alias("best"))
+    return rows.select("agent", "account_count", (F.col("paths") / F.col("account_count")).alias("avg_path_count"), "total_ratio", F.col("best.name").alias("name"))
 
 
 def assign_pubkeys(accounts: DataFrame) -> DataFrame:

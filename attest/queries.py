@@ -22,6 +22,7 @@ from attest.plans import snapshots as P
 from attest.plans import trust as T
 from attest.plans import views as V
 from attest.sources import fixtures as X
+from attest.sources import list_store as store
 from attest.sources import tables
 from attest.sources.shared import materialized, shared_dir
 from attest.streaming import counter_source, cycle, feeds, listing
@@ -515,11 +516,18 @@ fan AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY from_agent, from_pubk
 reach AS MATERIALIZED (SELECT DISTINCT from_agent, from_pubkey, to_agent, to_pubkey FROM edges)"""
 EDGES += FOLLOW
 TRUST = EDGES + ", " + _rounds()
-FOLD = """, fold AS (SELECT agent, pubkey, list_reduce(list({'seen': CAST([] AS VARCHAR[]), 'mid': string_split(id, ' ')[2:-2], 'n': 0, 'r': ratio} ORDER BY depth, ratio DESC, sorthash),
+def _exact_sum(c: str) -> str:
+    """scalars.exact_sum()."""
+    scale = "CAST(4611686018427387904 AS DOUBLE)"
+    high = f"floor({c} * {scale})"
+    return f"(CAST(sum(CAST({high} AS HUGEINT)) AS DOUBLE) / {scale} + CAST(sum(CAST(floor(({c} * {scale} - {high}) * {scale}) AS HUGEINT)) AS DOUBLE) / {scale} / {scale})"
+
+
+FOLD = f""", sums AS (SELECT agent, pubkey, {_exact_sum("ratio")} AS r FROM paths GROUP BY ALL)""" + """, fold AS (SELECT agent, pubkey, list_reduce(list({'seen': CAST([] AS VARCHAR[]), 'mid': string_split(id, ' ')[2:-2], 'n': 0, 'r': ratio} ORDER BY depth, ratio DESC, sorthash),
     lambda a, x: {'seen': list_concat(a.seen, x.mid[1:coalesce(list_filter(range(1, len(x.mid) + 1), lambda i: list_contains(a.seen, x.mid[i]) OR list_contains(x.mid[1:i - 1], x.mid[i]))[1] - 1, len(x.mid))]), 'mid': x.mid,
       'n': a.n + CASE WHEN len(list_filter(range(1, len(x.mid) + 1), lambda i: list_contains(a.seen, x.mid[i]) OR list_contains(x.mid[1:i - 1], x.mid[i]))) > 0 THEN 0 ELSE 1 END, 'r': a.r + x.r},
     {'seen': CAST([] AS VARCHAR[]), 'mid': CAST([] AS VARCHAR[]), 'n': 0, 'r': CAST(0.0 AS DOUBLE)}) AS s FROM paths SEMI JOIN (SELECT * FROM acc WHERE status = 'expanded') x USING (agent, pubkey) GROUP BY ALL),
-scores AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN status = 'expanded' THEN 'processed' ELSE status END AS status, depth, s.r AS ratio, s.n AS path_count, CASE WHEN s.r IS NOT NULL THEN CAST(greatest(least(floor(s.r * 1e9), 100000), 1000) AS INTEGER) END AS quota FROM acc LEFT JOIN fold USING (agent, pubkey))"""
+scores AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN status = 'expanded' THEN 'processed' ELSE status END AS status, depth, CASE WHEN s.n IS NOT NULL THEN r END AS ratio, s.n AS path_count, CASE WHEN s.n IS NOT NULL THEN CAST(greatest(least(floor(r * 1e9), 100000), 1000) AS INTEGER) END AS quota FROM acc LEFT JOIN fold USING (agent, pubkey) LEFT JOIN sums USING (agent, pubkey))"""
 SCORES = TRUST + FOLD
 NAMES = """, names AS (SELECT agent, pubkey, max_by(intro_name, created_at) FILTER (intro_name IS NOT NULL) AS name FROM decl GROUP BY ALL)"""
 STATUS = SCORES + """, st AS MATERIALIZED (SELECT agent, pubkey, CASE WHEN NOT hit THEN status WHEN n > 1 THEN 'contested' WHEN agent IN (SELECT 'a' || c_custkey FROM customer WHERE c_custkey % 3 = 0) THEN 'loaded' ELSE 'toLoad' END AS status, depth, ratio, path_count, quota
@@ -622,7 +630,7 @@ def _named(spark: SparkSession, d: str, name: str = "scores") -> DataFrame:
     return trust_tables(spark, d)[name].join(T.resolve_account_names(X.declarations(spark, d)), T.KEY, "left")
 
 
-AGENTS = SCORES + NAMES + """, ag AS (SELECT agent, CAST(count(*) AS INTEGER) AS account_count, CAST(sum(path_count) AS DOUBLE) / count(*) AS avg_path_count, list_reduce(list(ratio ORDER BY pubkey), lambda a, x: a + x, CAST(0.0 AS DOUBLE)) AS total_ratio,
+AGENTS = SCORES + NAMES + """, ag AS (SELECT agent, CAST(count(*) AS INTEGER) AS account_count, CAST(sum(path_count) AS DOUBLE) / count(*) AS avg_path_count, """ + _exact_sum("ratio") + """ AS total_ratio,
   (list(name ORDER BY ratio DESC, name) FILTER (name IS NOT NULL))[1] AS name FROM scores LEFT JOIN names USING (agent, pubkey) WHERE status = 'processed' GROUP BY agent)"""
 
 
@@ -760,6 +768,33 @@ def list_of_key(spark: SparkSession, d: str) -> DataFrame:
     return V.list_of(_entries(spark, d), F.sha2(F.lit("1"), 256)).select("np", "position", "checksum")
 
 
+@query(f"WITH {ENTRIES} SELECT np, position, checksum FROM e WHERE pubkey = sha256('1') AND type = '$' AND position > 3")
+def stored_list_of_key(spark: SparkSession, d: str) -> DataFrame:
+    """Behind position 3, from the files of a stored registry that hold it."""
+    at = _folder(spark, "lists")
+    store.write_list_store(_entries(spark, d), at, rows_per_file=2000)
+    return store.stored_list(spark, at, F.sha2(F.lit("1"), 256), after=3).select("np", "position", "checksum")
+
+
+@query(f"WITH {HEADS} SELECT * FROM h WHERE pubkey = sha256('2')")
+def stored_lists_of_key(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "lists")
+    store.write_list_store(_entries(spark, d), at, rows_per_file=2000)
+    return store.stored_lists_of(spark, at, F.sha2(F.lit("2"), 256))
+
+
+@query(f"WITH {PEER} SELECT e.* FROM e LEFT JOIN ph USING (pubkey, type) WHERE position > coalesce(last, -1)")
+def stored_list_delta(spark: SparkSession, d: str) -> DataFrame:
+    """What a peer with nine tenths of the publications lacks, from two registries in buckets and the files behind what agrees."""
+    pubs, at = X.publications(spark, d), _folder(spark, "lists")
+    upto = pubs.agg(F.floor(F.max("counter") * 9 / 10).alias("upto"))
+    peer = L.list_memberships(pubs.crossJoin(F.broadcast(upto)).where("counter <= upto").drop("upto"))  # one row
+    entries = materialized(_entries(spark, d), "entries")
+    store.write_list_store(entries, f"{at}/sorted", rows_per_file=2000)
+    own, theirs = store.write_buckets(entries, f"{at}/own", 8), store.write_buckets(L.list_entries(peer), f"{at}/peer", 8)
+    return store.stored_delta(spark, f"{at}/sorted", own, spark.table(theirs))
+
+
 @query(f"WITH {ENTRIES} SELECT e.pubkey, e.type, np, position, full_id, byte_count FROM e JOIN p ON np = np_id")
 def list_contents(spark: SparkSession, d: str) -> DataFrame:
     return V.list_contents(_entries(spark, d), X.publications(spark, d)).select("pubkey", "type", "np", "position", "full_id", "byte_count")
