@@ -145,7 +145,8 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
     Turns are taken in the order of turn (null first), then of the formatted text. A digest over a conversation can only be taken in
     sequence, so a conversation is streamed through one task: it holds one turn and the running digests, however long
-    the conversation. Rows with a null conv_id are one conversation.
+    the conversation. Rows with a null conv_id are one conversation. Repeated rows are turns of their own, an empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

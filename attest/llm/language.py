@@ -114,14 +114,14 @@ def learn(docs: DataFrame, usable: Column | None = None, size: int = 400) -> Pro
 
 
 def predict_language(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score of every row.
+    """The kept columns, lang_pred and score of every row; kept columns of these two names are replaced.
 
     lang_pred is the language with the smallest out-of-place distance (ties: the first by name), `und` with score 0 if
     the text is null or has no letter, or nothing was learned. score is the language's share of exp(-distance) over all
     languages, distances being scaled by the profile. Work is per row: repeated rows agree; very long texts are counted
-    whole; other columns, such as an own lang, are not looked at.
+    whole; an empty table gives no rows; other columns, such as an own lang, are not looked at.
     """
-
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     whole = spare(docs, "text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

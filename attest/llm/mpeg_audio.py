@@ -295,7 +295,7 @@ def parse_column(df: DataFrame, column: str = "media", keep: tuple[str, ...] = (
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as UTF-8, padded with zero bytes to a positive multiple of 64, in an MPEG stream (null text: as empty).
 
-    Rows are stored one by one, so repeated ones agree; very long texts are one stream; other columns are ignored.
+    Rows are stored one by one, so repeated ones agree; very long texts are one stream; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,7 +239,7 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("d
     """The kept columns and score (0 to 1) of every row; only the text is looked at. Null and empty texts score as clean.
 
     A kept column named score is replaced. An empty lexicon knows nothing as toxic: all score 0. Work is per row: ties and
-    repeated rows score alike.
+    repeated rows score alike, very long texts are scored whole, an empty table gives no rows.
     """
     keep = [c for c in keep if c != "score"]
     whole = spare(docs, "text_")
@@ -264,7 +264,9 @@ def held_out(doc_id: Column) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.3) -> DataFrame:
     """docs whose score is below ``most``, with their own columns; learned from the labels outside the held-out fold.
 
-    If the labels teach no word, no row is known to be toxic and all stay.
+    If the labels teach no word, no row is known to be toxic and all stay. Rows with null or empty texts score as clean
+    and rows with a null doc_id are scored like any other; repeated rows stay or go together; an empty table stays empty;
+    a column called score is left as it is.
     """
     lexicon = learn(docs, labels, usable=~held_out(F.col("doc_id")))
     if not lexicon.weights:

@@ -63,3 +63,9 @@ def test_odd_rows(spark):
     assert predict_language(spark.createDataFrame([], DOCS), profiles).collect() == []
     none = learn(spark.createDataFrame([], DOCS))
     assert {r.lang_pred for r in predict_language(spark.createDataFrame(odd, DOCS), none).collect()} == {"und"}
+
+
+def test_kept_columns_of_the_results_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 5.0)], "doc_id long, text string, lang string, score double")
+    out = predict_language(docs, learn(docs), keep=("doc_id", "lang", "score"))
+    assert out.columns == ["doc_id", "lang", "lang_pred", "score"] and out.first().lang_pred == "en"
