@@ -313,3 +313,21 @@ def test_a_stream_that_fails_says_so(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         stream.writeStream.format("noop").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
     assert runs.run_of(spark, f"{at}/none") is None
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    at = str(tmp_path / "t")
+    names = [tables.write_table(spark.range(n), at) for n in (1, 2, 3)]
+    (tmp_path / "t" / "v-00000000000000000001-lost").mkdir()
+    assert tables.prune_versions(spark, at, 2) == ["v-00000000000000000001-lost", names[0]]
+    assert tables.read_table(spark, at).count() == 3 and spark.read.parquet(f"{at}/{names[1]}").count() == 2
+    assert tables.prune_versions(spark, at, 2) == []
+
+
+def test_ids_are_streamed_once(spark, tmp_path):
+    at = str(tmp_path)
+    known = spark.createDataFrame([("b",)], "np_id string")
+    for lines in (["a", " b ", "", "c"], ["a", "d", "b"]):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{at}/in")
+        tables.stream_id_feed(spark, f"{at}/in", known).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.np_id for r in spark.read.schema("np_id string").parquet(f"{at}/out").collect()) == ["a", "c", "d"]
