@@ -281,7 +281,8 @@ def _verified(sets: DataFrame, least: float) -> DataFrame:
     """(a, b): links between the nodes of the same group (columns group, node, shingles) of a similarity of at least ``least``.
 
     A group is dealt into blocks and each two blocks are held against each other in a task of their own, so neither a
-    group of any size nor very long texts meet in one task; a task emits one link for each text it reaches.
+    group of any size nor very long texts meet in one task; a task emits one link for each text it reaches. Which links
+    these are follows from the order of the texts, so they are sorted: a task that is run again emits the same ones.
     """
     size = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / NODES), F.ceil(F.sum(F.size("shingles")) / ELEMENTS)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -305,7 +306,7 @@ def _verified(sets: DataFrame, least: float) -> DataFrame:
             found = similar_links([r[2] for r in rows], np.array([r[1] for r in rows]), least)
             yield pa.record_batch([pa.array([rows[x][0] for x, _ in found], pa.string()), pa.array([rows[y][0] for _, y in found], pa.string())], names=["a", "b"])
 
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a string, b string")
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "node").mapInArrow(run, "a string, b string")
 
 
 def near_copies(docs: DataFrame, words: int = 5, most: int = 30, least: float = 0.8) -> DataFrame:

@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
 from attest.llm import simhash
-from attest.llm.simhash import BROAD_SEGMENTS, SEGMENTS, _keys, shingle_set, similar_links, drop_near_copies, drop_near_duplicates, fingerprint, links, near_copies, near_duplicates
+from attest.llm.simhash import BROAD_SEGMENTS, SEGMENTS, _keys, _verified, shingle_set, similar_links, drop_near_copies, drop_near_duplicates, fingerprint, links, near_copies, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -222,3 +224,26 @@ def test_one_row_for_texts_with_the_same_shingles_repeated(spark):
     docs = [(1, five * 2), (2, five * 3), (3, five * 2 + other * 4), (4, five * 2 + other * 5), (5, five * 2)]
     got = sorted((r.doc_id, r.component_id) for r in near_copies(spark.createDataFrame([(i, t, "x", 7) for i, t in docs], SCHEMA)).collect())
     assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1)]
+
+
+def test_components_of_links_that_differ_each_time_they_are_computed(spark):
+    """A plan may give other links of the same component when it is evaluated again, as after a lost executor."""
+
+    def star(batches):
+        for _ in batches:
+            centre = int.from_bytes(os.urandom(4)) % 1000
+            rest = np.delete(np.arange(1000), centre)
+            yield pa.record_batch([pa.array(np.full(999, centre)), pa.array(rest)], names=["a", "b"])
+
+    found = components(spark.range(1, numPartitions=1).mapInArrow(star, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in found) == [(i, 0) for i in range(1000)]
+
+
+def test_verified_links_do_not_depend_on_the_order_of_the_texts(spark):
+    rows = [("g", f"n{i:02}", np.arange(i, i + 40).tolist()) for i in range(60)]
+    found = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        sets = spark.createDataFrame(rows, "group string, node string, shingles array<long>").repartition(5)
+        found.append(sorted((r.a, r.b) for r in _verified(sets, 0.8).collect()))
+    assert found[0] and found[0] == found[1] == found[2]
