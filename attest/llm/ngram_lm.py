@@ -6,6 +6,10 @@ state's backoff weight. Arcs and weights are a table, made of complete counts by
 n-gram (and the state that it leads to) is named by a 64-bit hash. A block of texts fetches the arcs that it can meet by
 a shuffled join, and is walked once, from left to right, with one state for each text.
 
+Most n-grams occur once and are never kept. So blocks first exchange fingerprints of a few bits, and what comes back
+marks the n-grams whose fingerprint occurs again in training texts. Only marked ones are counted and asked for. A
+fingerprint that two n-grams share costs one row more, and never a count.
+
 Probabilities: the unigram (c + 1) / (N + V + 1), and above it absolute discounting with backoff weights that make every
 context's distribution over the V + 1 words sum to one. All n-grams with at least two occurrences count, so what is
 learned grows with the corpus.
@@ -24,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import materialized
+from attest.llm.common import discard, materialized
 
 END = b""  # the end token; no word is empty
 FLUSH = 400_000  # distinct keys that a task holds before it emits them
@@ -58,7 +62,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 START = np.uint64(0x9E3779B97F4A7C15)  # stands for the start of a text
-HELD = 1_000_000  # n-grams that a task holds before it emits their counts
+HELD = 2_000_000  # n-grams that a task holds before it emits their counts
+BLOCK = 12_000_000  # bytes of text in a block, unless one text has more
+BUCKET = 2_000_000  # n-grams of the training texts whose keys are in the range of one bucket
 ARC = "key long, known long, base double, logp double, back double"
 
 
@@ -70,9 +76,11 @@ def _joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
 
 
 def _word_keys(words: list[bytes]) -> np.ndarray:
-    out = np.empty(len(words), object)
-    out[:] = words
-    return pd.util.hash_array(out)
+    different = dict.fromkeys(words)
+    out = np.empty(len(different), object)
+    out[:] = list(different)
+    key = dict(zip(different, pd.util.hash_array(out).tolist(), strict=True))
+    return np.fromiter(map(key.__getitem__, words), np.uint64, len(words))
 
 
 def _runs(texts: list[bytes | None], allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -108,8 +116,160 @@ def _parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBa
         yield batch.slice(first)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Number and rows of each block of a task whose rows have its number in a column part."""
+    number = 0
+    for batch in batches:
+        for part in _parts(batch, BLOCK):
+            yield (part.column("part")[0].as_py() << 33) + number, part
+            number += 1
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of each value of a column, which come one value after the other."""
+    now, held = None, []
+    for batch in batches:
+        numbers = np.asarray(batch.column(by))
+        edges = np.flatnonzero(np.diff(numbers)) + 1
+        for a, b in zip([0, *edges], [*edges, len(numbers)], strict=True):
+            if held and numbers[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                now = numbers[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers byte by byte: the leading bytes, mostly zeros, stand together."""
+    return np.ascontiguousarray(numbers, f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def _packed(ascending: np.ndarray, width: int) -> bytes:
+    """Differences of ascending numbers, as so many bytes each."""
+    return _planes(np.diff(ascending, prepend=np.uint64(0)), width)
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    return _from_planes(data, width).cumsum(dtype=np.uint64)
+
+
+def _flags(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+
+
+def _depth(ngrams: int, most: int) -> int:
+    """Bits of the number of a bucket of keys: about ``most`` n-grams meet in one."""
+    return (ngrams // most).bit_length()
+
+
+def _edges(ascending: np.ndarray, depth: int, inner: int) -> Iterator[tuple[int, int, int]]:
+    """Bucket, first and last + 1 of the numbers in each bucket that has any; a bucket's number is above the inner bits."""
+    if depth == 0:
+        yield from [(0, 0, len(ascending))] if len(ascending) else []
+        return
+    edges = np.searchsorted(ascending, np.arange(1, 1 << depth, dtype=np.uint64) << np.uint64(inner))
+    for bucket, (a, b) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(ascending)], strict=True)):
+        if b > a:
+            yield bucket, a, b
+
+
+def mark_repeated(texts: DataFrame, order: int, n: int, spare_bits: int = 7, most: int = BUCKET) -> DataFrame:
+    """block, doc_id, train, text (binary) and hits, written once, of rows part, doc_id, train, text.
+
+    hits has a bit for each bigram of a text, and then for each trigram: 1 if its fingerprint occurs twice or more where
+    train holds. So it is 1 for all that do, and by chance for about one of 2^spare_bits others. A block sends its
+    different fingerprints in ascending order to buckets of about ``most`` of them, as ranges, and the buckets answer with
+    a bit for each. n is the number of training tokens.
+    """
+    ngrams, depth = max(2, (order - 1) * n), _depth((order - 1) * n, most)
+    bits = max(depth + 1, min(depth + 32, ngrams.bit_length() + spare_bits))
+    shift, inner = np.uint64(64 - bits), np.uint64(bits - depth)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def prints(found: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(_joined(a, b, o) >> shift, owner) for o, (a, b, owner) in enumerate(_runs(found, None)[2], 2) if o <= order]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches):
+            train = part.column("train").to_numpy(zero_copy_only=False).astype(np.uint64)
+            every = np.sort(np.concatenate([(x << np.uint64(1)) | train[owner] for x, owner in prints(part.column("text").to_pylist())]))
+            value = every >> np.uint64(1)
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            times, value = np.add.reduceat((every & np.uint64(1)).astype(np.int64), first), value[first]
+            for bucket, a, b in _edges(value, depth, bits - depth):
+                low = value[a:b] - (np.uint64(bucket) << inner)
+                row = {"bucket": bucket, "block": block, "n": b - a, "prints": _packed(low, 4), "once": np.packbits(times[a:b] > 0).tobytes(), "twice": np.packbits(times[a:b] > 1).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("prints", pa.binary()), ("once", pa.binary()), ("twice", pa.binary())]))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            rows = rows.to_pylist()
+            lows = [_unpacked(r["prints"], 4) for r in rows]
+            once = [low[_flags(r["once"], r["n"])] for low, r in zip(lows, rows, strict=True)]
+            twice = [low[_flags(r["twice"], r["n"])] for low, r in zip(lows, rows, strict=True)]
+            every = np.sort(np.concatenate([*once, *twice]))
+            again = np.append(every[1:][every[1:] == every[:-1]], np.uint64(1) << np.uint64(63))  # ascending; the last one is none
+            for low, r in zip(lows, rows, strict=True):
+                hit = np.packbits(again[np.searchsorted(again, low)] == low).tobytes()
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": int(bucket), "n": r["n"], "hits": hit}], pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("hits", pa.binary())]))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches):
+            yield pa.record_batch([pa.array(np.full(part.num_rows, block)), *(part.column(c) for c in ("doc_id", "train", "text"))], names=["block", "doc_id", "train", "text"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "block"):
+            is_text = pc.is_null(rows.column("bucket"))
+            answers, rows = rows.filter(pc.invert(is_text)), rows.filter(is_text).combine_chunks()
+            hits = np.concatenate([_flags(h, k) for h, k in zip(answers.column("hits").to_pylist(), answers.column("n").to_pylist(), strict=True)])
+            found = prints(rows.column("text").to_pylist())
+            every = np.concatenate([x for x, _ in found])
+            ranked = np.argsort(every)
+            value = every[ranked]
+            place = np.cumsum(np.append(False, value[1:] != value[:-1]))
+            if place[-1] + 1 != len(hits):
+                raise RuntimeError("the documents changed while they were read")
+            every = np.empty(len(every), bool)
+            every[ranked] = hits[place]
+            ends, first = [], 0
+            for x, owner in found:
+                ends.append((every[first : first + len(x)], np.cumsum(np.bincount(owner, minlength=len(rows)))))
+                first += len(x)
+            own = [np.packbits(np.concatenate([h[(e[i - 1] if i else 0) : e[i]] for h, e in ends])).tobytes() for i in range(len(rows))]
+            out = rows.select(["block", "doc_id", "train", "text"]).append_column("hits", pa.array(own, pa.binary()))
+            yield from out.combine_chunks().to_batches()
+
+    asked = texts.mapInArrow(sent, "bucket int, block long, n int, prints binary, once binary, twice binary").repartition("bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(answered, "block long, bucket int, n int, hits binary")
+    columns = f"block long, doc_id {kind}, train boolean, text binary"
+    rows = texts.mapInArrow(dealt, columns).unionByName(answers, allowMissingColumns=True)
+    return materialized(rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(marked, f"{columns}, hits binary"), "lm-blocks", compression="zstd")
+
+
+def _grams(part: pa.RecordBatch, order: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Keys of all tokens, and for each order the parts a and b of all n-grams that may be kept (see mark_repeated)."""
+    words, of, grams = _runs(part.column("text").to_pylist(), allowed)
+    grams = [(a, b) for a, b, _ in grams[: order - 1]]
+    if allowed is None and "hits" in part.schema.names:
+        flags = [_flags(h, (order - 1) * int(m) - (order - 2)) for h, m in zip(part.column("hits").to_pylist(), np.bincount(of, minlength=part.num_rows), strict=True)]
+        two = [f[: (len(f) + order - 2) // (order - 1)] for f in flags]
+        masks = [np.concatenate(two), np.concatenate([f[len(t) :] for f, t in zip(flags, two, strict=True)])]
+        grams = [(a[m], b[m]) for (a, b), m in zip(grams, masks[: order - 1], strict=True)]
+    return words, grams
+
+
 def count_ngrams(texts: DataFrame, order: int, allowed=None) -> DataFrame:
-    """o, a, b, n: complete counts of the n-grams of orders 2 to ``order``, named by their parts (see _joined)."""
+    """o, a, b, n: complete counts of the n-grams of orders 2 to ``order``, named by their parts (see _joined).
+
+    If texts has hits (see mark_repeated), n-grams that these rule out are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {o: [] for o in range(2, order + 1)}
@@ -126,9 +286,9 @@ def count_ngrams(texts: DataFrame, order: int, allowed=None) -> DataFrame:
 
         for batch in batches:
             for part in _parts(batch):
-                grams = _runs(part.column("text").to_pylist(), allowed.value if allowed else None)[2]
+                grams = _grams(part, order, allowed.value if allowed else None)[1]
                 for o in held:
-                    a, b, _ = grams[o - 2]
+                    a, b = grams[o - 2]
                     if len(a):
                         held[o].append((a, b))
                         total += len(a)
@@ -186,7 +346,9 @@ def arcs(texts: DataFrame, counts: DataFrame, n: int, v: int, head_share: float,
     none = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.log10("p").alias("logp")]
     first = seen.join(back[2], "key", "left").select("key", F.col("c").alias("n"), (F.col("key") != begin).cast("long").alias("known"), base, base.alias("logp"), weight)
     second = two.join(back[3], "key", "left").select("key", "n", *none, weight)
-    return materialized(first.unionByName(second).unionByName(three.select("key", "n", *none, F.lit(0.0).alias("back"))), "lm-arcs")
+    found = materialized(first.unionByName(second).unionByName(three.select("key", "n", *none, F.lit(0.0).alias("back"))), "lm-arcs", compression="zstd")
+    discard(seen, kept, two, three)
+    return found
 
 
 class Automaton:
@@ -249,13 +411,56 @@ class Automaton:
         return sizes, np.bincount(of[hit], self.known[one[hit]], size).astype(np.int64), np.bincount(of, base, size), score
 
 
+def fetch_arcs(asked: DataFrame, table: DataFrame, depth: int) -> DataFrame:
+    """block, bucket, arcs: of the keys that blocks ask for, those that are arcs, with what the table says of each.
+
+    A block asks with ascending keys by ranges (bucket, block, keys). Table and questions are dealt by bucket. What is
+    returned of a column are its different values, and the place of each arc's value among them.
+    """
+    columns = ("known", "base", "logp", "back")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = np.asarray(b.column("key")).view(np.uint64)
+            bucket = key >> np.uint64(64 - depth) if depth else np.zeros_like(key)
+            yield pa.record_batch([pa.array(bucket.astype(np.int32)), *b.columns], names=["bucket", *b.schema.names])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            is_arc = pc.is_null(rows.column("block"))
+            known = rows.filter(is_arc)
+            key = known.column("key").to_numpy().view(np.uint64)
+            ranked = np.argsort(key)
+            key = np.append(key[ranked], np.uint64(0))  # the last one is none
+            values = [known.column(c).to_numpy()[ranked] for c in columns]
+            for r in rows.filter(pc.invert(is_arc)).select(["block", "keys"]).to_pylist():
+                wanted = _unpacked(r["keys"], 8)
+                at = np.searchsorted(key[:-1], wanted)
+                hit = (key[at] == wanted) & (at < len(ranked))
+                found = [_packed(wanted[hit], 8)]
+                for x in values:
+                    different, place = np.unique(x[at[hit]], return_inverse=True)
+                    found += [different.tobytes(), _planes(place, 4)]
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": int(bucket), "arcs": found}], pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("arcs", pa.list_(pa.binary()))]))
+
+    rows = table.select("key", *columns).mapInArrow(numbered, "bucket int, key long, known long, base double, logp double, back double")
+    rows = rows.unionByName(asked, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(met, "block long, bucket int, arcs array<binary>")
+
+
+def _arrays(arcs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Keys, known, base, logp and back of an answer of fetch_arcs."""
+    values = [np.frombuffer(arcs[i], np.int64 if i == 1 else np.float64) for i in (1, 3, 5, 7)]
+    return _unpacked(arcs[0], 8).view(np.int64), *(v[_from_planes(arcs[i], 4)] for v, i in zip(values, (2, 4, 6, 8), strict=True))
+
+
 def score_texts(docs: DataFrame, train: Column, head_share: float = 0.0, share: float = 0.0, order: int = 3, discount: float = 0.5, least: int = 2, near: float = 1e-5) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, learned from the rows where ``train`` holds.
 
     Whole texts are scored; null and empty ones consist of the end token. Every n-gram with at least ``least``
     occurrences counts, however large the corpus; share and head_share, if given, also ask for a share of all training
     tokens (of an n-gram, of each word in it). Arcs with a share of ``near`` travel to the tasks (so at most 1 / near of
-    each order: at 1e-5 300 000 rows of five numbers, 12 MB); the others are fetched for each block of texts (some 2 MB,
+    each order: at 1e-5 300 000 rows of five numbers, 12 MB); the others are fetched for each block of texts (some 12 MB,
     or one longer text) by a shuffled join, a row for each different arc that it may meet. This changes no result.
     Without training rows every word is unknown. Repeated rows are scored (and learned from) each, an empty table gives
     no rows, other columns are ignored.
@@ -264,59 +469,46 @@ def score_texts(docs: DataFrame, train: Column, head_share: float = 0.0, share:
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    learned = docs.where(train).select(text)
-    counts = materialized(count_words(learned), "lm-words")
+    plain = docs.select(F.spark_partition_id().alias("part"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), text)  # all uses cut the same partitions into the same blocks
+    counts = materialized(count_words(plain.where("train").select("text")), "lm-words")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    table = arcs(learned, counts, n, v, head_share, share, least, order, discount)
+    marked = mark_repeated(plain, order, n)
+    marks = ["text", "hits"] if max(least, share * n) > 1 else ["text"]  # what occurs once is marked as not to be kept
+    table = arcs(marked.where("train").select(*marks), counts, n, v, head_share, share, least, order, discount)
+    discard(counts)
     columns = ("key", "known", "base", "logp", "back")
     head = table.where(F.col("n") >= near * n).orderBy("key").select(*columns).toPandas()
     shared = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in columns))
-    kind, unknown = docs.schema["doc_id"].dataType, log10(1 / (n + v + 1))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-        number = 0
-        for batch in batches:
-            for part in _parts(batch):
-                yield (part.column("part")[0].as_py() << 33) + number, part
-                number += 1
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in blocks(batches):
-            yield pa.record_batch([pa.array(np.full(part.num_rows, block)), part.column("doc_id"), part.column("text")], names=["block", "doc_id", "text"])
+    kind, unknown, depth = docs.schema["doc_id"].dataType, log10(1 / (n + v + 1)), _depth((order - 1) * n, BUCKET)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value[0]
-        for block, part in blocks(batches):
-            words, _, grams = _runs(part.column("text").to_pylist(), None)
-            wanted = np.unique(np.concatenate([words, np.array([START]), *(_joined(a, b, o) for o, (a, b, _) in enumerate(grams, 2) if o <= order)]).view(np.int64))
+        for block, rows in _groups(batches, "block"):
+            found = []
+            for part in rows.to_batches():
+                for piece in _parts(part):
+                    words, grams = _grams(piece, order)
+                    found.append(np.unique(np.concatenate([words, np.array([START]), *(_joined(a, b, o) for o, (a, b) in enumerate(grams, 2))]).view(np.int64)))
+            wanted = np.unique(np.concatenate(found))
             at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            far = wanted[keys[at] != wanted] if len(keys) else wanted
-            yield pa.record_batch([pa.array(np.full(len(far), block)), pa.array(far)], names=["block", "key"])
+            far = np.sort((wanted[keys[at] != wanted] if len(keys) else wanted).view(np.uint64))
+            for bucket, a, b in _edges(far, depth, 64 - depth):
+                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": int(block), "keys": _packed(far[a:b], 8)}], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())]))
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fetched, model = None, [], None
-        for batch in batches:
-            numbers = np.asarray(batch.column("block"))
-            edges = np.flatnonzero(np.diff(numbers)) + 1
-            for a, b in zip([0, *edges], [*edges, len(numbers)], strict=True):
-                piece = batch.slice(a, b - a)
-                if numbers[a] != now:
-                    now, fetched, model = numbers[a], [], None
-                m = int(np.asarray(piece.column("is_text").to_numpy(zero_copy_only=False)).argmax()) if piece.column("is_text")[len(piece) - 1].as_py() else len(piece)
-                if m:
-                    fetched.append(tuple(piece.column(c).slice(0, m).to_numpy(zero_copy_only=False) for c in columns))
-                if m < len(piece):
-                    own = tuple(np.concatenate(x) for x in zip(*fetched, strict=True)) if fetched else tuple(x[:0] for x in shared.value)
-                    model = model or Automaton(shared.value, own)
-                    rest = piece.slice(m)
-                    for part in _parts(rest):
-                        found = model.walk(part.column("text").to_pylist(), order, unknown)
-                        yield pa.record_batch([part.column("doc_id"), *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    plain = docs.select(F.spark_partition_id().alias("part"), "doc_id", text)  # both uses cut the same partitions into the same blocks
-    texts = plain.mapInArrow(dealt, f"block long, doc_id {kind.simpleString()}, text binary")
-    tail = table.where(F.col("n") < near * n).drop("n")
-    fetched = plain.mapInArrow(asked, "block long, key long").join(tail, "key").withColumn("is_text", F.lit(False))
-    rows = texts.withColumn("is_text", F.lit(True)).unionByName(fetched, allowMissingColumns=True)
-    scored = rows.repartition("block").sortWithinPartitions("block", "is_text", "key").select("block", "is_text", *columns, "doc_id", "text").mapInArrow(walked, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+        for _, rows in _groups(batches, "block"):
+            is_text = pc.is_null(rows.column("bucket"))
+            own = [_arrays(x) for x in rows.filter(pc.invert(is_text)).column("arcs").to_pylist()]
+            own = [np.concatenate(x) for x in zip(*own, strict=True)] if own else [x[:0] for x in shared.value]
+            ranked = np.argsort(own[0])
+            model = Automaton(shared.value, tuple(x[ranked] for x in own))
+            for batch in rows.filter(is_text).to_batches():
+                for part in _parts(batch):
+                    found = model.walk(part.column("text").to_pylist(), order, unknown)
+                    yield pa.record_batch([part.column("doc_id"), *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    tail = table.where(F.col("n") < near * n)
+    answers = fetch_arcs(marked.select("block", *marks).mapInArrow(asked, "bucket int, block long, keys binary"), tail, depth)
+    rows = marked.select("block", "doc_id", "text").unionByName(answers, allowMissingColumns=True)
+    scored = rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(walked, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attest.llm.ngram_lm import START, Automaton, _joined, _word_keys, arcs, count_words, score_texts
+from attest.llm import ngram_lm
+from attest.llm.ngram_lm import START, Automaton, _joined, _word_keys, arcs, count_ngrams, count_words, mark_repeated, score_texts
 
 DOCS = "doc_id long, text string, score string, n int"
 
@@ -173,3 +174,34 @@ def test_a_phrase_counts_in_a_corpus_of_any_size(spark):
     train = [d[1] for d in docs[:-1]]
     want = brute(train, ["w1 alpha beta gamma w2"], 0.0, 1.5 / (320 * 1001 + 8), 3, 0.5)
     assert got[1002] == pytest.approx(want[0][-1], rel=1e-9)
+
+
+@pytest.mark.parametrize(("order", "most"), [(3, 2_000_000), (3, 500), (2, 500)])
+def test_what_occurs_once_is_neither_counted_nor_asked_for(spark, monkeypatch, order, most):
+    """Marks in one bucket and in several, over several blocks: all repeated n-grams are there with all their occurrences, few others."""
+    monkeypatch.setattr(ngram_lm, "BLOCK", 3_000)
+    docs = [*((d[0], d[1].encode(), d[0] % 3 != 0) for d in corpus()), (900, b"", True), (901, b"never seen W1", False), (None, b"", True)]
+    texts = spark.createDataFrame(docs, "doc_id long, text binary, train boolean").select(F.spark_partition_id().alias("part"), "doc_id", "train", "text")
+    runs = [[None, *tokens(t.decode())] for _, t, train in docs if train]
+    n = sum(len(r) - 1 for r in runs)
+    marked = mark_repeated(texts, order, n, most=most)
+    assert sorted(map(tuple, marked.select(F.coalesce("doc_id", F.lit(-1)), "train", F.length("text")).collect())) == sorted((-1 if d is None else d, train, len(t)) for d, t, train in docs)
+    got = Counter({(r.o, r.n): r.rows for r in count_ngrams(marked.where("train").select("text", "hits"), order).groupBy("o", "n").agg(F.count("*").alias("rows")).collect()})
+    for k in range(2, order + 1):
+        want = Counter(Counter(tuple(r[i : i + k]) for r in runs for i in range(len(r) - k + 1)).values())
+        assert {c: x for (o, c), x in got.items() if o == k and c > 1} == {c: x for c, x in want.items() if c > 1}
+        assert want[1] > 500 and got[k, 1] < 0.05 * want[1]
+
+
+def test_arcs_come_back_as_they_are_in_the_table(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.append(rng.integers(-(1 << 63), (1 << 63) - 1, 500), [-(1 << 63), -1, 0, 1, (1 << 63) - 1]))
+    rows = [(int(k), int(k) % 5, float(k), -float(i), float(i % 3)) for i, k in enumerate(keys)]
+    table = spark.createDataFrame(rows, ngram_lm.ARC)
+    wanted = np.sort(np.append(keys[::2], [5, -7, 12345]).view(np.uint64))
+    for depth in (0, 3):
+        asked = [(b, block, ngram_lm._packed(wanted[x:y], 8)) for block in (4, 9) for b, x, y in ngram_lm._edges(wanted, depth, 64 - depth)]
+        got = ngram_lm.fetch_arcs(spark.createDataFrame(asked, "bucket int, block long, keys binary"), table, depth).collect()
+        for block in (4, 9):
+            found = [x for r in got if r.block == block for x in zip(*(c.tolist() for c in ngram_lm._arrays(r.arcs)), strict=True)]
+            assert sorted(found) == sorted(rows[::2])
