@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.sources.shared import checkpointed, discard, materialized, shared_dir
+from attest.sources.shared import checkpointed, discard, materialized, shared_dir, shuffles_removed
 
-__all__ = ["NO_ID", "WORD", "checkpointed", "dense_index", "discard", "fold_of", "matched", "materialized", "shared_dir", "spare", "table", "word_count"]
+__all__ = ["NO_ID", "WORD", "checkpointed", "dense_index", "discard", "fold_of", "matched", "materialized", "shared_dir", "shuffles_removed", "spare", "table", "word_count"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

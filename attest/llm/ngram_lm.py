@@ -2,13 +2,15 @@
 
 States are contexts: nothing (the root), a word, or two words. A kept n-gram is an arc from the context of its words but
 the last; where a state has no arc for a word, its failure arc leads to the context without its first word, at the
-state's backoff weight. Arcs and weights are a table, made of complete counts by aggregations and joins, in which an
-n-gram (and the state that it leads to) is named by a 64-bit hash. A block of texts fetches the arcs that it can meet by
-a shuffled join, and is walked once, from left to right, with one state for each text.
+state's backoff weight. An n-gram (and the state that it leads to) is named by a hash.
 
-Most n-grams occur once and are never kept. So blocks first exchange fingerprints of a few bits, and what comes back
-marks the n-grams whose fingerprint occurs again in training texts. Only marked ones are counted and asked for. A
-fingerprint that two n-grams share costs one row more, and never a count.
+A block of texts is read once, turned into numbers of words, and holds the part of the automaton that its texts can meet.
+It asks for the counts of its words and n-grams in all training texts, by key ranges, in packed rows. These give it
+its arcs, and so the way of each text; what it lacks are the weights of the failure arcs on the way. So the blocks
+add up what leaves each state (each arc by one block), and get the sums for the states that they ask for.
+
+The model can also be made as a table: arcs() makes it of complete counts, mark_repeated() rules out beforehand most
+n-grams that occur once, and fetch_arcs() looks arcs up. score_texts() needs no such table.
 
 Probabilities: the unigram (c + 1) / (N + V + 1), and above it absolute discounting with backoff weights that make every
 context's distribution over the V + 1 words sum to one. All n-grams with at least two occurrences count, so what is
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log10
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import discard, materialized
+from attest.llm.common import discard, materialized, shuffles_removed
 
 END = b""  # the end token; no word is empty
 FLUSH = 400_000  # distinct keys that a task holds before it emits them
@@ -351,6 +354,22 @@ def arcs(texts: DataFrame, counts: DataFrame, n: int, v: int, head_share: float,
     return found
 
 
+def followed(first: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, order: int, begin: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the automaton does at each token: the order of the arc it takes (0: an unknown word, from the root), and whether
+    it first leaves a state of two words, and one of a word, by their failure arcs.
+
+    one, two and three say whether the n-grams that end with the token are arcs; first has the places of first tokens, and
+    begin says whether the start is a state. Whatever was read, the state after a token is the longest context that is an
+    arc, so the state before each token is known without a walk over those before.
+    """
+    before = np.where(two & (order == 3), 2, one.astype(np.int8))
+    before = np.roll(before, 1)
+    before[first] = begin
+    by3, falls = (before == 2) & three, (before == 2) & ~three
+    at_word = falls | (before == 1)
+    return np.select([by3, at_word & two, one], [3, 2, 1], 0), falls, at_word & ~two
+
+
 class Automaton:
     """Arcs that are at hand: those that travel to every task, and those that a block has fetched, each sorted by key. Place -1, no arc, has zeros."""
 
@@ -371,41 +390,24 @@ class Automaton:
         return out
 
     def walk(self, texts: list[bytes | None], order: int, unknown: float) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base score and score of each text: all texts go on by one token at a time, each with its state.
-
-        A state is the place of the arc that led to it and its level, the number of words in its context.
-        """
+        """Tokens, known tokens, base score and score of each text."""
         words, of, grams = _runs(texts, None)
         size, sizes = len(texts), np.bincount(of, minlength=len(texts))
         one = self.arc(words.view(np.int64))
         first = np.cumsum(sizes) - sizes
         two, three = np.full(len(words), -1), np.full(len(words), -1)
         two[:] = self.arc(_joined(grams[0][0], grams[0][1], 2).view(np.int64))  # one for each token, with the start before the first
-        after_first = np.ones(len(words), bool)
-        after_first[first] = False
         if order == 3:
+            after_first = np.ones(len(words), bool)
+            after_first[first] = False
             three[after_first] = self.arc(_joined(grams[1][0], grams[1][1], 3).view(np.int64))
-        ranked = np.argsort(-sizes, kind="stable")
         begin = int(self.arc(np.array([START]).view(np.int64))[0])
-        state, level, total = np.full(size, begin), np.full(size, int(begin >= 0)), np.zeros(size)
-        alive = np.searchsorted(-sizes[ranked], -np.arange(sizes.max(initial=0)), "left")  # texts with more tokens than so many
-        begins = first[ranked]
-        for step, k in enumerate(alive.tolist()):
-            at, s, now = begins[:k] + step, state[:k], level[:k]
-            a3, a2, a1 = three[at], two[at], one[at]
-            by3 = (now == 2) & (a3 >= 0)
-            falls = (now == 2) & ~by3  # to the state of the last word
-            total[:k] += np.where(falls, self.back[s], 0.0)
-            s = np.where(falls, one[at - 1], s)
-            now = np.where(falls, 1, now)
-            by2 = (now == 1) & (a2 >= 0)
-            sinks = (now == 1) & ~by2  # to the root
-            total[:k] += np.where(sinks, self.back[s], 0.0) + np.where(by3, self.logp[a3], np.where(by2, self.logp[a2], np.where(a1 >= 0, self.logp[a1], unknown)))
-            self.failed += int(falls.sum() + sinks.sum())
-            level[:k] = np.where((a2 >= 0) & (order == 3), 2, a1 >= 0)
-            state[:k] = np.where(level[:k] == 2, a2, a1)
-        score = np.empty(size)
-        score[ranked] = total
+        taken, falls, sinks = followed(first, one >= 0, two >= 0, three >= 0, order, begin >= 0)
+        self.failed += int(falls.sum() + sinks.sum())
+        word, pair = np.roll(one, 1), np.roll(two, 1)  # of the token before
+        word[first] = begin
+        step = np.select([taken == 3, taken == 2, taken == 1], [self.logp[three], self.logp[two], self.logp[one]], unknown)
+        score = np.bincount(of, np.where(falls, self.back[pair], 0.0) + np.where(sinks, self.back[word], 0.0) + step, size)
         hit = one >= 0
         base = np.where(hit, self.base[one], unknown)
         return sizes, np.bincount(of[hit], self.known[one[hit]], size).astype(np.int64), np.bincount(of, base, size), score
@@ -454,61 +456,331 @@ def _arrays(arcs: list[bytes]) -> tuple[np.ndarray, ...]:
     return _unpacked(arcs[0], 8).view(np.int64), *(v[_from_planes(arcs[i], 4)] for v, i in zip(values, (2, 4, 6, 8), strict=True))
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, how many they are included."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(_planes(numbers, 8), codec="zstd", asbytes=True)
+
+
+def _released(data: bytes) -> np.ndarray:
+    return _from_planes(pa.decompress(data[8:], decompressed_size=8 * int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), 8)
+
+
+def _differences(ascending: np.ndarray) -> bytes:
+    return _squeezed(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def _sums(data: bytes) -> np.ndarray:
+    return _released(data).cumsum(dtype=np.uint64)
+
+
+def _row(schema: pa.Schema, **values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([values], schema)
+
+
+def number_texts(texts: DataFrame) -> DataFrame:
+    """Blocks of the rows part, doc_id, train, text, written once, a row each: their texts as numbers of words.
+
+    doc_ids, sizes (tokens) and train of its texts; vocab, the keys of its words and of the start, frequent ones first;
+    ids, the place there of each token, with the start before each text; n_train and n_all, tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches):
+            place: dict[bytes, int] = {}
+            runs, lengths = [], []
+            for piece in _parts(part):
+                flat: list[bytes] = []
+                for text in piece.column("text").to_pylist():
+                    found = tokens(text)
+                    lengths.append(len(found))
+                    flat += found
+                for w in dict.fromkeys(flat):
+                    place.setdefault(w, len(place))
+                runs.append(np.fromiter(map(place.__getitem__, flat), np.int32, len(flat)))
+            sizes = np.array(lengths, np.int64)
+            words = np.empty(len(place), object)
+            words[:] = list(place)
+            keys = np.append(pd.util.hash_array(words), START)
+            ids = np.full(int(sizes.sum()) + len(sizes), len(place), np.int32)
+            ids[~_starts(sizes)] = np.concatenate(runs)
+            ranked = np.argsort(-np.bincount(ids, minlength=len(keys)), kind="stable")
+            rank = np.empty(len(ranked), np.int32)
+            rank[ranked] = np.arange(len(ranked))
+            train = part.column("train").to_numpy(zero_copy_only=False)
+            doc_ids = part.column("doc_id")
+            values = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)]
+            values += [pa.array([x], pa.binary()) for x in (_squeezed(sizes), np.packbits(train).tobytes(), keys[ranked].tobytes(), _squeezed(rank[ids]))]
+            yield pa.record_batch([*values, pa.array([int(sizes[train].sum())]), pa.array([int(sizes.sum())])], names=["block", "doc_ids", "sizes", "train", "vocab", "ids", "n_train", "n_all"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return materialized(texts.mapInArrow(run, f"block long, doc_ids array<{kind}>, sizes binary, train binary, vocab binary, ids binary, n_train long, n_all long"), "lm-blocks")
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where the starts of texts with so many tokens stand among all tokens and starts."""
+    at = np.zeros(int(sizes.sum()) + len(sizes), bool)
+    at[np.cumsum(sizes + 1) - sizes - 1] = True
+    return at
+
+
+class _Numbered:
+    """A block of number_texts. Arrays over tokens and starts: ids, at (a start), owner (its text), train; places of n-grams' last tokens by order in ``ends``, and the n-grams' keys in ``keys``."""
+
+    def __init__(self, row: dict, order: int) -> None:
+        sizes = _released(row["sizes"]).astype(np.int64)
+        self.sizes, self.vocab, self.ids = sizes, np.frombuffer(row["vocab"], np.uint64), _released(row["ids"]).astype(np.int32)
+        self.at, self.owner = _starts(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        self.train = _flags(row["train"], len(sizes))[self.owner]
+        run = self.vocab[self.ids]
+        pairs = np.empty_like(run)  # that of the token before and this one
+        pairs[:1], pairs[1:] = 0, _joined(run[:-1], run[1:], 2)
+        self.ends = {2: np.flatnonzero(~self.at)}
+        self.keys = {2: pairs[self.ends[2]]}
+        if order == 3:
+            self.ends[3] = np.flatnonzero(~self.at[1:] & ~self.at[:-1]) + 1
+            self.keys[3] = _joined(pairs[self.ends[3] - 1], pairs[self.ends[3]], 3)
+
+
+def share_counts(blocks: DataFrame, order: int, least: float, depth: int) -> list[DataFrame]:
+    """block, bucket, n, kept, ranks, counts, own, v: what the training texts of all blocks have of each block's words and n-grams.
+
+    Written in two turns, for the lower half of the n-grams' keys and for the upper one: the questions are the largest
+    thing that is exchanged, and those of the first turn are gone when the second begins.
+
+    A block asks with its different words, and n-grams, by ascending keys in ranges: buckets from 0 for words, from
+    2^depth on for n-grams. It says how often they occur in its own training texts, and the bucket adds up. In the same
+    order the answer has kept (a bit: the word occurs, the n-gram occurs ``least`` times), and for what is kept its rank
+    in the bucket, its count, and own, a bit that is 1 for one block of all that have it. v counts the bucket's words.
+    A key is 63 bits of hash.
+    """
+    shallow = max(0, depth - 2)  # there are fewer words than n-grams
+    asks = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
+    replies = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("kept", pa.binary()), ("ranks", pa.binary()), ("counts", pa.binary()), ("own", pa.binary()), ("v", pa.int64())])
+
+    def words_of(b: _Numbered) -> tuple[np.ndarray, np.ndarray]:
+        ranked = np.argsort(b.vocab)
+        return b.vocab[ranked] >> np.uint64(1), np.bincount(b.ids[b.train], minlength=len(b.vocab))[ranked]
+
+    def ngrams_of(b: _Numbered, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate([k & ~np.uint64(1) | b.train[b.ends[o]] for o, k in b.keys.items()])
+        if depth:
+            every = every[every >> np.uint64(63) == turn]
+        every.sort()
+        key = every >> np.uint64(1)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return key[first], np.add.reduceat(every & np.uint64(1), first) if len(first) else first
+
+    def asked(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Numbered(row, order)
+                sets = [(*words_of(b), shallow, 0)] if turn == 0 else []
+                for keys, times, bits, base in [*sets, (*ngrams_of(b, turn), depth, 1 << depth)]:
+                    for bucket, x, y in _edges(keys, bits, 63 - bits):
+                        yield _row(asks, bucket=base + bucket, block=row["block"], keys=_differences(keys[x:y] - (np.uint64(bucket) << np.uint64(63 - bits))), times=_squeezed(times[x:y]))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            rows = rows.select(["block", "keys", "times"]).to_pylist()
+            keys = [_sums(r.pop("keys")) for r in rows]
+            edges = np.cumsum([0, *map(len, keys)])
+            every, times = np.concatenate(keys), np.concatenate([_released(r.pop("times")) for r in rows])
+            ranked = np.argsort(every)
+            value = every[ranked]
+            new = np.append(True, value[1:] != value[:-1])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(times[ranked], first)
+            own, place = np.zeros(len(every), bool), np.empty(len(every), np.int64)
+            own[np.minimum.reduceat(ranked, first)] = True  # that of the smallest block: rows come in this order
+            place[ranked] = np.cumsum(new) - 1
+            is_word = bucket < 1 << depth
+            kept = total >= (1 if is_word else least)
+            rank = np.cumsum(kept, dtype=np.uint64) - np.uint64(1)
+            start = (START >> np.uint64(1)) - (np.uint64(bucket) << np.uint64(63 - shallow)) if is_word and int(START) >> (64 - shallow) == bucket else None
+            v = int(kept.sum() - (0 if start is None else kept[value[first] == start].sum())) if is_word else 0
+            for r, x, y in zip(rows, edges[:-1], edges[1:], strict=True):
+                has = kept[place[x:y]]
+                at = place[x:y][has]
+                yield _row(replies, block=r["block"], bucket=int(bucket), n=int(y - x), kept=np.packbits(has).tobytes(), ranks=_differences(rank[at]), counts=_squeezed(total[at]), own=np.packbits(own[x:y][has]).tobytes(), v=v)
+                v = 0
+
+    out = []
+    for turn in range(2 if depth else 1):
+        asking = blocks.select("block", "sizes", "train", "vocab", "ids").mapInArrow(lambda batches, turn=turn: asked(batches, turn), "bucket int, block long, keys binary, times binary")
+        found = asking.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answered, "block long, bucket int, n int, kept binary, ranks binary, counts binary, own binary, v long")
+        with shuffles_removed(blocks.sparkSession):
+            out.append(materialized(found, "lm-counts"))
+    return out
+
+
+def follow_arcs(blocks: DataFrame, answers: list[DataFrame], n: int, head_share: float, order: int, discount: float, depth: int) -> DataFrame:
+    """The way of each block's texts through the automaton, a row a block, written once: all weights but those of failure arcs.
+
+    Of its texts: doc_ids, n_tokens, n_known, base and score, where log10(N + V + 1) is still to be taken from base once a
+    token, and from score once for each of roots, the arcs taken from the root. fails has how many failure arcs each text
+    follows, and states which, as places in the block's list of states. Of these: c and lower, the counts of the context
+    and of its last word (0 for a state of one word); asks has their ranks by bucket, and what arcs that this block
+    answers for (own) add to the sums of their counts, their number, and the sum of the counts of what they fall back to.
+    """
+    columns = ("n_tokens array<long>, n_known array<long>, roots array<long>, base array<double>, score array<double>, fails binary, states binary, c binary, lower binary, v long, "
+               "asks array<struct<bucket: int, ranks: binary, sums: binary>>")
+    asks = pa.list_(pa.struct([("bucket", pa.int32()), ("ranks", pa.binary()), ("sums", pa.binary())]))
+    binaries = ("fails", "states", "c", "lower")
+
+    def followed_block(row: dict, found: list[dict]) -> tuple[list[np.ndarray], dict]:
+        b = _Numbered(row, order)
+        # the block's n-grams: some, a place of each, and place, the number of the one at each place
+        every = np.concatenate([k >> np.uint64(1) for k in b.keys.values()])
+        b.keys.clear()
+        order_of = np.argsort(every)
+        every = every[order_of]
+        new = np.append(True, every[1:] != every[:-1])
+        some, place = order_of[new], np.empty(len(every), np.int32)
+        place[order_of] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del every, new, order_of
+        # what is known of words and n-grams
+        n_words = next((i for i, r in enumerate(found) if r["bucket"] >= 1 << depth), len(found))
+        parts = []
+        for rows, size in ((found[:n_words], len(b.vocab)), (found[n_words:], None)):
+            kept = np.concatenate([_flags(r["kept"], r["n"]) for r in rows])
+            if size not in (None, len(kept)):
+                raise RuntimeError("a block's questions and answers differ")
+            at, held = np.flatnonzero(kept), [_released(r["counts"]) for r in rows]
+            out = [np.zeros(len(kept), t) for t in (np.int64, np.int32, bool, np.int32)]
+            for o, x in zip(out, (held, [_sums(r["ranks"]) for r in rows], [_flags(r["own"], len(h)) for r, h in zip(rows, held, strict=True)], [np.full(len(h), r["bucket"]) for r, h in zip(rows, held, strict=True)]), strict=True):
+                o[at] = np.concatenate(x)
+            parts.append(out)
+        (c_word, *word), (c_gram, *gram) = parts
+        ranked = np.argsort(b.vocab)  # c1 by number
+        c1 = np.empty(len(ranked), np.int64)
+        c1[ranked] = c_word
+        if len(c_gram) != len(some):
+            raise RuntimeError("a block's questions and answers differ")
+        mine = some[gram[1] & (c_gram > 0)]
+        # the arcs that end at each token
+        total, m = len(b.ids), len(b.ends[2])
+        one, before, c2, c3, at2 = c1[b.ids], np.roll(c1[b.ids], 1), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int32)
+        at2[b.ends[2]] = place[:m]
+        good = (one >= head_share * n) | b.at
+        c2[b.ends[2]] = c_gram[place[:m]]
+        c2 *= good & np.roll(good, 1)
+        if order == 3:
+            c3[b.ends[3]] = c_gram[place[m:]]
+            c3 *= (c2 > 0) & (np.roll(c2, 1) > 0)
+        token = b.ends[2]
+        first = np.cumsum(b.sizes) - b.sizes
+        taken, falls, sinks = followed(first, one[token] > 0, c2[token] > 0, c3[token] > 0, order, bool(before[1] > 0))
+        step = np.log10(one[token] + 1.0)
+        base = np.bincount(b.owner[token], step, len(b.sizes))
+        by = token[taken == 2]
+        step[taken == 2] = np.log10((c2[by] - discount) / before[by])
+        by = token[taken == 3]
+        step[taken == 3] = np.log10((c3[by] - discount) / c2[by - 1])
+        per_text = lambda which: np.bincount(b.owner[token[which]], minlength=len(b.sizes))
+        # the block's states, in the order of their keys, words before bigrams: by arcs that it answers for, by failure arcs
+        two, three = b.ends[2][mine[mine < m]], b.ends[3][mine[mine >= m] - m] if order == 3 else np.zeros(0, np.int64)
+        two, three = two[c2[two] > 0], three[c3[three] > 0]
+        falls, sinks = token[falls] - 1, token[sinks] - 1
+        is_state = [np.zeros(len(c1), bool), np.zeros(len(c_gram), bool)]
+        for mask, x, y in ((is_state[0], b.ids[two - 1], b.ids[sinks]), (is_state[1], at2[three - 1], at2[falls])):
+            mask[x] = mask[y] = True
+        uses = [np.flatnonzero(is_state[0][ranked]), np.flatnonzero(is_state[1])]
+        states = len(uses[0]) + len(uses[1])
+        number = [np.zeros(len(c1), np.int32), np.zeros(len(c_gram), np.int32)]
+        number[0][ranked[uses[0]]] = np.arange(len(uses[0]))
+        number[1][uses[1]] = np.arange(len(uses[0]), states)
+        leaves = np.concatenate([number[0][b.ids[two - 1]], number[1][at2[three - 1]]])
+        added = [np.bincount(leaves, x, states) for x in (np.concatenate([c2[two], c3[three]]), None, np.concatenate([one[two], c2[three]]))]
+        added = np.stack(added).astype(np.int64)  # whole numbers, exact up to 2^53
+        lower = np.zeros(len(c_gram), np.int64)
+        lower[at2[token]] = one[token]
+        rank, bucket = (np.concatenate([w[u], g[v]]) for (u, v), w, g in zip([uses] * 2, (word[0], word[2]), (gram[0], gram[2]), strict=True))
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+        owner = np.concatenate([b.owner[falls], b.owner[sinks]])
+        state = np.concatenate([number[1][at2[falls]], number[0][b.ids[sinks]]])
+        out = {
+            "fails": np.bincount(owner, minlength=len(b.sizes)), "states": state[np.argsort(owner, kind="stable")],
+            "c": np.concatenate([c_word[uses[0]], c_gram[uses[1]]]), "lower": np.concatenate([np.zeros(len(uses[0]), np.int64), lower[uses[1]]]),
+        }
+        asked = [{"bucket": int(bucket[x]), "ranks": _differences(rank[x:y].astype(np.uint64)), "sums": _squeezed(added[:, x:y].ravel())} for x, y in zip(edges[:-1], edges[1:], strict=True) if y > x]
+        texts = [b.sizes, per_text(one[token] > 0), per_text(taken < 2), base, np.bincount(b.owner[token], step, len(b.sizes))]
+        return texts, {c: _squeezed(x) for c, x in out.items()} | {"v": sum(r["v"] for r in found), "asks": asked}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _groups(batches, "block"):
+            is_block = pc.is_null(rows.column("bucket"))
+            own = rows.filter(is_block).combine_chunks()
+            found = rows.filter(pc.invert(is_block)).select(["bucket", "n", "kept", "ranks", "counts", "own", "v"]).to_pylist()
+            texts, rest = followed_block(own.select(["sizes", "train", "vocab", "ids"]).to_pylist()[0], found)
+            values = [pa.array([int(block)]), own.column("doc_ids").combine_chunks()]
+            values += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in texts]
+            values += [*(pa.array([rest[c]], pa.binary()) for c in binaries), pa.array([rest["v"]], pa.int64()), pa.array([rest["asks"]], asks)]
+            yield pa.record_batch(values, names=["block", "doc_ids", "n_tokens", "n_known", "roots", "base", "score", *binaries, "v", "asks"])
+
+    rows = blocks.select("block", "doc_ids", "sizes", "train", "vocab", "ids").unionByName(reduce(DataFrame.unionByName, answers), allowMissingColumns=True)
+    kind = blocks.schema["doc_ids"].dataType.simpleString()
+    with shuffles_removed(blocks.sparkSession):
+        return materialized(rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"block long, doc_ids {kind}, {columns}"), "lm-ways")
+
+
+def share_sums(asked: DataFrame) -> DataFrame:
+    """block, bucket, sums: the sums of all blocks of what each says of its states (see follow_arcs), in the block's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            rows = rows.select(["block", "ranks", "sums"]).to_pylist()
+            ranks = [_sums(r.pop("ranks")).astype(np.int64) for r in rows]
+            total = np.zeros((3, max(int(x[-1]) for x in ranks) + 1), np.int64)
+            for r, x in zip(rows, ranks, strict=True):
+                total[:, x] += _released(r.pop("sums")).astype(np.int64).reshape(3, -1)
+            for r, x in zip(rows, ranks, strict=True):
+                yield _row(pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary())]), block=r["block"], bucket=int(bucket), sums=_squeezed(total[:, x].ravel()))
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, sums binary")
+
+
 def score_texts(docs: DataFrame, train: Column, head_share: float = 0.0, share: float = 0.0, order: int = 3, discount: float = 0.5, least: int = 2, near: float = 1e-5) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, learned from the rows where ``train`` holds.
 
     Whole texts are scored; null and empty ones consist of the end token. Every n-gram with at least ``least``
     occurrences counts, however large the corpus; share and head_share, if given, also ask for a share of all training
-    tokens (of an n-gram, of each word in it). Arcs with a share of ``near`` travel to the tasks (so at most 1 / near of
-    each order: at 1e-5 300 000 rows of five numbers, 12 MB); the others are fetched for each block of texts (some 12 MB,
-    or one longer text) by a shuffled join, a row for each different arc that it may meet. This changes no result.
+    tokens (of an n-gram, of each word in it). A block of texts (some 12 MB, or one longer text) is one row; it asks for the
+    counts of its words and n-grams, and then for the sums that its states' backoff weights are made of. near has no
+    effect any more (no arcs travel to all tasks); it never changed a result.
     Without training rows every word is unknown. Repeated rows are scored (and learned from) each, an empty table gives
     no rows, other columns are ignored.
     """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    plain = docs.select(F.spark_partition_id().alias("part"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), text)  # all uses cut the same partitions into the same blocks
-    counts = materialized(count_words(plain.where("train").select("text")), "lm-words")
-    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    marked = mark_repeated(plain, order, n)
-    marks = ["text", "hits"] if max(least, share * n) > 1 else ["text"]  # what occurs once is marked as not to be kept
-    table = arcs(marked.where("train").select(*marks), counts, n, v, head_share, share, least, order, discount)
-    discard(counts)
-    columns = ("key", "known", "base", "logp", "back")
-    head = table.where(F.col("n") >= near * n).orderBy("key").select(*columns).toPandas()
-    shared = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in columns))
-    kind, unknown, depth = docs.schema["doc_id"].dataType, log10(1 / (n + v + 1)), _depth((order - 1) * n, BUCKET)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value[0]
-        for block, rows in _groups(batches, "block"):
-            found = []
-            for part in rows.to_batches():
-                for piece in _parts(part):
-                    words, grams = _grams(piece, order)
-                    found.append(np.unique(np.concatenate([words, np.array([START]), *(_joined(a, b, o) for o, (a, b) in enumerate(grams, 2))]).view(np.int64)))
-            wanted = np.unique(np.concatenate(found))
-            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            far = np.sort((wanted[keys[at] != wanted] if len(keys) else wanted).view(np.uint64))
-            for bucket, a, b in _edges(far, depth, 64 - depth):
-                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": int(block), "keys": _packed(far[a:b], 8)}], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())]))
-
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks = number_texts(docs.select(F.spark_partition_id().alias("part"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), text))
+    n, n_all = (x or 0 for x in blocks.agg(F.sum("n_train"), F.sum("n_all")).first())
+    depth = _depth((order - 1) * n_all, BUCKET)
+    answers = share_counts(blocks, order, max(1, least, share * n), depth)
+    ways = follow_arcs(blocks, answers, n, head_share, order, discount, depth)
+    discard(blocks, *answers)
+    v = ways.agg(F.sum("v")).first()[0] or 0
+    kind, whole = docs.schema["doc_id"].dataType, float(n + v + 1)
+
+    def weights(c: np.ndarray, lower: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Backoff weights of states: what their arcs leave, over what these leave where the failure arc leads to."""
+        of, many, below = sums
+        taken = np.where(lower > 0, (below - discount * many) / np.maximum(lower, 1), (below + many) / whole)
+        return np.where(many > 0, np.log10(np.maximum(1e-12, 1.0 - (of - discount * many) / np.maximum(c, 1)) / np.maximum(1e-12, 1.0 - taken)), 0.0)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "block"):
-            is_text = pc.is_null(rows.column("bucket"))
-            own = [_arrays(x) for x in rows.filter(pc.invert(is_text)).column("arcs").to_pylist()]
-            own = [np.concatenate(x) for x in zip(*own, strict=True)] if own else [x[:0] for x in shared.value]
-            ranked = np.argsort(own[0])
-            model = Automaton(shared.value, tuple(x[ranked] for x in own))
-            for batch in rows.filter(is_text).to_batches():
-                for part in _parts(batch):
-                    found = model.walk(part.column("text").to_pylist(), order, unknown)
-                    yield pa.record_batch([part.column("doc_id"), *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    tail = table.where(F.col("n") < near * n)
-    answers = fetch_arcs(marked.select("block", *marks).mapInArrow(asked, "bucket int, block long, keys binary"), tail, depth)
-    rows = marked.select("block", "doc_id", "text").unionByName(answers, allowMissingColumns=True)
-    scored = rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(walked, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            is_block = pc.is_null(rows.column("bucket"))
+            sums = [_released(x).astype(np.int64).reshape(3, -1) for x in rows.filter(pc.invert(is_block)).column("sums").to_pylist()]
+            own = rows.filter(is_block)
+            fails, states, c, lower = (_released(own.column(x)[0].as_py()).astype(np.int64) for x in ("fails", "states", "c", "lower"))
+            back = weights(c, lower, np.concatenate(sums, axis=1)) if sums else np.zeros(0)
+            doc_ids, n_tokens, n_known, roots, base, score = (own.column(x).combine_chunks().flatten() for x in ("doc_ids", "n_tokens", "n_known", "roots", "base", "score"))
+            score = np.asarray(score) + np.bincount(np.repeat(np.arange(len(fails)), fails), back[states], len(fails)) - np.asarray(roots) * log10(whole)
+            base = np.asarray(base) - np.asarray(n_tokens) * log10(whole)
+            yield pa.record_batch([doc_ids, n_tokens, n_known, pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    sums = share_sums(ways.select("block", F.explode("asks").alias("ask")).select("ask.bucket", "block", "ask.ranks", "ask.sums"))
+    rows = ways.drop("asks", "v").unionByName(sums, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket")
+    out = rows.mapInArrow(scored, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

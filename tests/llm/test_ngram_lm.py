@@ -205,3 +205,32 @@ def test_arcs_come_back_as_they_are_in_the_table(spark):
         for block in (4, 9):
             found = [x for r in got if r.block == block for x in zip(*(c.tolist() for c in ngram_lm._arrays(r.arcs)), strict=True)]
             assert sorted(found) == sorted(rows[::2])
+
+
+def test_what_is_exchanged_stays_small(spark):
+    """Shuffled bytes a token over texts of 160 000 tokens, whose n-grams mostly occur once (3.9; 6.7 before, when counted n-grams were rows)."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(399)), "x", 1) for i in range(400)]
+    df = spark.createDataFrame(docs, DOCS).repartition(4).persist()
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert score_texts(df, F.col("doc_id") % 7 != 2).agg(F.sum("n_tokens")).first()[0] == 160_000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    df.unpersist()
+    assert (written() - before) / 160_000 < 5
+
+
+@pytest.mark.parametrize(("order", "share", "head"), [(3, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.003, 0.02)])
+def test_blocks_and_buckets_change_no_score(spark, monkeypatch, order, share, head):
+    """Counts in many buckets and two turns, over several blocks, of which one has no training text."""
+    monkeypatch.setattr(ngram_lm, "BUCKET", 200)
+    docs = [*corpus(150, 4), *((1000 + i, f"w1 w8 w57 held{i}", "x", 1) for i in range(50))]
+    train = [d[1] for d in docs if d[0] < 1000 and d[0] % 3]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 4), DOCS)
+    got = score_texts(df, (F.col("doc_id") < 1000) & (F.col("doc_id") % 3 != 0), head_share=head, share=share, order=order).collect()
+    least = max(share, 1.5 / sum(len(tokens(t)) for t in train))
+    want = brute(train, [d[1] for d in docs], head, least, order, 0.5)
+    assert len(got) == len(docs)
+    for r, w in zip(sorted(got, key=lambda r: r.doc_id), want, strict=True):
+        assert [r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score] == pytest.approx(list(w), rel=1e-9)
