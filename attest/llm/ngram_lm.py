@@ -657,6 +657,7 @@ def follow_arcs(blocks: DataFrame, answers: list[DataFrame], n: int, head_share:
         if len(c_gram) != len(some):
             raise RuntimeError("a block's questions and answers differ")
         mine = some[gram[1] & (c_gram > 0)]
+        del some
         # the arcs that end at each token
         total, m = len(b.ids), len(b.ends[2])
         one, before, c2, c3, at2 = c1[b.ids], np.roll(c1[b.ids], 1), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int32)
@@ -667,6 +668,7 @@ def follow_arcs(blocks: DataFrame, answers: list[DataFrame], n: int, head_share:
         if order == 3:
             c3[b.ends[3]] = c_gram[place[m:]]
             c3 *= (c2 > 0) & (np.roll(c2, 1) > 0)
+        del place
         token = b.ends[2]
         first = np.cumsum(b.sizes) - b.sizes
         taken, falls, sinks = followed(first, one[token] > 0, c2[token] > 0, c3[token] > 0, order, bool(before[1] > 0))
@@ -692,15 +694,15 @@ def follow_arcs(blocks: DataFrame, answers: list[DataFrame], n: int, head_share:
         leaves = np.concatenate([number[0][b.ids[two - 1]], number[1][at2[three - 1]]])
         added = [np.bincount(leaves, x, states) for x in (np.concatenate([c2[two], c3[three]]), None, np.concatenate([one[two], c2[three]]))]
         added = np.stack(added).astype(np.int64)  # whole numbers, exact up to 2^53
-        lower = np.zeros(len(c_gram), np.int64)
-        lower[at2[token]] = one[token]
+        lower, ends = np.zeros(states, np.int64), token[is_state[1][at2[token]]]
+        lower[number[1][at2[ends]]] = one[ends]
         rank, bucket = (np.concatenate([w[u], g[v]]) for (u, v), w, g in zip([uses] * 2, (word[0], word[2]), (gram[0], gram[2]), strict=True))
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
         owner = np.concatenate([b.owner[falls], b.owner[sinks]])
         state = np.concatenate([number[1][at2[falls]], number[0][b.ids[sinks]]])
         out = {
             "fails": np.bincount(owner, minlength=len(b.sizes)), "states": state[np.argsort(owner, kind="stable")],
-            "c": np.concatenate([c_word[uses[0]], c_gram[uses[1]]]), "lower": np.concatenate([np.zeros(len(uses[0]), np.int64), lower[uses[1]]]),
+            "c": np.concatenate([c_word[uses[0]], c_gram[uses[1]]]), "lower": lower,
         }
         asked = [{"bucket": int(bucket[x]), "ranks": _differences(rank[x:y].astype(np.uint64)), "sums": _squeezed(added[:, x:y].ravel())} for x, y in zip(edges[:-1], edges[1:], strict=True) if y > x]
         texts = [b.sizes, per_text(one[token] > 0), per_text(taken < 2), base, np.bincount(b.owner[token], step, len(b.sizes))]
