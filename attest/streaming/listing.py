@@ -3,88 +3,108 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from attest.operators.admission import filter_covered_types
 from attest.operators.lists import LIST, list_heads, memberships
-from attest.streaming.runs import read_runs, run_of, state_store, write_batch
+from attest.streaming.runs import read_runs, run_of, runs_before, state_store, write_batch
 
-MEMBERS = "pubkey string, type string, np string, counter bigint"
-ENTRIES = f"{MEMBERS}, position bigint, checksum string"
-SLOTS = 32  # over which the members of one list are spread
+ENTRIES = "pubkey string, type string, np string, counter bigint, position bigint, checksum string"
+BUCKETS = 1 << 12  # in which heads of lists are held together, and rows of a micro-batch are compared
 
 
-def _slot(np: Column) -> Column:
-    return F.pmod(F.xxhash64(np), F.lit(SLOTS)).cast("int")
+def _key(*columns: str) -> Column:
+    """16 bytes that stand for the values of these columns, null or not."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns]
+    return F.unhex(F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
 
 
-class NewMembers(StatefulProcessor):
-    """Lets a member of a list through once, with the smallest counter of the batch in which it comes first. Keyed by list and slot."""
+def first_seen(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The rows of a stream whose values of ``by`` have not come before: of a micro-batch the one with the smallest counter (and before it one that is listed).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "np string", "counter bigint")
+    A micro-batch's own repeats are settled first, in small groups; what has come before is known to Spark's de-duplication,
+    by keys of 16 bytes.
+    """
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
-        first: dict[str, int] = {}
-        for r in rows:
-            first[r.np] = min(r.counter, first.get(r.np, r.counter))
-        for np, counter in first.items():
-            if not self.known.containsKey((np,)):
-                self.known.updateValue((np,), (counter,))
-                yield Row(pubkey=key[0], type=key[1], np=np, counter=counter)
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("listed", "descending"), ("counter", "ascending")] if "listed" in t.column_names else "counter")
+        keys = t.column("key").to_pylist()
+        seen: set[bytes] = set()
+        return t.take(pa.array([i for i, k in enumerate(keys) if not (k in seen or seen.add(k))], pa.int64()))
 
-    def handleInitialState(self, key: Any, row: Row, timers: Any) -> None:
-        self.known.updateValue((row.np,), (row.counter,))
+    keyed = rows.withColumn("key", _key(*by)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    return keyed.groupBy("bucket").applyInArrow(first, keyed.schema).dropDuplicates(["key"]).drop("key", "bucket")
 
 
 class ListHeads(StatefulProcessor):
-    """Positions and running checksums of a list's new members, in order of counter within the batch. Keyed by list; the state is its head."""
+    """Positions and running checksums of the lists' new members, in order of counter within the batch. Keyed by bucket of lists; the state are their heads."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "count bigint, checksum string")
+        self.heads = handle.getValueState("heads", "heads string")
+
+    def _read(self) -> dict[tuple[str, str], tuple[int, int]]:
+        return {(k, t): (n, int(x, 16)) for k, t, n, x in json.loads(self.heads.get()[0])} if self.heads.exists() else {}
+
+    def _write(self, heads: dict[tuple[str, str], tuple[int, int]]) -> None:
+        self.heads.update((json.dumps([(k, t, n, f"{x:x}") for (k, t), (n, x) in heads.items()]),))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        count, checksum = self.head.get() if self.head.exists() else (0, "0")
-        new, state = pd.concat(list(rows)).sort_values(["counter", "np"], kind="stable"), int(checksum, 16)
-        sums = []
-        for np in new["np"]:
+        heads, new = self._read(), pd.concat(list(rows)).sort_values(["counter", "np"], kind="stable")
+        positions, sums = [], []
+        for k, t, np in zip(new["pubkey"], new["type"], new["np"], strict=True):
+            count, state = heads.get((k, t), (0, 0))
             state ^= int.from_bytes(hashlib.sha256(np.encode()).digest(), "big")
+            heads[k, t] = (count + 1, state)
+            positions.append(count)
             sums.append(f"{state:064x}")
-        self.head.update((count + len(new), sums[-1]))
-        yield pd.DataFrame({"pubkey": key[0], "type": key[1], "np": new["np"].to_numpy(), "counter": new["counter"].to_numpy(), "position": range(count, count + len(new)), "checksum": sums})
+        self._write(heads)
+        yield new[["pubkey", "type", "np", "counter"]].assign(position=positions, checksum=sums)
 
     def handleInitialState(self, key: Any, rows: pd.DataFrame, timers: Any) -> None:
-        for count, checksum in zip(rows["count"], rows["checksum"], strict=True):
-            self.head.update((int(count), checksum))
+        found = {(k, t): (int(n), int(x, 16)) for k, t, n, x in zip(rows["pubkey"], rows["type"], rows["count"], rows["checksum"], strict=True)}
+        self._write(self._read() | found)
 
 
-def appended(members: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+def appended(members: DataFrame, entries: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Entries that a stream of members (pubkey, type, np, counter) adds to the lists; members listed before add nothing.
 
-    entries: what the lists hold at the start (used by a new checkpoint only). Membership is spread by list and slot, so a
-    list of any size has many keys; the head of a list is one key, which takes a step for each new member.
+    entries: what the lists hold at the start (used by a new checkpoint only); known: the same as a stream, all of which
+    comes in the first micro-batch. Membership is spread by member, so a list of any size is in all tasks; the head of a
+    list is in one bucket, which takes a step for each new member.
     """
-    old = None if entries is None else entries.select(*LIST, _slot(F.col("np")).alias("slot"), "np", "counter").groupBy(*LIST, "slot")
-    new = members.withColumn("slot", _slot(F.col("np"))).groupBy(*LIST, "slot").transformWithState(NewMembers(), MEMBERS, "append", "none", old)
-    heads = None if entries is None else list_heads(entries).select(*LIST, "count", "checksum").groupBy(*LIST)
-    return new.groupBy(*LIST).transformWithStateInPandas(ListHeads(), ENTRIES, "append", "none", heads)
+    columns = [*LIST, "np", "counter"]
+    rows = members.select(*columns, F.lit(False).alias("listed"))
+    if known is not None:
+        rows = rows.unionByName(known.select(*columns, F.lit(True).alias("listed")))
+    new = first_seen(rows, (*LIST, "np")).where("NOT listed")
+    bucket = F.pmod(F.xxhash64(*LIST), F.lit(BUCKETS)).cast("int").alias("bucket")
+    heads = None if entries is None else list_heads(entries).select(bucket, *LIST, "count", "checksum").groupBy("bucket")
+    return new.select(bucket, *columns).groupBy("bucket").transformWithStateInPandas(ListHeads(), ENTRIES, "append", "none", heads)
 
 
 def start_lists(members: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream's members to the lists stored in table/entries, and go on from what other checkpoints have listed there."""
-    spark = members.sparkSession
-    run = run_of(spark, checkpoint)
-    before = read_runs(spark, f"{table}/entries", ENTRIES) if run is None else None
-    out = appended(members, before if before is not None and not before.isEmpty() else None)
-    put = lambda df, batch: write_batch(df, f"{table}/entries", checkpoint, batch)
+    """Append a stream's members to the lists stored in table/entries, and go on from what other checkpoints have listed there.
+
+    Which runs were there when a checkpoint began is kept beside it, as its first micro-batch reads what they listed.
+    """
+    spark, at = members.sparkSession, f"{table}/entries"
+    before = runs_before(spark, at, checkpoint)
+    known = entries = None
+    if before:
+        listed = f"{at}/run={{{','.join(before)}}}/batch=*"
+        known = spark.readStream.schema(ENTRIES).parquet(listed)
+        entries = spark.read.schema(ENTRIES).parquet(listed) if run_of(spark, checkpoint) is None else None
+    put = lambda df, batch: write_batch(df, at, checkpoint, batch)
     with state_store(spark):
-        return out.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return appended(members, entries, known).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_append_lists(df: DataFrame, table: str, checkpoint: str, coverage: str | None = None, inherit: bool = False) -> StreamingQuery:

@@ -331,3 +331,15 @@ def test_ids_are_streamed_once(spark, tmp_path):
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{at}/in")
         tables.stream_id_feed(spark, f"{at}/in", known).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.np_id for r in spark.read.schema("np_id string").parquet(f"{at}/out").collect()) == ["a", "c", "d"]
+
+
+def test_heads_of_many_lists_are_few_rows_of_state(spark, tmp_path, monkeypatch):
+    """What a batch asks of the state goes by buckets and not by lists, of which it has a great many."""
+    monkeypatch.setattr(listing, "BUCKETS", 8, raising=False)
+    pubs, at = publications(spark, 400, keys=200), str(tmp_path)
+    for low, high in [(0, 250), (200, 400)]:
+        query = listing.stream_append_lists(landed(spark, at, between(pubs, low, high)), f"{at}/lists", f"{at}/c")
+        query.awaitTermination()
+    held = {o["operatorName"]: o["numRowsTotal"] for o in json.loads(query.recentProgress[-1].json)["stateOperators"]}
+    assert held["transformWithStateInPandasExec"] <= 8 and held["dedupe"] == 800
+    assert rows(listing.list_table(spark, f"{at}/lists")) == rows(list_entries(list_memberships(pubs)))
