@@ -343,3 +343,15 @@ def test_heads_of_many_lists_are_few_rows_of_state(spark, tmp_path, monkeypatch)
     held = {o["operatorName"]: o["numRowsTotal"] for o in json.loads(query.recentProgress[-1].json)["stateOperators"]}
     assert held["transformWithStateInPandasExec"] <= 8 and held["dedupe"] == 800
     assert rows(listing.list_table(spark, f"{at}/lists")) == rows(list_entries(list_memberships(pubs)))
+
+
+def test_what_a_list_holds_comes_before_a_smaller_counter(spark, tmp_path):
+    """Of copies in one batch the smallest counter counts; a member listed under another checkpoint keeps the counter it has there."""
+    pubs, at = publications(spark, 40), str(tmp_path)
+    late, early = pubs.withColumn("counter", F.col("counter") + 1000), pubs.withColumn("counter", F.col("counter") + 500)
+    listing.stream_append_lists(landed(spark, f"{at}/a", late.where("counter <= 1020").unionByName(early.where("counter <= 510"))), f"{at}/lists", f"{at}/c-a").awaitTermination()
+    listing.stream_append_lists(landed(spark, f"{at}/b", pubs), f"{at}/lists", f"{at}/c-b").awaitTermination()
+    listing.stream_append_lists(landed(spark, f"{at}/b", early), f"{at}/lists", f"{at}/c-b").awaitTermination()
+    want = {f"n{i}": i + 501 if i < 10 else i + 1001 if i < 20 else i + 1 for i in range(40)}
+    got = listing.list_table(spark, f"{at}/lists").where("type = '$'").collect()
+    assert {r.np: r.counter for r in got} == want and len(got) == 40
