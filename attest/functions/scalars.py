@@ -26,6 +26,12 @@ def hash_of(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def digest(*columns: str) -> Column:
+    """16 bytes that stand for the values of these columns of text, null or not."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns]
+    return F.unhex(F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
+
+
 def type_hash(c: Column) -> Column:
     """Hash of a type URI; the list of all types keeps its sign."""
     return F.when(c == ROOT, c).otherwise(hash_of(c))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.functions.scalars import ROOT, hex_words, words_hex, xor_words
+from attest.functions.scalars import ROOT, digest, hash_of, hex_words, words_hex, xor_words
 from attest.operators.admission import CORE_TYPES, filter_covered_types
 
 LIST = ["pubkey", "type"]
@@ -24,23 +24,33 @@ def list_memberships(pubs: DataFrame, config: str | None = None) -> DataFrame:
     return memberships(pubs, config).groupBy("pubkey", "type", "np").agg(F.min("counter").alias("counter"))
 
 
-def list_entries(members: DataFrame, heads: DataFrame | None = None, chunk: int = 1 << 20) -> DataFrame:
+def list_entries(members: DataFrame, heads: DataFrame | None = None, chunk: int = 1 << 20, after: bool = False) -> DataFrame:
     """(pubkey, type, np, counter, position, checksum): 0-based dense positions in load order and running checksums.
 
     A list of any length is cut by ranges of the counter: positions and XORs run within a chunk, the chunks' sizes and
-    XORs run over the chunks, so no task ever holds a whole list. With heads the lists go on from there.
+    XORs run over the chunks, so no task ever holds a whole list. Only lists in buckets of more than ``chunk`` members
+    are cut; the others, which are most, need nothing but their own rows. With heads the lists go on from there: a head
+    goes before its list's members as a row that counts for all that it stands for. after: also the number of entries
+    behind each one.
     """
-    words = [f"w{i}" for i in range(8)]
-    cut = members.withColumn("chunk", F.floor(F.col("counter") / chunk)).withColumns(dict(zip(words, xor_words(F.col("np")), strict=True)))
-    here = W.partitionBy(*LIST, "chunk").orderBy("counter", "np").rowsBetween(W.unboundedPreceding, 0)
-    inside = cut.select(*LIST, "np", "counter", "chunk", (F.row_number().over(W.partitionBy(*LIST, "chunk").orderBy("counter", "np")) - 1).cast("long").alias("position"), *[F.bit_xor(w).over(here).alias(w) for w in words])
-    earlier = W.partitionBy(*LIST).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*LIST, "chunk").agg(F.count("*").alias("n"), *[F.bit_xor(w).alias(w) for w in words])
-    offsets = totals.select(*LIST, "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), *[F.coalesce(F.bit_xor(w).over(earlier), F.lit(0)).alias(f"b{i}") for i, w in enumerate(words)])
+    words, bucket = [f"w{i}" for i in range(8)], F.pmod(F.xxhash64(*LIST), F.lit(1 << 16)).alias("bucket")
+    full = members.groupBy(bucket).agg(F.count("counter").alias("n")).where(F.col("n") > chunk).select("bucket", F.lit(True).alias("full"))
+    rows = members.select(*LIST, "np", "counter", F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("sum"))
     if heads is not None:
-        h = heads.select(*LIST, F.col("count").alias("have"), *[w.alias(f"h{i}") for i, w in enumerate(hex_words(F.col("checksum")))])
-        offsets = offsets.join(h, LIST, "left").select(*LIST, "chunk", (F.col("before") + F.coalesce("have", F.lit(0))).alias("before"), *[F.col(f"b{i}").bitwiseXOR(F.coalesce(f"h{i}", F.lit(0))).alias(f"b{i}") for i in range(8)])
-    return inside.join(offsets, [*LIST, "chunk"]).select(*LIST, "np", "counter", (F.col("position") + F.col("before")).alias("position"), words_hex([F.col(w).bitwiseXOR(F.col(f"b{i}")) for i, w in enumerate(words)]).alias("checksum"))
+        rows = rows.unionByName(heads.select(*LIST, F.lit(None).cast("string").alias("np"), F.lit(-(1 << 62)).alias("counter"), F.col("count").cast("long").alias("n"), F.col("checksum").alias("sum")))
+    cut = rows.withColumn("own", bucket).join(F.broadcast(full), F.col("own").eqNullSafe(F.col("bucket")), "left").withColumn("chunk", F.when(F.col("full"), F.floor(F.col("counter") / chunk))).drop("own", "bucket", "full")  # null-safe, and lists by their digests below: what the planner adds for plain keys would have the members shuffled again
+    dealt = cut.repartition(*LIST, "chunk")  # before the words are made, so that these stay where they are
+    dealt = dealt.withColumns(dict(zip(words, hex_words(F.coalesce("sum", hash_of(F.col("np")))), strict=True)))
+    here = W.partitionBy(*LIST, "chunk").orderBy(F.col("sum").isNull(), "counter", "np").rowsBetween(W.unboundedPreceding, 0)
+    behind = [(F.sum("n").over(W.partitionBy(*LIST, "chunk")) - F.sum("n").over(here)).alias("after")] if after else []
+    inside = dealt.select(*LIST, "np", "counter", "chunk", "sum", (F.sum("n").over(here) - 1).alias("position"), *[F.bit_xor(w).over(here).alias(w) for w in words], *behind).where("sum IS NULL")
+    totals = dealt.where("chunk IS NOT NULL").groupBy(digest(*LIST).alias("list"), "chunk").agg(*[F.max(c).alias(c) for c in LIST], F.sum("n").alias("n"), *[F.bit_xor(w).alias(w) for w in words])
+    order = W.partitionBy("list").orderBy("chunk")
+    earlier, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    offsets = totals.select(*LIST, "chunk", F.sum("n").over(earlier).alias("before"), F.sum("n").over(later).alias("later"), *[F.bit_xor(w).over(earlier).alias(f"b{i}") for i, w in enumerate(words)])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = [*LIST, "np", "counter", (F.col("position") + zero("before")).alias("position"), words_hex([F.col(w).bitwiseXOR(zero(f"b{i}")) for i, w in enumerate(words)]).alias("checksum")]
+    return inside.join(offsets, [*LIST, "chunk"], "left").select(*out, *([(F.col("after") + zero("later")).alias("after")] if after else []))
 
 
 def list_heads(entries: DataFrame) -> DataFrame:

@@ -6,21 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.functions.scalars import ROOT
+from attest.functions.scalars import ROOT, digest
 from attest.operators.lists import LIST, list_heads
 
 
 def list_checkpoints(entries: DataFrame, digits: int = 18) -> DataFrame:
-    """(pubkey, type, position, checksum) at the list's end and 10, 100, 1000 ... before it."""
+    """(pubkey, type, position, checksum) at the list's end and 10, 100, 1000 ... before it.
+
+    Entries that say how many are behind them (list_entries(after=True)) are only looked through; others meet their heads.
+    """
+    offsets = [0, *[10**k for k in range(1, digits)]]
+    if "after" in entries.columns:
+        return entries.where(F.col("after").isin(offsets)).select(*LIST, "position", "checksum")
     heads = entries.groupBy(*LIST).agg(F.max("position").alias("last"))
-    offsets = F.array(F.lit(0).cast("long"), *[F.lit(10**k).cast("long") for k in range(1, digits)])
-    wanted = heads.select(*LIST, F.explode(F.filter(F.transform(offsets, lambda o: F.col("last") - o), lambda p: p >= 0)).alias("position"))
+    each = F.array(*[F.lit(o).cast("long") for o in offsets])
+    wanted = heads.select(*LIST, F.explode(F.filter(F.transform(each, lambda o: F.col("last") - o), lambda p: p >= 0)).alias("position"))
     return wanted.join(entries.select(*LIST, "position", "checksum"), [*LIST, "position"])
 
 
 def list_delta(entries: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """The entries after the furthest position whose checksum is among a peer's checkpoints; all where none is."""
-    known = entries.join(checkpoints.select(*LIST, "checksum").distinct(), [*LIST, "checksum"]).groupBy(*LIST).agg(F.max("position").alias("known"))
+    """The entries after the furthest position whose checksum is among a peer's checkpoints; all where none is.
+
+    What agrees is found by 16 bytes for each entry that stand for its list and checksum.
+    """
+    key = digest(*LIST, "checksum").alias("key")
+    sought = checkpoints.select(*LIST, key).distinct()
+    known = entries.select(key, "position").join(sought, "key").groupBy(*LIST).agg(F.max("position").alias("known"))
     return entries.join(known, LIST, "left").where(F.col("position") > F.coalesce("known", F.lit(-1))).drop("known")
 
 
@@ -30,7 +41,12 @@ def publications_after(pubs: DataFrame, counter: int = -1) -> DataFrame:
 
 def lists_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pubkey, type, equal): whether both sides hold the same set, told from the heads alone."""
-    x, y = list_heads(a).select(*LIST, F.col("checksum").alias("x")), list_heads(b).select(*LIST, F.col("checksum").alias("y"))
+    return heads_equal(list_heads(a), list_heads(b))
+
+
+def heads_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """lists_equal() of two registries whose heads are known, as from heads_of_members(): no list is built for it."""
+    x, y = a.select(*LIST, F.col("checksum").alias("x")), b.select(*LIST, F.col("checksum").alias("y"))
     return x.join(y, LIST, "full").select(*LIST, F.col("x").eqNullSafe(F.col("y")).alias("equal"))
 
 

@@ -24,7 +24,7 @@ from attest.plans import views as V
 from attest.sources import fixtures as X
 from attest.sources import list_store as store
 from attest.sources import tables
-from attest.sources.shared import materialized, shared_dir
+from attest.sources.shared import materialized, shared_dir, shuffles_removed
 from attest.streaming import counter_source, cycle, feeds, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,7 +373,7 @@ def promote_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {HEADS}, x AS (SELECT pubkey, type, unnest([0, 10, 100, 1000, 10000, 100000]) AS o, max_position FROM h) SELECT e.pubkey, e.type, e.position, e.checksum FROM x JOIN e ON e.pubkey = x.pubkey AND e.type = x.type AND e.position = max_position - o")
 def list_checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    return G.list_checkpoints(_entries(spark, d))
+    return G.list_checkpoints(L.list_entries(L.list_memberships(X.publications(spark, d)), after=True))
 
 
 PEER = ENTRIES + ", c AS (SELECT max(counter) * 9 // 10 AS upto FROM p), peer AS (SELECT e.* FROM e, c WHERE counter <= upto), ph AS (SELECT pubkey, type, max(position) AS last FROM peer GROUP BY ALL)"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from attest.functions.scalars import digest
 from attest.operators.admission import filter_covered_types
 from attest.operators.lists import LIST, list_heads, memberships
 from attest.streaming.runs import read_runs, run_of, runs_before, state_store, write_batch
@@ -21,12 +22,6 @@ ENTRIES = "pubkey string, type string, np string, counter bigint, position bigin
 BUCKETS = 1 << 12  # in which heads of lists are held together, and rows of a micro-batch are compared
 
 
-def _key(*columns: str) -> Column:
-    """16 bytes that stand for the values of these columns, null or not."""
-    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns]
-    return F.unhex(F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
-
-
 def first_seen(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """The rows of a stream whose values of ``by`` have not come before: of a micro-batch the one with the smallest counter (and before it one that is listed).
 
@@ -40,7 +35,7 @@ def first_seen(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
         seen: set[bytes] = set()
         return t.take(pa.array([i for i, k in enumerate(keys) if not (k in seen or seen.add(k))], pa.int64()))
 
-    keyed = rows.withColumn("key", _key(*by)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    keyed = rows.withColumn("key", digest(*by)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
     return keyed.groupBy("bucket").applyInArrow(first, keyed.schema).dropDuplicates(["key"]).drop("key", "bucket")
 
 

@@ -96,3 +96,34 @@ def test_budget_is_checked_before_each_list(spark):
     assert sorted((r.phase, r.pubkey, r.n, r.spent) for r in got) == [(0, "b", 50, 0), (0, "f", 10, 50), (1, "a", 34, 60), (1, "b", 5, 94), (1, "d", 500, 99)]
     none = G.optional_load_batch(lists, sizes, "i", "x", budget=50).collect()
     assert [(r.phase, r.pubkey) for r in none] == [(0, "b")]
+
+
+@pytest.mark.parametrize("chunk", [3, 40, 1 << 20])
+def test_heads_and_entries_behind_where_some_lists_are_cut(spark, chunk):
+    rng = random.Random(2)
+    members = [("a" if rng.random() < 0.8 else rng.choice("bcdef"), rng.choice("$t"), f"n{i}", i) for i in range(160)]
+    df = spark.createDataFrame(members, MEMBERS)
+    old = L.list_entries(df.where("counter < 70"), chunk=chunk)
+    got = L.list_entries(df.where("counter >= 70"), L.list_heads(old), chunk, after=True).collect()
+    want = brute(members)
+    sizes = {}
+    for k, t, *_ in members:
+        sizes[k, t] = sizes.get((k, t), 0) + 1
+    assert {(r.pubkey, r.type, r.np): (r.position, r.checksum) for r in got} == {k: want[k] for k in want if int(k[2][1:]) >= 70}
+    assert all(r.after == sizes[r.pubkey, r.type] - 1 - r.position for r in got)
+
+
+def shuffles(df):
+    """The exchanges that ran, those used again not counted."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in plan.splitlines())
+
+
+def test_members_are_shuffled_once_to_be_told_apart_and_once_into_their_lists(spark):
+    pubs = spark.range(300).select(F.concat(F.lit("n"), "id").alias("np_id"), F.col("id").alias("counter"), F.concat(F.lit("k"), F.col("id") % 7).alias("pubkey"), F.array(F.lit("t")).alias("types"))
+    members = L.list_memberships(pubs)
+    checkpoints = G.list_checkpoints(L.list_entries(members, after=True))
+    assert shuffles(checkpoints) <= 5  # two of members, two of counts and sums of what is cut, which are next to nothing
+    assert sorted(map(tuple, checkpoints.collect())) == sorted(map(tuple, G.list_checkpoints(L.list_entries(members)).collect()))
