@@ -384,7 +384,10 @@ def list_delta(spark: SparkSession, d: str) -> DataFrame:
     pubs = X.publications(spark, d)
     upto = pubs.agg(F.floor(F.max("counter") * 9 / 10).alias("upto"))
     peer = L.list_memberships(pubs.crossJoin(F.broadcast(upto)).where("counter <= upto").drop("upto"))  # one row
-    return G.list_delta(materialized(_entries(spark, d), "entries"), G.list_checkpoints(L.list_entries(peer))).select("pubkey", "type", "np", "counter", "position", "checksum")
+    with shuffles_removed(spark):
+        entries = materialized(_entries(spark, d), "entries", compression="zstd")
+        checkpoints = materialized(G.list_checkpoints(L.list_entries(peer, after=True)), "checkpoints")
+    return G.list_delta(entries, checkpoints).select("pubkey", "type", "np", "counter", "position", "checksum")
 
 
 @query(f"WITH {PUBS} SELECT np_id, counter FROM p WHERE counter > 500")
