@@ -127,3 +127,11 @@ def test_members_are_shuffled_once_to_be_told_apart_and_once_into_their_lists(sp
     checkpoints = G.list_checkpoints(L.list_entries(members, after=True))
     assert shuffles(checkpoints) <= 5  # two of members, two of counts and sums of what is cut, which are next to nothing
     assert sorted(map(tuple, checkpoints.collect())) == sorted(map(tuple, G.list_checkpoints(L.list_entries(members)).collect()))
+
+
+def test_lists_are_equal_by_heads_of_members(spark):
+    a = spark.createDataFrame([("k", "$", f"n{i}", i) for i in range(5)] + [("j", "$", "n1", 1)], MEMBERS)
+    b = spark.createDataFrame([("k", "$", f"n{i}", 9 - i) for i in range(5)] + [("j", "$", "n2", 1), ("i", "$", "n", 1)], MEMBERS)
+    got = G.heads_equal(L.heads_of_members(a), L.heads_of_members(b))
+    assert {r.pubkey: r.equal for r in got.collect()} == {"k": True, "j": False, "i": False}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, G.lists_equal(L.list_entries(a), L.list_entries(b)).collect()))
