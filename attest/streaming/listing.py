@@ -121,56 +121,21 @@ def list_table(spark: SparkSession, table: str) -> DataFrame:
 FOLLOWED = "pubkey string, type string, np string, counter bigint, invalidated_np string"
 
 
-class Invalidations(StatefulProcessor):
-    """Brings publications and those that invalidate them together, whichever comes first. Keyed by key and invalidated publication.
+def followed_invalidations(df: DataFrame) -> DataFrame:
+    """From publications with invalidates (array of np_id): FOLLOWED rows as soon as both sides of an invalidation by the same key are there.
 
-    A publication waits for ever for what may invalidate it, as the registry keeps all; an invalidation waits until its
-    publication comes. Gives an invalidator as member of each list of what it invalidates (inherited), and a row without
-    type for each pair that has met (the mark of the invalidated publication).
+    A join of the stream with itself brings them together, whichever comes first. A publication waits for ever for what
+    may invalidate it, as the registry keeps all, and so does an invalidation for its publication; each counts as it came
+    first. Gives an invalidator as member of each list of what it invalidates (inherited), and a row without type for each
+    pair that has met (the mark of the invalidated publication).
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.target = handle.getValueState("target", "types array<string>")
-        self.waiting = handle.getMapState("waiting", "np string", "counter bigint, types array<string>")
-        self.done = handle.getMapState("done", "np string", "counter bigint")
-
-    def _met(self, key: Any, by: str, counter: int, own: list[str], types: list[str]) -> Iterator[Row]:
-        self.done.updateValue((by,), (counter,))
-        yield Row(pubkey=key[0], type=None, np=by, counter=counter, invalidated_np=key[1])
-        for t in types:
-            if t not in own:
-                yield Row(pubkey=key[0], type=t, np=by, counter=counter, invalidated_np=key[1])
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
-        types = list(self.target.get()[0]) if self.target.exists() else None
-        come: dict[str, tuple[int, list[str]]] = {}
-        for r in rows:
-            if r.by is None:
-                if types is None:
-                    types = sorted(set(r.types or []))
-                    self.target.update((types,))
-            elif r.by not in come or r.counter < come[r.by][0]:
-                come[r.by] = (r.counter, list(r.types or []))
-        if types is None:
-            for by, x in come.items():
-                if not self.waiting.containsKey((by,)):
-                    self.waiting.updateValue((by,), x)
-            return
-        for (by,), (counter, own) in [(k, v) for k, v in self.waiting.iterator()]:
-            come.setdefault(by, (counter, list(own)))
-            self.waiting.removeKey((by,))
-        for by, (counter, own) in come.items():
-            if not self.done.containsKey((by,)):
-                yield from self._met(key, by, counter, own, types)
-
-
-def followed_invalidations(df: DataFrame) -> DataFrame:
-    """From publications with invalidates (array of np_id): FOLLOWED rows as soon as both sides of an invalidation by the same key are there."""
     kinds = F.coalesce("types", F.array().cast("array<string>"))
-    own = F.struct(F.col("np_id").alias("target"), F.lit(None).cast("string").alias("by"))
-    others = F.transform(F.coalesce("invalidates", F.array().cast("array<string>")), lambda t: F.struct(t.alias("target"), F.col("np_id").alias("by")))
-    rows = df.select("pubkey", "counter", kinds.alias("types"), F.inline(F.concat(F.array(own), others)))
-    return rows.groupBy("pubkey", "target").transformWithState(Invalidations(), FOLLOWED, "append", "none")
+    pubs = first_seen(df.select("pubkey", F.col("np_id").alias("target"), "counter", kinds.alias("types")), ("pubkey", "target"))
+    told = df.select("pubkey", F.col("np_id").alias("np"), "counter", kinds.alias("own"), F.explode("invalidates").alias("target"))
+    told = first_seen(told, ("pubkey", "target", "np"))
+    found = told.withColumn("pair", digest("pubkey", "target")).join(pubs.select(digest("pubkey", "target").alias("pair"), "types"), "pair")
+    lists = F.concat(F.array(F.lit(None).cast("string")), F.array_except("types", "own"))
+    return found.select("pubkey", F.explode(lists).alias("type"), "np", "counter", F.col("target").alias("invalidated_np"))
 
 
 def stream_invalidations(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -355,3 +355,13 @@ def test_what_a_list_holds_comes_before_a_smaller_counter(spark, tmp_path):
     want = {f"n{i}": i + 501 if i < 10 else i + 1001 if i < 20 else i + 1 for i in range(40)}
     got = listing.list_table(spark, f"{at}/lists").where("type = '$'").collect()
     assert {r.np: r.counter for r in got} == want and len(got) == 40
+
+
+def test_an_invalidation_that_waited_counts_as_it_came_first(spark, tmp_path):
+    """Its copy comes with what it invalidates, under a later counter."""
+    pubs, at, schema = publications(spark, 12, keys=1), str(tmp_path), f"{schemas.PUBLICATIONS}, invalidates array<string>"
+    told = pubs.withColumn("invalidates", F.when(F.col("np_id") == "n1", F.array(F.lit("n4"))))
+    again = told.where("np_id = 'n1'").withColumn("counter", F.lit(90).cast("long"))
+    for part in (told.where("np_id <> 'n4'"), told.where("np_id = 'n4'").unionByName(again)):
+        listing.stream_invalidations(landed(spark, at, part, schema), f"{at}/lists", f"{at}/c").awaitTermination()
+    assert [tuple(r) for r in listing.inherited_members(spark, f"{at}/lists").select("type", "np", "counter").collect()] == [("t0", "n1", 2)]
