@@ -9,20 +9,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.sources.shared import shuffles_removed
+
 LAST = "\U0010ffff"  # after every text that goes on
 
 
-def write_sorted(df: DataFrame, path: str, key: str, rows_per_file: int = 1 << 20) -> None:
+MOST_FILES = 1024  # of a table: the driver holds their names, ranges and a sample of keys for each
+
+
+def write_sorted(df: DataFrame, path: str, key: str, rows_per_file: int = 1 << 20, by: Column | None = None) -> None:
     """df in files of about so many rows, dealt out and sorted by key (text), and a table of the files' first and last keys.
 
-    Files can't be told apart where one key has more rows than a file takes; such a key is in several files.
+    A table that would have more than MOST_FILES files has larger ones. Files can't be told apart where one key has more
+    rows than a file takes; such a key is in several files. by: what makes the key of df's other columns, if no two rows
+    have the same one; it is then made where rows are sorted, and not sent there.
     """
     spark = df.sparkSession
-    files = max(1, -(-df.count() // rows_per_file))
-    rest = [c for c in df.columns if c != key]
-    df.repartitionByRange(files, key, *rest).sortWithinPartitions(key).write.parquet(f"{path}/rows")
-    rows = spark.read.schema(df.schema).parquet(f"{path}/rows")
-    rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/zones")
+    files = max(1, min(MOST_FILES, -(-df.count() // rows_per_file)))
+    if by is None:
+        rest = [c for c in df.columns if c != key]
+        dealt = df.repartitionByRange(files, key, F.xxhash64(*rest)) if rest else df.repartitionByRange(files, key)
+    else:
+        dealt = df.repartitionByRange(files, by).withColumn(key, by)
+    with shuffles_removed(spark):
+        dealt.sortWithinPartitions(key).write.option("compression", "zstd").parquet(f"{path}/rows")
+        rows = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
+        rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/zones")
 
 
 def zones(spark: SparkSession, path: str) -> list[tuple[str, str, str, int]]:

@@ -83,3 +83,16 @@ def test_files_of_ranges(spark, tmp_path):
     for low, high in [("0000", "0000"), ("0150", "0420"), ("0999", "2"), ("2", "3")]:
         assert sorted(of((low, high))) == sorted(z[0] for z in zones if z[1] <= high and z[2] >= low)
     assert len(of(("0005", "0005"), ("0995", "0995"))) == 2
+
+
+def test_files_are_so_many_at_most(spark, tmp_path, monkeypatch):
+    """Larger tables have larger files, so what the driver holds of them stays small; all rows are there and found by key."""
+    monkeypatch.setattr(layout, "MOST_FILES", 5, raising=False)
+    rows = spark.range(1000).select(F.format_string("%04d", "id").alias("k"), F.col("id").alias("v"))
+    layout.write_sorted(rows, str(tmp_path / "a"), "k", 10)
+    layout.write_sorted(rows.select("v"), str(tmp_path / "b"), "k", 10, F.format_string("%04d", "v"))
+    for name in "ab":
+        zones = layout.zones(spark, str(tmp_path / name))
+        assert len(zones) == 5 and sum(z[3] for z in zones) == 1000 and all(z[2] < y[1] for z, y in zip(zones, zones[1:]))
+        got = layout.read_ranges(spark, str(tmp_path / name), layout.one_range(spark, F.lit("0410"), F.lit("0412"))).where("k BETWEEN '0410' AND '0412'")
+        assert sorted(r.v for r in got.collect()) == [410, 411, 412]
