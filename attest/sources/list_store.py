@@ -21,7 +21,7 @@ def _key(pubkey: Column, type_: Column, position: Column) -> Column:
 
 def write_list_store(entries: DataFrame, path: str, rows_per_file: int = 1 << 20) -> None:
     """Entries by key, type and position; a list's are next to each other, over as many files as they need."""
-    layout.write_sorted(entries.select(_key(F.col("pubkey"), F.col("type"), F.col("position")).alias("key"), *ENTRY), path, "key", rows_per_file)
+    layout.write_sorted(entries.select(*ENTRY), path, "key", rows_per_file, _key(F.col("pubkey"), F.col("type"), F.col("position")))
 
 
 def stored_list(spark: SparkSession, path: str, pubkey: Column, type_: str = ROOT, after: int = -1, upto: int | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def stored_lists_of(spark: SparkSession, path: str, pubkey: Column) -> DataFrame
 def write_buckets(entries: DataFrame, path: str, buckets: int) -> str:
     """A table of entries in buckets by list and position, so that a long list is in all of them; gives its name in the session's catalog."""
     name = f"lists_{uuid.uuid4().hex}"
-    entries.select(*ENTRY).write.format("parquet").bucketBy(buckets, *LIST, "position").sortBy(*LIST, "position").option("path", path).saveAsTable(name)
+    entries.select(*ENTRY).write.format("parquet").option("compression", "zstd").bucketBy(buckets, *LIST, "position").sortBy(*LIST, "position").option("path", path).saveAsTable(name)
     return name
 
 
