@@ -24,7 +24,7 @@ from attest.plans import views as V
 from attest.sources import fixtures as X
 from attest.sources import list_store as store
 from attest.sources import tables
-from attest.sources.shared import materialized, shared_dir, shuffles_removed
+from attest.sources.shared import discard, materialized, shared_dir, shuffles_removed
 from attest.streaming import counter_source, cycle, feeds, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -771,18 +771,25 @@ def list_of_key(spark: SparkSession, d: str) -> DataFrame:
     return V.list_of(_entries(spark, d), F.sha2(F.lit("1"), 256)).select("np", "position", "checksum")
 
 
+def _write_list_store(spark: SparkSession, d: str, at: str) -> None:
+    with shuffles_removed(spark):
+        entries = materialized(_entries(spark, d), "entries", compression="zstd")
+    store.write_list_store(entries, at, rows_per_file=2000)
+    discard(entries)
+
+
 @query(f"WITH {ENTRIES} SELECT np, position, checksum FROM e WHERE pubkey = sha256('1') AND type = '$' AND position > 3")
 def stored_list_of_key(spark: SparkSession, d: str) -> DataFrame:
     """Behind position 3, from the files of a stored registry that hold it."""
     at = _folder(spark, "lists")
-    store.write_list_store(_entries(spark, d), at, rows_per_file=2000)
+    _write_list_store(spark, d, at)
     return store.stored_list(spark, at, F.sha2(F.lit("1"), 256), after=3).select("np", "position", "checksum")
 
 
 @query(f"WITH {HEADS} SELECT * FROM h WHERE pubkey = sha256('2')")
 def stored_lists_of_key(spark: SparkSession, d: str) -> DataFrame:
     at = _folder(spark, "lists")
-    store.write_list_store(_entries(spark, d), at, rows_per_file=2000)
+    _write_list_store(spark, d, at)
     return store.stored_lists_of(spark, at, F.sha2(F.lit("2"), 256))
 
 
@@ -792,9 +799,11 @@ def stored_list_delta(spark: SparkSession, d: str) -> DataFrame:
     pubs, at = X.publications(spark, d), _folder(spark, "lists")
     upto = pubs.agg(F.floor(F.max("counter") * 9 / 10).alias("upto"))
     peer = L.list_memberships(pubs.crossJoin(F.broadcast(upto)).where("counter <= upto").drop("upto"))  # one row
-    entries = materialized(_entries(spark, d), "entries")
-    store.write_list_store(entries, f"{at}/sorted", rows_per_file=2000)
-    own, theirs = store.write_buckets(entries, f"{at}/own", 8), store.write_buckets(L.list_entries(peer), f"{at}/peer", 8)
+    with shuffles_removed(spark):
+        entries = materialized(_entries(spark, d), "entries", compression="zstd")
+        store.write_list_store(entries, f"{at}/sorted", rows_per_file=2000)
+        own, theirs = store.write_buckets(entries, f"{at}/own", 8), store.write_buckets(L.list_entries(peer), f"{at}/peer", 8)
+        discard(entries)
     return store.stored_delta(spark, f"{at}/sorted", own, spark.table(theirs))
 
 
@@ -925,7 +934,8 @@ INHERITED = "inh AS (SELECT DISTINCT a.pubkey, a.type, b.np_id AS np, b.counter
 def stream_invalidations(spark: SparkSession, d: str) -> DataFrame:
     """Members of the lists, inherited ones as well, and which of them are invalidated. Invalidations land before and after what they invalidate."""
     told = X.invalidations(spark, d).groupBy(F.col("invalidating_np").alias("np_id")).agg(F.collect_set("invalidated_np").alias("invalidates"))  # at most 41 each
-    pubs = _streamed(spark, d).join(told, "np_id", "left")
+    with shuffles_removed(spark):
+        pubs = materialized(_streamed(spark, d).join(told, "np_id", "left"), "told", compression="zstd")
     at = _fed(spark, pubs, lambda stream, at: listing.stream_invalidations(stream, f"{at}/lists", f"{at}/checkpoint"), mixed=True)
     members = L.list_memberships(pubs).unionByName(listing.inherited_members(spark, f"{at}/lists"))
     marks = listing.invalidation_marks(spark, f"{at}/lists").withColumn("hit", F.lit(True))
