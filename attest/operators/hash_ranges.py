@@ -7,11 +7,11 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.functions.scalars import words_hex, xor_words
+from attest.functions.scalars import hash_of, words_hex, xor_words
 from attest.operators.lists import LIST
 from attest.operators.sync import list_diff
 from attest.sources import layout
-from attest.sources.shared import checkpointed
+from attest.sources.shared import checkpointed, discard, materialized, shuffles_removed
 
 NODE = [*LIST, "prefix"]
 WORDS = [f"w{i}" for i in range(8)]
@@ -30,15 +30,17 @@ def write_hash_tree(members: DataFrame, path: str, leaf: int = 64, rows_per_file
     level is summed from the one below, so entries are aggregated once.
     """
     spark = members.sparkSession
-    rows = checkpointed(members.select(*LIST, "np", F.sha2("np", 256).alias("h")).distinct())
-    layout.write_sorted(rows.select(_key(*LIST, "h").alias("key"), *LIST, "np", "h"), f"{path}/entries", "key", rows_per_file)
+    with shuffles_removed(spark):
+        rows = materialized(members.select(*LIST, "np").distinct(), "tree-rows", compression="zstd")
+    layout.write_sorted(rows, f"{path}/entries", "key", rows_per_file, _key(*LIST, hash_of(F.col("np"))))
     longest = rows.groupBy(*LIST).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     depth = max(0, ceil(log(max(1, longest / leaf), FAN)))
-    level = rows.select(*LIST, F.substring("h", 1, depth).alias("prefix"), F.lit(1).alias("n"), *[w.alias(c) for w, c in zip(xor_words(F.col("np")), WORDS, strict=True)])
+    level = rows.select(*LIST, F.substring(hash_of(F.col("np")), 1, depth).alias("prefix"), F.lit(1).alias("n"), *[w.alias(c) for w, c in zip(xor_words(F.col("np")), WORDS, strict=True)])
     levels: list[DataFrame] = []
     for d in range(depth, -1, -1):
         here = level.withColumn("prefix", F.substring("prefix", 1, d)).groupBy(*NODE).agg(F.sum("n").alias("n"), *[F.bit_xor(w).alias(w) for w in WORDS])
-        level = checkpointed(here)
+        with shuffles_removed(spark):
+            level = materialized(here, "tree-level", compression="zstd")
         levels.append(level.withColumn("level", F.lit(d)))
     kept = [levels[-1]]
     for below, above in zip(levels[:-1], levels[1:], strict=True):
@@ -47,8 +49,9 @@ def write_hash_tree(members: DataFrame, path: str, leaf: int = 64, rows_per_file
     nodes = kept[0]
     for k in kept[1:]:
         nodes = nodes.unionByName(k)
-    stored = nodes.select(_key(F.format_string("%02d", "level"), *NODE).alias("key"), *NODE, "level", "n", words_hex([F.col(w) for w in WORDS]).alias("digest"))
-    layout.write_sorted(stored, f"{path}/nodes", "key", rows_per_file)
+    stored = nodes.select(*NODE, "level", "n", words_hex([F.col(w) for w in WORDS]).alias("digest"))
+    layout.write_sorted(stored, f"{path}/nodes", "key", rows_per_file, _key(F.format_string("%02d", "level"), *NODE))
+    discard(rows, *levels)
     spark.createDataFrame([(leaf, depth)], "leaf int, depth int").coalesce(1).write.parquet(f"{path}/form")
 
 
@@ -98,9 +101,8 @@ def list_diff_by_ranges(spark: SparkSession, a: str, b: str) -> DataFrame:
     sought = ranges.select(low.alias("low"), F.concat(low, F.lit(layout.LAST)).alias("high"))
     depth = ranges.agg(F.max("level")).first()[0] or 0
 
-    def within(path: str) -> DataFrame:
-        rows = layout.read_ranges(spark, f"{path}/entries", sought)
-        each = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.struct(d.alias("level"), F.col("h").substr(F.lit(1), d).alias("prefix")))
-        return rows.select(*LIST, "np", F.inline(each)).join(ranges, [*NODE, "level"], "left_semi")  # ranges don't overlap: an entry is in one at most
-
-    return list_diff(within(a), within(b))
+    rows = [layout.read_ranges(spark, f"{path}/entries", sought).select(*LIST, "np") for path in (a, b)]
+    found = materialized(list_diff(*rows), "tree-found", compression="zstd")  # with what only one side's files hold beside the ranges
+    each = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.struct(d.alias("level"), hash_of(F.col("np")).substr(F.lit(1), d).alias("prefix")))
+    dealt = found.select(*found.columns, F.inline(each))
+    return dealt.join(ranges, [*NODE, "level"], "left_semi").select(*found.columns)  # ranges don't overlap: an entry is in one at most
